@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers as vocab
 
-from . import bpe_tree, content_sort, token_files
+from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, token_files
 from .common import table
 
 
+def op1_bagminhash(spark, sf_dir):
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark, sf_dir):
     return token_files.token_digest(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"))
 
@@ -21,7 +25,12 @@ def op6_bpe_tree(spark, sf_dir):
     return bpe_tree.bpe_round_trip(docs, vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op5_exact_dedup, op6_bpe_tree)}
+def op9_fuzzy_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fuzzy_lines.dedup_lines(docs).select("doc_id", "clean_text", "n_lines", "n_kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op9_fuzzy_lines, op4_token_files, op5_exact_dedup, op6_bpe_tree)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
