@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_cache
-from .pieces import PieceTable
+from .pieces import PieceTable, flattened
 
 LEAF_CHARS, LEAF_BYTES = 2048, 64
 #: Characters at a part's end that a match may still have looked at: an apostrophe and two letters.
@@ -117,7 +117,7 @@ def codec(path: str, pattern: str):
     if path not in cache:
         with open(path, "rb") as f:
             bpe = TreeBPE(load_ranks(f.read()), pattern)
-        cache[path] = bpe, PieceTable(lambda new: [bpe.encode_bytes(p.encode("utf-8", "replace")) for p in new]), [str(i) for i in range(len(bpe.bytes_of))]
+        cache[path] = bpe, PieceTable(lambda new: flattened([bpe.encode_bytes(p.encode("utf-8", "replace")) for p in new])), [str(i) for i in range(len(bpe.bytes_of))]
     return cache[path]
 
 

@@ -7,36 +7,41 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept, and the longest one that is kept.
-KEPT, LONGEST = 600_000, 128
+KEPT, LONGEST = 500_000, 128
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
 class PieceTable(dict):
-    """piece -> row of `ids`/`first`. `encode_new` maps a list of unseen pieces to their lists of ids.
+    """piece -> row of `ids`/`first`. `encode_new` maps a list of unseen pieces to all their ids and how many each has.
 
     The pieces met first stay, up to KEPT; later ones live as long as the batch that needs them.
     """
 
-    def __init__(self, encode_new):
+    def __init__(self, encode_new=None):
         super().__init__()
-        self.encode_new, self.new = encode_new, []
+        self.new = []
+        if encode_new:
+            self.encode_new = encode_new
         self.ids, self.first, self.used, self.flat = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
     def __missing__(self, piece):
+        self[piece] = row = self.used + len(self.new)
         self.new.append(piece)
-        self[piece] = row = len(self)
         return row
 
     def _fill(self) -> None:
-        got = self.encode_new(self.new)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        while len(self.first) < self.used + len(got) + 2:
+        flat, sizes = self.encode_new(self.new)
+        while len(self.first) < self.used + len(sizes) + 2:
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         while len(self.ids) < self.flat + len(flat):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.flat : self.flat + len(flat)] = flat
-        self.first[self.used + 1 : self.used + 1 + len(got)] = self.flat + np.cumsum(sizes)
-        self.used, self.flat, self.new = self.used + len(got), self.flat + len(flat), []
+        self.first[self.used + 1 : self.used + 1 + len(sizes)] = self.flat + np.cumsum(sizes)
+        self.used, self.flat, self.new = self.used + len(sizes), self.flat + len(flat), []
 
     def rows(self, pieces: list[str]) -> list[int]:
         return list(map(self.__getitem__, pieces))

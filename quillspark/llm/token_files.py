@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, worker_cache
-from .pieces import PieceTable
+from .pieces import PieceTable, flattened
 
 BLOCK_IDS = 1 << 18
 
@@ -52,16 +52,97 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte -> letter of the byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for letters from 256 up."""
+    out, other = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 255 and b != 173:
+            out[b] = chr(b)
+        else:
+            out[b], other = chr(other), other + 1
+    return out
+
+
+class UnitTable(PieceTable):
+    """Ids of the units of a text: a run of white space and the run of other characters after it.
+
+    No match of the byte-level pattern goes from a character that is not white space on to one that is, so a text's ids are those of its
+    units one after another. Where white space is single spaces and newlines, str.split finds the units: the key of one after a space is what
+    follows it, of one after a newline the newline and what follows, of a text's first "\\n\\n" and itself. Other texts go by the
+    pattern's matches, with keys "\\n " and the match.
+    """
+
+    def __init__(self, tokenizer):
+        import regex
+
+        super().__init__()
+        self.find, self.merge = regex.compile(BYTE_LEVEL_PATTERN).findall, tokenizer.model.tokenize
+        self.alphabet, self.short = byte_letters(), {}
+
+    def __missing__(self, key):
+        if key[:2] != "\n ":
+            part = key.lstrip("\n")
+            if not part or part[0].isspace() or part[-1].isspace():
+                self[key] = -1
+                return -1
+        return super().__missing__(key)
+
+    def by_library(self, match: str) -> list[int]:
+        """A match's ids: the library's model on its bytes in the letters of the byte-level alphabet."""
+        return [t.id for t in self.merge(match.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))]
+
+    def of_match(self, match: str) -> list[int]:
+        row = self.get(match[1:], -1) if match[0] == " " else -1
+        if 0 <= row < self.used:
+            return self.ids[self.first[row] : self.first[row + 1]].tolist()
+        ids = self.short.get(match)
+        if ids is None:
+            ids = self.by_library(match)
+            if len(match) <= 4 and len(self.short) < 50_000:
+                self.short[match] = ids
+        return ids
+
+    def encode_new(self, keys):
+        out = []
+        for k in keys:
+            if k.isalpha():  # one match
+                out.append(self.by_library(" " + k))
+            else:
+                unit = k[2:] if k[:2] in ("\n ", "\n\n") else k if k[:1] == "\n" else " " + k
+                out.append([i for match in self.find(unit) for i in self.of_match(match)])
+        return flattened(out)
+
+    def text_rows(self, text: str) -> list[int]:
+        if not text:
+            return []
+        lines = text.split("\n")
+        get, rows = self.__getitem__, []
+        for i, line in enumerate(lines):
+            parts = line.split(" ")
+            parts[0] = ("\n" if i else "\n\n") + parts[0]
+            rows += map(get, parts)
+        return self.rows(["\n " + p for p in self.find(text)]) if -1 in rows else rows
+
+
+class TextTable(PieceTable):
+    """Ids of whole texts, for vocabularies with another split."""
+
+    def __init__(self, tokenizer):
+        super().__init__(lambda new: flattened([e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
+
+    def text_rows(self, text: str) -> list[int]:
+        return self.rows([text]) if text else []
+
+
 def _tokenizer(path: str):
-    """This worker's tokenizer with its table of pieces. Where the vocabulary splits texts by the usual byte-level pattern, each
-    distinct piece goes through the library once; otherwise each whole text does."""
+    """This worker's table for a tokenizer file. All ids come from the library; each distinct match, or text, goes through it once
+    while the table holds it."""
     cache = worker_cache("token_files")
     if path not in cache:
         import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         tk = Tokenizer.from_file(path)
@@ -70,8 +151,7 @@ def _tokenizer(path: str):
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
-        find = regex.compile(BYTE_LEVEL_PATTERN).findall if apart else (lambda text: [text] if text else [])
-        cache[path] = find, PieceTable(lambda new: [e.ids for e in tk.encode_batch_fast(new, add_special_tokens=False)])
+        cache[path] = UnitTable(tk) if apart else TextTable(tk)
     return cache[path]
 
 
@@ -79,18 +159,18 @@ def _tokenizer(path: str):
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _encode(tokenizer_path: str, end_id: int):
+def _encode(tokenizer_path: str, end_id: int, width: str):
     def run(batches):
         shard = TaskContext.get().partitionId()
         start, seen = 0, np.zeros(0, np.int64)
-        find, pieces = _tokenizer(tokenizer_path)
+        table = _tokenizer(tokenizer_path)
         names = ["doc_id", "shard", "start", "ids"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                flat, n = pieces.gather([pieces.rows(find(t)) for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+                flat, n = table.gather([table.text_rows(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()])
                 stop = np.cumsum(n)
-                ids = np.insert(flat, stop, end_id).astype("<u4")
+                ids = np.insert(flat, stop, end_id).astype(width)
                 hist = np.bincount(ids)
                 if len(hist) > len(seen):
                     seen = np.concatenate([seen, np.zeros(len(hist) - len(seen), np.int64)])
@@ -115,16 +195,18 @@ def _counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
 
 
-def _blocks(by_id: np.ndarray):
+def _blocks(by_id: np.ndarray, width: str):
     """Rows (doc_id, shard, start, ids) in order -> blocks of whole documents."""
 
     def run(batches):
+        worker_cache("token_files").clear()  # what the encoding step has kept
+        each = np.dtype(width).itemsize
         held, size, last = [], 0, None
 
         def out():
-            ids = np.frombuffer(b"".join(x[3] for x in held), "<u4")
+            ids = np.frombuffer(b"".join(x[3] for x in held), width)
             control, data = pack(by_id[ids])
-            row = [held[0][1], held[0][2], np.array([x[0] for x in held], "<i8").tobytes(), np.array([len(x[3]) >> 2 for x in held], "<u4").tobytes(), control, data]
+            row = [held[0][1], held[0][2], np.array([x[0] for x in held], "<i8").tobytes(), np.array([len(x[3]) // each for x in held], "<u4").tobytes(), control, data]
             kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "start", "doc_ids", "sizes", "control", "data"])
 
@@ -134,7 +216,7 @@ def _blocks(by_id: np.ndarray):
                     yield out()
                     held, size = [], 0
                 held.append(row)
-                n = len(row[3]) >> 2
+                n = len(row[3]) // each
                 size, last = size + n, (row[1], row[2] + n)
         if held:
             yield out()
@@ -142,6 +224,12 @@ def _blocks(by_id: np.ndarray):
     return run
 
 
+def _id_width(path: str, end_id: int) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each whole text (null: empty) and writes the corpus folder `path`. Each document ends with `end_id`.
 
@@ -152,14 +240,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     scratch = Scratch(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    encoded = scratch.keep(rows.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, shard int, start long, ids binary"), "encoded")
+    width = _id_width(tokenizer_path, end_id)
+    encoded = scratch.keep(rows.mapInArrow(_encode(tokenizer_path, end_id, width), "doc_id long, shard int, start long, ids binary"), "encoded")
     counts = encoded.where("start = -1").select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most a row for each id of the vocabulary
     ranked = [r["id"] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]
     by_id = np.zeros(max(ranked, default=0) + 1, np.uint32)
     by_id[ranked] = np.arange(len(ranked), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
-    blocks = encoded.where("start >= 0").mapInArrow(_blocks(by_id), "shard int, start long, doc_ids binary, sizes binary, control binary, data binary")
+    blocks = encoded.where("start >= 0").mapInArrow(_blocks(by_id, width), "shard int, start long, doc_ids binary, sizes binary, control binary, data binary")
     blocks.write.mode("overwrite").option("compression", "none").partitionBy("shard").parquet(f"{path}/blocks")
     scratch.drop("encoded")
 
