@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .linking import link, sized, to_blobs
-from .textkern import Powers, U, chunks, mix, occurrences, signed, word_shingles
+from .textkern import U, chunks, mix, occurrences, shared_powers, signed, word_shingles
 
 WORDS, THRESHOLD = 5, 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 is missed with a probability below 1e-4.
@@ -67,7 +67,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _features(batches):
-    powers = Powers()
+    powers = shared_powers()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in chunks(texts):
@@ -81,7 +81,7 @@ def _features(batches):
 
 def _payload(batches):
     """(id, text) -> (id, sorted hashes of (shingle, occurrence)), whose set Jaccard is the shingles' multiset Jaccard."""
-    powers = Powers()
+    powers = shared_powers()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in chunks(texts):
@@ -111,10 +111,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal word sequences are one item: copies, however many, meet in a count
     items = features.where("size > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
     items = scratch.keep(items, "items")
-    members = items.select(F.explode(F.array(*keys)).alias("key"), "id", "size")
+    members = items.select(F.explode(F.array(*keys)).alias("key"), "id")
 
     def payload_of(ids: DataFrame) -> DataFrame:
-        first = rows.join(sized(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        first = rows.join(sized(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
         return first.mapInArrow(_payload, "id long, payload binary")
 
     comps = link(scratch, members, payload_of, THRESHOLD)

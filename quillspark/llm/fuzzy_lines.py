@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from .bagminhash import band_keys
 from .common import Scratch
-from .linking import link, sized, to_blobs
-from .textkern import CHUNK, Powers, U, char_shingles, mix, occurrences, signed
+from .linking import link, sized
+from .textkern import CHUNK, Powers, U, char_shingles, chunks, mix, occurrences, shared_powers, signed
 
 SHINGLE_CHARS, THRESHOLD = 8, 0.8
 #: 8 bands of 3 registers: a pair of similarity 0.8 is found with a probability of 0.997 at least.
@@ -67,7 +67,7 @@ def _slices(batch, text_at: int = 1):
 
 
 def _line_features(batches):
-    powers = Powers()
+    powers = shared_powers()
     for batch in batches:
         for part, texts in _slices(batch):
             found = list(_considered(texts))
@@ -91,8 +91,8 @@ def _hashes(texts: list[str], powers: Powers):
 
 
 def _payload(batches):
-    """(doc_id, text, wanted [(h1, h2, id)]) -> (id, sorted shingle hashes)."""
-    powers = Powers()
+    """(doc_id, text, wanted [(h1, h2, id)]) -> (id, normalised line)."""
+    powers = shared_powers()
     for batch in batches:
         for part, texts in _slices(batch):
             wanted = [{(w["h1"], w["h2"]): w["id"] for w in ws} for ws in part.column(2).to_pylist()]
@@ -103,14 +103,25 @@ def _payload(batches):
                     ids.append(got)
                     lines.append(line)
             if ids:
-                owner, h, _, _ = char_shingles(lines, SHINGLE_CHARS, powers)
-                own, h, _ = occurrences(owner, h)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(to_blobs(own, h, len(ids)), pa.binary())], names=["id", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary())], names=["id", "payload"])
+
+
+def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted shingle hashes of each line."""
+    out = []
+    powers = shared_powers()
+    texts = [x.decode("utf-8", "surrogatepass") for x in lines]
+    for lo, hi in chunks(texts):
+        owner, h, _, _ = char_shingles(texts[lo:hi], SHINGLE_CHARS, powers)
+        own, h, _ = occurrences(owner, h)
+        at = np.searchsorted(own, np.arange(hi - lo + 1))
+        out += [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
 
 
 def _cleaner(schema: T.StructType, keep: list[str]):
     def run(batches):
-        powers = Powers()
+        powers = shared_powers()
         for batch in batches:
             for part, texts in _slices(batch, batch.schema.get_field_index("__text")):
                 drop = [None if ws is None else {(w["h1"], w["h2"]) for w in ws} for ws in part.column(part.schema.get_field_index("__drop")).to_pylist()]
@@ -155,15 +166,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = scratch.keep(rows.mapInArrow(_line_features, "doc_id long, h1 long, h2 long, size int, " + ", ".join(f"{k} long" for k in keys)), "lines")
     distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
     distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    members = distinct.select(F.explode(F.array(*keys)).alias("key"), "id", "size")
+    members = distinct.select(F.explode(F.array(*keys)).alias("key"), "id")
 
     def payload_of(ids: DataFrame) -> DataFrame:
         wanted = distinct.select("id", "doc_id", "h1", "h2").join(sized(ids), "id", "left_semi")
         wanted = scratch.keep(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "id")).alias("wanted")), "wanted")
-        found = rows.join(sized(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_payload, "id long, payload binary")
-        return found.dropDuplicates(["id"])
+        return rows.join(sized(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_payload, "id long, payload binary")
 
-    comps = link(scratch, members, payload_of, THRESHOLD)
+    comps = link(scratch, members, payload_of, THRESHOLD, _line_sets)
     # Of each line that occurs in several documents or is linked: where it stays, if anywhere.
     shared = scratch.keep(distinct.select("h1", "h2", "id", "doc_id", "n").join(comps, "id", "left").where("n > 1 or comp is not null"), "shared")
     linked = shared.where("comp is not null")

@@ -1,10 +1,12 @@
 """From band keys to verified links and connected components, without listing the pairs of a bucket.
 
-`members` has a row (key, id) for each band key of each distinct item; `payload` gives an item's set of 64-bit shingle hashes.
-1. Every member of a bucket is compared with the bucket's smallest and its largest id: a number of pairs in proportion to rows.
+`members` has a row (key, id) for each band key of each distinct item; an item's payload unpacks to its set of 64-bit shingle hashes.
+1. Every member of a bucket is compared with two of its members, picked by a hash of key and id: a number of pairs in proportion
+   to rows. Each of an item's buckets picks others.
 2. The verified links give components, by distributed union-find.
-3. Pairs that share a bucket but not a component are compared too, all of them, so that no link between different components is
-   lost. In a bucket of alike items hardly any are left; a pair whose sizes alone rule the similarity out is skipped.
+3. Items that share a bucket but not a component with another are compared without regard to buckets, by prefix filtering: with the
+   hashes of all such items in one order, rare ones first, two sets of the wanted similarity must share one of the first few.
+   So no link between different components is lost, yet items that share only what many others have do not meet.
 """
 
 from __future__ import annotations
@@ -33,29 +35,81 @@ def to_blobs(owner: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
     return [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _similar(threshold: float):
+def _similar(threshold: float, unpack):
     """(a, b, pa, pb) -> links whose sets have a Jaccard similarity of the threshold at least."""
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "pa", "pb"))
-            keep = []
-            held, last = None, None
-            for i, (u, v) in enumerate(zip(x, y, strict=True)):
-                u, v = u.as_buffer(), v.as_buffer()
-                if last is None or not last.equals(u):
-                    held, last = np.frombuffer(u, np.uint64), u
-                other = np.frombuffer(v, np.uint64)
-                small, large = (held, other) if len(held) <= len(other) else (other, held)
-                if not len(small) or len(small) < threshold * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                # written as whole numbers' quotient once, so that a similarity of exactly the threshold counts
-                if both / (len(small) + len(large) - both) >= threshold:
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                a, b, x, y = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "pa", "pb"))
+                distinct: dict[bytes, int] = {}
+                left = [distinct.setdefault(p, len(distinct)) for p in x.to_pylist()]
+                right = [distinct.setdefault(p, len(distinct)) for p in y.to_pylist()]
+                sets = unpack(list(distinct))
+                keep = []
+                for i, (u, v) in enumerate(zip(left, right, strict=True)):
+                    small, large = sorted((sets[u], sets[v]), key=len)
+                    if not len(small) or len(small) < threshold * len(large):
+                        continue
+                    place = np.searchsorted(large, small)
+                    both = int((large[np.minimum(place, len(large) - 1)] == small).sum())
+                    if both / (len(small) + len(large) - both) >= threshold:
+                        keep.append(i)
+                keep = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
+
+    return run
+
+
+def as_sets(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in blobs]
+
+
+#: Counters of the sketch that orders hashes by how often they occur. Any order gives the same result; a good one gives it sooner.
+SKETCH = 1 << 16
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
+def _sketch(unpack):
+    def run(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                for s in unpack(batch.column(0).slice(at, 1000).to_pylist()):
+                    np.add.at(total, _cells(s), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+
+    return run
+
+
+def _sum_sketches(batches):
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            total += np.frombuffer(blob, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+
+
+def _prefixes(sketch: np.ndarray, threshold: float, unpack):
+    """(id, comp, few, payload) -> (token, id, comp, size, few): the first hashes of each set in the order of the sketch."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                token, n, sizes = [np.zeros(0, np.uint64)], [], []
+                for s in unpack(part.column(part.schema.get_field_index("payload")).to_pylist()):
+                    first = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1 if len(s) else 0
+                    token.append(s[np.lexsort((s, sketch[_cells(s)]))[:first]])
+                    n.append(first)
+                    sizes.append(len(s))
+                at_row = pa.array(np.repeat(np.arange(len(n)), n))
+                cols = [part.column(part.schema.get_field_index(c)).take(at_row) for c in ("id", "comp", "few")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), cols[0], cols[1], pa.array(np.repeat(np.array(sizes, np.int64), n)), cols[2]], names=["token", "id", "comp", "size", "few"])
 
     return run
 
@@ -80,12 +134,14 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(id, comp) of the ids that are linked to another. members: (key long, id long, size long); payload_of maps a kept table of
-    ids to (id, payload binary), payload being the sorted 64-bit hashes of the item's set."""
-    buckets = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    buckets = scratch.keep(buckets, "buckets")
-    act = scratch.keep(members.join(buckets, "key"), "act")
+def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], threshold: float, unpack=as_sets) -> DataFrame:
+    """(id, comp) of the ids that are linked to another. members: (key long, id long); payload_of maps a kept table of ids to (id,
+    payload binary); unpack turns a list of payloads into sorted arrays of distinct 64-bit hashes."""
+    # the order of id xor key is another one in each bucket, and can be undone
+    mixed = F.col("id").bitwiseXOR(F.col("key"))
+    picks = members.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
+    picks = scratch.keep(picks.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("low"), F.col("high").bitwiseXOR(F.col("key")).alias("high")), "picks")
+    act = scratch.keep(members.select("key", "id").join(sized(picks), "key"), "act")
     ids = scratch.keep(act.select("id").distinct(), "ids")
     payload = scratch.keep(payload_of(ids), "payload")
 
@@ -96,24 +152,31 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
         left = payload.select(F.col("id").alias("a"), F.col("payload").alias("pa"))
         right = payload.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
         found = rows.join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
-        return scratch.keep(found.mapInArrow(_similar(threshold), "a long, b long"), name)
+        return scratch.keep(found.mapInArrow(_similar(threshold, unpack), "a long, b long"), name)
 
     reps = act.where("id <> low").select(F.col("low").alias("x"), F.col("id").alias("y")).union(act.where("id <> high").select(F.col("high").alias("x"), F.col("id").alias("y")))
     seen = scratch.keep(pairs(reps), "pairs")
     links = verified(seen, "links")
     comps = components(scratch, links, "first")
 
-    placed = act.select("key", "id", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = scratch.keep(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = scratch.keep(placed.join(mixed, "key"), "open")
-    # Within a bucket the largest component need not meet itself: the others meet it and one another.
+    placed = scratch.keep(act.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    unlike = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    open_ = scratch.keep(placed.join(unlike, "key"), "open")
+    # Where one component of a bucket is the largest, its members need not be the ones that look for others.
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("n"))
     core = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c")).select("key", F.col("c.comp").alias("core"))
-    few = open_.join(core, "key").where("comp <> core").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"))
-    many = open_.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"))
-    rest = few.join(many, "key").where((F.col("cx") != F.col("cy")) & (F.least("sx", "sy") >= threshold * F.greatest("sx", "sy")))
-    rest = scratch.keep(pairs(rest).join(seen, ["a", "b"], "left_anti"), "rest")
+    items = open_.join(core, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("core")).alias("few"))
+    items = scratch.keep(items, "items-open")
+    if items.isEmpty():
+        return comps
+    rows = items.join(payload, "id").select("id", "comp", "few", "payload")
+    sketches = rows.select("payload").mapInArrow(_sketch(unpack), "sketch binary").repartition(8).mapInArrow(_sum_sketches, "sketch binary").collect()
+    sketch = np.sum([np.frombuffer(r["sketch"], np.int64) for r in sketches], axis=0)
+    tokens = scratch.keep(rows.mapInArrow(_prefixes(sketch, threshold, unpack), "token long, id long, comp long, size long, few boolean"), "tokens")
+    few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"))
+    many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"))
+    near = (F.col("cx") != F.col("cy")) & (F.least("sx", "sy") >= threshold * F.greatest("sx", "sy"))
+    rest = scratch.keep(pairs(few.join(many, "token").where(near)).join(seen, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, "more")
     if more.isEmpty():
         return comps

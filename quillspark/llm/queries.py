@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as vocab
 
-from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, token_files
+from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, mixing, token_files, toxicity
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op1_bagminhash(spark, sf_dir):
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark, sf_dir):
     return token_files.token_digest(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"))
 
@@ -30,7 +35,12 @@ def op9_fuzzy_lines(spark, sf_dir):
     return fuzzy_lines.dedup_lines(docs).select("doc_id", "clean_text", "n_lines", "n_kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op9_fuzzy_lines, op4_token_files, op5_exact_dedup, op6_bpe_tree)}
+def op10_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", "block", "slot")
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op9_fuzzy_lines, op10_mixing, op4_token_files, op5_exact_dedup, op6_bpe_tree)}
 
 ORACLES = {
     "op5_exact_dedup": r"""

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import worker_cache
+
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
@@ -28,6 +30,14 @@ class Powers:
         return self.up, self.down
 
 
+def shared_powers() -> Powers:
+    """This worker's table of powers."""
+    cache = worker_cache("powers")
+    if "powers" not in cache:
+        cache["powers"] = Powers()
+    return cache["powers"]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

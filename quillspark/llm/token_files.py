@@ -92,7 +92,7 @@ class UnitTable(PieceTable):
         return [t.id for t in self.merge(match.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))]
 
     def of_match(self, match: str) -> list[int]:
-        row = self.get(match[1:], -1) if match[0] == " " else -1
+        row = self.get(match[1:], -1) if match[0] == " " and match[1:].isalpha() else -1
         if 0 <= row < self.used:
             return self.ids[self.first[row] : self.first[row + 1]].tolist()
         ids = self.short.get(match)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textkern import Powers, U, WORD_BYTE, chunks, mix, words
+from .textkern import Powers, U, WORD_BYTE, chunks, mix, shared_powers, words
 
 #: Labelled rows that the chain is fitted on, at most, of each combination of labels; chosen by a hash of the id.
 ROWS_PER_STRATUM = 2500
@@ -148,7 +148,7 @@ class Chain:
 
 def _training(batches):
     """(labels, text) -> (labels, distinct features, dense) as binaries."""
-    powers = Powers()
+    powers = shared_powers()
     for batch in batches:
         marks, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in chunks(texts):
@@ -200,7 +200,7 @@ def classify(docs: DataFrame, chain: Chain, categories: list[str], id_col: str =
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, T.DoubleType() if c[:2] == "p_" else T.BooleanType()) for c in names])
 
     def run(batches):
-        powers = Powers()
+        powers = shared_powers()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             for lo, hi in chunks(texts):
