@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as vocab
 
-from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, mixing, token_files, toxicity
+from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, min_cut, mixing, multi_index, pii, token_files, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_files(spark, sf_dir):
     return token_files.token_digest(table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"))
 
@@ -40,7 +44,15 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(docs, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", "block", "slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op9_fuzzy_lines, op10_mixing, op4_token_files, op5_exact_dedup, op6_bpe_tree)}
+def op7_min_cut(spark, sf_dir):
+    return min_cut.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_multi_index(spark, sf_dir):
+    return multi_index.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op3_pii, op4_token_files, op5_exact_dedup, op6_bpe_tree, op7_min_cut, op8_multi_index, op9_fuzzy_lines, op10_mixing)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
