@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .bagminhash import band_keys
 from .common import Scratch
 from .linking import link, sized
-from .textkern import CHUNK, Powers, U, char_shingles, chunks, mix, occurrences, shared_powers, signed
+from .textkern import CHUNK, Powers, U, char_shingles, chunks, mix, shared_powers, signed
 
 SHINGLE_CHARS, THRESHOLD = 8, 0.8
 #: 8 bands of 3 registers: a pair of similarity 0.8 is found with a probability of 0.997 at least.
@@ -113,9 +113,8 @@ def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
     texts = [x.decode("utf-8", "surrogatepass") for x in lines]
     for lo, hi in chunks(texts):
         owner, h, _, _ = char_shingles(texts[lo:hi], SHINGLE_CHARS, powers)
-        own, h, _ = occurrences(owner, h)
-        at = np.searchsorted(own, np.arange(hi - lo + 1))
-        out += [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        at = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
+        out += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 

@@ -160,7 +160,8 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     comps = components(scratch, links, "first")
 
     placed = scratch.keep(act.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    unlike = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    # with up to three members all pairs have been compared
+    unlike = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high and n > 3").select("key")
     open_ = scratch.keep(placed.join(unlike, "key"), "open")
     # Where one component of a bucket is the largest, its members need not be the ones that look for others.
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("n"))

@@ -121,8 +121,9 @@ def char_shingles(texts: list[str], width: int, powers: Powers):
 
 
 def occurrences(owner: np.ndarray, h: np.ndarray):
-    """Sorted distinct (owner, hash) pairs and their counts."""
-    order = np.lexsort((h, owner))
+    """Sorted distinct (owner, hash) pairs and their counts; owners come in ascending order."""
+    order = np.argsort(h)
+    order = order[np.argsort(owner[order].astype(np.uint16) if len(owner) and owner[-1] < 1 << 16 else owner[order], kind="stable")]
     owner, h = owner[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
