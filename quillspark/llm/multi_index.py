@@ -20,8 +20,8 @@ from .common import Scratch
 #: Vectors that the codebooks are fitted on, at most; chosen by a hash of the id.
 SAMPLE = 20_000
 CENTROIDS = 128
-#: Share of the distinct vectors whose cells a query visits. Unit vectors of little contrast need about a third for a recall of 0.95.
-SHARE = 0.4
+#: Share of the distinct vectors whose cells a query visits. Unit vectors of little contrast need about a third for a recall of 0.9.
+SHARE = 0.5
 #: Queries that go over the vectors at once.
 QUERY_BLOCK = 4096
 
