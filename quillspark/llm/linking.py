@@ -5,7 +5,8 @@
    to rows. Each of an item's buckets picks others.
 2. The verified links give components, by distributed union-find.
 3. Items that share a bucket but not a component with another are compared without regard to buckets, by prefix filtering: with the
-   hashes of all such items in one order, rare ones first, two sets of the wanted similarity must share one of the first few.
+   hashes of all such items in one order, rare ones first, two sets of the wanted similarity must share one of the first few, and
+   early enough that what follows it in both can still hold all that they must share.
    So no link between different components is lost, yet items that share only what many others have do not meet.
 """
 
@@ -95,7 +96,7 @@ def _sum_sketches(batches):
 
 
 def _prefixes(sketch: np.ndarray, threshold: float, unpack):
-    """(id, comp, few, payload) -> (token, id, comp, size, few): the first hashes of each set in the order of the sketch."""
+    """(id, comp, few, payload) -> (token, id, comp, few, size, left): the first hashes of each set in the order of the sketch."""
 
     def run(batches):
         for batch in batches:
@@ -109,7 +110,9 @@ def _prefixes(sketch: np.ndarray, threshold: float, unpack):
                     sizes.append(len(s))
                 at_row = pa.array(np.repeat(np.arange(len(n)), n))
                 cols = [part.column(part.schema.get_field_index(c)).take(at_row) for c in ("id", "comp", "few")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), cols[0], cols[1], pa.array(np.repeat(np.array(sizes, np.int64), n)), cols[2]], names=["token", "id", "comp", "size", "few"])
+                # what a set has from a hash on bounds what it can share with a set that it shares none before with
+                left = np.repeat(np.array(sizes, np.int64), n) - (np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *cols, pa.array(np.repeat(np.array(sizes, np.int64), n)), pa.array(left.astype(np.int64))], names=["token", "id", "comp", "few", "size", "left"])
 
     return run
 
@@ -173,10 +176,11 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     rows = items.join(payload, "id").select("id", "comp", "few", "payload")
     sketches = rows.select("payload").mapInArrow(_sketch(unpack), "sketch binary").repartition(8).mapInArrow(_sum_sketches, "sketch binary").collect()
     sketch = np.sum([np.frombuffer(r["sketch"], np.int64) for r in sketches], axis=0)
-    tokens = scratch.keep(rows.mapInArrow(_prefixes(sketch, threshold, unpack), "token long, id long, comp long, size long, few boolean"), "tokens")
-    few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"))
-    many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"))
-    near = (F.col("cx") != F.col("cy")) & (F.least("sx", "sy") >= threshold * F.greatest("sx", "sy"))
+    tokens = scratch.keep(rows.mapInArrow(_prefixes(sketch, threshold, unpack), "token long, id long, comp long, few boolean, size long, left long"), "tokens")
+    few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
+    many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"))
+    shared = threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9
+    near = (F.col("cx") != F.col("cy")) & (F.least("lx", "ly") >= shared) & (F.least("sx", "sy") >= shared)
     rest = scratch.keep(pairs(few.join(many, "token").where(near)).join(seen, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, "more")
     if more.isEmpty():
