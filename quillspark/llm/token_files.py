@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, worker_cache
 from .pieces import PieceTable, flattened
+from .textkern import Powers, Runs, U, mix
 
 BLOCK_IDS = 1 << 18
 
@@ -63,65 +64,117 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
-class UnitTable(PieceTable):
-    """Ids of the units of a text: a run of white space and the run of other characters after it.
+#: Bytes of ASCII white space.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Other codes of the bytes, for a second hash.
+BYTE_CODES = mix(np.arange(256, dtype=U)) >> U(8)
+#: Units kept, at about 50 bytes each.
+UNITS = 2_000_000
+
+
+class UnitTable:
+    """Ids of the units of texts: a run of white space and the run of other characters after it.
 
     No match of the byte-level pattern goes from a character that is not white space on to one that is, so a text's ids are those of its
-    units one after another. Where white space is single spaces and newlines, str.split finds the units: the key of one after a space is what
-    follows it, of one after a newline the newline and what follows, of a text's first "\\n\\n" and itself. Other texts go by the
-    pattern's matches, with keys "\\n " and the match.
+    units one after another. Units are found, hashed (128 bits) and looked up with array operations over a batch of texts; only those that
+    the table does not hold go through the library, match by match. The table keeps the units met first; it is a large sorted part
+    and a small recent one that is merged into it now and then.
     """
 
     def __init__(self, tokenizer):
         import regex
 
-        super().__init__()
         self.find, self.merge = regex.compile(BYTE_LEVEL_PATTERN).findall, tokenizer.model.tokenize
-        self.alphabet, self.short = byte_letters(), {}
+        self.alphabet, self.short, self.powers = byte_letters(), {}, Powers()
+        self.parts = [self._empty(), self._empty()]
+        self.ids, self.flat = np.zeros(1 << 16, np.uint32), 0
 
-    def __missing__(self, key):
-        if key[:2] != "\n ":
-            part = key.lstrip("\n")
-            if not part or part[0].isspace() or part[-1].isspace():
-                self[key] = -1
-                return -1
-        return super().__missing__(key)
+    @staticmethod
+    def _empty():
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def by_library(self, match: str) -> list[int]:
         """A match's ids: the library's model on its bytes in the letters of the byte-level alphabet."""
-        return [t.id for t in self.merge(match.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))]
-
-    def of_match(self, match: str) -> list[int]:
-        row = self.get(match[1:], -1) if match[0] == " " and match[1:].isalpha() else -1
-        if 0 <= row < self.used:
-            return self.ids[self.first[row] : self.first[row + 1]].tolist()
         ids = self.short.get(match)
         if ids is None:
-            ids = self.by_library(match)
+            ids = [t.id for t in self.merge(match.encode().decode("latin-1").translate(self.alphabet))]
             if len(match) <= 4 and len(self.short) < 50_000:
                 self.short[match] = ids
         return ids
 
-    def encode_new(self, keys):
-        out = []
-        for k in keys:
-            if k.isalpha():  # one match
-                out.append(self.by_library(" " + k))
-            else:
-                unit = k[2:] if k[:2] in ("\n ", "\n\n") else k if k[:1] == "\n" else " " + k
-                out.append([i for match in self.find(unit) for i in self.of_match(match)])
-        return flattened(out)
-
-    def text_rows(self, text: str) -> list[int]:
-        if not text:
-            return []
-        lines = text.split("\n")
-        get, rows = self.__getitem__, []
-        for i, line in enumerate(lines):
-            parts = line.split(" ")
-            parts[0] = ("\n" if i else "\n\n") + parts[0]
-            rows += map(get, parts)
-        return self.rows(["\n " + p for p in self.find(text)]) if -1 in rows else rows
+    def encode_unit(self, unit: str) -> list[int]:
+        if unit[1:].isalpha() and unit[0] == " ":
+            return self.by_library(unit)
+        return [i for match in self.find(unit) for i in self.by_library(match)]
+
+    def _look_up(self, h: np.ndarray, check: np.ndarray):
+        first, size = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int32)
+        for keys, checks, firsts, sizes in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = (keys[at] == h) & (checks[at] == check)
+                first[hit], size[hit] = firsts[at[hit]], sizes[at[hit]]
+        return first, size
+
+    def _keep(self, *new):
+        def merged(a, b):
+            order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+            return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+        self.parts[1] = merged(self.parts[1], new)
+        if len(self.parts[1][0]) > 150_000:
+            self.parts = [merged(*self.parts), self._empty()]
+
+    def units(self, raw: list[bytes]):
+        """All texts' bytes as one array, the units' starts and ends in it, and each text's number of units."""
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        begin = np.cumsum(size) - size
+        blank = BLANK[data]
+        mark = np.zeros(len(data) + 1, bool)
+        mark[1:-1] = blank[1:] & ~blank[:-1]
+        high = np.flatnonzero(mark[1:-1] & (data[:-1] >= 128)) + 1
+        if len(high):  # white space beyond ASCII before a blank is part of its run
+            a, b, c = data[high - 1], data[np.maximum(high - 2, 0)], data[np.maximum(high - 3, 0)]
+            wide = (b == 0xC2) & ((a == 0x85) | (a == 0xA0)) | (c == 0xE2) & (b == 0x80) & ((a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))
+            wide |= (c == 0xE1) & (b == 0x9A) & (a == 0x80) | (c == 0xE2) & (b == 0x81) & (a == 0x9F) | (c == 0xE3) & (b == 0x80) & (a == 0x80)
+            mark[high[wide]] = False
+        mark[begin[size > 0]] = True
+        start = np.flatnonzero(mark)
+        return data, start, np.append(start[1:], len(data)), np.diff(np.append(np.searchsorted(start, begin), len(start)))
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and how many each text has."""
+        data, start, end, units = self.units([t.encode("utf-8", "replace") for t in texts])
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        h = mix(Runs(data, self.powers).hashes(start, end) ^ mix((end - start).astype(U)))
+        check = mix(Runs(BYTE_CODES[data], self.powers).hashes(start, end))
+        order = np.argsort(h)
+        sorted_h, sorted_check = h[order], check[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_check[1:] != sorted_check[:-1])
+        head = order[new]
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first, size = self._look_up(h[head], check[head])
+        missing = np.flatnonzero(first < 0)
+        if len(missing):
+            blob = data.tobytes()
+            got, sizes = flattened([self.encode_unit(blob[a:b].decode()) for a, b in zip(start[head[missing]].tolist(), end[head[missing]].tolist(), strict=True)])
+            while len(self.ids) < self.flat + len(got):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.flat : self.flat + len(got)] = got
+            first[missing], size[missing] = self.flat + np.cumsum(sizes) - sizes, sizes
+            if sum(len(p[0]) for p in self.parts) < UNITS:
+                self._keep(h[head[missing]], check[head[missing]], first[missing], size[missing])
+                self.flat += len(got)
+        each = size[which].astype(np.int64)
+        stop = np.cumsum(each)
+        ids = self.ids[np.arange(stop[-1]) + np.repeat(first[which] - (stop - each), each)]
+        upto = np.concatenate([[0], stop])[np.cumsum(units)]
+        return ids, np.diff(np.concatenate([[0], upto]))
 
 
 class TextTable(PieceTable):
@@ -130,12 +183,12 @@ class TextTable(PieceTable):
     def __init__(self, tokenizer):
         super().__init__(lambda new: flattened([e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
 
-    def text_rows(self, text: str) -> list[int]:
-        return self.rows([text]) if text else []
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.gather([self.rows([t]) if t else [] for t in texts])
 
 
 def _tokenizer(path: str):
-    """This worker's table for a tokenizer file. All ids come from the library; each distinct match, or text, goes through it once
+    """This worker's table for a tokenizer file. All ids come from the library; each distinct unit, or text, goes through it once
     while the table holds it."""
     cache = worker_cache("token_files")
     if path not in cache:
@@ -168,7 +221,7 @@ def _encode(tokenizer_path: str, end_id: int, width: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                flat, n = table.gather([table.text_rows(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+                flat, n = table.encode_batch(part.column(part.schema.get_field_index("text")).to_pylist())
                 stop = np.cumsum(n)
                 ids = np.insert(flat, stop, end_id).astype(width)
                 hist = np.bincount(ids)
