@@ -44,15 +44,14 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.n
     return sig
 
 
-def _considered(texts: list[str]):
-    """(text index, line number, normalised line) of each line that has a shingle and is not a repeat within its text."""
-    for i, text in enumerate(texts):
-        seen = set()
-        for k, line in enumerate(text.split("\n")):
-            line = normalise(line)
-            if len(line) >= SHINGLE_CHARS and line not in seen:
-                seen.add(line)
-                yield i, k, line
+def considered(text: str):
+    """(line number, normalised line, whether it is a repeat within the text) of each line that has a shingle."""
+    seen = set()
+    for k, line in enumerate(text.split("\n")):
+        line = normalise(line)
+        if len(line) >= SHINGLE_CHARS:
+            yield k, line, line in seen
+            seen.add(line)
 
 
 def _slices(batch, text_at: int = 1):
@@ -67,43 +66,32 @@ def _slices(batch, text_at: int = 1):
 
 
 def _line_features(batches):
+    """(doc_id, text) -> a row for each considered line; repeats within a text have no more than their place."""
     powers = shared_powers()
+    names = ["doc_id", "body", "line", "again", "h1", "h2"] + [f"b{b}" for b in range(BANDS)]
     for batch in batches:
         for part, texts in _slices(batch):
-            found = list(_considered(texts))
+            found = [(i, *row) for i, text in enumerate(texts) for row in considered(text)]
             if not found:
                 continue
-            at, _, lines = zip(*found, strict=True)
+            at, number, lines, again = zip(*found, strict=True)
             owner, h, h1, h2 = char_shingles(list(lines), SHINGLE_CHARS, powers)
             keys = signed(band_keys(signatures(owner, h, len(lines), BANDS * ROWS), BANDS, ROWS))
-            size = np.fromiter((len(x) - SHINGLE_CHARS + 1 for x in lines), np.int32, len(lines))
-            cols = [part.column(0).take(pa.array(at, pa.int64())), pa.array(signed(h1)), pa.array(signed(h2)), pa.array(size)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)], names=["doc_id", "h1", "h2", "size"] + [f"b{b}" for b in range(BANDS)])
-
-
-def _hashes(texts: list[str], powers: Powers):
-    """As _considered, with the two hashes of each line."""
-    found = list(_considered(texts))
-    if not found:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, _, h1, h2 = char_shingles([x[2] for x in found], 1 << 40, powers)
-    return found, signed(h1), signed(h2)
+            at = pa.array(at, pa.int64())
+            cols = [part.column(0).take(at), part.column(2).take(at), pa.array(number, pa.int32()), pa.array(again, pa.bool_()), pa.array(signed(h1)), pa.array(signed(h2))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)], names=names)
 
 
 def _payload(batches):
-    """(doc_id, text, wanted [(h1, h2, id)]) -> (id, normalised line)."""
-    powers = shared_powers()
+    """(doc_id, text, wanted [(line, id)]) -> (id, normalised line)."""
     for batch in batches:
-        for part, texts in _slices(batch):
-            wanted = [{(w["h1"], w["h2"]): w["id"] for w in ws} for ws in part.column(2).to_pylist()]
-            found, h1, h2 = _hashes(texts, powers)
-            ids, lines = [], []
-            for (i, _, line), a, b in zip(found, h1.tolist(), h2.tolist(), strict=True):
-                if (got := wanted[i].pop((a, b), None)) is not None:
-                    ids.append(got)
-                    lines.append(line)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary())], names=["id", "payload"])
+        ids, lines = [], []
+        for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            split = text.split("\n")
+            for w in wanted:
+                ids.append(w["id"])
+                lines.append(normalise(split[w["line"]]).encode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.binary())], names=["id", "payload"])
 
 
 def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
@@ -118,34 +106,22 @@ def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _cleaner(schema: T.StructType, keep: list[str]):
+def _cleaner(keep: list[str]):
     def run(batches):
-        powers = shared_powers()
         for batch in batches:
-            for part, texts in _slices(batch, batch.schema.get_field_index("__text")):
-                drop = [None if ws is None else {(w["h1"], w["h2"]) for w in ws} for ws in part.column(part.schema.get_field_index("__drop")).to_pylist()]
-                busy = [i for i, d in enumerate(drop) if d]
-                found, h1, h2 = _hashes([texts[i] for i in busy], powers)
-                gone: dict[int, set[str]] = {}
-                for (j, _, line), a, b in zip(found, h1.tolist(), h2.tolist(), strict=True):
-                    if (a, b) in drop[busy[j]]:
-                        gone.setdefault(busy[j], set()).add(line)
-                out, had, left = [], [], []
-                for i, text in enumerate(texts):
-                    lost, seen, kept, n = gone.get(i, ()), set(), [], 0
-                    for line in text.split("\n"):
-                        norm = normalise(line)
-                        n += bool(norm)
-                        if len(norm) >= SHINGLE_CHARS:
-                            if norm in seen or norm in lost:
-                                continue
-                            seen.add(norm)
-                        kept.append(line)
-                    out.append("\n".join(kept))
-                    had.append(n)
-                    left.append(sum(bool(x.strip()) for x in kept))
-                cols = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(out, pa.string()), pa.array(had, pa.int64()), pa.array(left, pa.int64())], names=[*keep, "clean_text", "n_lines", "n_kept"])
+            out, had, left = [], [], []
+            for text, drop in zip(batch.column(batch.schema.get_field_index("__text")).to_pylist(), batch.column(batch.schema.get_field_index("__drop")).to_pylist(), strict=True):
+                lines = text.split("\n")
+                n = sum(1 for x in lines if x and not x.isspace())
+                if drop:
+                    gone = set(drop)
+                    lines = [x for k, x in enumerate(lines) if k not in gone]
+                    text = "\n".join(lines)
+                out.append(text)
+                had.append(n)
+                left.append(n - len(set(drop)) if drop else n)  # what is dropped is never blank
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(had, pa.int64()), pa.array(left, pa.int64())], names=[*keep, "clean_text", "n_lines", "n_kept"])
 
     return run
 
@@ -160,17 +136,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns pass through, but columns that are named like those added are replaced. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "fuzzy-lines")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # line numbers hold for one text, so a row is known by its id and its text's hash
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
     keys = [f"b{b}" for b in range(BANDS)]
-    lines = scratch.keep(rows.mapInArrow(_line_features, "doc_id long, h1 long, h2 long, size int, " + ", ".join(f"{k} long" for k in keys)), "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
-    distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    lines = rows.mapInArrow(_line_features, "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
+    lines = scratch.keep(lines, "lines", "none")
+    known = lines.where("not again and doc_id is not null")
+    distinct = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
+    distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct", "none")
     members = distinct.select(F.explode(F.array(*keys)).alias("key"), "id")
 
     def payload_of(ids: DataFrame) -> DataFrame:
-        wanted = distinct.select("id", "doc_id", "h1", "h2").join(sized(ids), "id", "left_semi")
-        wanted = scratch.keep(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "id")).alias("wanted")), "wanted")
-        return rows.join(sized(wanted), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_payload, "id long, payload binary")
+        wanted = scratch.keep(distinct.select("id", "doc_id", "h1", "h2").join(sized(ids), "id", "left_semi"), "sought")
+        wanted = known.select("doc_id", "body", "line", "h1", "h2").join(sized(wanted), ["doc_id", "h1", "h2"])
+        wanted = scratch.keep(wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
+        return rows.join(sized(wanted), ["doc_id", "body"]).select("doc_id", "text", "wanted").mapInArrow(_payload, "id long, payload binary")
 
     comps = link(scratch, members, payload_of, THRESHOLD, _line_sets)
     # Of each line that occurs in several documents or is linked: where it stays, if anywhere.
@@ -180,12 +161,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = linked.join(stay.select("comp", F.col("h1").alias("s1"), F.col("h2").alias("s2")), "comp")
     shared = shared.where("comp is null").select("h1", "h2", "doc_id").union(linked.select("h1", "h2", F.when((F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), F.col("doc_id"))))
     shared = scratch.keep(shared.withColumnRenamed("doc_id", "stays_in"), "stays")
-    drop = lines.select("doc_id", "h1", "h2").join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in")))
-    drop = scratch.keep(drop.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop")), "drop")
+    drop = known.select("doc_id", "body", "line", "h1", "h2").join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
+    drop = drop.union(lines.where("again").select("doc_id", "body", "line"))
+    drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("__drop")), "drop")
 
     added = ["clean_text", "n_lines", "n_kept"]
     keep = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("clean_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
-    full = docs.select(*keep, F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    full = full.join(sized(drop.withColumnRenamed("doc_id", "__id")), "__id", "left").select(*keep, "__text", "__drop")
-    return full.mapInArrow(_cleaner(schema, keep), schema)
+    full = docs.select(*keep, F.col(id_col).cast("long").alias("__id"), text.alias("__text")).withColumn("__body", F.xxhash64("__text"))
+    drop = sized(drop.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "__drop"))
+    full = full.join(drop, F.col("__id").eqNullSafe(F.col("d")) & (F.col("__body") == F.col("b")), "left").select(*keep, "__text", "__drop")
+    return full.mapInArrow(_cleaner(keep), schema)

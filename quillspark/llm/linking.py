@@ -36,13 +36,18 @@ def to_blobs(owner: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
     return [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+#: Payload that is unpacked at once; items that several pairs share are unpacked once.
+SLICE_BYTES = 8 << 20
+
+
 def _similar(threshold: float, unpack):
     """(a, b, pa, pb) -> links whose sets have a Jaccard similarity of the threshold at least."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            step = max(500, int(SLICE_BYTES * batch.num_rows / max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 a, b, x, y = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "pa", "pb"))
                 distinct: dict[bytes, int] = {}
                 left = [distinct.setdefault(p, len(distinct)) for p in x.to_pylist()]
@@ -68,30 +73,30 @@ def as_sets(blobs: list[bytes]) -> list[np.ndarray]:
 
 
 #: Counters of the sketch that orders hashes by how often they occur. Any order gives the same result; a good one gives it sooner.
-SKETCH = 1 << 16
+SKETCH_BITS = 20
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _sketch(unpack):
     def run(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                for s in unpack(batch.column(0).slice(at, 1000).to_pylist()):
-                    np.add.at(total, _cells(s), 1)
+                sets = unpack(batch.column(0).slice(at, 1000).to_pylist())
+                np.add.at(total, _cells(np.concatenate(sets)), np.int32(1))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
 
     return run
 
 
 def _sum_sketches(batches):
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(1 << SKETCH_BITS, np.int32)
     for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            total += np.frombuffer(blob, np.int64)
+        for blob in batch.column(0):
+            total += np.frombuffer(blob.as_buffer(), np.int32)
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
 
 
@@ -174,8 +179,8 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     if items.isEmpty():
         return comps
     rows = items.join(payload, "id").select("id", "comp", "few", "payload")
-    sketches = rows.select("payload").mapInArrow(_sketch(unpack), "sketch binary").repartition(8).mapInArrow(_sum_sketches, "sketch binary").collect()
-    sketch = np.sum([np.frombuffer(r["sketch"], np.int64) for r in sketches], axis=0)
+    sketches = rows.select("payload").mapInArrow(_sketch(unpack), "sketch binary").repartition(2).mapInArrow(_sum_sketches, "sketch binary").collect()
+    sketch = np.sum([np.frombuffer(r["sketch"], np.int32) for r in sketches], axis=0, dtype=np.int32)
     tokens = scratch.keep(rows.mapInArrow(_prefixes(sketch, threshold, unpack), "token long, id long, comp long, few boolean, size long, left long"), "tokens")
     few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
     many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"))

@@ -14,7 +14,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
 #: Code units that are handled at once; a single longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class Powers:
