@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,7 +164,8 @@ def unframe_term(data: bytes, compression: str) -> tuple[str, list[tuple[str, li
         for _ in range(2):
             if compression == "gamma":
                 size, bits = take(1)[0], int.from_bytes(take(2), "big")
-                lists.append(codecs.decode_gamma(bin(int.from_bytes(take(size), "big"))[2:].zfill(bits)[-bits:] if bits else ""))
+                payload = int.from_bytes(take(size), "big")
+                lists.append(codecs.decode_gamma(format(payload, f"0{bits}b") if bits else ""))
             else:
                 lists.append(codecs.decode_vb(take(int.from_bytes(take(4), "big"))))
         docs.append((key, *lists))
@@ -172,8 +174,6 @@ def unframe_term(data: bytes, compression: str) -> tuple[str, list[tuple[str, li
 
 def framed(postings_: DataFrame, compression: str) -> DataFrame:
     """(term, record binary): each term's whole record. A list of one term's documents must fit a task, as in the layout itself."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def build(term: pd.Series, docs: pd.Series) -> pd.Series:
         return pd.Series([frame_term(t, [(str(d["doc_id"]), list(d["title_pos"]), list(d["abstract_pos"])) for d in ds], compression) for t, ds in zip(term, docs, strict=True)])
