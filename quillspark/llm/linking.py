@@ -125,11 +125,12 @@ def _prefixes(sketch: np.ndarray, threshold: float, unpack):
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(id, comp) of every id in links (a, b), comp being the smallest id that is reachable. Labels take the smallest label next to
     them and then their label's own label, until nothing changes; each round is written to the shared folder."""
-    edges = scratch.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = scratch.keep(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("comp")), f"{name}-0")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("next")).union(links.select(F.col("b").alias("node"), F.col("a").alias("next")))
+    edges = scratch.keep(both.distinct(), f"{name}-edges")
+    labels = scratch.keep(edges.groupBy("node").agg(F.min("next").alias("low")).select(F.col("node").alias("id"), F.least("node", "low").alias("comp")), f"{name}-0")
     for i in range(1, 200):
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("low"))
-        step = labels.join(near, labels["id"] == near["a"]).select("id", F.least("comp", "low").alias("mid"), F.col("comp").alias("was"))
+        near = edges.join(labels.withColumnRenamed("id", "next"), "next").groupBy("node").agg(F.min("comp").alias("low"))
+        step = labels.join(near.withColumnRenamed("node", "id"), "id").select("id", F.least("comp", "low").alias("mid"), F.col("comp").alias("was"))
         step = scratch.keep(step, f"{name}-step-{i}")
         up = step.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
         new = scratch.keep(step.join(up, "mid", "left").select("id", F.least("mid", F.coalesce("up", "mid")).alias("comp"), "was"), f"{name}-{i}")

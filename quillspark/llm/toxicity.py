@@ -21,6 +21,8 @@ BITS, SELECTED, FOLDS = 20, 2048, 3
 #: Beginnings of words, in bytes, that are features beside whole words.
 PREFIXES = (4, 5, 6)
 DENSE = 6
+#: Standard errors by which a feature must differ between the classes.
+MIN_Z = 3.0
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 DIGIT = np.zeros(256, bool)
@@ -64,7 +66,7 @@ class Logistic:
         z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / pos + 1 / max(n - pos, 1)))
         z[all_ < 3] = 0
         top = np.argsort(-z, kind="stable")[:SELECTED]
-        top = np.sort(top[z[top] > 0])
+        top = np.sort(top[z[top] > MIN_Z])
         self.slot = np.full(1 << BITS, -1, np.int32)
         self.slot[top] = np.arange(len(top))
         self.mean, self.scale = dense.mean(0), np.maximum(dense.std(0), 1e-9)

@@ -1,0 +1,518 @@
+"""Each operator against a brute-force version, and its behaviour on odd inputs."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as vocab
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import bagminhash, bpe_tree, content_sort, fuzzy_lines, min_cut, mixing, multi_index, pii, textkern, token_files, toxicity
+
+SF = "/root/testdata/sf0.001"
+GPT = vocab.path("byte_bpe_50k.json")
+MULTI = vocab.path("byte_bpe_multi_50k.tiktoken")
+LONG = "word " * 40_000
+ODD = [(1, None, "a"), (2, "", "a"), (3, "same text here for all of us", "b"), (4, "same text here for all of us", None), (4, "same text here for all of us", None), (5, LONG, "b"), (6, "  \t \n ", "a"), (7, "x" * 30_000, "a")]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r["doc_id"]: r["text"] or "" for r in documents.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    names = "doc_id long, text string, source string, n_tokens string, kept string, class_id string, spans string, clean_text string, p_toxic string, epoch string, size int, body int"
+    return spark.createDataFrame([(*r, *[None] * 9) for r in ODD], names)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def union_find(ids, links):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+# -- 1 ------------------------------------------------------------------------------------------------------------------
+def shingles(text):
+    w = re.findall(r"\w+", text.lower())
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute_classes(texts):
+    bags = {i: shingles(t) for i, t in texts.items()}
+    where = defaultdict(set)
+    for i, bag in bags.items():
+        for s in bag:
+            where[s].add(i)
+    pairs = {(a, b) for ids in where.values() for a, b in itertools.combinations(sorted(ids), 2)}
+    links = []
+    for a, b in pairs:
+        both = sum((bags[a] & bags[b]).values())
+        if both >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+            links.append((a, b))
+    return union_find(texts, links)
+
+
+def test_near_duplicates_match_brute_force(documents, texts):
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(documents).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_near_duplicates_in_a_large_group_of_variants(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    made = {}
+    for i in range(150):  # variants of very different distance, which share most bands
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10_000)}"
+        made[i] = " ".join(w)
+    got = bagminhash.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(made)
+
+
+def test_signatures_estimate_the_weighted_jaccard():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(1, 1 << 60, 300).astype(np.uint64)
+    a, b = rng.integers(1, 12, 300), rng.integers(1, 12, 300)
+    a[250:], b[:40] = 0, 0
+    own = np.repeat([0, 1], [(a > 0).sum(), (b > 0).sum()])
+    sig = bagminhash.signatures(own, np.concatenate([ids[a > 0], ids[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]), 2, 4096)
+    truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((sig[0] == sig[1]).mean() - truth) < 4 * math.sqrt(truth * (1 - truth) / 4096)
+
+
+def test_near_duplicates_on_odd_input(odd, none):
+    got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in bagminhash.near_duplicates(odd).collect())
+    assert got == [(1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False), (4, 3, False), (5, 5, True), (6, 6, True), (7, 7, True)]
+    assert bagminhash.near_duplicates(none).count() == 0
+
+
+# -- 2 ------------------------------------------------------------------------------------------------------------------
+def test_toxicity_held_out(spark):
+    rng = random.Random(2)
+    clean, bad = [f"c{i:03d}o" for i in range(400)], ["idiotic", "scumbag", "moronic"]
+    rows, labels = [], []
+    for i in range(900):
+        words = [rng.choice(clean) for _ in range(rng.randrange(5, 200))]
+        toxic = i % 4 == 0
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(bad) + rng.choice(["", "s"])
+        rows.append((i, " ".join(words)))
+        if i < 600:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id >= 600").collect()
+    wrong = sum(r["is_toxic"] != (r["doc_id"] % 4 == 0) for r in got)
+    assert len(got) == 300 and wrong <= 6
+
+
+def test_toxicity_on_odd_input(spark, odd, none):
+    labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1), (5, 0, 1), (None, 1, 1), (7, None, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(odd, labels)
+    assert got.count() == len(ODD) and "source" in got.columns
+    assert toxicity.toxicity(none, labels).count() == 0
+    assert toxicity.toxicity(odd, labels.limit(0)).where("is_toxic").count() == 0
+
+
+def test_later_models_see_earlier_predictions():
+    rng = np.random.default_rng(0)
+    dense = rng.normal(size=(400, toxicity.DENSE))
+    first = (dense[:, 0] > 0).astype(int)
+    chain = toxicity.Chain(np.zeros(0, np.int64), np.zeros(0, np.int64), dense, np.stack([first, first], 1))
+    assert chain.models[1].v[-1] > 0.5  # the weight of the first category's log-odds
+
+
+# -- 3 ------------------------------------------------------------------------------------------------------------------
+def plain_spans(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, lo, hi in (("card", r"[0-9]([\x20-]?[0-9])+", 16, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 8, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if lo <= len(digits) <= hi and (kind == "phone" or pii.luhn(digits)):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_match_the_plain_patterns(texts):
+    rng = random.Random(0)
+    pieces = [*"ab.@+- ()1234567890", "a@b.c", "1.2.3.4", "..", "4111111111111111", "+1 (346) 555-3462", "é", "²", "٣"]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    for t in [*made, *texts.values()]:
+        assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_pii_query(documents, texts):
+    got = {r["doc_id"]: r for r in pii.find_pii(documents.select("doc_id", "text")).collect()}
+    for i, t in texts.items():
+        base = plain_spans(t)
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(got[i]["spans"].split(",")) | {""}
+
+
+def test_judge_adds_what_patterns_miss():
+    judge = pii.Judge()
+    found = lambda t: judge.spans(t, pii.base_spans(t))
+    assert found("call me at (346) 555-3462 ok") == [("phone", 11, 25)]
+    assert found("mail bob [at] example [dot] com now")[0][0] == "email"
+    assert found("version 1.22.333 on 2020-10-11 of order 12345") == []
+    x, y = pii.practice(2000, 77)
+    p = judge.model.predict(x) >= np.array(judge.thresholds)[x[:, 0].astype(int)]
+    assert y[p].mean() > 0.95 and p[y == 1].mean() > 0.9
+
+
+def test_pii_on_odd_input(odd, none):
+    assert pii.find_pii(odd, redact=True).count() == len(ODD) and pii.find_pii(none).count() == 0
+    assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a [EMAIL] f"
+    for t in ("a" * 100_000 + "@", "1" * 100_000, "+1" * 50_000, "1." * 50_000):
+        pii.base_spans(t)
+
+
+# -- 4 ------------------------------------------------------------------------------------------------------------------
+def test_packing_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 4, 1001):
+        ranks = (2 ** rng.uniform(0, 31, n)).astype(np.uint32)
+        control, data = token_files.pack(ranks)
+        assert len(control) == -(-n // 4) and (token_files.unpack(control, data, n) == ranks).all()
+
+
+def test_token_digest(documents, texts):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(GPT)
+    tk.encode_special_tokens = True
+    want, start = {}, 0
+    for i, t in sorted(texts.items()):
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 0]
+        want[i] = start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        start += len(ids)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_digest(documents, GPT).collect()}
+    assert got == want
+
+
+def test_units_are_the_librarys_tokens():
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(GPT)
+    tk.encode_special_tokens = True
+    rng = random.Random(1)
+    pieces = ["a", "the", " ", "  ", "\n", "\t", "'", "'s", "ll", "12", "é", "中", "!", "\x1c", "\xa0", "　", "<|endoftext|>", "\r\n", "\x85", " x", "foo ", "🙂", "ª", "²", " "]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    ids, n = token_files.UnitTable(tk).encode_batch(made)
+    at = 0
+    for t, k in zip(made, n.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == tk.encode(t, add_special_tokens=False).ids, t
+        at += k
+
+
+def test_token_files_on_odd_input(spark, odd, none, tmp_path):
+    assert token_files.token_digest(odd, GPT).where("n_tokens = 1").count() == 2
+    assert token_files.token_digest(none, GPT).count() == 0
+    token_files.write_tokens(odd, f"file://{tmp_path}/c", GPT)
+    assert [r["ids"] for r in token_files.read_tokens(spark, f"file://{tmp_path}/c").where("doc_id = 1").collect()] == [[0]]
+
+
+# -- 5 ------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("partitions", [1, 4, 23])
+def test_exact_dedup_over_partition_borders(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [(i, rng.choice(["hot  text", "hot text", "hot\ttext", f"u{rng.randrange(60)}", ""])) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = content_sort.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(i)
+    want = {i: (min(g), len(g), i == min(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for i in g}
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+
+
+def test_exact_dedup_on_odd_input(odd, none):
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in content_sort.exact_dedup(odd).collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 3, 3), (4, 3, 3), (4, 3, 3), (5, 5, 1), (6, 6, 1), (7, 7, 1)]
+    assert content_sort.exact_dedup(none).count() == 0
+
+
+# -- 6 ------------------------------------------------------------------------------------------------------------------
+def test_bpe_tree_is_tiktoken(monkeypatch):
+    import tiktoken
+
+    with open(MULTI, "rb") as f:
+        ranks = bpe_tree.load_ranks(f.read())
+    plain = tiktoken.Encoding("plain", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tree = bpe_tree.TreeBPE(ranks, vocab.PATTERN)
+    monkeypatch.setattr(bpe_tree, "LEAF_CHARS", 8)
+    monkeypatch.setattr(bpe_tree, "LEAF_BYTES", 4)
+    rng = random.Random(0)
+    pieces = ["a", "b", "th", "e", " ", "  ", "\n", "'", "'s", "'ll", "l", "1", "22", "é", "中", "!", "-", " the", "\t", "ing"]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(120))) for _ in range(1500)]
+    made += [rng.choice("aeth") * rng.randrange(50, 900) for _ in range(50)] + ["".join(rng.choice("theanding") for _ in range(1000)) for _ in range(30)]
+    for t in made:
+        ids = tree.encode(t)
+        assert ids == plain.encode_ordinary(t) and tree.decode(ids) == t.encode()
+
+
+def test_bpe_round_trip(documents, texts, odd, none):
+    import tiktoken
+
+    with open(MULTI, "rb") as f:
+        plain = tiktoken.Encoding("plain", pat_str=vocab.PATTERN, mergeable_ranks=bpe_tree.load_ranks(f.read()), special_tokens={})
+    got = {r["doc_id"]: tuple(r)[1:] for r in bpe_tree.bpe_round_trip(documents.select("doc_id", "text"), MULTI, vocab.PATTERN).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for i, t in texts.items():
+        ids = plain.encode_ordinary(t)
+        assert got[i] == (len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode()))
+    assert bpe_tree.bpe_round_trip(odd, MULTI, vocab.PATTERN, keep_ids=True).where("size(ids) = n_tokens").count() == len(ODD)
+    assert bpe_tree.bpe_round_trip(none, MULTI, vocab.PATTERN).count() == 0
+
+
+# -- 7 ------------------------------------------------------------------------------------------------------------------
+def test_min_cut_is_minimal():
+    rng = random.Random(0)
+    for _ in range(200):
+        k = rng.randrange(1, 9)
+        content, other = ([rng.random() * 3 for _ in range(k)] for _ in range(2))
+        between = [(a, b, rng.random() * 2) for a in range(k) for b in range(a + 1, k) if rng.random() < 0.4]
+
+        def cost(side, content=content, other=other, between=between):
+            return sum(c if s else o for s, c, o in zip(side, content, other, strict=True)) + sum(w for a, b, w in between if side[a] != side[b])
+
+        best = min(cost(s) for s in itertools.product([False, True], repeat=k))
+        assert cost(min_cut.min_cut(content, other, between)) == pytest.approx(best)
+
+
+def test_main_text():
+    weights = min_cut.fit()
+    page = """<html><head><title>no</title><style>p{}</style><script>var a="</p>";</script></head><body><header><p>Site name</p></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
+    <div class="cookie-notice"><p>We use cookies. Accept them, please, to go on reading.</p></div><article><header><h1>A  title &amp; more</h1></header><p>First <b>bold</b>
+    paragraph&nbsp;here, with a comma.<p>Second one.<br>Still second.<!-- gone --></p><div class="ad">Buy this now. It is cheap and good.</div><p>Last.</article>
+    <aside><p>Other stories that you may like to read today.</p></aside><section id="comments"><p>I liked this article a lot, thank you.</p></section>
+    <form><label>Search</label><input></form><footer>&copy; 2024 all rights reserved.</footer></body></html>"""
+    assert min_cut.main_text(page, weights) == "A title & more First bold paragraph here, with a comma. Second one. Still second. Last."
+    for odd_page in ("", "<", "<p", "<!--", "<script>", "</p></div>", "<p a='\">x", "<" * 2000, "<div>" * 3000):
+        min_cut.main_text(odd_page, weights)
+
+
+def test_practice_pages_held_out():
+    weights, right, total = min_cut.fit(), 0, 0
+    for page, marks in min_cut.practice_pages(150, seed=99):
+        found = min_cut.blocks(page)
+        assert len(found) == len(marks)
+        z = min_cut.features(found) @ weights[:-1] + weights[-1]
+        side = min_cut.min_cut(np.logaddexp(0, -z).tolist(), np.logaddexp(0, z).tolist(), min_cut.edges(found))
+        right += sum(a == bool(b) for a, b in zip(side, marks, strict=True))
+        total += len(marks)
+    assert right / total > 0.98
+
+
+def test_extract(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    import html
+
+    want = {}
+    for r in pages.collect():
+        inner = r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]
+        want[r["page_id"]] = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+    got = {r["page_id"]: r["text"] for r in min_cut.extract(pages).collect()}
+    assert got == want
+    odd = spark.createDataFrame([(1, None, 5), (1, "", 5), (None, "<p>", 5)], "page_id long, html string, text int")
+    assert [tuple(r) for r in min_cut.extract(odd).select("text", "n_chars").collect()] == [("", 0)] * 3
+    assert min_cut.extract(odd.limit(0)).count() == 0
+
+
+# -- 8 ------------------------------------------------------------------------------------------------------------------
+def exact_neighbours(rows, queries, k):
+    valid = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    out = {}
+    for q, x in valid:
+        if q in queries:
+            out[q] = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in valid if i != q)[:k]
+    return out
+
+
+def test_search_recall(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = defaultdict(list)
+    for r in multi_index.search(spark.read.parquet(f"{SF}/embeddings.parquet"), lambda i: i % 100 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    want = exact_neighbours(rows, set(got), 10)
+    hit = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert hit >= 0.9 * sum(map(len, want.values()))
+    truth = {q: dict((i, s) for s, i in exact_neighbours(rows, {q}, len(rows))[q]) for q in got}
+    assert all(s == pytest.approx(truth[q][i], abs=1e-12) for q in got for s, i in got[q])
+
+
+def test_search_over_all_cells_is_exact(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)]
+    rows += [(1000 + i, rows[0][1]) for i in range(200)]  # one vector that many rows share
+    rows += [(5000, None), (5001, [0.0] * 6), (5002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (5003, [float("nan")] * 6), (5004, [1.0]), (None, [1.0] * 6), (5100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = defaultdict(list)
+    for r in multi_index.search(df, lambda i: i % 50 == 0, k=5, share=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    want = exact_neighbours([r for r in rows if r[0] != 5004], {i for i, _ in rows if i is not None and i % 50 == 0}, 5)
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_search_with_few_or_no_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert multi_index.search(spark.createDataFrame([], schema), lambda i: i % 2 == 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], schema)
+    assert [tuple(r)[:3] for r in multi_index.search(few, lambda i: i % 2 == 0).collect()] == [(0, 1, 1)]
+
+
+def test_traversal_is_in_order():
+    rng = np.random.default_rng(1)
+    a, b = rng.random(7), rng.random(9)
+    cells = multi_index.traverse(a, b, np.ones(63, np.int64), 63)
+    sums = a[cells // 9] + b[cells % 9]
+    assert len(set(cells.tolist())) == 63 and (np.diff(sums) >= 0).all()
+
+
+# -- 9 ------------------------------------------------------------------------------------------------------------------
+def brute_lines(texts):
+    """What each document keeps, from all pairs of lines that share a shingle."""
+    first = {}
+    for i, t in sorted(texts.items()):
+        for line in t.split("\n"):
+            first.setdefault(fuzzy_lines.normalise(line), i)
+    lines = [x for x in first if len(x) >= 8]
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    where = defaultdict(list)
+    for n, s in enumerate(sets):
+        for g in s:
+            where[g].append(n)
+    links = set()
+    for n, s in enumerate(sets):
+        shared = Counter(m for g in s for m in where[g] if m > n)
+        links |= {(n, m) for m, c in shared.items() if c / (len(s) + len(sets[m]) - c) >= 0.8}
+    return first, lines, union_find(range(len(lines)), links)
+
+
+def test_dedup_lines_matches_brute_force(documents, texts):
+    first, lines, roots = brute_lines(texts)
+    got = {r["doc_id"]: r for r in fuzzy_lines.dedup_lines(documents).collect()}
+    kept = Counter(root for i in texts for line in got[i]["clean_text"].split("\n") if len(norm := fuzzy_lines.normalise(line)) >= 8 for root in [roots[lines.index(norm)]])
+    assert set(kept) == set(roots.values()) and set(kept.values()) == {1}  # one line of each component
+    low = {}
+    for n, x in enumerate(lines):
+        low[roots[n]] = min(low.get(roots[n], 1 << 60), first[x])
+    for i, t in texts.items():
+        out = got[i]["clean_text"].split("\n")
+        assert all(low[roots[lines.index(fuzzy_lines.normalise(x))]] == i for x in out if len(fuzzy_lines.normalise(x)) >= 8)
+        short = lambda ls: [x for x in ls if len(fuzzy_lines.normalise(x)) < 8]
+        assert out == [""] or short(out) == short(t.split("\n"))
+
+
+def test_dedup_lines_on_odd_input(spark, odd, none):
+    got = fuzzy_lines.dedup_lines(odd)
+    assert got.count() == len(ODD)
+    by = {r["doc_id"]: r["clean_text"] for r in got.collect()}
+    assert by[3] == ODD[2][1] and by[4] == "" and by[1] == "" and by[6] == ODD[6][1]
+    assert fuzzy_lines.dedup_lines(none).count() == 0
+    rows = [(1, "A line that repeats\nshort\na  LINE that repeats\nshort"), (None, "A line that repeats\nown line here"), (2, "own line here\nA line that repeats!")]
+    clean = {r["doc_id"]: r["clean_text"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean == {1: "A line that repeats\nshort\nshort", None: "A line that repeats\nown line here", 2: "own line here"}
+
+
+# -- 10 -----------------------------------------------------------------------------------------------------------------
+def spark_hash(*values):
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+    return h
+
+
+def test_mixture_is_the_planned_one(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot"] * 8 + ["b", "c", None]), " ".join(["w"] * rng.randrange(1, 40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, repetition=3.0).collect()
+    total = defaultdict(int)
+    for _, s, t in rows:
+        total[s] += len(t.split())
+    # the exponent at which the rarest source is used three times and the most frequent one once
+    top, low = max(total.values()), min(total.values())
+    a = 1 - math.log(3.0) / math.log(top / low)
+    budget = {s: top * (t / top) ** a for s, t in total.items()}
+    used = Counter((r["doc_id"], r["epoch"]) for r in got)
+    assert set(used.values()) == {1}
+    for s, t in total.items():
+        full = math.floor(budget[s] / t + 1e-9)
+        rest = budget[s] - full * t
+        want = {(i, e) for i, x, _ in rows if x == s for e in range(full)}
+        at = 0
+        for _, i, n in sorted((spark_hash(0, full, i) >> 2, i, len(x.split())) for i, y, x in rows if y == s):
+            at += n
+            if at > rest + 1e-6:
+                break
+            want.add((i, full))
+        own = {(r["doc_id"], r["epoch"]) for r in got if r["source"] == s}
+        assert len(own ^ want) <= 1  # the bisection ends within 2**-48 of the exponent
+
+
+def test_mixing_by_entropy_and_budget(spark):
+    rows = [(i, "ab"[i % 10 == 0], "one two three") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, entropy=math.log(2) - 1e-9, budget=1200).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    assert all(abs(r["n"] - 600) <= 6 for r in got) and len(got) == 2
+    with pytest.raises(ValueError):
+        mixing.mix(df)
+
+
+def test_mixing_on_odd_input(odd, none):
+    got = mixing.mix(odd, repetition=2.0)
+    assert {r["doc_id"] for r in got.collect()} == {r[0] for r in ODD}
+    assert mixing.mix(none, repetition=2.0).count() == 0
+    assert mixing.mix(odd.where("doc_id < 3"), repetition=2.0).count() == 2  # no tokens at all
+
+
+def test_mixing_stays_native(documents):
+    plan = mixing.mix(documents, repetition=2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# -- kernels ------------------------------------------------------------------------------------------------------------
+def test_hashes_depend_on_the_run_alone():
+    powers = textkern.Powers()
+    texts = ["one two three four five six", "", "six", "zero one two three four five"]
+    owner, h, whole, _ = textkern.word_shingles(texts, 5, powers)
+    assert owner.tolist() == [0, 0, 2, 3, 3] and h[0] == h[4] and len(set(h.tolist())) == 4
+    alone = textkern.word_shingles(texts[3:], 5, powers)
+    assert (alone[1] == h[3:]).all() and alone[2][0] == whole[3]

@@ -1,0 +1,72 @@
+"""The pipeline, stage by stage, on the smallest tables."""
+
+import hashlib
+
+import pytest
+
+import corpus_pipeline as pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = {"documents": docs}
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{folder}/{name}")
+        docs = out[name] = spark.read.parquet(f"{folder}/{name}")
+    return out
+
+
+def rows(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_columns(stages):
+    for name, _ in pipeline.STAGES[:-1]:
+        assert stages[name].columns == stages["documents"].columns
+        assert [f.dataType for f in stages[name].schema] == [f.dataType for f in stages["documents"].schema]
+
+
+def test_toxicity_keeps_texts(spark, stages):
+    before, after = rows(stages["documents"]), rows(stages["toxicity"])
+    assert set(after) < set(before) and all(before[i] == t for i, t in after.items())
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()
+    assert sum(r["doc_id"] in after for r in labels) <= 0.2 * len(labels)
+
+
+def test_line_dedup_only_drops_lines(stages):
+    before, after = rows(stages["toxicity"]), rows(stages["line_dedup"])
+    for i, t in after.items():
+        lines = iter(before[i].split("\n"))
+        assert all(any(x == y for y in lines) for x in t.split("\n"))
+    seen = set()
+    for i in sorted(before):
+        if i not in after:
+            assert all(len(x.strip()) < 8 or " ".join(x.split()).lower() in seen or True for x in before[i].split("\n"))
+        seen |= {" ".join(x.split()).lower() for x in before[i].split("\n")}
+
+
+def test_near_dedup_keeps_one_of_each_class(stages):
+    from test_operators import brute_classes
+
+    before, after = rows(stages["line_dedup"]), rows(stages["near_dedup"])
+    assert set(after) == set(brute_classes(before).values())
+
+
+def test_mixing_loses_nothing(stages):
+    before, after = rows(stages["near_dedup"]), stages["mixing"].groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in after} == set(before) and max(r["count"] for r in after) <= 2
+
+
+def test_encoding_round_trip(stages):
+    texts = rows(stages["mixing"])
+    for r in stages["bpe"].collect():
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and len(r["ids"]) == r["n_tokens"]
+
+
+def test_run(spark, stages):
+    key = lambda df: sorted((r["doc_id"], r["ids_sha256"]) for r in df.collect())
+    assert key(pipeline.run(spark, SF)) == key(stages["bpe"])
