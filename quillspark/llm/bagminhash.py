@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .linking import link, sized, to_blobs
 from .textkern import U, chunks, mix, occurrences, shared_powers, signed, word_shingles
 
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "bagminhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = [f"b{b}" for b in range(BANDS)]
-    features = scratch.keep(rows.mapInArrow(_features, "doc_id long, size long, w1 long, w2 long, " + ", ".join(f"{k} long" for k in keys)), "features")
+    features = scratch.keep(rows.mapInArrow(tidy(_features), "doc_id long, size long, w1 long, w2 long, " + ", ".join(f"{k} long" for k in keys)), "features")
     # equal word sequences are one item: copies, however many, meet in a count
     items = features.where("size > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
     items = scratch.keep(items, "items")
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def payload_of(ids: DataFrame) -> DataFrame:
         first = rows.join(sized(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-        return first.mapInArrow(_payload, "id long, payload binary")
+        return first.mapInArrow(tidy(_payload), "id long, payload binary")
 
     comps = link(scratch, members, payload_of, THRESHOLD)
     # only items with copies or links need more than their own id

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 from .pieces import PieceTable, flattened
 
 LEAF_CHARS, LEAF_BYTES = 2048, 64
@@ -160,4 +160,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=rest + digests)
 
-    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)

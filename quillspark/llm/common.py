@@ -51,3 +51,23 @@ def worker_cache(name: str) -> dict:
     """A dict that outlives a task within one Python worker. What is put there must be bounded by its user."""
     holder = sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker"))
     return holder.__dict__.setdefault(name, {})
+
+
+def tidy(run):
+    """`run` for mapInArrow, giving what it has freed back to the system at a task's end: workers live on between steps."""
+
+    def tidied(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return tidied

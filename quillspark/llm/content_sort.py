@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Characters of a text that its splitter carries; ties go by the text's SHA-256 and then by its id, so equal texts stay together.
 SPLITTER_CHARS = 64
@@ -100,7 +100,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("doc_id", "norm", F.sha2(F.col("norm"), 256).alias("sha"), F.substring("norm", 1, SPLITTER_CHARS).alias("head"))
     ordered = rows.repartitionByRange("head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id")
     schema = "doc_id long, keep_id long, group_size long, text_sha256 string, part int, edge int, border string"
-    runs = scratch.keep(ordered.select("doc_id", "norm", "sha").mapInArrow(_runs, schema), "runs")
+    runs = scratch.keep(ordered.select("doc_id", "norm", "sha").mapInArrow(tidy(_runs), schema), "runs")
 
     # Border runs: two for each partition at most. Only flags and counts meet in one task, texts are compared where they lie.
     border = runs.where("border is not null").select("part", "edge", "keep_id", "group_size", "border")

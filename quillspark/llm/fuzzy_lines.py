@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bagminhash import band_keys
-from .common import Scratch
+from .common import Scratch, tidy
 from .linking import link, sized
 from .textkern import CHUNK, Powers, U, char_shingles, chunks, mix, shared_powers, signed
 
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # line numbers hold for one text, so a row is known by its id and its text's hash
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
     keys = [f"b{b}" for b in range(BANDS)]
-    lines = rows.mapInArrow(_line_features, "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
+    lines = rows.mapInArrow(tidy(_line_features), "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
     lines = scratch.keep(lines, "lines", "none")
     known = lines.where("not again and doc_id is not null")
     distinct = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
@@ -151,7 +151,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         wanted = scratch.keep(distinct.select("id", "doc_id", "h1", "h2").join(sized(ids), "id", "left_semi"), "sought")
         wanted = known.select("doc_id", "body", "line", "h1", "h2").join(sized(wanted), ["doc_id", "h1", "h2"])
         wanted = scratch.keep(wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
-        return rows.join(sized(wanted), ["doc_id", "body"]).select("doc_id", "text", "wanted").mapInArrow(_payload, "id long, payload binary")
+        return rows.join(sized(wanted), ["doc_id", "body"]).select("doc_id", "text", "wanted").mapInArrow(tidy(_payload), "id long, payload binary")
 
     comps = link(scratch, members, payload_of, THRESHOLD, _line_sets)
     # Of each line that occurs in several documents or is linked: where it stays, if anywhere.
@@ -171,4 +171,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = docs.select(*keep, F.col(id_col).cast("long").alias("__id"), text.alias("__text")).withColumn("__body", F.xxhash64("__text"))
     drop = sized(drop.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "__drop"))
     full = full.join(drop, F.col("__id").eqNullSafe(F.col("d")) & (F.col("__body") == F.col("b")), "left").select(*keep, "__text", "__drop")
-    return full.mapInArrow(_cleaner(keep), schema)
+    return full.mapInArrow(tidy(_cleaner(keep)), schema)

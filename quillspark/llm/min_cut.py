@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -330,4 +332,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 cols = [part.column(part.schema.get_field_index(c)) for c in rest]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 
-    return pages.select(*rest, F.coalesce(F.col(html_col), F.lit("")).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*rest, F.coalesce(F.col(html_col), F.lit("")).alias("__html")).mapInArrow(tidy(run), schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Vectors that the codebooks are fitted on, at most; chosen by a hash of the id.
 SAMPLE = 20_000
@@ -136,13 +136,13 @@ def search(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
     spark = vectors.sparkSession
     scratch = Scratch(spark, "multi-index")
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_valid(id_col, vector_col), "id long, vector binary")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(tidy(_valid(id_col, vector_col)), "id long, vector binary")
     rows = scratch.keep(rows, "valid")
     length = rows.groupBy(F.length("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if length is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.length("vector") == length["n"])
-    entries = rows.mapInArrow(_entries(k + 1), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    entries = rows.mapInArrow(tidy(_entries(k + 1)), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     entries = entries.select("vector", F.slice(F.array_sort("ids"), 1, k + 1).alias("ids"))
     entries = scratch.keep(entries.withColumn("vid", F.col("ids")[0]), "entries")
 
@@ -159,7 +159,7 @@ def search(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
                 c1, c2 = (nearest(y[:, h], b) for h, b in zip(halves, books, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((c1 * n_centroids + c2).astype(np.int32)), batch.column(1)], names=["vid", "cell", "vector"])
 
-    index = scratch.keep(entries.select("vid", "vector").mapInArrow(assign, "vid long, cell int, vector binary").repartitionByRange("cell", "vid").sortWithinPartitions("cell"), "index")
+    index = scratch.keep(entries.select("vid", "vector").mapInArrow(tidy(assign), "vid long, cell int, vector binary").repartitionByRange("cell", "vid").sortWithinPartitions("cell"), "index")
     sizes = np.zeros(n_centroids**2, np.int64)
     for r in index.groupBy("cell").count().collect():  # a row for each pair of centroids at most
         sizes[r["cell"]] = r["count"]
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, query_filter, k: int = 10, id_col: str = "vec_id"
         near = [squared(q[:, h], b) for h, b in zip(halves, books, strict=True)]
         for i in range(len(block)):
             visited[i, traverse(near[0][i], near[1][i], sizes, enough)] = True
-        part = index.mapInArrow(_rerank(q, visited, lo + 1, k + 1), "query long, vid long, score double")
+        part = index.mapInArrow(tidy(_rerank(q, visited, lo + 1, k + 1)), "query long, vid long, score double")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], schema)

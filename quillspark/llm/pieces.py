@@ -7,7 +7,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept, and the longest one that is kept.
-KEPT, LONGEST = 500_000, 128
+KEPT, LONGEST = 250_000, 128
 
 
 def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -324,7 +326,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays(cols + made, names=rest + added)
 
-    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

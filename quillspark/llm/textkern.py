@@ -106,7 +106,8 @@ def word_shingles(texts: list[str], width: int, powers: Powers):
 
 
 def char_shingles(texts: list[str], width: int, powers: Powers):
-    """(text index, hash) of every run of `width` code points; shorter texts have none. Then two hashes of each text."""
+    """(text index, hash) of every run of `width` code points; shorter texts have none. Then two hashes of each text, of its
+    code points and of its shingles."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     codes = np.frombuffer(b"".join(raw), np.uint32)
     size = np.fromiter((len(r) >> 2 for r in raw), np.int64, len(raw))
@@ -116,8 +117,12 @@ def char_shingles(texts: list[str], width: int, powers: Powers):
     owner = np.repeat(np.arange(len(texts)), places)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + first[owner]
     whole = runs.hashes(first[:-1], first[1:])
-    other = Runs(mix(codes.astype(U) * U(0xD6E8FEB86659FD93)) >> U(8), powers).hashes(first[:-1], first[1:])
-    return owner, mix(runs.hashes(at, at + width)), mix(whole ^ size.astype(U)), mix(other + size.astype(U))
+    h = mix(runs.hashes(at, at + width))
+    other = np.zeros(len(texts), U)
+    if len(h):
+        some = np.flatnonzero(places)
+        other[some] = np.add.reduceat(h * (h | U(1)), (np.cumsum(places) - places)[some])
+    return owner, h, mix(whole ^ size.astype(U)), mix(other + size.astype(U))
 
 
 def occurrences(owner: np.ndarray, h: np.ndarray):

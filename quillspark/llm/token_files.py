@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, worker_cache
+from .common import Scratch, tidy, worker_cache
 from .pieces import PieceTable, flattened
 from .textkern import Powers, Runs, U, mix
 
@@ -294,14 +294,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     width = _id_width(tokenizer_path, end_id)
-    encoded = scratch.keep(rows.mapInArrow(_encode(tokenizer_path, end_id, width), "doc_id long, shard int, start long, ids binary"), "encoded")
-    counts = encoded.where("start = -1").select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = scratch.keep(rows.mapInArrow(tidy(_encode(tokenizer_path, end_id, width)), "doc_id long, shard int, start long, ids binary"), "encoded")
+    counts = encoded.where("start = -1").select("ids").mapInArrow(tidy(_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most a row for each id of the vocabulary
     ranked = [r["id"] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]
     by_id = np.zeros(max(ranked, default=0) + 1, np.uint32)
     by_id[ranked] = np.arange(len(ranked), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
-    blocks = encoded.where("start >= 0").mapInArrow(_blocks(by_id, width), "shard int, start long, doc_ids binary, sizes binary, control binary, data binary")
+    blocks = encoded.where("start >= 0").mapInArrow(tidy(_blocks(by_id, width)), "shard int, start long, doc_ids binary, sizes binary, control binary, data binary")
     blocks.write.mode("overwrite").option("compression", "none").partitionBy("shard").parquet(f"{path}/blocks")
     scratch.drop("encoded")
 
@@ -329,7 +329,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "shard", "start", *(["n_tokens", "ids_crc32"] if digest else ["ids"])])
 
-    return blocks.mapInArrow(run, "doc_id long, shard int, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids array<long>"))
+    return blocks.mapInArrow(tidy(run), "doc_id long, shard int, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids array<long>"))
 
 
 def with_global_start(rows: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .textkern import Powers, U, WORD_BYTE, chunks, mix, shared_powers, words
 
 #: Labelled rows that the chain is fitted on, at most, of each combination of labels; chosen by a hash of the id.
-ROWS_PER_STRATUM = 2500
+ROWS_PER_STRATUM = 2000
 BITS, SELECTED, FOLDS = 20, 2048, 3
 #: Beginnings of words, in bytes, that are features beside whole words.
 PREFIXES = (4, 5, 6)
@@ -177,16 +177,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         chosen = chosen.union(p)
     chosen = scratch.keep(chosen.dropDuplicates(["doc_id"]), "chosen")  # bounded by rows_per_stratum
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "marks", "text").select("marks", "text", "doc_id").mapInArrow(_training, "marks string, ids binary, dense binary")
+    got = rows.select("doc_id", "marks", "text").select("marks", "text", "doc_id").mapInArrow(tidy(_training), "marks string, ids binary, dense binary")
     got = scratch.keep(got, "training").collect()
     got.sort(key=lambda r: (r["marks"], r["ids"]))  # the same folds whatever the order of rows
     if not got:
         return Chain(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DENSE)), np.zeros((0, 0)))
-    sizes = [len(r["ids"]) >> 2 for r in got]
-    col = np.frombuffer(b"".join(r["ids"] for r in got), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["ids"]) >> 2 for r in got])
+    col = np.frombuffer(b"".join(r["ids"] for r in got), np.uint32).astype(np.int32)
+    often = np.bincount(col, minlength=1 << BITS)[col] >= 3  # what is rarer is never selected
+    row, col = row[often], col[often]
     dense = np.frombuffer(b"".join(r["dense"] for r in got), np.float64).reshape(-1, DENSE)
     y = np.array([[int(c) for c in r["marks"]] for r in got])
-    return Chain(np.repeat(np.arange(len(got)), sizes), col, dense, y)
+    del got, often
+    return Chain(row, col, dense, y)
 
 
 def classify(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +216,7 @@ def classify(docs: DataFrame, chain: Chain, categories: list[str], id_col: str =
                 marks = [pa.array(p[:, j] >= (chain.thresholds[j] if chain.thresholds else 1.1)) for j in range(len(categories))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(np.round(p[:, j], 6)) for j in range(len(categories))] + marks, names=rest + names)
 
-    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
