@@ -101,6 +101,10 @@ def word2vec_neighbors(spark, d):
     return learn.word_vectors(parts, size=20).findSynonyms("the", 5)
 
 
+def lda_topics(spark, d):
+    return learn.lda_topics(index(spark, d).kept)
+
+
 def mlp_classifier(spark, d):
     from pyspark.ml.functions import array_to_vector
 
@@ -288,7 +292,7 @@ def page_fields(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields)
+    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields)
 }
 
 # -- oracles --------------------------------------------------------------------------------------------------------------

@@ -240,3 +240,28 @@ def test_streaming_append(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
     ingest.append_postings(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").where("term = 'beta'").count() == 2
+
+
+def test_engine(spark):
+    from quillspark.engine import Engine, NotReady
+
+    docs = spark.createDataFrame([(1, "deep model\ndeep deeper graph"), (2, "graph\ndeep rank rank"), (3, "model\nrank model")], "doc_id long, text string")
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    engine = Engine(
+        ix.Index.build(docs, n_stops=0),
+        Engine.bigrams_of(docs),
+        table([(1, "x"), (2, "y"), (3, "y")], "doc_id long, category string"),
+        table([(1, 0), (2, 1), (3, 1)], "doc_id long, cluster int"),
+        table([(0, "a"), (1, "b")], "cluster int, topic string"),
+        table([(1,), (2,), (3,)], "id long"),
+        table([(1, 2), (3, 2)], "src long, dst long"),
+        table([("p", 3)], "professor string, id long"),
+    )
+    ids = lambda df: [r["doc_id"] for r in df.orderBy("rank").collect()]
+    assert ids(engine.search("dep rnak", method="okapi25", correct=True, abstract_weight=0.2)) == [1, 2, 3]
+    assert ids(engine.search("deep rank", category="y", method="okapi25")) == [2, 3]
+    assert ids(engine.search("deep rank", method="okapi25", preferences={"p": 1.0}, personalization_weight=1.0))[0] == 2
+    found = engine.search("deep", k=1, method="okapi25", highlight=True, clustered=True).first()
+    assert "<mark" in found["abstract"] and found["topic"] in ("a", "b")
+    with pytest.raises(NotReady):
+        engine.similar(1)
