@@ -22,7 +22,7 @@ BITS, SELECTED, FOLDS = 20, 2048, 3
 PREFIXES = (4, 5, 6)
 DENSE = 6
 #: Standard errors by which a feature must differ between the classes.
-MIN_Z = 3.0
+MIN_Z = 2.0
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 DIGIT = np.zeros(256, bool)

@@ -50,7 +50,7 @@ def test_line_dedup_only_drops_lines(stages):
 
 
 def test_near_dedup_keeps_one_of_each_class(stages):
-    from test_operators import brute_classes
+    from test_llm_operators import brute_classes
 
     before, after = rows(stages["line_dedup"]), rows(stages["near_dedup"])
     assert set(after) == set(brute_classes(before).values())
