@@ -1,8 +1,8 @@
 """From band keys to verified links and connected components, without listing the pairs of a bucket.
 
 `members` has a row (key, id) for each band key of each distinct item; an item's payload unpacks to its set of 64-bit shingle hashes.
-1. Every member of a bucket is compared with one of its members, picked by key and id: a number of pairs in proportion to rows.
-   Each of an item's buckets picks another.
+1. Every member of a bucket is compared with two of its members, picked by key and id: a number of pairs in proportion to rows.
+   Each of an item's buckets picks others.
 2. The verified links give components, by distributed union-find.
 3. Items that share a bucket but not a component with another are compared without regard to buckets, by prefix filtering: with the
    hashes of all such items in one order, rare ones first, two sets of the wanted similarity must share one of the first few, and
@@ -147,8 +147,9 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     """(id, comp) of the ids that are linked to another. members: (key long, id long); payload_of maps a kept table of ids to (id,
     payload binary); unpack turns a list of payloads into sorted arrays of distinct 64-bit hashes."""
     # the order of id xor key is another one in each bucket, and can be undone
-    picks = members.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("pick"), F.count("*").alias("n")).where("n > 1")
-    picks = scratch.keep(picks.select("key", F.col("pick").bitwiseXOR(F.col("key")).alias("pick")), "picks")
+    mixed = F.col("id").bitwiseXOR(F.col("key"))
+    picks = members.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
+    picks = scratch.keep(picks.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("low"), F.col("high").bitwiseXOR(F.col("key")).alias("high")), "picks")
     act = scratch.keep(members.select("key", "id").join(sized(picks), "key"), "act")
     ids = scratch.keep(act.select("id").distinct(), "ids")
     payload = scratch.keep(payload_of(ids), "payload")
@@ -162,16 +163,16 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
         found = rows.join(right, "b").join(left, "a").select("a", "b", "pa", "pb")
         return scratch.keep(found.mapInArrow(tidy(_similar(threshold, unpack)), "a long, b long"), name)
 
-    reps = act.where("id <> pick").select(F.col("pick").alias("x"), F.col("id").alias("y"))
+    reps = act.where("id <> low").select(F.col("low").alias("x"), F.col("id").alias("y")).union(act.where("id <> high").select(F.col("high").alias("x"), F.col("id").alias("y")))
     seen = scratch.keep(pairs(reps), "pairs")
     links = verified(seen, "links")
     comps = components(scratch, links, "first")
 
     placed = scratch.keep(act.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    # with two members all pairs have been compared
-    unlike = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    # with up to three members all pairs have been compared
+    unlike = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most and n > 3").select("key")
     open_ = scratch.keep(placed.join(unlike, "key"), "open")
-    # Where one component of a bucket is the largest, its members need not be the ones that look for others.
+    # Members of a bucket's largest component need not look for others: the others look for them.
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("n"))
     core = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c")).select("key", F.col("c.comp").alias("core"))
     items = open_.join(core, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("core")).alias("few"))
