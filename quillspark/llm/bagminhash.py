@@ -49,7 +49,9 @@ def signatures(owner: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, regi
         place = (draw & U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width[:, None]
         ok = (place < seen[:, None]) & (times < top[own][:, None])
         np.minimum.at(sig, (own[:, None] * registers + register)[ok], times[ok])
-        busy = np.unique(own)
+        mark = np.zeros(n, bool)
+        mark[own] = True
+        busy = np.flatnonzero(mark)
         top[busy] = sig.reshape(n, registers)[busy].max(1)
         time, nth = times[:, -1], nth + g
         on = time < top[own]
@@ -121,6 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only items with copies or links need more than their own id
     classes = items.select("w1", "w2", "id", "copies").join(comps, "id", "left").where("copies > 1 or comp is not null")
     classes = scratch.keep(classes.select("w1", "w2", F.coalesce("comp", "id").alias("class")), "classes")
+    scratch.drop("items")
     out = features.select("doc_id", "size", "w1", "w2").join(sized(classes), ["w1", "w2"], "left")
     class_id = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.col("size").alias("n_shingles"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .bagminhash import band_keys
 from .common import Scratch, tidy
 from .linking import link, sized
-from .textkern import CHUNK, Powers, U, char_shingles, chunks, mix, shared_powers, signed
+from .textkern import CHUNK, Powers, U, char_shingles, chunks, distinct, mix, shared_powers, signed
 
 SHINGLE_CHARS, THRESHOLD = 8, 0.8
 #: 8 bands of 3 registers: a pair of similarity 0.8 is found with a probability of 0.997 at least.
@@ -102,7 +102,7 @@ def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
     for lo, hi in chunks(texts):
         owner, h, _, _ = char_shingles(texts[lo:hi], SHINGLE_CHARS, powers)
         at = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
-        out += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        out += [distinct(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
@@ -164,6 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     drop = known.select("doc_id", "body", "line", "h1", "h2").join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
     drop = drop.union(lines.where("again").select("doc_id", "body", "line"))
     drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("__drop")), "drop")
+    scratch.drop("lines", "distinct", "sought", "wanted", "shared", "stays")
 
     added = ["clean_text", "n_lines", "n_kept"]
     keep = [c for c in docs.columns if c not in added]

@@ -123,22 +123,26 @@ def _prefixes(sketch: np.ndarray, threshold: float, unpack):
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
-    """(id, comp) of every id in links (a, b), comp being the smallest id that is reachable. Labels take the smallest label next to
-    them and then their label's own label, until nothing changes; each round is written to the shared folder."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("next")).union(links.select(F.col("b").alias("node"), F.col("a").alias("next")))
-    edges = scratch.keep(both.distinct(), f"{name}-edges")
-    labels = scratch.keep(edges.groupBy("node").agg(F.min("next").alias("low")).select(F.col("node").alias("id"), F.least("node", "low").alias("comp")), f"{name}-0")
+    """(id, comp) of every id in links (a, b), comp being the smallest id that is reachable. In each round a node takes the smallest of itself and
+    its neighbours, then what that one has taken; edges are rewritten to the new names and those that became loops or repeats go, so later
+    rounds are small. Each round is written to the shared folder."""
+    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges-0")
+    labels = None
     for i in range(1, 200):
-        near = edges.join(labels.withColumnRenamed("id", "next"), "next").groupBy("node").agg(F.min("comp").alias("low"))
-        step = labels.join(near.withColumnRenamed("node", "id"), "id").select("id", F.least("comp", "low").alias("mid"), F.col("comp").alias("was"))
-        step = scratch.keep(step, f"{name}-step-{i}")
-        up = step.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
-        new = scratch.keep(step.join(up, "mid", "left").select("id", F.least("mid", F.coalesce("up", "mid")).alias("comp"), "was"), f"{name}-{i}")
-        scratch.drop(f"{name}-step-{i}")
-        if i > 1:
-            scratch.drop(f"{name}-{i - 1}")
-        labels = new.select("id", "comp")
-        if new.where("comp <> was").isEmpty():
+        near = edges.select(F.col("a").alias("id"), F.col("b").alias("next")).union(edges.select(F.col("b").alias("id"), F.col("a").alias("next")))
+        step = scratch.keep(near.groupBy("id").agg(F.min("next").alias("low")).select("id", F.least("id", "low").alias("mid")), f"{name}-step-{i}")
+        up = step.select(F.col("id").alias("mid"), F.col("mid").alias("comp"))
+        new = scratch.keep(step.join(up, "mid").select("id", "comp"), f"{name}-new-{i}")
+        if labels is None:
+            labels = new
+        else:
+            renamed = new.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+            labels = scratch.keep(labels.join(renamed, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), f"{name}-labels-{i}")
+        left, right = new.select(F.col("id").alias("a"), F.col("comp").alias("ca")), new.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        moved = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        edges = scratch.keep(moved, f"{name}-edges-{i}")
+        scratch.drop(f"{name}-edges-{i - 1}", f"{name}-step-{i}", f"{name}-labels-{i - 1}", *([f"{name}-new-{i}"] if i > 1 else []))
+        if edges.isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
@@ -177,7 +181,9 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     core = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c")).select("key", F.col("c.comp").alias("core"))
     items = open_.join(core, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("core")).alias("few"))
     items = scratch.keep(items, "items-open")
+    done = ("picks", "act", "ids", "payload", "pairs", "links", "placed", "open", "items-open")
     if items.isEmpty():
+        scratch.drop(*done)
         return comps
     rows = items.join(payload, "id").select("id", "comp", "few", "payload")
     sketches = rows.select("payload").mapInArrow(tidy(_sketch(unpack)), "sketch binary").repartition(2).mapInArrow(tidy(_sum_sketches), "sketch binary").collect()
@@ -189,6 +195,7 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     near = (F.col("cx") != F.col("cy")) & (F.least("lx", "ly") >= shared) & (F.least("sx", "sy") >= shared)
     rest = scratch.keep(pairs(few.join(many, "token").where(near)).join(seen, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, "more")
-    if more.isEmpty():
-        return comps
-    return components(scratch, links.union(more), "all")
+    if not more.isEmpty():
+        comps = components(scratch, links.union(more), "all")
+    scratch.drop(*done, "tokens", "rest", "more")
+    return comps

@@ -125,6 +125,14 @@ def char_shingles(texts: list[str], width: int, powers: Powers):
     return owner, h, mix(whole ^ size.astype(U)), mix(other + size.astype(U))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for small arrays, which np.unique is slow on."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def occurrences(owner: np.ndarray, h: np.ndarray):
     """Sorted distinct (owner, hash) pairs and their counts; owners come in ascending order."""
     order = np.argsort(h)

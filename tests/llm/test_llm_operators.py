@@ -516,3 +516,17 @@ def test_hashes_depend_on_the_run_alone():
     assert owner.tolist() == [0, 0, 2, 3, 3] and h[0] == h[4] and len(set(h.tolist())) == 4
     alone = textkern.word_shingles(texts[3:], 5, powers)
     assert (alone[1] == h[3:]).all() and alone[2][0] == whole[3]
+
+
+def test_components_of_chains_and_stars(spark):
+    from quillspark.llm.common import Scratch
+    from quillspark.llm.linking import components
+
+    rng = random.Random(5)
+    ids = list(range(600))
+    links = [(i, i + 1) for i in range(100)] + [(300 + i, 200) for i in range(50)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)]
+    rng.shuffle(links)
+    got = {r["id"]: r["comp"] for r in components(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long"), "c").collect()}
+    want = union_find(ids, links)
+    assert got == {i: want[i] for pair in links if pair[0] != pair[1] for i in pair}
+    assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long"), "c").count() == 0
