@@ -25,25 +25,47 @@ def counts(tokens_: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Lazy tables; `add` and `remove` give a new index."""
+    """Lazy tables; `add` and `remove` give a new index. Statistics all come from one table of counts, which is much smaller than the tokens; with
+    `cached` it is computed once for all requests."""
 
     parts: DataFrame
     tokens: DataFrame
     n_stops: int = 20
     fixed_stops: DataFrame | None = None
+    all_counts: DataFrame | None = None
+    stop_list: list[str] | None = None
+
+    def __post_init__(self):
+        if self.all_counts is None:
+            self.all_counts = counts(self.tokens)
 
     @staticmethod
     def build(docs: DataFrame, n_stops: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Index:
         parts = text.sections(docs, id_col, text_col)
         return Index(parts, text.tokens(parts), n_stops)
 
+    def cached(self) -> Index:
+        """The same index with its counts kept in the executors' memory or on their disks, and its few stop words in the plan."""
+        kept = Index(self.parts, self.tokens, self.n_stops, self.fixed_stops, self.all_counts.persist(), self.stop_list)
+        if kept.stop_list is None:
+            kept.stop_list = [r["term"] for r in kept.stops.collect()]  # n_stops rows
+        return kept
+
+    def without_stops(self, terms: DataFrame) -> DataFrame:
+        if self.stop_list is not None:
+            return terms.where(~F.col("term").isin(self.stop_list)) if self.stop_list else terms
+        return text.non_stop(terms, self.stops) if self.n_stops else terms
+
     @property
     def stops(self) -> DataFrame:
-        return self.fixed_stops if self.fixed_stops is not None else text.stop_words(self.tokens, self.n_stops)
+        if self.fixed_stops is not None:
+            return self.fixed_stops
+        n = self.all_counts.groupBy("term").agg(F.sum(F.col("tf_title") + F.col("tf_abstract")).alias("n"))
+        return n.orderBy(F.desc("n"), "term").limit(self.n_stops)
 
     @property
     def kept(self) -> DataFrame:
-        return text.non_stop(self.tokens, self.stops) if self.n_stops else self.tokens
+        return self.without_stops(self.tokens)
 
     @property
     def postings(self) -> DataFrame:
@@ -51,24 +73,25 @@ class Index:
 
     @property
     def counts(self) -> DataFrame:
-        return counts(self.kept)
+        return self.without_stops(self.all_counts)
 
     @property
     def doc_lengths(self) -> DataFrame:
-        return text.doc_lengths(self.kept, self.parts)
+        sums = self.counts.groupBy("doc_id").agg(*(F.sum(f"tf_{s}").alias(f"dl_{s}") for s in text.SECTIONS))
+        return self.parts.select("doc_id").join(sums, "doc_id", "left").na.fill(0)
 
     @property
     def vocab(self) -> DataFrame:
-        return self.kept.select("term").distinct()
+        return self.counts.select("term").distinct()
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
         """The same stop words hold for the new documents; corpus and index grow together."""
         parts = text.sections(docs, id_col, text_col)
-        return Index(self.parts.unionByName(parts), self.tokens.unionByName(text.tokens(parts)), self.n_stops, self.stops)
+        return Index(self.parts.unionByName(parts), self.tokens.unionByName(text.tokens(parts)), self.n_stops, self.stops, None, self.stop_list)
 
     def remove(self, ids: list[int]) -> Index:
         gone = ~F.col("doc_id").isin(ids)
-        return Index(self.parts.where(gone), self.tokens.where(gone), self.n_stops, self.stops)
+        return Index(self.parts.where(gone), self.tokens.where(gone), self.n_stops, self.stops, None, self.stop_list)
 
     def lookup(self, word: str) -> DataFrame:
         """Postings of a word, if it is a term, and of all terms that begin with it, as one list for each document."""

@@ -16,8 +16,7 @@ DOC_SCHEMES, QUERY_SCHEMES = ("ltn", "ltc"), ("nnn", "nnc", "lnn", "lnc")
 def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, qterm, qtf) of (query_id, query): the query's terms without stop words."""
     words = queries.select("query_id", F.explode(strings.terms(F.col("query"))).alias("term"))
-    kept = words.join(F.broadcast(index.stops.select("term")), "term", "left_anti")
-    return kept.groupBy("query_id", F.col("term").alias("qterm")).agg(F.count("*").alias("qtf"))
+    return index.without_stops(words).groupBy("query_id", F.col("term").alias("qterm")).agg(F.count("*").alias("qtf"))
 
 
 def matches(q: DataFrame, index: Index, match: str = "prefix", category: DataFrame | None = None) -> DataFrame:

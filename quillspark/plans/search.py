@@ -20,7 +20,7 @@ def docs(spark, d) -> DataFrame:
 
 
 def index(spark, d) -> ix.Index:
-    return ix.Index.build(docs(spark, d))
+    return ix.Index.build(docs(spark, d)).cached()
 
 
 def searches(spark) -> DataFrame:
