@@ -153,7 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         wanted = scratch.keep(wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
         return rows.join(sized(wanted), ["doc_id", "body"]).select("doc_id", "text", "wanted").mapInArrow(tidy(_payload), "id long, payload binary")
 
-    comps = link(scratch, members, payload_of, THRESHOLD, _line_sets)
+    comps = link(scratch, members, payload_of, THRESHOLD, _line_sets, by_prefixes=False)
     # Of each line that occurs in several documents or is linked: where it stays, if anywhere.
     shared = scratch.keep(distinct.select("h1", "h2", "id", "doc_id", "n").join(comps, "id", "left").where("n > 1 or comp is not null"), "shared")
     linked = shared.where("comp is not null")

@@ -4,15 +4,18 @@
 1. Every member of a bucket is compared with two of its members, picked by key and id: a number of pairs in proportion to rows.
    Each of an item's buckets picks others.
 2. The verified links give components, by distributed union-find.
-3. Items that share a bucket but not a component with another are compared without regard to buckets, by prefix filtering: with the
-   hashes of all such items in one order, rare ones first, two sets of the wanted similarity must share one of the first few, and
-   early enough that what follows it in both can still hold all that they must share.
-   So no link between different components is lost, yet items that share only what many others have do not meet.
+3. Items that share a bucket but not a component with another are compared too, so that no link between different components is lost.
+   Long items meet by prefix filtering: with the hashes of all such items in one order, rare ones first, two sets of the wanted
+   similarity must share one of the first few, and early enough that what follows it in both can still hold all that they must
+   share. Short items meet in their buckets, unless bitmaps of their hashes prove them unlike: a bit that one of them alone has
+   stands for a hash that they do not share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +125,29 @@ def _prefixes(sketch: np.ndarray, threshold: float, unpack):
     return run
 
 
+#: 64-bit words of an item's bitmap, in which each of its hashes sets a bit.
+WORDS = 32
+
+
+def _bitmaps(unpack):
+    """(id, comp, few, payload) -> (id, comp, few, size, w0, w1, ...)."""
+    names = ["id", "comp", "few", "size", *(f"w{k}" for k in range(WORDS))]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = unpack(part.column(part.schema.get_field_index("payload")).to_pylist())
+                bits = np.zeros((len(sets), WORDS * 64), np.uint8)
+                for row, s in zip(bits, sets, strict=True):
+                    row[(s >> np.uint64(32)).astype(np.int64) % (WORDS * 64)] = 1
+                words = np.packbits(bits, axis=1).view(np.int64)
+                cols = [part.column(part.schema.get_field_index(c)) for c in names[:3]] + [pa.array(np.array([len(s) for s in sets], np.int64))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS)], names=names)
+
+    return run
+
+
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(id, comp) of every id in links (a, b), comp being the smallest id that is reachable. In each round a node takes the smallest of itself and
     its neighbours, then what that one has taken; edges are rewritten to the new names and those that became loops or repeats go, so later
@@ -147,7 +173,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], threshold: float, unpack=as_sets) -> DataFrame:
+def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], threshold: float, unpack=as_sets, by_prefixes: bool = True) -> DataFrame:
     """(id, comp) of the ids that are linked to another. members: (key long, id long); payload_of maps a kept table of ids to (id,
     payload binary); unpack turns a list of payloads into sorted arrays of distinct 64-bit hashes."""
     # the order of id xor key is another one in each bucket, and can be undone
@@ -186,16 +212,30 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
         scratch.drop(*done)
         return comps
     rows = items.join(payload, "id").select("id", "comp", "few", "payload")
-    sketches = rows.select("payload").mapInArrow(tidy(_sketch(unpack)), "sketch binary").repartition(2).mapInArrow(tidy(_sum_sketches), "sketch binary").collect()
-    sketch = np.sum([np.frombuffer(r["sketch"], np.int32) for r in sketches], axis=0, dtype=np.int32)
-    tokens = scratch.keep(rows.mapInArrow(tidy(_prefixes(sketch, threshold, unpack)), "token long, id long, comp long, few boolean, size long, left long"), "tokens")
-    few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
-    many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"))
-    shared = threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9
-    near = (F.col("cx") != F.col("cy")) & (F.least("lx", "ly") >= shared) & (F.least("sx", "sy") >= shared)
-    rest = scratch.keep(pairs(few.join(many, "token").where(near)).join(seen, ["a", "b"], "left_anti"), "rest")
+    if by_prefixes:
+        sketches = rows.select("payload").mapInArrow(tidy(_sketch(unpack)), "sketch binary").repartition(2).mapInArrow(tidy(_sum_sketches), "sketch binary").collect()
+        sketch = np.sum([np.frombuffer(r["sketch"], np.int32) for r in sketches], axis=0, dtype=np.int32)
+        tokens = scratch.keep(rows.mapInArrow(tidy(_prefixes(sketch, threshold, unpack)), "token long, id long, comp long, few boolean, size long, left long"), "tokens")
+        few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
+        many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"))
+        shared = threshold / (1 + threshold) * (F.col("sx") + F.col("sy")) - 1e-9
+        near = (F.col("cx") != F.col("cy")) & (F.least("lx", "ly") >= shared) & (F.least("sx", "sy") >= shared)
+        found = few.join(many, "token").where(near).select("x", "y")
+    else:
+        maps = ", ".join(f"w{k} long" for k in range(WORDS))
+        maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, {maps}"), "bitmaps")
+        sides = open_.select("key", "id").join(maps, "id")
+        few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in maps.columns))
+        many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in maps.columns))
+        # a bit that one side alone has stands for a hash that the sides do not share
+        lost = [reduce(add, (F.bit_count(F.col(f"{p}_w{k}").bitwiseAND(F.bitwise_not(f"{q}_w{k}"))) for k in range(WORDS))) for p, q in ("xy", "yx")]
+        can_share = F.least(F.col("x_size") - lost[0], F.col("y_size") - lost[1])
+        shared = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
+        near = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_size", "y_size") >= shared) & (can_share >= shared)
+        found = few.join(many, "key").where(near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+    rest = scratch.keep(pairs(found).join(seen, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, "more")
     if not more.isEmpty():
         comps = components(scratch, links.union(more), "all")
-    scratch.drop(*done, "tokens", "rest", "more")
+    scratch.drop(*done, "tokens", "bitmaps", "rest", "more")
     return comps
