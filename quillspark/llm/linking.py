@@ -152,10 +152,10 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """(id, comp) of every id in links (a, b), comp being the smallest id that is reachable. In each round a node takes the smallest of itself and
     its neighbours, then what that one has taken; edges are rewritten to the new names and those that became loops or repeats go, so later
     rounds are small. Each round is written to the shared folder."""
-    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges-0")
+    edges = scratch.keep(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges-0")
     labels = None
     for i in range(1, 200):
-        near = edges.select(F.col("a").alias("id"), F.col("b").alias("next")).union(edges.select(F.col("b").alias("id"), F.col("a").alias("next")))
+        near = edges.select(F.col("u").alias("id"), F.col("v").alias("next")).union(edges.select(F.col("v").alias("id"), F.col("u").alias("next")))
         step = scratch.keep(near.groupBy("id").agg(F.min("next").alias("low")).select("id", F.least("id", "low").alias("mid")), f"{name}-step-{i}")
         up = step.select(F.col("id").alias("mid"), F.col("mid").alias("comp"))
         new = scratch.keep(step.join(up, "mid").select("id", "comp"), f"{name}-new-{i}")
@@ -164,8 +164,8 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         else:
             renamed = new.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
             labels = scratch.keep(labels.join(renamed, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), f"{name}-labels-{i}")
-        left, right = new.select(F.col("id").alias("a"), F.col("comp").alias("ca")), new.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-        moved = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        left, right = new.select(F.col("id").alias("u"), F.col("comp").alias("cu")), new.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
+        moved = edges.join(left, "u").join(right, "v").where("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct()
         edges = scratch.keep(moved, f"{name}-edges-{i}")
         scratch.drop(f"{name}-edges-{i - 1}", f"{name}-step-{i}", f"{name}-labels-{i - 1}", *([f"{name}-new-{i}"] if i > 1 else []))
         if edges.isEmpty():
