@@ -11,7 +11,7 @@ def describe_by(docs: DataFrame, category: str, value: str) -> DataFrame:
     category's rows never meet in one task."""
     counts = docs.groupBy(F.col(category).alias("category"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
     best = counts.groupBy("category").agg(F.sum("n").alias("count"), F.count("*").alias("unique"), F.max("n").alias("freq"))
-    top = counts.join(F.broadcast(best.select("category", F.col("freq").alias("n"))), ["category", "n"]).groupBy("category").agg(F.min("value").alias("top"))
+    top = counts.join(best.select("category", F.col("freq").alias("n")), ["category", "n"]).groupBy("category").agg(F.min("value").alias("top"))
     return best.join(top, "category").select("category", "count", "unique", "top", "freq")
 
 

@@ -30,7 +30,7 @@ def matches(q: DataFrame, index: Index, match: str = "prefix", category: DataFra
         known = index.vocab.join(F.broadcast(known), F.startswith("term", "qterm"))
     else:
         known = known.withColumn("term", F.col("qterm"))
-    wide = F.broadcast(q.join(known, "qterm"))
+    wide = q.join(known, "qterm")  # no hint: a short prefix matches much of the vocabulary
     hits = index.counts.join(wide, "term").groupBy("query_id", "qterm", "qtf", "doc_id").agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_abstract").alias("tf_abstract"))
     if category is not None:
         hits = hits.join(category, [c for c in ("query_id", "doc_id") if c in category.columns], "left_semi")
@@ -101,7 +101,7 @@ def top_k(scores: DataFrame, k: int = 10) -> DataFrame:
 
 def with_text(hits: DataFrame, index: Index) -> DataFrame:
     """Titles and abstracts of ranked documents, fetched after the cut."""
-    return index.parts.join(F.broadcast(hits), "doc_id")
+    return index.parts.join(hits, "doc_id")
 
 
 def with_highlights(hits: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def with_highlights(hits: DataFrame, index: Index, queries: DataFrame) -> DataFr
     rows = with_text(hits, index)
     q = query_terms(queries, index).groupBy("query_id").agg(F.collect_list("qterm").alias("qterms"))
     spans = token_spans(rows.select("doc_id", "title", "abstract").distinct())
-    marked = spans.join(F.broadcast(rows.select("query_id", "doc_id").join(q, "query_id")), "doc_id").where(F.exists("qterms", lambda t: F.startswith(F.col("term"), t)))
+    marked = spans.join(rows.select("query_id", "doc_id").join(F.broadcast(q), "query_id"), "doc_id").where(F.exists("qterms", lambda t: F.startswith(F.col("term"), t)))
     by = marked.groupBy("query_id", "doc_id").agg(*(F.collect_list(F.when(F.col("section") == s, F.struct(F.col("char_idx").alias("s"), (F.col("char_idx") + F.length("surface")).alias("e")))).alias(f"m_{s}") for s in SECTIONS))
     rows = rows.join(by, ["query_id", "doc_id"], "left")
     empty = F.array().cast("array<int>")
