@@ -224,14 +224,17 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     else:
         maps = ", ".join(f"w{k} long" for k in range(WORDS))
         maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, {maps}"), "bitmaps")
-        sides = open_.select("key", "id").join(maps, "id")
-        few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in maps.columns))
-        many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in maps.columns))
+        of_item = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
+        sides = open_.select("key", "id").join(maps, "id").join(of_item, "id")
+        few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in [*maps.columns, "keys"]))
+        many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in [*maps.columns, "keys"]))
         # a bit that one side alone has stands for a hash that the sides do not share
         lost = [reduce(add, (F.bit_count(F.col(f"{p}_w{k}").bitwiseAND(F.bitwise_not(f"{q}_w{k}"))) for k in range(WORDS))) for p, q in ("xy", "yx")]
         can_share = F.least(F.col("x_size") - lost[0], F.col("y_size") - lost[1])
         shared = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
         near = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_size", "y_size") >= shared) & (can_share >= shared)
+        # a pair meets in the first bucket that it shares, once
+        near = near & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key"))
         found = few.join(many, "key").where(near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
     rest = scratch.keep(pairs(found).join(seen, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, "more")
