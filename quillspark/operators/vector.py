@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +47,50 @@ def kmeans_step(vectors: DataFrame, centers: DataFrame, **cols) -> DataFrame:
     return centers.join(new, "cluster", "left").select("cluster", F.coalesce("new", F.col("center").cast("array<double>")).alias("center"))
 
 
-def kmeans(vectors: DataFrame, centers: DataFrame, max_iter: int = 20, tol: float = 1e-8, **cols) -> DataFrame:
-    """Rounds of Lloyd's algorithm until the k centers stand still. The centers (k rows) pass through the driver, the vectors do not."""
-    spark, schema = vectors.sparkSession, "cluster int, center array<double>"
-    rows = [(int(r["cluster"]), list(map(float, r["center"]))) for r in centers.orderBy("cluster").collect()]
-    for _ in range(max_iter):
-        new = [(r["cluster"], r["center"]) for r in kmeans_step(vectors, spark.createDataFrame(rows, schema), **cols).orderBy("cluster").collect()]
-        still = all(np.allclose(a[1], b[1], atol=tol, rtol=0) for a, b in zip(rows, new, strict=True))
-        rows = new
+def _matrix(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An Arrow column of lists as rows of `width` values, and which of them are there. Null vectors have no row."""
+    flat = column.flatten()
+    if not column.null_count and not flat.null_count and all(np.diff(column.offsets.to_numpy()) == width):
+        x = flat.to_numpy().reshape(-1, width)
+        return x, np.ones(x.shape, bool)
+    rows = [(r + [None] * width)[:width] for r in column.to_pylist() if r is not None]
+    return np.array(rows, float).reshape(-1, width), np.array([[e is not None for e in r] for r in rows], bool).reshape(-1, width)
+
+
+def _cluster_sums(centers: np.ndarray):
+    """Vectors -> a task's sums and counts of each cluster's dimensions, by the rule of `assign`."""
+
+    def run(batches):
+        total, n = np.zeros(centers.shape), np.zeros(centers.shape, np.int64)
+        for batch in batches:
+            x, has = _matrix(batch.column(0), centers.shape[1])
+            near = np.round(np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in centers], 1), 12).argmin(1)
+            for k in range(len(centers)):
+                total[k] += np.where(has, x, 0)[near == k].sum(0)
+                n[k] += has[near == k].sum(0)
+        k, dim = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(dim, pa.int64()), pa.array(total[k, dim]), pa.array(n[k, dim])], names=["k", "dim", "total", "n"])
+
+    return run
+
+
+def kmeans(vectors: DataFrame, centers: DataFrame, tol: float = 1e-8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Rounds of Lloyd's algorithm, as many as it takes, until the k centers stand still. The centers (k rows) pass through the driver, the
+    vectors do not: a round is that of `kmeans_step`, in one pass that sends a task's sums on."""
+    start = centers.select("cluster", F.col("center").cast("array<double>").alias("center")).orderBy("cluster").collect()
+    if not start:
+        return centers
+    now, rows = np.array([r["center"] for r in start]), vectors.select(F.col(vector_col).cast("array<double>").alias("v")).persist()
+    while True:
+        sums = rows.mapInArrow(_cluster_sums(now), "k long, dim long, total double, n long").groupBy("k", "dim").agg(F.sum("total") / F.sum("n"))
+        new = now.copy()
+        for k, dim, x in sums.collect():
+            new[k, dim] = x
+        still = np.allclose(now, new, atol=tol, rtol=0, equal_nan=True)
+        now = new
         if still:
-            break
-    return spark.createDataFrame(rows, schema)
+            rows.unpersist()
+            return vectors.sparkSession.createDataFrame([(int(r["cluster"]), c) for r, c in zip(start, now.tolist(), strict=True)], "cluster int, center array<double>")
 
 
 def purity(assignment: DataFrame, labels: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def kmeans_step(spark, d):
 
 def kmeans_converged(spark, d):
     v = vectors(spark, d)
-    return vector.assign(v, vector.kmeans(v, centers(spark, d), 10)).groupBy("cluster").agg(F.count("*").alias("n"))
+    return vector.assign(v, vector.kmeans(v, centers(spark, d))).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def kmeans_mllib(spark, d):

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,26 @@ def test_kmeans_keeps_an_empty_cluster(spark):
     assert got == {0: [0.0, 0.5], 1: [9.0, 9.0], 2: [99.0, 99.0]}
 
 
+def test_kmeans_goes_on_until_the_centers_stand_still(spark):
+    rng = np.random.default_rng(0)
+    x = np.sort(rng.random((400, 2)), 0)
+    want, rounds = x[:4].copy(), 0
+    while True:
+        near = ((x[:, None] - want) ** 2).sum(2).argmin(1)
+        new = np.array([x[near == k].mean(0) for k in range(4)])
+        rounds += 1
+        if np.allclose(want, new, atol=1e-12, rtol=0):
+            break
+        want = new
+    assert rounds > 20
+    v = spark.createDataFrame([*enumerate(x.tolist()), (400, None)], "vec_id long, embedding array<double>")
+    c = v.where("vec_id < 4").select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").alias("center"))
+    got = vector.kmeans(v, c).orderBy("cluster").collect()
+    assert np.allclose([r["center"] for r in got], want, atol=1e-9, rtol=0)
+    step = vector.kmeans_step(v.where("vec_id < 400"), vector.kmeans(v, c)).orderBy("cluster").collect()
+    assert np.allclose([r["center"] for r in step], want, atol=1e-9, rtol=0)
+
+
 def test_ward_merges_the_nearest_first(spark):
     v = spark.createDataFrame([(1, [0.0]), (2, [0.1]), (3, [5.0])], "vec_id long, embedding array<double>")
     first = vector.ward(v).orderBy("step").first()
