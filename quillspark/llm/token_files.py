@@ -79,7 +79,7 @@ class UnitTable:
     No match of the byte-level pattern goes from a character that is not white space on to one that is, so a text's ids are those of its
     units one after another. Units are found, hashed (128 bits) and looked up with array operations over a batch of texts; only those that
     the table does not hold go through the library, match by match. The table keeps the units met first; it is a large sorted part
-    and a small recent one that is merged into it now and then.
+    and a small recent one that is merged into it now and then. Texts that hold an added token of the tokenizer go through the library whole.
     """
 
     def __init__(self, tokenizer):
@@ -87,6 +87,9 @@ class UnitTable:
 
         self.find, self.merge = regex.compile(BYTE_LEVEL_PATTERN).findall, tokenizer.model.tokenize
         self.alphabet, self.short, self.powers = byte_letters(), {}, Powers()
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (t.special and tokenizer.encode_special_tokens)]
+        self.added = regex.compile("|".join(map(regex.escape, added))).search if added else None
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.parts = [self._empty(), self._empty()]
         self.ids, self.flat = np.zeros(1 << 16, np.uint32), 0
 
@@ -146,6 +149,17 @@ class UnitTable:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each text has."""
+        at = [i for i, t in enumerate(texts) if self.added(t)] if self.added else []
+        if not at:
+            return self.by_units(texts)
+        got, sizes = flattened([self.whole(texts[i]) for i in at])
+        apart = set(at)
+        ids, n = self.by_units(["" if i in apart else t for i, t in enumerate(texts)])
+        ids = np.insert(ids, np.repeat(np.cumsum(n)[at], sizes), got)
+        n[at] = sizes
+        return ids, n
+
+    def by_units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data, start, end, units = self.units([t.encode("utf-8", "replace") for t in texts])
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
@@ -199,7 +213,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tk = Tokenizer.from_file(path)
-        tk.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -280,7 +293,7 @@ def _blocks(by_id: np.ndarray, width: str):
 def _id_width(path: str, end_id: int) -> str:
     from tokenizers import Tokenizer
 
-    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    return "<u2" if max(*Tokenizer.from_file(path).get_vocab().values(), end_id) < 1 << 16 else "<u4"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -234,6 +234,27 @@ def test_units_are_the_librarys_tokens():
         at += k
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import AddedToken, Tokenizer
+
+    texts = {1: "a<|endoftext|>b", 2: "plain text", 3: "<|endoftext|>", 4: "", 5: "two <|endoftext|><|endoftext|> \n x", 6: "<|endoftext|", 7: " more plain  text"}
+    tk = Tokenizer.from_file(GPT)
+    assert tk.encode(texts[1], add_special_tokens=False).ids == [64, 50256, 65]
+    want, start = {}, 0
+    for i, t in texts.items():
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 0]
+        want[i] = start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+        start += len(ids)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.token_digest(docs, GPT).collect()} == want
+    tk.add_tokens([AddedToken("<x>", lstrip=True, rstrip=True), AddedToken("word", single_word=True)])
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["<x>", "word", "<|endoftext|>", " ", "a", "\n", "é", "s"]) for _ in range(rng.randrange(12))) for _ in range(500)]
+    for tk.encode_special_tokens in (False, True):
+        ids, n = token_files.UnitTable(tk).encode_batch(made)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tk.encode(t, add_special_tokens=False).ids for t in made]
+
+
 def test_token_files_on_odd_input(spark, odd, none, tmp_path):
     assert token_files.token_digest(odd, GPT).where("n_tokens = 1").count() == 2
     assert token_files.token_digest(none, GPT).count() == 0
