@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of alike lines one stays; a document goes only if it had lines and lost them all."""
-    clean = fuzzy_lines.dedup_lines(docs).where("n_kept > 0 or n_lines = 0")
+    clean = fuzzy_lines.dedup_lines(docs, short_lines=True).where("n_kept > 0 or n_lines = 0")
     changed = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(docs.schema["n_chars"].dataType)}
     return clean.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 

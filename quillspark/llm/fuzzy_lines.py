@@ -44,12 +44,12 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.n
     return sig
 
 
-def considered(text: str):
-    """(line number, normalised line, whether it is a repeat within the text) of each line that has a shingle."""
+def considered(text: str, least: int = SHINGLE_CHARS):
+    """(line number, normalised line, whether it is a repeat within the text) of each line of `least` characters or more."""
     seen = set()
     for k, line in enumerate(text.split("\n")):
         line = normalise(line)
-        if len(line) >= SHINGLE_CHARS:
+        if len(line) >= least:
             yield k, line, line in seen
             seen.add(line)
 
@@ -65,21 +65,27 @@ def _slices(batch, text_at: int = 1):
             lo, total = i + 1, 0
 
 
-def _line_features(batches):
-    """(doc_id, text) -> a row for each considered line; repeats within a text have no more than their place."""
-    powers = shared_powers()
-    names = ["doc_id", "body", "line", "again", "h1", "h2"] + [f"b{b}" for b in range(BANDS)]
-    for batch in batches:
-        for part, texts in _slices(batch):
-            found = [(i, *row) for i, text in enumerate(texts) for row in considered(text)]
-            if not found:
-                continue
-            at, number, lines, again = zip(*found, strict=True)
-            owner, h, h1, h2 = char_shingles(list(lines), SHINGLE_CHARS, powers)
-            keys = signed(band_keys(signatures(owner, h, len(lines), BANDS * ROWS), BANDS, ROWS))
-            at = pa.array(at, pa.int64())
-            cols = [part.column(0).take(at), part.column(2).take(at), pa.array(number, pa.int32()), pa.array(again, pa.bool_()), pa.array(signed(h1)), pa.array(signed(h2))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)], names=names)
+def _line_features(least: int):
+    """(doc_id, text) -> a row for each considered line; repeats within a text have no more than their place. Lines of one shingle that is
+    shorter than others have no band keys: only equal lines are like them, and those have their hashes."""
+
+    def run(batches):
+        powers = shared_powers()
+        names = ["doc_id", "body", "line", "again", "h1", "h2"] + [f"b{b}" for b in range(BANDS)]
+        for batch in batches:
+            for part, texts in _slices(batch):
+                found = [(i, *row) for i, text in enumerate(texts) for row in considered(text, least)]
+                if not found:
+                    continue
+                at, number, lines, again = zip(*found, strict=True)
+                owner, h, h1, h2 = char_shingles(list(lines), SHINGLE_CHARS, powers)
+                keys = signed(band_keys(signatures(owner, h, len(lines), BANDS * ROWS), BANDS, ROWS))
+                short = np.fromiter((len(x) < SHINGLE_CHARS for x in lines), bool, len(lines))
+                at = pa.array(at, pa.int64())
+                cols = [part.column(0).take(at), part.column(2).take(at), pa.array(number, pa.int32()), pa.array(again, pa.bool_()), pa.array(signed(h1)), pa.array(signed(h2))]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b]), mask=short) for b in range(BANDS)], names=names)
+
+    return run
 
 
 def _payload(batches):
@@ -126,12 +132,13 @@ def _cleaner(keep: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """Every row of `docs` with clean_text, n_lines and n_kept (lines that are not blank, before and after) added.
 
     Lines end at newlines. Two lines are linked if the sets of their runs of 8 characters (lower case, white space collapsed) have a
     Jaccard similarity of 0.8 or more. Of each connected component the line of the smallest document id stays (ties: the
-    smallest hash); within its document its first occurrence. Lines of fewer than 8 characters have no shingle and always stay.
+    smallest hash); within its document its first occurrence. Lines of fewer than 8 characters always stay, or with
+    `short_lines` have one shingle, the whole line, unless they are blank: of equal ones one stays, by the same rule.
     Null counts as the empty text; a row without an id loses only its own repeats. Rows that share an id are one document. Other
     columns pass through, but columns that are named like those added are replaced. An empty table gives an empty result.
     """
@@ -140,12 +147,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # line numbers hold for one text, so a row is known by its id and its text's hash
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
     keys = [f"b{b}" for b in range(BANDS)]
-    lines = rows.mapInArrow(tidy(_line_features), "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
+    lines = rows.mapInArrow(tidy(_line_features(1 if short_lines else SHINGLE_CHARS)), "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
     lines = scratch.keep(lines, "lines", "none")
     known = lines.where("not again and doc_id is not null")
     distinct = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
     distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct", "none")
-    members = distinct.select(F.explode(F.array(*keys)).alias("key"), "id")
+    members = distinct.where("b0 is not null").select(F.explode(F.array(*keys)).alias("key"), "id")
 
     def payload_of(ids: DataFrame) -> DataFrame:
         wanted = scratch.keep(distinct.select("id", "doc_id", "h1", "h2").join(sized(ids), "id", "left_semi"), "sought")

@@ -36,7 +36,7 @@ def op6_bpe_tree(spark, sf_dir):
 
 def op9_fuzzy_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fuzzy_lines.dedup_lines(docs).select("doc_id", "clean_text", "n_lines", "n_kept")
+    return fuzzy_lines.dedup_lines(docs, short_lines=True).select("doc_id", "clean_text", "n_lines", "n_kept")
 
 
 def op10_mixing(spark, sf_dir):

@@ -106,22 +106,28 @@ def word_shingles(texts: list[str], width: int, powers: Powers):
 
 
 def char_shingles(texts: list[str], width: int, powers: Powers):
-    """(text index, hash) of every run of `width` code points; shorter texts have none. Then two hashes of each text, of its
-    code points and of its shingles."""
+    """(text index, hash) of every run of `width` code points; a shorter text, but not an empty one, gives one shingle of all its code
+    points. Then two hashes of each text, of its code points and of its shingles (of shorter texts, of other codes of its code points)."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     codes = np.frombuffer(b"".join(raw), np.uint32)
     size = np.fromiter((len(r) >> 2 for r in raw), np.int64, len(raw))
     first = np.concatenate([[0], np.cumsum(size)])
     runs = Runs(codes, powers)
-    places = np.maximum(size - width + 1, 0)
+    span = np.minimum(size, width)
+    places = np.where(size > 0, size - span + 1, 0)
     owner = np.repeat(np.arange(len(texts)), places)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + first[owner]
     whole = runs.hashes(first[:-1], first[1:])
-    h = mix(runs.hashes(at, at + width))
+    h = mix(runs.hashes(at, at + span[owner]))
     other = np.zeros(len(texts), U)
     if len(h):
         some = np.flatnonzero(places)
         other[some] = np.add.reduceat(h * (h | U(1)), (np.cumsum(places) - places)[some])
+    short = np.flatnonzero((size > 0) & (size < width))
+    if len(short):
+        own = np.frombuffer(b"".join(raw[i] for i in short), np.uint32)
+        stop = np.cumsum(size[short])
+        other[short] = Runs(mix(own.astype(U)), powers).hashes(stop - size[short], stop)
     return owner, h, mix(whole ^ size.astype(U)), mix(other + size.astype(U))
 
 

@@ -470,6 +470,25 @@ def test_dedup_lines_on_odd_input(spark, odd, none):
     assert clean == {1: "A line that repeats\nshort\nshort", None: "A line that repeats\nown line here", 2: "own line here"}
 
 
+def test_equal_short_lines_stay_once(spark, documents, texts):
+    from quillspark.llm import queries
+
+    rows = [(1, "A line that repeats\nshort\n\n é \nshort\n"), (None, "short\nshort"), (2, "Short \nown\n\nÉ\nshorts"), (3, "own")]
+    clean = {r["doc_id"]: (r["clean_text"], r["n_lines"], r["n_kept"]) for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_lines=True).collect()}
+    assert clean == {1: ("A line that repeats\nshort\n\n é \n", 4, 3), None: ("short", 2, 1), 2: ("own\n\nshorts", 4, 2), 3: ("", 1, 0)}
+    seen, want = set(), {}
+    for i, t in sorted(texts.items()):
+        want[i] = []
+        for x in map(fuzzy_lines.normalise, t.split("\n")):
+            if 0 < len(x) < 8 and x not in seen:
+                want[i].append(x)
+                seen.add(x)
+    long = {r["doc_id"]: r["clean_text"] for r in fuzzy_lines.dedup_lines(documents).collect()}
+    got = {r["doc_id"]: [fuzzy_lines.normalise(x) for x in r["clean_text"].split("\n")] for r in queries.op9_fuzzy_lines(spark, SF).collect()}
+    assert {i: [x for x in g if 0 < len(x) < 8] for i, g in got.items()} == want
+    assert all([x for x in g if len(x) >= 8] == [y for y in map(fuzzy_lines.normalise, long[i].split("\n")) if len(y) >= 8] for i, g in got.items())
+
+
 # -- 10 -----------------------------------------------------------------------------------------------------------------
 def spark_hash(*values):
     import xxhash
