@@ -141,7 +141,7 @@ def ward(vectors: DataFrame, n: int = 1000, id_col: str = "vec_id", vector_col:
         pdf = pdf.sort_values("vec_id")
         x = np.array(pdf["v"].tolist())
         m = len(x)
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if m <= 256 else np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1), 0)
+        d = np.array([((x - row) ** 2).sum(1) for row in x])
         np.fill_diagonal(d, np.inf)
         size, name, alive, out = np.ones(m), np.arange(m), np.ones(m, bool), []
         for step in range(m - 1):

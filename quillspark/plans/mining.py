@@ -166,7 +166,7 @@ def silhouette_exact(spark, d):
 
 
 def ward_clusters(spark, d):
-    return vector.ward(vectors(spark, d), 200)
+    return vector.ward(vectors(spark, d))
 
 
 def pca_2d(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import codecs, strings
 from quillspark.operators import graph, learn, metrics, profile, rank, recsys, spell, text, vector
 from quillspark.operators import index as ix
+from quillspark.plans import mining
 from quillspark.sources import pages, tables
 from quillspark.streaming import ingest
 
@@ -207,6 +208,21 @@ def test_ward_merges_the_nearest_first(spark):
     assert (first["a"], first["b"], round(first["height"], 6)) == (0, 1, 0.1)
 
 
+def test_ward_query_links_all_of_a_small_table(spark):
+    d = "/root/testdata/sf0.001"
+    rows = mining.vectors(spark, d).orderBy("vec_id").collect()
+    got = mining.ward_clusters(spark, d).orderBy("step").collect()
+    assert len(got) == len(rows) - 1 > 199 and got[-1]["size"] == len(rows)
+    members = {i: [i] for i in range(len(rows))}
+    x = np.array([r["embedding"] for r in rows], float)
+    for r in got:  # a merge's height follows from the means of its two sides
+        a, b = members.pop(r["a"]), members.pop(r["b"])
+        want = math.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+        assert math.isclose(r["height"], want, rel_tol=1e-6, abs_tol=1e-9) and r["size"] == len(a) + len(b)
+        members[len(rows) + r["step"]] = a + b
+    assert all(p["height"] <= q["height"] + 1e-9 for p, q in zip(got, got[1:]))
+
+
 def test_naive_bayes_prior_is_not_smoothed(spark):
     labels = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y")], "doc_id int, label string")
     tokens = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "doc_id int, term string")
