@@ -187,10 +187,10 @@ def search_highlight(spark, d):
     return rank.with_highlights(best, i, searches(spark)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "title", "abstract")
 
 
-def benchmark_runs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Each benchmark passage's first words are a query; the documents that hold the passage are its judgements, in order of id."""
+def benchmark_runs(spark, d, query=F.col) -> tuple[DataFrame, DataFrame]:
+    """Each benchmark passage, or what `query` makes of it, is a query; the documents that hold the passage are its judgements, in order of id."""
     items = spark.read.parquet(f"{d}/benchmark.parquet")
-    queries = items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("query"))
+    queries = items.select(F.col("item_id").alias("query_id"), query("text").alias("query"))
     best = rank.top_k(rank.rank(index(spark, d), queries, "okapi25", SECOND_WEIGHT, match="exact"), 10)
     found = docs(spark, d).join(F.broadcast(items.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage"))
     order = Window.partitionBy("item_id").orderBy("doc_id")
@@ -201,19 +201,39 @@ def benchmark_runs(spark, d) -> tuple[DataFrame, DataFrame]:
 METRICS = ("precision", "recall", "f1", "map", "ndcg", "mrr", "ndcg_at_k")
 
 
+def first_words(name: str):
+    """The queries that the SQL of eval_by_query and eval_summary makes of the passages; eval_passages and eval_passages_summary have them whole."""
+    return F.array_join(F.slice(F.split(name, r"\s+"), 1, 12), " ")
+
+
+def _by_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
+    return metrics.retrieval_by_query(runs, qrels).select("query_id", *(F.round(m, 6).alias(m) for m in METRICS))
+
+
+def _summary(runs: DataFrame, qrels: DataFrame) -> DataFrame:
+    return metrics.retrieval(runs, qrels).select(*(F.round(m, 6).alias(m) for m in METRICS))
+
+
 def eval_by_query(spark, d):
-    out = metrics.retrieval_by_query(*benchmark_runs(spark, d))
-    return out.select("query_id", *(F.round(m, 6).alias(m) for m in METRICS))
+    return _by_query(*benchmark_runs(spark, d, first_words))
 
 
 def eval_summary(spark, d):
-    return metrics.retrieval(*benchmark_runs(spark, d)).select(*(F.round(m, 6).alias(m) for m in METRICS))
+    return _summary(*benchmark_runs(spark, d, first_words))
+
+
+def eval_passages(spark, d):
+    return _by_query(*benchmark_runs(spark, d))
+
+
+def eval_passages_summary(spark, d):
+    return _summary(*benchmark_runs(spark, d))
 
 
 SCHEMES = [f"{doc}-{query}" for doc in rank.DOC_SCHEMES for query in rank.QUERY_SCHEMES]
 QUERIES = {
     f.__name__: f
-    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary)
+    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_passages, eval_passages_summary)
 }
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import codecs, strings
 from quillspark.operators import graph, learn, metrics, profile, rank, recsys, spell, text, vector
 from quillspark.operators import index as ix
-from quillspark.plans import mining
+from quillspark.plans import mining, search
 from quillspark.sources import pages, tables
 from quillspark.streaming import ingest
 
@@ -302,3 +302,35 @@ def test_engine(spark):
     assert "<mark" in found["abstract"] and found["topic"] in ("a", "b")
     with pytest.raises(NotReady):
         engine.similar(1)
+
+
+def test_eval_passages_ranks_by_whole_passages(spark, tmp_path):
+    start = "common words that open each of these passages in the very same way"
+    passages = [f"{start} own{i} part{i} end{i}" for i in range(4)]
+    fill = [f"note{i}\nother{i} text{i} of{i}" for i in range(30)]
+    docs = [(i, f"title{i}\nintro{i} {passages[3 - i % 4]} outro{i}") for i in range(8)] + [(100 + i, t) for i, t in enumerate(fill)]
+    spark.createDataFrame([(*x, "en") for x in docs], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    runs, qrels = search.benchmark_runs(spark, str(tmp_path))
+    held = {q: {i for i, t in docs if p in t} for q, p in enumerate(passages)}
+    judged = qrels.collect()
+    assert {q: {r["doc_id"] for r in judged if r["query_id"] == q} for q in held} == held
+    first = runs.where("rank <= 2").collect()
+    assert {q: {r["doc_id"] for r in first if r["query_id"] == q} for q in held} == held
+    got = search.eval_passages(spark, str(tmp_path)).collect()
+    assert len(got) == 4 and all(r["recall"] == r["mrr"] == r["map"] == 1 for r in got)
+    assert search.eval_passages_summary(spark, str(tmp_path)).first()["mrr"] == 1
+    assert search.eval_by_query(spark, str(tmp_path)).where("mrr = 1").count() < 4  # by first words, which all passages share
+
+
+def test_eval_passages_matches_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    sql = search._bm25_scores(match="exact", source="(SELECT item_id AS query_id, text AS query FROM benchmark) v")
+    want = con.execute(f"{sql}{search._RANKED} SELECT query_id, rank, doc_id FROM best WHERE rank <= 10").fetchall()
+    runs, _ = search.benchmark_runs(spark, d)
+    assert sorted(tuple(r) for r in runs.collect()) == sorted(want)
