@@ -74,9 +74,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- candidates ---------------------------------------------------------------------------------------------------------
 AT = r"(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s(?:at|AT)\s)"
 DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
+#: Whatever AT matches; texts without it have no such address.
+MAY_BE_AT = re.compile(AT)
 GENERATORS = (
     ("email", re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])")),
+    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}|(?<![G-Zg-z])(?=:*[0-9A-Fa-f])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![G-Zg-z]))(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{3,6}(?:[\x20.\-/]?[0-9]{2,6}){2,5}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,5}\)?(?:[\x20.\-/]{1,2}[0-9]{2,5}){1,5}(?![0-9A-Za-z])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z.])0[0-9]{8,12}(?![0-9A-Za-z])")),
@@ -96,16 +98,14 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that might be personal data, overlapping ones included."""
     out = []
     digits = DIGIT.search(text) is not None
-    low = None
-    for i, (kind, pattern) in enumerate(GENERATORS):
+    colons = text.count(":") >= 2
+    for kind, pattern in GENERATORS:
         if kind == "email":
-            low = low or text.lower()
-            if not re.search(r"[\[({<]\s?(?:at|@)|\sat\s[^.]{1,63}?(?:\sdot\s|\.[a-z])", low):
+            if not MAY_BE_AT.search(text):
                 continue
-        elif not digits or kind == "ip" and text.count(":") < 2:
+        elif not colons if kind == "ip" else not digits:
             continue
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-        del i
     return out
 
 

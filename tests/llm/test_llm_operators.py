@@ -189,6 +189,15 @@ def test_judge_adds_what_patterns_miss():
     assert y[p].mean() > 0.95 and p[y == 1].mean() > 0.9
 
 
+def test_generators_are_not_switched_off():
+    for address in ("jane at example (dot) org", "jane at example [dot] com", "jane(at)example.org", "jane AT example DOT org"):
+        assert any(k == "email" and address.startswith(f"write {address} today"[a:b]) for k, a, b in pii.candidates(f"write {address} today"))
+    for address in ("fe80::1", "fe80::1ff:fe23:4567:890a", "2001::1", "::1", "abcd::beef", "2001:db8::", "1:2:3:4:5:6:7:8"):
+        text = f"host {address} is up"
+        assert address in [text[a:b] for k, a, b in pii.candidates(text) if k == "ip"]
+    assert not [c for c in pii.candidates("std::cout :: Abc::new() a 12:30:x") if c[0] == "ip"]
+
+
 def test_pii_on_odd_input(odd, none):
     assert pii.find_pii(odd, redact=True).count() == len(ODD) and pii.find_pii(none).count() == 0
     assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a [EMAIL] f"
