@@ -70,3 +70,26 @@ def test_encoding_round_trip(stages):
 def test_run(spark, stages):
     key = lambda df: sorted((r["doc_id"], r["ids_sha256"]) for r in df.collect())
     assert key(pipeline.run(spark, SF)) == key(stages["bpe"])
+
+
+def test_line_dedup_keeps_one_line_of_each_component(stages):
+    from test_llm_operators import brute_lines
+
+    from quillspark.llm.fuzzy_lines import normalise
+
+    before, after = rows(stages["toxicity"]), rows(stages["line_dedup"])
+    _, lines, roots = brute_lines(before)
+    of = {x: roots[n] for n, x in enumerate(lines)}  # a short line is its own component
+    home = {}
+    for i, t in sorted(before.items()):
+        for x in filter(None, map(normalise, t.split("\n"))):
+            home.setdefault(of.get(x, x), i)
+    kept = [(of.get(x, x), i) for i, t in after.items() for x in filter(None, map(normalise, t.split("\n")))]
+    assert len(kept) == len(home) and dict(kept) == home
+    assert set(after) == set(home.values()) | {i for i, t in before.items() if not t.strip()}
+
+
+def test_toxicity_keeps_clean_documents(spark, stages):
+    before, after = rows(stages["documents"]), rows(stages["toxicity"])
+    clean = [r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").collect() if r["doc_id"] in before]
+    assert clean and sum(i not in after for i in clean) <= 0.1 * len(clean)
