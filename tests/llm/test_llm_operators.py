@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as vocab
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,7 +219,6 @@ def test_token_digest(documents, texts):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(GPT)
-    tk.encode_special_tokens = True
     want, start = {}, 0
     for i, t in sorted(texts.items()):
         ids = [*tk.encode(t, add_special_tokens=False).ids, 0]
@@ -232,15 +232,19 @@ def test_units_are_the_librarys_tokens():
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(GPT)
-    tk.encode_special_tokens = True
     rng = random.Random(1)
     pieces = ["a", "the", " ", "  ", "\n", "\t", "'", "'s", "ll", "12", "é", "中", "!", "\x1c", "\xa0", "　", "<|endoftext|>", "\r\n", "\x85", " x", "foo ", "🙂", "ª", "²", " "]
     made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    ids, n = token_files.UnitTable(tk).encode_batch(made)
-    at = 0
-    for t, k in zip(made, n.tolist(), strict=True):
-        assert ids[at : at + k].tolist() == tk.encode(t, add_special_tokens=False).ids, t
-        at += k
+    # equal under any polynomial hash modulo 2**64
+    made += ["".join("ab"[bin(i).count("1") + k & 1] for i in range(1 << 12)) for k in (0, 1)]
+    made += ["x" * k + " y" for k in range(40)]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in made]
+    for places, units in ((1 << 22, 1 << 20), (1 << 10, 700), (1 << 10, 0)):
+        table = token_files.UnitTable(tk, places, units)
+        for _ in range(2):
+            for lo in range(0, len(made), 500):
+                ids, n = table.encode_batch(pa.array(made[lo : lo + 500]).slice(0))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[lo : lo + 500]
 
 
 def test_added_tokens_are_the_librarys(spark):
@@ -260,7 +264,7 @@ def test_added_tokens_are_the_librarys(spark):
     rng = random.Random(4)
     made = ["".join(rng.choice(["<x>", "word", "<|endoftext|>", " ", "a", "\n", "é", "s"]) for _ in range(rng.randrange(12))) for _ in range(500)]
     for tk.encode_special_tokens in (False, True):
-        ids, n = token_files.UnitTable(tk).encode_batch(made)
+        ids, n = token_files.UnitTable(tk).encode_batch(pa.array(made))
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tk.encode(t, add_special_tokens=False).ids for t in made]
 
 
@@ -271,6 +275,22 @@ def test_token_files_on_odd_input(spark, odd, none, tmp_path):
     assert [r["ids"] for r in token_files.read_tokens(spark, f"file://{tmp_path}/c").where("doc_id = 1").collect()] == [[0]]
 
 
+def test_token_files_without_ids_and_with_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(None, "no id"), (3, "three"), (None, "no id either"), (3, "three again, longer"), (3, "three"), (-1, None), (2, "two"), (3, None)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(token_files.token_digest(docs.repartition(5), GPT).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids[:14] == [None] * 14 and ids[14:] == sorted(ids[14:]) and len(got) == len(rows)
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+    tk = Tokenizer.from_file(GPT)
+    crc = lambda t: zlib.crc32(struct.pack(f"<{len(t) + 1}I", *t, 0))
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((i, crc(tk.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    again = token_files.token_digest(docs.repartition(2), GPT).select("start", "ids_crc32").collect()
+    assert sorted(map(tuple, again)) == sorted((r["start"], r["ids_crc32"]) for r in got)
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("partitions", [1, 4, 23])
 def test_exact_dedup_over_partition_borders(spark, partitions):
