@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bagminhash, bpe_tree, fuzzy_lines, mixing, toxicity
-from quillspark.llm.common import Scratch, table
-from quillspark.llm.linking import sized
+from quillspark.llm.common import Scratch, sized, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go; all others stay as they are."""
-    marked = toxicity.toxicity(docs.withColumn("__body", F.col("text")), table(spark, sf_dir, "labels"), text_col="__body")
+    marked = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep_text=True)
     return marked.where(~F.col("is_toxic")).select(*docs.columns)
 
 

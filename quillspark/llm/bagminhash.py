@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
-from .linking import link, sized, to_blobs
+from .common import Scratch, sized, tidy
+from .linking import link, to_blobs
 from .textkern import U, chunks, mix, occurrences, shared_powers, signed, word_shingles
 
 WORDS, THRESHOLD = 5, 0.8
@@ -82,18 +82,21 @@ def _features(batches):
 
 
 def _payload(batches):
-    """(id, text) -> (id, sorted hashes of (shingle, occurrence)), whose set Jaccard is the shingles' multiset Jaccard."""
+    """(id, w1, w2, text) -> (id, sorted hashes of (shingle, occurrence)), whose set Jaccard is the shingles' multiset Jaccard, of the texts
+    whose word sequences have the digest w1, w2."""
     powers = shared_powers()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, w1, w2, texts = batch.column(0), *(signed(batch.column(k).to_numpy()) for k in (1, 2)), batch.column(3).to_pylist()
         for lo, hi in chunks(texts):
-            owner, h, _, _ = word_shingles(texts[lo:hi], WORDS, powers)
+            owner, h, d1, d2 = word_shingles(texts[lo:hi], WORDS, powers)
+            sought = (signed(d1) == w1[lo:hi]) & (signed(d2) == w2[lo:hi])
             own, h, count = occurrences(owner, h)
             total = int(count.sum())
             nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
             own, h = np.repeat(own, count), mix(np.repeat(h, count) + nth.astype(U) * GOLD)
             order = np.lexsort((h, own))
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(to_blobs(own[order], h[order], hi - lo), pa.binary())], names=["id", "payload"])
+            out = pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(to_blobs(own[order], h[order], hi - lo), pa.binary())], names=["id", "payload"])
+            yield out if sought.all() else out.filter(pa.array(sought))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,8 +105,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if the multisets of their runs of five words have a weighted Jaccard similarity of 0.8 or more; a class is
     a connected component, class_id its smallest doc_id. Words are runs of letters, digits, underscores and characters beyond
     ASCII, in lower case; a text of one to four words has one shingle of them all. Null counts as the empty text; documents
-    without words are classes of their own. A row without an id has a null class and is kept. Rows that repeat an id are one
-    document if their words are equal; otherwise each goes with its own words. Other columns are ignored; an empty table gives
+    without words are classes of their own. A row without an id has a null class and is kept. Rows that repeat an id have one
+    class if their words are equal; otherwise each goes with its own words, and is kept if its id is its class's smallest. Other columns are ignored; an empty table gives
     an empty result.
     """
     scratch = Scratch(docs.sparkSession, "bagminhash")
@@ -111,19 +114,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = [f"b{b}" for b in range(BANDS)]
     features = scratch.keep(rows.mapInArrow(tidy(_features), "doc_id long, size long, w1 long, w2 long, " + ", ".join(f"{k} long" for k in keys)), "features")
     # equal word sequences are one item: copies, however many, meet in a count
-    items = features.where("size > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), *(F.first(k).alias(k) for k in keys))
-    items = scratch.keep(items, "items")
+    items = features.where("size > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), *(F.first(k).alias(k) for k in keys))
+    items = scratch.keep(items.withColumn("id", F.monotonically_increasing_id()), "items")
     members = items.select(F.explode(F.array(*keys)).alias("key"), "id")
 
     def payload_of(ids: DataFrame) -> DataFrame:
-        first = rows.join(sized(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-        return first.mapInArrow(tidy(_payload), "id long, payload binary")
+        sought = items.select("id", "w1", "w2", F.col("first_doc").alias("doc_id")).join(sized(ids), "id", "left_semi")
+        sought = scratch.keep(sought, "sought")
+        return rows.join(sized(sought), "doc_id").select("id", "w1", "w2", "text").mapInArrow(tidy(_payload), "id long, payload binary")
 
     comps = link(scratch, members, payload_of, THRESHOLD)
     # only items with copies or links need more than their own id
-    classes = items.select("w1", "w2", "id", "copies").join(comps, "id", "left").where("copies > 1 or comp is not null")
-    classes = scratch.keep(classes.select("w1", "w2", F.coalesce("comp", "id").alias("class")), "classes")
-    scratch.drop("items")
+    linked = items.select("w1", "w2", "id", "first_doc", "copies").join(comps, "id", "left").where("copies > 1 or comp is not null")
+    linked = scratch.keep(linked.drop("id"), "linked")
+    first = scratch.keep(linked.where("comp is not null").groupBy("comp").agg(F.min("first_doc").alias("class")), "first")
+    classes = scratch.keep(linked.join(sized(first), "comp", "left").select("w1", "w2", F.coalesce("class", "first_doc").alias("class")), "classes")
+    scratch.drop("items", "sought", "linked", "first")
     out = features.select("doc_id", "size", "w1", "w2").join(sized(classes), ["w1", "w2"], "left")
     class_id = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.col("size").alias("n_shingles"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, worker_cache
+from .common import carry, row_type, tidy, worker_cache
 from .pieces import PieceTable, flattened
 
 LEAF_CHARS, LEAF_BYTES = 2048, 64
@@ -137,17 +137,16 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     """
     from pyspark.sql import types as T
 
-    rest = [c for c in docs.columns if c != text_col]
     digests = [f for f in ("n_tokens", "ids_sha256", "decoded_sha256", "ids") if f != "ids" or keep_ids]
-    rest = [c for c in rest if c not in digests]
+    row, cells, fields = carry(docs, [text_col, *digests])
     kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "ids": T.ArrayType(T.IntegerType())}
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, kinds[c]) for c in digests])
+    schema = T.StructType([T.StructField("row", row_type(fields))] + [T.StructField(c, kinds[c]) for c in digests])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(part.schema.get_field_index("__text")).to_pylist()
+                texts = part.column(1).to_pylist()
                 ids, n, bpe, decimal = encode_rows(texts, ranks_path, pattern)
                 stop = np.cumsum(n)
                 shas, backs = [], []
@@ -155,9 +154,9 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
                     own = ids[hi - size : hi].tolist()
                     shas.append(hashlib.sha256(",".join(map(decimal.__getitem__, own)).encode()).hexdigest())
                     backs.append(hashlib.sha256(bpe.decode(own)).hexdigest())
-                out = [part.column(part.schema.get_field_index(c)) for c in rest] + [pa.array(n, pa.int64()), pa.array(shas), pa.array(backs)]
+                out = [part.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(backs)]
                 if keep_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, names=rest + digests)
+                yield pa.RecordBatch.from_arrays(out, names=["row", *digests])
 
-    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
+    return docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(run), schema).select(*cells, *digests)

@@ -6,9 +6,13 @@ import sys
 import tempfile
 import types
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Workers need no copy of this package on their path: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules["quillspark.llm"])
@@ -48,6 +52,35 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Bytes, as estimated from a count and the columns' sizes, up to which a kept table is broadcast; larger ones are joined by shuffling.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """`df`, which must be a kept table, with a broadcast hint if its measured size allows it."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    rows = df.count()
+    if rows * (16 + 8 * len(df.columns)) > limit:
+        return df
+    wide = [F.length(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))] + [16 * F.size(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    more = df.agg(F.sum(reduce(add, (F.coalesce(c, F.lit(0)).cast("long") for c in wide)))).first()[0] if wide and rows else 0
+    return F.broadcast(df) if rows * (16 + 8 * len(df.columns)) + (more or 0) <= limit else df
+
+
+def carry(df: DataFrame, without: list[str] = ()) -> tuple[Column, list[Column], list[T.StructField]]:
+    """The caller's columns as one struct `row`, so that no helper column can share a name with them; what takes them out of it
+    again; and their fields."""
+    fields = [f for f in df.schema if f.name not in without]
+    quoted = ["`" + f.name.replace("`", "``") + "`" for f in fields]
+    packed = F.struct(*(F.col(q) for q in quoted)) if fields else F.struct(F.lit(True).alias("none"))
+    return packed.alias("row"), [F.col(f"row.{q}") for q in quoted], fields
+
+
+def row_type(fields: list[T.StructField]) -> T.StructType:
+    """The type of `carry`'s struct."""
+    return T.StructType(list(fields) or [T.StructField("none", T.BooleanType())])
+
+
 def worker_cache(name: str) -> dict:
     """A dict that outlives a task within one Python worker. What is put there must be bounded by its user."""
     holder = sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker"))

@@ -79,9 +79,9 @@ def _closed(doc, sha, starts, part):
 
     n = len(doc)
     size = np.diff([*starts, n])
-    ids = doc.to_numpy()
+    first = pa.array(np.repeat(np.array(starts), size))
     return pa.record_batch(
-        [doc, pa.array(np.repeat(ids[starts], size)), pa.array(np.repeat(size, size).astype("int64")), sha, pa.array(np.full(n, part, "int32")), pa.array(np.zeros(n, "int32")), pa.nulls(n, pa.string())],
+        [doc, doc.take(first), pa.array(np.repeat(size, size).astype("int64")), sha, pa.array(np.full(n, part, "int32")), pa.array(np.zeros(n, "int32")), pa.nulls(n, pa.string())],
         ["doc_id", "keep_id", "group_size", "text_sha256", "part", "edge", "border"],
     )
 
@@ -90,15 +90,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their forms with each run of ASCII white space made one space are identical; the smallest id of equal
-    texts stays. Null counts as the empty text. Ids are whole numbers; rows that repeat an id are counted one by one and all
-    but one of them are not kept only if their text's smallest id is another (a repeated smallest id keeps each of its rows).
+    texts stays. Null counts as the empty text. Ids are whole numbers; rows that repeat an id are counted one by one (a repeated smallest
+    id keeps each of its rows). A row without an id never stays beside equal texts that have one; of texts without any id keep_id is
+    null and all rows are kept.
     An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "content-sort")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.select("doc_id", "norm", F.sha2(F.col("norm"), 256).alias("sha"), F.substring("norm", 1, SPLITTER_CHARS).alias("head"))
-    ordered = rows.repartitionByRange("head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id")
+    ordered = rows.repartitionByRange(*(F.asc_nulls_last(c) for c in ("head", "sha", "doc_id"))).sortWithinPartitions(*(F.asc_nulls_last(c) for c in ("head", "sha", "norm", "doc_id")))
     schema = "doc_id long, keep_id long, group_size long, text_sha256 string, part int, edge int, border string"
     runs = scratch.keep(ordered.select("doc_id", "norm", "sha").mapInArrow(tidy(_runs), schema), "runs")
 
@@ -119,4 +120,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = runs.drop("border")
     fixed = rest.where("edge > 0").join(F.broadcast(fix), ["part", "edge"]).withColumns({"keep_id": F.col("all_keep"), "group_size": F.col("all_size")})
     final = rest.where("edge = 0").select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(fixed.select("doc_id", "keep_id", "group_size", "text_sha256"))
-    return final.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return final.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

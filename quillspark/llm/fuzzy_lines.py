@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bagminhash import band_keys
-from .common import Scratch, tidy
-from .linking import link, sized
-from .textkern import CHUNK, Powers, U, char_shingles, chunks, distinct, mix, shared_powers, signed
+from .common import Scratch, carry, row_type, sized, tidy
+from .linking import link
+from .textkern import CHUNK, Powers, U, char_shingles, chunks, digests, distinct, mix, shared_powers, signed
 
 SHINGLE_CHARS, THRESHOLD = 8, 0.8
 #: 8 bands of 3 registers: a pair of similarity 0.8 is found with a probability of 0.997 at least.
@@ -78,7 +78,8 @@ def _line_features(least: int):
                 if not found:
                     continue
                 at, number, lines, again = zip(*found, strict=True)
-                owner, h, h1, h2 = char_shingles(list(lines), SHINGLE_CHARS, powers)
+                owner, h = char_shingles(list(lines), SHINGLE_CHARS, powers)
+                h1, h2 = digests([x.encode("utf-8", "surrogatepass") for x in lines])
                 keys = signed(band_keys(signatures(owner, h, len(lines), BANDS * ROWS), BANDS, ROWS))
                 short = np.fromiter((len(x) < SHINGLE_CHARS for x in lines), bool, len(lines))
                 at = pa.array(at, pa.int64())
@@ -106,17 +107,19 @@ def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
     powers = shared_powers()
     texts = [x.decode("utf-8", "surrogatepass") for x in lines]
     for lo, hi in chunks(texts):
-        owner, h, _, _ = char_shingles(texts[lo:hi], SHINGLE_CHARS, powers)
+        owner, h = char_shingles(texts[lo:hi], SHINGLE_CHARS, powers)
         at = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
         out += [distinct(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
-def _cleaner(keep: list[str]):
-    def run(batches):
-        for batch in batches:
+def _cleaned(batches):
+    """(row, text, drop) -> (row, clean_text, n_lines, n_kept)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
             out, had, left = [], [], []
-            for text, drop in zip(batch.column(batch.schema.get_field_index("__text")).to_pylist(), batch.column(batch.schema.get_field_index("__drop")).to_pylist(), strict=True):
+            for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = text.split("\n")
                 n = sum(1 for x in lines if x and not x.isspace())
                 if drop:
@@ -126,10 +129,7 @@ def _cleaner(keep: list[str]):
                 out.append(text)
                 had.append(n)
                 left.append(n - len(set(drop)) if drop else n)  # what is dropped is never blank
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(had, pa.int64()), pa.array(left, pa.int64())], names=[*keep, "clean_text", "n_lines", "n_kept"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(had, pa.int64()), pa.array(left, pa.int64())], names=["row", "clean_text", "n_lines", "n_kept"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
@@ -170,13 +170,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = scratch.keep(shared.withColumnRenamed("doc_id", "stays_in"), "stays")
     drop = known.select("doc_id", "body", "line", "h1", "h2").join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
     drop = drop.union(lines.where("again").select("doc_id", "body", "line"))
-    drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("__drop")), "drop")
+    drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("drop")), "drop")
     scratch.drop("lines", "distinct", "sought", "wanted", "shared", "stays")
 
-    added = ["clean_text", "n_lines", "n_kept"]
-    keep = [c for c in docs.columns if c not in added]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("clean_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
-    full = docs.select(*keep, F.col(id_col).cast("long").alias("__id"), text.alias("__text")).withColumn("__body", F.xxhash64("__text"))
-    drop = sized(drop.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "__drop"))
-    full = full.join(drop, F.col("__id").eqNullSafe(F.col("d")) & (F.col("__body") == F.col("b")), "left").select(*keep, "__text", "__drop")
-    return full.mapInArrow(tidy(_cleaner(keep)), schema)
+    row, cells, fields = carry(docs, ["clean_text", "n_lines", "n_kept"])
+    full = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
+    drop = sized(drop.select(F.col("doc_id").alias("of_doc"), F.col("body").alias("of_body"), "drop"))
+    full = full.join(drop, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body") == F.col("of_body")), "left").select("row", "text", "drop")
+    schema = T.StructType([T.StructField("row", row_type(fields)), T.StructField("clean_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
+    return full.mapInArrow(tidy(_cleaned), schema).select(*cells, "clean_text", "n_lines", "n_kept")

@@ -22,16 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
-
-#: Rows up to which a table of a few numbers a row is broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 400_000
-
-
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, which must be a kept table, with a broadcast hint if a count of its rows allows it."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
+from .common import Scratch, sized, tidy
 
 def to_blobs(owner: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
     """Sorted hashes grouped by sorted owner -> a binary for each of n owners."""
@@ -84,25 +75,20 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(unpack):
+    """(payload) -> (cell, n): how many of this task's hashes are in each cell."""
+
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int32)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 sets = unpack(batch.column(0).slice(at, 1000).to_pylist())
-                np.add.at(total, _cells(np.concatenate(sets)), np.int32(1))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+                total += np.bincount(_cells(np.concatenate(sets)), minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
     return run
 
 
-def _sum_sketches(batches):
-    total = np.zeros(1 << SKETCH_BITS, np.int32)
-    for batch in batches:
-        for blob in batch.column(0):
-            total += np.frombuffer(blob.as_buffer(), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
-
-
 def _prefixes(sketch: np.ndarray, threshold: float, unpack):
     """(id, comp, few, payload) -> (token, id, comp, few, size, left): the first hashes of each set in the order of the sketch."""
 
@@ -130,8 +116,8 @@ WORDS = 32
 
 
 def _bitmaps(unpack):
-    """(id, comp, few, payload) -> (id, comp, few, size, w0, w1, ...)."""
-    names = ["id", "comp", "few", "size", *(f"w{k}" for k in range(WORDS))]
+    """(id, comp, few, payload) -> (id, comp, few, size, slack, w0, w1, ...); slack is the size less the number of bits."""
+    names = ["id", "comp", "few", "size", "slack", *(f"w{k}" for k in range(WORDS))]
 
     def run(batches):
         for batch in batches:
@@ -142,7 +128,8 @@ def _bitmaps(unpack):
                 for row, s in zip(bits, sets, strict=True):
                     row[(s >> np.uint64(32)).astype(np.int64) % (WORDS * 64)] = 1
                 words = np.packbits(bits, axis=1).view(np.int64)
-                cols = [part.column(part.schema.get_field_index(c)) for c in names[:3]] + [pa.array(np.array([len(s) for s in sets], np.int64))]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                cols = [part.column(part.schema.get_field_index(c)) for c in names[:3]] + [pa.array(sizes), pa.array(sizes - bits.sum(1, dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS)], names=names)
 
     return run
@@ -183,6 +170,8 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     act = scratch.keep(members.select("key", "id").join(sized(picks), "key"), "act")
     ids = scratch.keep(act.select("id").distinct(), "ids")
     payload = scratch.keep(payload_of(ids), "payload")
+    if payload.count() > ids.count():  # rows that repeat an item
+        payload = scratch.keep(payload.dropDuplicates(["id"]), "payload-once")
 
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -200,21 +189,25 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
 
     placed = scratch.keep(act.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
     # with up to three members all pairs have been compared
+    # (what is joined by a bucket's key is written first, so that no join is tied to an aggregation's partitions and hot ones can be split)
     unlike = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most and n > 3").select("key")
-    open_ = scratch.keep(placed.join(unlike, "key"), "open")
+    unlike = scratch.keep(unlike, "unlike")
+    open_ = scratch.keep(placed.join(sized(unlike), "key"), "open")
     # Members of a bucket's largest component need not look for others: the others look for them.
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    core = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c")).select("key", F.col("c.comp").alias("core"))
-    items = open_.join(core, "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("core")).alias("few"))
+    core = scratch.keep(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c")).select("key", F.col("c.comp").alias("core")), "core")
+    items = open_.join(sized(core), "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("core")).alias("few"))
     items = scratch.keep(items, "items-open")
-    done = ("picks", "act", "ids", "payload", "pairs", "links", "placed", "open", "items-open")
+    done = ("picks", "act", "ids", "payload", "payload-once", "pairs", "links", "placed", "unlike", "open", "core", "items-open")
     if items.isEmpty():
         scratch.drop(*done)
         return comps
     rows = items.join(payload, "id").select("id", "comp", "few", "payload")
     if by_prefixes:
-        sketches = rows.select("payload").mapInArrow(tidy(_sketch(unpack)), "sketch binary").repartition(2).mapInArrow(tidy(_sum_sketches), "sketch binary").collect()
-        sketch = np.sum([np.frombuffer(r["sketch"], np.int32) for r in sketches], axis=0, dtype=np.int32)
+        # a row for each cell at most
+        cells = rows.select("payload").mapInArrow(tidy(_sketch(unpack)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch[cells["cell"].to_numpy()] = cells["n"].to_numpy()
         tokens = scratch.keep(rows.mapInArrow(tidy(_prefixes(sketch, threshold, unpack)), "token long, id long, comp long, few boolean, size long, left long"), "tokens")
         few = tokens.where("few").select("token", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("left").alias("lx"))
         many = tokens.select("token", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("size").alias("sy"), F.col("left").alias("ly"))
@@ -223,14 +216,14 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
         found = few.join(many, "token").where(near).select("x", "y")
     else:
         maps = ", ".join(f"w{k} long" for k in range(WORDS))
-        maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, {maps}"), "bitmaps")
+        maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, slack long, {maps}"), "bitmaps")
         of_item = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
         sides = open_.select("key", "id").join(maps, "id").join(of_item, "id")
         few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in [*maps.columns, "keys"]))
         many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in [*maps.columns, "keys"]))
-        # a bit that one side alone has stands for a hash that the sides do not share
-        lost = [reduce(add, (F.bit_count(F.col(f"{p}_w{k}").bitwiseAND(F.bitwise_not(f"{q}_w{k}"))) for k in range(WORDS))) for p, q in ("xy", "yx")]
-        can_share = F.least(F.col("x_size") - lost[0], F.col("y_size") - lost[1])
+        # a bit that one side alone has stands for a hash that the sides do not share: its size less those bits bounds what it shares
+        both = reduce(add, (F.bit_count(F.col(f"x_w{k}").bitwiseAND(F.col(f"y_w{k}"))) for k in range(WORDS)))
+        can_share = both + F.least("x_slack", "y_slack")
         shared = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
         near = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_size", "y_size") >= shared) & (can_share >= shared)
         # a pair meets in the first bucket that it shares, once

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import carry, row_type, tidy
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -321,15 +321,15 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     columns pass through, but columns named text or n_chars are replaced; an empty table gives an empty result.
     """
     weights = fit()
-    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = T.StructType([pages.schema[c] for c in rest] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    row, cells, fields = carry(pages, [html_col, "text", "n_chars"])
+    schema = T.StructType([T.StructField("row", row_type(fields))] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(h, weights) for h in part.column(part.schema.get_field_index("__html")).to_pylist()]
-                cols = [part.column(part.schema.get_field_index(c)) for c in rest]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
+                texts = [main_text(h, weights) for h in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
-    return pages.select(*rest, F.coalesce(F.col(html_col), F.lit("")).alias("__html")).mapInArrow(tidy(run), schema)
+    found = pages.select(row, F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(tidy(run), schema)
+    return found.select(*cells, "text", "n_chars")

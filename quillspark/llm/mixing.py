@@ -16,8 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .linking import sized
+from .common import Scratch, carry, sized
 
 CELLS = 1024
 #: Sections of the interval in one pass over the sources' totals; four bisections at once.
@@ -84,11 +83,11 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
     if (entropy is None) == (repetition is None):
         raise ValueError("give entropy or repetition")
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = docs.select(_key(F.col(source_col)).alias("__s"), F.col(id_col).cast("long").alias("__id"), tokens(F.col(text_col)).alias("n_tokens"))
+    own = docs.select(_key(F.col(source_col)).alias("of_source"), F.col(id_col).cast("long").alias("of_id"), tokens(F.col(text_col)).alias("n_tokens"))
     own = scratch.keep(own, "rows")
-    totals = own.groupBy("__s").agg(F.sum("n_tokens").alias("t"))
+    totals = own.groupBy("of_source").agg(F.sum("n_tokens").alias("t"))
     every = totals.agg(F.sum("t").alias("total"), F.max("t").alias("most"))
-    totals = scratch.keep(totals.crossJoin(F.broadcast(every)).select("__s", "t", "total", F.ln(F.when(F.col("t") > 0, F.col("t") / F.col("total"))).alias("ln_p"), F.ln(F.when(F.col("most") > 0, F.col("most") / F.col("total"))).alias("ln_top")), "totals")
+    totals = scratch.keep(totals.crossJoin(F.broadcast(every)).select("of_source", "t", "total", F.ln(F.when(F.col("t") > 0, F.col("t") / F.col("total"))).alias("ln_p"), F.ln(F.when(F.col("most") > 0, F.col("most") / F.col("total"))).alias("ln_top")), "totals")
     real = totals.where("t > 0")
     a = 1.0 if real.isEmpty() else find_exponent(real, entropy, repetition, budget)
 
@@ -103,38 +102,37 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
     # a budget within a millionth of a token of whole passes is whole passes
     full = F.floor((F.col("b") + 1e-6 * F.greatest(F.lit(1.0), F.col("t") * 1e-6)) / F.col("t"))
     plan = plan.withColumn("full", F.when(F.col("t") > 0, full).otherwise(1)).withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("b") - F.col("full") * F.col("t"))))
-    plan = plan.select("__s", "full", F.coalesce("rest", F.lit(0)).alias("rest"), F.when(F.col("t") > 0, F.col("t") / F.col("b")).otherwise(1.0).alias("rate"), F.ceil(F.coalesce("size", F.lit(0.0)) / block_tokens).alias("blocks"))
+    plan = plan.select("of_source", "full", F.coalesce("rest", F.lit(0)).alias("rest"), F.when(F.col("t") > 0, F.col("t") / F.col("b")).otherwise(1.0).alias("rate"), F.ceil(F.coalesce("size", F.lit(0.0)) / block_tokens).alias("blocks"))
     plan = scratch.keep(plan, "plan")
 
     def place(epoch):
         """A place in [0, 2**62) in the permutation of a pass."""
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.coalesce("__id", F.lit(-1).cast("long"))), 2)
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.coalesce("of_id", F.lit(-1).cast("long"))), 2)
 
-    last = own.join(sized(plan.where("rest > 0").select("__s", "full", "rest")), "__s").withColumn("at", place(F.col("full")))
+    last = own.join(sized(plan.where("rest > 0").select("of_source", "full", "rest")), "of_source").withColumn("at", place(F.col("full")))
     last = last.withColumn("cell", F.shiftright("at", 62 - int(math.log2(CELLS))))
-    cells = last.groupBy("__s", "cell").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy("__s").orderBy("cell"))
+    cells = last.groupBy("of_source", "cell").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+    upto = F.sum("n").over(Window.partitionBy("of_source").orderBy("cell"))
     cells = cells.withColumn("before", upto - F.col("n")).where(F.col("before") <= F.col("rest"))
-    cut = cells.groupBy("__s").agg(F.max(F.struct("cell", "before")).alias("c")).select("__s", F.col("c.cell").alias("cell"), F.col("c.before").alias("before"))
+    cut = cells.groupBy("of_source").agg(F.max(F.struct("cell", "before")).alias("c")).select("of_source", F.col("c.cell").alias("cell"), F.col("c.before").alias("before"))
     cut = scratch.keep(cut, "cut")
-    inner = last.join(sized(cut), ["__s", "cell"])
+    inner = last.join(sized(cut), ["of_source", "cell"])
     # rows of equal places come in or stay out together
-    order = Window.partitionBy("__s").orderBy("at", F.coalesce("__id", F.lit(-1).cast("long")))
+    order = Window.partitionBy("of_source").orderBy("at", F.coalesce("of_id", F.lit(-1).cast("long")))
     inner = inner.withColumn("upto", F.sum("n_tokens").over(order) + F.col("before")).where("upto <= rest")
-    stop = inner.groupBy("__s").agg(F.max(F.struct("at", F.coalesce("__id", F.lit(-1).cast("long")).alias("id"))).alias("stop"))
+    stop = inner.groupBy("of_source").agg(F.max(F.struct("at", F.coalesce("of_id", F.lit(-1).cast("long")).alias("id"))).alias("stop"))
     # where not even the cell's first document fits, the pass stops at the cell's start
-    edge = cut.select("__s", F.struct(F.shiftleft(F.col("cell"), 62 - int(math.log2(CELLS))).alias("at"), F.lit(-(1 << 63)).cast("long").alias("id")).alias("edge"))
-    plan = scratch.keep(plan.join(edge, "__s", "left").join(stop, "__s", "left").withColumn("stop", F.coalesce("stop", "edge")).drop("edge"), "final")
+    edge = cut.select("of_source", F.struct(F.shiftleft(F.col("cell"), 62 - int(math.log2(CELLS))).alias("at"), F.lit(-(1 << 63)).cast("long").alias("id")).alias("edge"))
+    plan = scratch.keep(plan.join(edge, "of_source", "left").join(stop, "of_source", "left").withColumn("stop", F.coalesce("stop", "edge")).drop("edge"), "final")
 
-    added = ["n_tokens", "epoch", "block", "slot"]
-    keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(*keep, _key(F.col(source_col)).alias("__s"), F.col(id_col).cast("long").alias("__id"), tokens(F.col(text_col)).alias("n_tokens")).join(sized(plan), "__s")
-    key = F.struct(place(F.col("full")).alias("at"), F.coalesce("__id", F.lit(-1).cast("long")).alias("id"))
+    row, cells, _ = carry(docs, ["n_tokens", "epoch", "block", "slot"])
+    rows = docs.select(row, _key(F.col(source_col)).alias("of_source"), F.col(id_col).cast("long").alias("of_id"), tokens(F.col(text_col)).alias("n_tokens")).join(sized(plan), "of_source")
+    key = F.struct(place(F.col("full")).alias("at"), F.coalesce("of_id", F.lit(-1).cast("long")).alias("id"))
     copies = F.col("full") + F.when(F.col("stop").isNotNull() & (key <= F.col("stop")), 1).otherwise(0)
-    rows = rows.withColumn("__copies", copies.cast("int")).where("__copies > 0")
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = place(F.col("epoch"))
     where = (F.col("epoch") + at.cast("double") / float(1 << 62)) * F.col("rate")
     block = F.least(F.floor(where * F.col("blocks")), F.greatest(F.col("blocks") - 1, F.lit(0))).cast("long")
-    slot = F.xxhash64(F.lit(seed + 1).cast("long"), F.col("epoch").cast("long"), F.coalesce("__id", F.lit(-1).cast("long")))
-    return rows.select(*keep, "n_tokens", "epoch", block.alias("block"), slot.alias("slot"))
+    slot = F.xxhash64(F.lit(seed + 1).cast("long"), F.col("epoch").cast("long"), F.coalesce("of_id", F.lit(-1).cast("long")))
+    return rows.select(*cells, "n_tokens", "epoch", block.alias("block"), slot.alias("slot"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import carry, row_type, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -304,29 +304,28 @@ def find_pii(docs: DataFrame, text_col: str = "text", redact: bool = False) -> D
     """
     judge = Judge()
     added = [f"n_{k}" for k in KINDS] + ["base_sha256", "spans", "n_added"] + (["redacted"] if redact else [])
-    rest = [c for c in docs.columns if c != text_col and c not in added]
+    row, cells, fields = carry(docs, [text_col, *added])
     kinds = [T.LongType()] * 4 + [T.StringType(), T.StringType(), T.LongType()] + ([T.StringType()] if redact else [])
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(n, k) for n, k in zip(added, kinds, strict=True)])
+    schema = T.StructType([T.StructField("row", row_type(fields))] + [T.StructField(n, k) for n, k in zip(added, kinds, strict=True)])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows = []
-                for text in part.column(part.schema.get_field_index("__text")).to_pylist():
+                for text in part.column(1).to_pylist():
                     base = base_spans(text)
                     more = judge.spans(text, base)
-                    row = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                    row += [hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(more)]
+                    made = [sum(k == kind for k, _, _ in base) for kind in KINDS]
+                    made += [hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(more)]
                     if redact:
-                        row.append(redacted(text, base + more))
-                    rows.append(row)
-                cols = [part.column(part.schema.get_field_index(c)) for c in rest]
-                made = [pa.array(c, pa.int64() if isinstance(k, T.LongType) else pa.string()) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else []
+                        made.append(redacted(text, base + more))
+                    rows.append(made)
+                columns = [pa.array(c, pa.int64() if isinstance(k, T.LongType) else pa.string()) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else []
                 if rows:
-                    yield pa.RecordBatch.from_arrays(cols + made, names=rest + added)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", *added])
 
-    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
+    return docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(run), schema).select(*cells, *added)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

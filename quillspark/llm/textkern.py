@@ -6,6 +6,8 @@ odd, hence invertible. So hashes of runs of any length cost a few array operatio
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from .common import worker_cache
@@ -57,10 +59,18 @@ def chunks(texts: list[str], size: int = CHUNK):
         yield first, len(texts)
 
 
+def digests(parts) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each of the byte strings, for which no two different ones with equal digests are known, as two arrays."""
+    got = np.frombuffer(b"".join([blake2b(p, digest_size=16).digest() for p in parts]), U).reshape(-1, 2)
+    return got[:, 0].copy(), got[:, 1].copy()
+
+
 class Runs:
-    """Prefix sums over one array of code units, for hashes of its runs."""
+    """Prefix sums over one array of code units, for hashes of its runs. Different runs of up to 1023 units may share a hash by
+    chance only; of longer ones there are pairs that share it whatever the base."""
 
     def __init__(self, codes: np.ndarray, powers: Powers):
+        self.codes = codes
         up, self.down = powers.get(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, U)
         np.cumsum((codes.astype(U) + U(1)) * up[: len(codes)], out=self.sums[1:])
@@ -89,9 +99,13 @@ def words(texts: list[str], powers: Powers):
 
 def word_shingles(texts: list[str], width: int, powers: Powers):
     """(document index, hash) of every run of `width` words, in order; a text of fewer words, but one at least, gives one
-    shingle of all its words. Then the hashes of each text's word sequence, two of 64 bits."""
+    shingle of all its words. Then the digest of each text's word sequence, in two parts."""
     doc, start, end, runs = words(texts, powers)
     h = mix(runs.hashes(start, end) ^ mix((end - start).astype(U)))
+    data = runs.codes
+    long = np.flatnonzero(end - start > 512)
+    if len(long):
+        h[long] = digests([data[a:b].tobytes() for a, b in zip(start[long], end[long], strict=True)])[0]
     n = len(texts)
     count = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
@@ -100,14 +114,18 @@ def word_shingles(texts: list[str], width: int, powers: Powers):
     places = np.where(count > 0, count - size + 1, 0)
     owner = np.repeat(np.arange(n), places)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + first[owner]
-    whole = seq.hashes(first[:-1], first[1:])
-    other = Runs(mix(h ^ U(0x5851F42D4C957F2D)), powers).hashes(first[:-1], first[1:])
-    return owner, mix(seq.hashes(at, at + size[owner])), mix(whole ^ count.astype(U)), mix(other + count.astype(U))
+    # the words, each with one newline after it
+    inside = WORD_BYTE[data]
+    inside[end] = True
+    joined = np.where(WORD_BYTE[data], data, np.uint8(10))[inside].tobytes()
+    stop = np.cumsum(np.bincount(doc, weights=end - start + 1, minlength=n).astype(np.int64)).tolist()
+    w1, w2 = digests([joined[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)])
+    return owner, mix(seq.hashes(at, at + size[owner])), w1, w2
 
 
 def char_shingles(texts: list[str], width: int, powers: Powers):
     """(text index, hash) of every run of `width` code points; a shorter text, but not an empty one, gives one shingle of all its code
-    points. Then two hashes of each text, of its code points and of its shingles (of shorter texts, of other codes of its code points)."""
+    points."""
     raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
     codes = np.frombuffer(b"".join(raw), np.uint32)
     size = np.fromiter((len(r) >> 2 for r in raw), np.int64, len(raw))
@@ -117,18 +135,7 @@ def char_shingles(texts: list[str], width: int, powers: Powers):
     places = np.where(size > 0, size - span + 1, 0)
     owner = np.repeat(np.arange(len(texts)), places)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + first[owner]
-    whole = runs.hashes(first[:-1], first[1:])
-    h = mix(runs.hashes(at, at + span[owner]))
-    other = np.zeros(len(texts), U)
-    if len(h):
-        some = np.flatnonzero(places)
-        other[some] = np.add.reduceat(h * (h | U(1)), (np.cumsum(places) - places)[some])
-    short = np.flatnonzero((size > 0) & (size < width))
-    if len(short):
-        own = np.frombuffer(b"".join(raw[i] for i in short), np.uint32)
-        stop = np.cumsum(size[short])
-        other[short] = Runs(mix(own.astype(U)), powers).hashes(stop - size[short], stop)
-    return owner, h, mix(whole ^ size.astype(U)), mix(other + size.astype(U))
+    return owner, mix(runs.hashes(at, at + span[owner]))
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

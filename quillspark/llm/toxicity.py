@@ -11,13 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, tidy
-from .textkern import Powers, U, WORD_BYTE, chunks, mix, shared_powers, words
+from .bagminhash import band_keys
+from .common import Scratch, carry, row_type, tidy
+from .fuzzy_lines import signatures as minima
+from .textkern import Powers, U, WORD_BYTE, chunks, mix, shared_powers, word_shingles, words
 
 #: Labelled rows that the chain is fitted on, at most, of each combination of labels; chosen by a hash of the id.
 ROWS_PER_STRATUM = 2000
-BITS, SELECTED, FOLDS = 20, 2048, 3
+BITS, SELECTED, FOLDS = 20, 2048, 5
 #: Beginnings of words, in bytes, that are features beside whole words.
 PREFIXES = (4, 5, 6)
 DENSE = 6
@@ -106,10 +109,44 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
+#: Band keys of a text, of four minima of its runs of five words each, by which near copies are known.
+LIKENESS = 6
+
+
+def likeness(texts: list[str], powers: Powers) -> np.ndarray:
+    """uint64 (n, LIKENESS): texts that are alike share a key. Texts without words share all of theirs."""
+    owner, h, _, _ = word_shingles(texts, 5, powers)
+    own, at = np.unique(owner, return_inverse=True)
+    keys = np.zeros((len(texts), LIKENESS), U)
+    if len(own):
+        keys[own] = band_keys(minima(at, h, len(own), 4 * LIKENESS), LIKENESS, 4)
+    return keys
+
+
+def folds(keys: np.ndarray) -> np.ndarray:
+    """A fold for each text. Texts that share a key, directly or through others, share one, so no model is judged by a copy of what it has seen.
+    A group's fold depends on its texts alone."""
+    n = len(keys)
+    parent = np.arange(n)
+    groups = [np.unique(keys[:, j], return_inverse=True)[1] for j in range(keys.shape[1])]
+    while n:
+        new = parent
+        for group in groups:
+            low = np.full(group.max() + 1, n)
+            np.minimum.at(low, group, new)
+            new = np.minimum(new, low[group])
+        new = new[new]
+        if (new == parent).all():
+            break
+        parent = new
+    least = np.full(n, np.iinfo(np.uint64).max, U)
+    np.minimum.at(least, parent, mix(keys[:, 0]))
+    return (least[parent] % U(FOLDS)).astype(np.int64)
+
+
 class Chain:
-    def __init__(self, row, col, dense, labels: np.ndarray):
+    def __init__(self, row, col, dense, labels: np.ndarray, fold: np.ndarray):
         n, k = labels.shape
-        fold = np.arange(n) % FOLDS
         extra = np.zeros((n, 0))
         self.models, self.thresholds = [], []
         for j in range(k):
@@ -123,6 +160,10 @@ class Chain:
             out = np.zeros(n)
             for f in range(FOLDS):
                 here, there = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                yes = y[here].sum()
+                if not len(there) or not 0 < yes < len(here):  # nothing to learn from
+                    out[there] = np.log((yes + 0.5) / (len(here) - yes + 0.5))
+                    continue
                 at = np.full(n, -1)
                 at[here] = np.arange(len(here))
                 use = at[row] >= 0
@@ -149,7 +190,7 @@ class Chain:
 
 
 def _training(batches):
-    """(labels, text) -> (labels, distinct features, dense) as binaries."""
+    """(labels, text) -> (labels, distinct features, dense, keys of likeness) as binaries."""
     powers = shared_powers()
     for batch in batches:
         marks, texts = batch.column(0), batch.column(1).to_pylist()
@@ -158,16 +199,19 @@ def _training(batches):
             pair = np.unique(row.astype(np.int64) << BITS | col)
             at = np.searchsorted(pair >> BITS, np.arange(hi - lo + 1))
             col = (pair & (1 << BITS) - 1).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([marks.slice(lo, hi - lo), pa.array([col[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())], names=["marks", "ids", "dense"])
+            yield pa.RecordBatch.from_arrays([marks.slice(lo, hi - lo), pa.array([col[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()), pa.array([k.tobytes() for k in likeness(texts[lo:hi], powers)], pa.binary())], names=["marks", "ids", "dense", "keys"])
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", rows_per_stratum: int = ROWS_PER_STRATUM) -> Chain:
     """Fits the chain on at most rows_per_stratum rows of each combination of the 0/1 columns `categories` of `labels`. Rows whose id or
-    label is null, and ids that are labelled twice, take no part after their first; without labelled rows nothing is ever assigned."""
+    label is null take no part; an id that is labelled several times has the highest label of each category; without labelled rows
+    nothing is ever assigned. Of a text the distinct features are kept, 4 bytes each, so what the driver gets has a bound in rows, and in bytes
+    that of so many of the longest texts."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "chain")
     marks = F.concat(*(F.when(F.col(c) > 0, "1").otherwise("0") for c in categories))
-    known = labels.where(" and ".join(f"{c} is not null" for c in [id_col, *categories])).select(F.col(id_col).cast("long").alias("doc_id"), marks.alias("marks"))
+    known = labels.where(" and ".join(f"{c} is not null" for c in [id_col, *categories])).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*(F.max(c).alias(c) for c in categories))
+    known = known.select("doc_id", marks.alias("marks"))
     parts = []
     for combination in range(1 << len(categories)):
         want = format(combination, f"0{len(categories)}b")
@@ -175,52 +219,51 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.union(p)
-    chosen = scratch.keep(chosen.dropDuplicates(["doc_id"]), "chosen")  # bounded by rows_per_stratum
+    chosen = scratch.keep(chosen, "chosen")  # bounded by rows_per_stratum
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "marks", "text").select("marks", "text", "doc_id").mapInArrow(tidy(_training), "marks string, ids binary, dense binary")
+    got = rows.select("doc_id", "marks", "text").select("marks", "text", "doc_id").mapInArrow(tidy(_training), "marks string, ids binary, dense binary, keys binary")
     got = scratch.keep(got, "training").collect()
-    got.sort(key=lambda r: (r["marks"], r["ids"]))  # the same folds whatever the order of rows
+    got.sort(key=lambda r: (r["marks"], r["ids"]))  # the same model whatever the order of rows
     if not got:
-        return Chain(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DENSE)), np.zeros((0, 0)))
+        return Chain(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DENSE)), np.zeros((0, 0)), np.zeros(0, np.int64))
     row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["ids"]) >> 2 for r in got])
     col = np.frombuffer(b"".join(r["ids"] for r in got), np.uint32).astype(np.int32)
     often = np.bincount(col, minlength=1 << BITS)[col] >= 3  # what is rarer is never selected
     row, col = row[often], col[often]
     dense = np.frombuffer(b"".join(r["dense"] for r in got), np.float64).reshape(-1, DENSE)
     y = np.array([[int(c) for c in r["marks"]] for r in got])
+    fold = folds(np.frombuffer(b"".join(r["keys"] for r in got), U).reshape(-1, LIKENESS))
     del got, often
-    return Chain(row, col, dense, y)
+    return Chain(row, col, dense, y, fold)
 
 
-def classify(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of `docs` without its text, with p_<category> (double) and is_<category> (boolean) for each category.
+def classify(docs: DataFrame, chain: Chain, categories: list[str], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Every row of `docs`, without its text unless `keep_text`, with p_<category> (double) and is_<category> (boolean) for each category.
 
     Null counts as the empty text. Rows are independent: ties, repeated rows, null ids and other columns pass through, but columns that are
     named like the added ones are replaced; an empty table gives an empty result.
     """
-    from pyspark.sql import types as T
-
     names = [f"p_{c}" for c in categories] + [f"is_{c}" for c in categories]
-    rest = [c for c in docs.columns if c != text_col and c not in names]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(c, T.DoubleType() if c[:2] == "p_" else T.BooleanType()) for c in names])
+    row, cells, fields = carry(docs, names if keep_text else [text_col, *names])
+    schema = T.StructType([T.StructField("row", row_type(fields))] + [T.StructField(c, T.DoubleType() if c[:2] == "p_" else T.BooleanType()) for c in names])
 
     def run(batches):
         powers = shared_powers()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 p = chain.predict(*features(texts[lo:hi], powers))
                 if not p.shape[1]:
                     p = np.zeros((hi - lo, len(categories)))
-                cols = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in rest]
                 marks = [pa.array(p[:, j] >= (chain.thresholds[j] if chain.thresholds else 1.1)) for j in range(len(categories))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(np.round(p[:, j], 6)) for j in range(len(categories))] + marks, names=rest + names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo)] + [pa.array(np.round(p[:, j], 6)) for j in range(len(categories))] + marks, names=["row", *names])
 
-    return docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
+    found = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(run), schema)
+    return found.select(*cells, *names)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """`classify` with a chain low_quality -> toxic that is fitted on `labels` (doc_id, quality, toxic)."""
     marks = labels.select(F.col("doc_id").alias(id_col), (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("toxic"))
     categories = ["low_quality", "toxic"]
-    return classify(docs, fit_chain(docs, marks, categories, id_col, text_col), categories, id_col, text_col)
+    return classify(docs, fit_chain(docs, marks, categories, id_col, text_col), categories, id_col, text_col, keep_text)

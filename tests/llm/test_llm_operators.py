@@ -98,6 +98,22 @@ def test_near_duplicates_in_a_large_group_of_variants(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(made)
 
 
+def test_near_duplicates_go_by_words_not_by_ids_or_hashes(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    # sequences of 4096 words that agree under every polynomial hash modulo 2**64
+    thue = [" ".join("ab"[bin(i).count("1") + k & 1] for i in range(1 << 12)) for k in (0, 1)]
+    rows = [(2, b), (3, a), (5, a), (5, b), (8, thue[0]), (9, thue[1]), (9, thue[1]), (None, a), (12, "x" * 1500 + " y"), (13, "x" * 1500 + " z")]
+    want = {(2, 2, True): 1, (3, 3, True): 1, (5, 3, False): 1, (5, 2, False): 1, (8, 8, True): 1, (9, 9, True): 2, (None, None, True): 1, (12, 12, True): 1, (13, 13, True): 1}
+    # both sequences have the same 32 runs of five words, but not equally often
+    bags = [shingles(t) for t in thue]
+    both = sum((bags[0] & bags[1]).values())
+    if both >= 0.8 * (2 * sum(bags[0].values()) - both):
+        want.pop((9, 9, True))
+        want[9, 8, False] = 2
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["kept"]) for r in got) == want
+
+
 def test_signatures_estimate_the_weighted_jaccard():
     rng = np.random.default_rng(0)
     ids = rng.integers(1, 1 << 60, 300).astype(np.uint64)
@@ -146,10 +162,62 @@ def test_later_models_see_earlier_predictions():
     rng = np.random.default_rng(0)
     dense = rng.normal(size=(400, toxicity.DENSE))
     first = (dense[:, 0] > 0).astype(int)
-    chain = toxicity.Chain(np.zeros(0, np.int64), np.zeros(0, np.int64), dense, np.stack([first, first], 1))
+    chain = toxicity.Chain(np.zeros(0, np.int64), np.zeros(0, np.int64), dense, np.stack([first, first], 1), np.arange(400) % 3)
     assert chain.models[1].v[-1] > 0.5  # the weight of the first category's log-odds
 
 
+def test_folds_keep_copies_together():
+    rng = random.Random(3)
+    powers, made, family = textkern.Powers(), [], []
+    for f in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for _ in range(rng.randrange(1, 6)):
+            words = list(base)
+            words[rng.randrange(150)] = "changed"
+            made.append(" ".join(words))
+            family.append(f)
+    made += ["", "!", "one word"]
+    fold = toxicity.folds(toxicity.likeness(made, powers))
+    assert all(len({x for x, g in zip(fold, family, strict=False) if g == f}) == 1 for f in range(60))
+    assert min(Counter(fold.tolist()).values()) > len(made) / 8 and fold[-2] == fold[-3]
+    order = rng.sample(range(len(made)), len(made))
+    assert (toxicity.folds(toxicity.likeness([made[i] for i in order], powers)) == fold[order]).all()
+
+
+def plain_chain(rows):
+    """The contract of the chain, written again without its kernels: presence of hashed features, out-of-fold log-odds, F0.5."""
+    powers = textkern.Powers()
+    texts = [t for t, _ in rows]
+    r, c, dense = toxicity.features(texts, powers)
+    pairs = sorted(set(zip(r.tolist(), c.tolist(), strict=True)))
+    often = Counter(c for _, c in pairs)
+    pairs = [(r, c) for r, c in pairs if often[c] >= 3]
+    y, fold = np.array([m for _, m in rows], float), toxicity.folds(toxicity.likeness(texts, powers))
+    extra, out = np.zeros((len(rows), 0)), []
+    for j in range(y.shape[1]):
+        x, got = np.hstack([dense, extra]), np.zeros(len(rows))
+        for f in range(toxicity.FOLDS):
+            here, there = [i for i in range(len(rows)) if fold[i] != f], [i for i in range(len(rows)) if fold[i] == f]
+            spot, away = {i: k for k, i in enumerate(here)}, {i: k for k, i in enumerate(there)}
+            model = toxicity.Logistic(*(np.array(v, int) for v in zip(*[(spot[r], c) for r, c in pairs if r in spot], strict=True)), x[here], y[here, j])
+            own = [(away[r], c) for r, c in pairs if r in away]
+            got[there] = model.logit(*(np.array(v, int) for v in zip(*own, strict=True)), x[there])
+        out.append((x, got))
+        extra = np.hstack([extra, np.clip(got, -12, 12)[:, None]])
+    return pairs, y, out
+
+
+def test_chain_on_documents_is_the_plain_one(spark, documents, texts):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    marks = {r["doc_id"]: (1 - r["quality"], r["toxic"]) for r in labels.collect() if r["doc_id"] in texts}
+    chain = toxicity.fit_chain(documents, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
+    pairs, y, out = plain_chain([(texts[i], marks[i]) for i in sorted(marks)])
+    for j, (x, got) in enumerate(out):
+        assert chain.thresholds[j] == pytest.approx(toxicity.best_threshold(toxicity._sigmoid(got), y[:, j]), abs=1e-6)
+        whole = toxicity.Logistic(*(np.array(v, int) for v in zip(*pairs, strict=True)), x, y[:, j])
+        assert np.allclose(whole.v, chain.models[j].v, atol=1e-6) and np.allclose(np.sort(whole.w), np.sort(chain.models[j].w), atol=1e-6)
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -316,6 +384,46 @@ def test_exact_dedup_on_odd_input(odd, none):
     assert content_sort.exact_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_exact_dedup_without_ids(spark, partitions):
+    rows = [(None if i % 3 == 0 else i, f"t{i % 5}" if i % 7 else "alone") for i in range(60)] + [(None, "never an id")] * 5
+    got = content_sort.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    least = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    want = Counter((i, least[t], len(groups[t]), i == least[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_helper_columns_clash_with_none_of_the_callers(spark):
+    """Each operator gets each of its own helper names as an extra column, null ids, an empty table and a very long text."""
+    names = "row text_ html d b body drop of_doc of_body of_source of_id full rest rate blocks stop at copies id key keys comp few size w1 w2 h1 h2 line marks part edge border norm sha head __text __id __body __s __html __drop clean_text n_lines n_kept epoch block slot n_tokens spans n_ip p_toxic is_toxic ids n_chars".split()
+    data = [(1, "one line\nand another one\none line", "a"), (None, "one line", None), (2, "word " * 30_000, "a"), (None, None, "b"), (3, "", "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").select("*", *(F.lit(f"<{n}>").alias(n) for n in names))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    runs = {
+        "near": (lambda d: bagminhash.near_duplicates(d), ()),
+        "toxicity": (lambda d: toxicity.toxicity(d, labels), ("text", "p_toxic", "is_toxic")),
+        "pii": (lambda d: pii.find_pii(d), ("text", "spans", "n_ip")),
+        "tokens": (lambda d: token_files.token_digest(d, GPT), ()),
+        "exact": (lambda d: content_sort.exact_dedup(d), ()),
+        "bpe": (lambda d: bpe_tree.bpe_round_trip(d, MULTI, vocab.PATTERN, keep_ids=True), ("text", "n_tokens", "ids")),
+        "pages": (lambda d: min_cut.extract(d.withColumn("html", F.col("text"))), ("html", "text", "n_chars")),
+        "lines": (lambda d: fuzzy_lines.dedup_lines(d, short_lines=True), ("clean_text", "n_lines", "n_kept")),
+        "mixing": (lambda d: mixing.mix(d, repetition=1.0), ("n_tokens", "epoch", "block", "slot")),
+    }
+    for name, (run, replaced) in runs.items():
+        got = run(docs)
+        kept = [n for n in names if n not in replaced]
+        rows = got.collect()
+        assert len(rows) == len(data), name
+        if replaced:
+            assert all(r[n] == f"<{n}>" for r in rows for n in kept), name
+            assert Counter(r["doc_id"] for r in rows) == Counter(i for i, *_ in data), name
+        assert len(set(got.columns)) == len(got.columns) and run(docs.limit(0)).count() == 0, name
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------------
 def test_bpe_tree_is_tiktoken(monkeypatch):
     import tiktoken
