@@ -533,6 +533,38 @@ def test_search_recall(spark):
     assert all(s == pytest.approx(truth[q][i], abs=1e-12) for q in got for s, i in got[q])
 
 
+def test_search_recall_of_all_queries(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [r for r in table.collect() if r["embedding"] and None not in r["embedding"]]
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = defaultdict(set)
+    for r in multi_index.search(table, lambda i: i % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(got[int(ids[q])] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        total += 10
+    assert total >= 200 and hit >= 0.9 * total
+
+
+def test_search_computes_visited_cells_only(spark, monkeypatch):
+    """With ten well-apart clusters the measured number of entries is a fraction of the table, and the result is exact."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(10, 8)) * 50
+    rows = [(i, (centers[i % 10] + rng.normal(size=8)).tolist()) for i in range(2000)] + [(7, centers[3].tolist()), (7, centers[4].tolist())]
+    asked = []
+    monkeypatch.setattr(multi_index, "_visits", lambda *a, plain=multi_index._visits: asked.append(a[3]) or plain(*a))
+    got = defaultdict(list)
+    for r in multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, centroids=16).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert asked[0] < 700
+    want = exact_neighbours(rows, set(range(0, 2000, 100)), 10)
+    hit = sum(len(set(got[q]) & {i for _, i in want[q]}) for q in want)
+    assert hit >= 0.9 * 200
+
+
 def test_search_over_all_cells_is_exact(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)]
