@@ -88,13 +88,12 @@ def hits(edges: DataFrame, rounds: int | None = None, max_iter: int = 1000, tol:
     hub = nodes.join(F.broadcast(nodes.agg(F.count("*").alias("n")))).select("id", (1 / F.col("n")).alias("hub"))
 
     def step(of: DataFrame) -> DataFrame:
-        out = both.join(of.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("hub"))
-        top = out.agg(F.max("hub").alias("top"))
-        return out.join(F.broadcast(top)).select("id", (F.col("hub") / F.col("top")).alias("hub"))
+        return both.join(of.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("hub"))
 
     for i in range(rounds or max_iter):
-        new = step(step(hub))
-        new = new if rounds and i % 3 < 2 else _cut(new)
+        # scaled once a round, on a table that is cut, so that no plan holds a step twice
+        new = _cut(step(step(hub)))
+        new = new.join(F.broadcast(new.agg(F.max("hub").alias("top")))).select("id", (F.col("hub") / F.col("top")).alias("hub"))
         if not rounds:
             moved = new.join(hub.withColumnRenamed("hub", "was"), "id").agg(F.sum(F.abs(F.col("hub") - F.col("was")))).first()[0] or 0.0
             if i and moved < tol:
@@ -107,9 +106,9 @@ def hits(edges: DataFrame, rounds: int | None = None, max_iter: int = 1000, tol:
 
 def top_authors(edges: DataFrame, n: int = 10, rounds: int | None = None) -> DataFrame:
     """The n authors with the highest hub scores on the graph of edges (author, paper_id); ties by name."""
-    named = edges.select(F.concat(F.lit("author:"), F.col("author").cast("string")).alias("a"), F.concat(F.lit("paper:"), F.col("paper_id").cast("string")).alias("b"))
-    scores = hits(named, rounds).where(F.startswith("id", F.lit("author:")))
-    return scores.select(F.substr("id", F.lit(8)).alias("author"), "hub").orderBy(F.desc(F.round("hub", 9)), "author").limit(n)
+    named = edges.select(F.struct(F.lit(True).alias("is_author"), F.col("author").cast("string").alias("name")).alias("a"), F.struct(F.lit(False).alias("is_author"), F.col("paper_id").cast("string").alias("name")).alias("b"))
+    scores = hits(named, rounds).where("id.is_author")
+    return scores.select(F.col("id.name").alias("author"), "hub").orderBy(F.desc(F.round("hub", 9)), "author").limit(n)
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, cap: int | None = None) -> DataFrame:

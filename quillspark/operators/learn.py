@@ -26,8 +26,8 @@ def naive_bayes_fit(tokens_: DataFrame, labels: DataFrame, alpha: float = 1.0) -
     return prior, likelihood, size.select("label", F.ln(F.lit(alpha) / F.col("denominator")).alias("log_missing"))
 
 
-def naive_bayes_predict(model: tuple[DataFrame, DataFrame, DataFrame], tokens_: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, prediction, score) of docs (doc_id); ties to the smaller label. Terms that no class has are ignored."""
+def naive_bayes_scores(model: tuple[DataFrame, DataFrame, DataFrame], tokens_: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, label, score): the joint log probability of each of docs (doc_id) with each class. Terms that no class has are ignored."""
     prior, likelihood, missing = model
     known = likelihood.select("term").distinct()
     tf = tokens_.join(docs, "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(known, "term", "left_semi")
@@ -37,8 +37,21 @@ def naive_bayes_predict(model: tuple[DataFrame, DataFrame, DataFrame], tokens_:
     extra = tf.join(likelihood.join(F.broadcast(missing), "label"), "term").groupBy("doc_id", "label").agg(F.sum(F.col("tf") * (F.col("log_p") - F.col("log_missing"))).alias("extra"))
     rows = docs.select("doc_id").join(length, "doc_id", "left").join(classes).join(extra, ["doc_id", "label"], "left")
     score = F.col("log_prior") + F.coalesce("length", F.lit(0)) * F.col("log_missing") + F.coalesce("extra", F.lit(0.0))
-    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round(score, 6)), "label")
-    return rows.withColumn("score", score).withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", F.col("label").alias("prediction"), "score")
+    return rows.select("doc_id", "label", score.alias("score"))
+
+
+def naive_bayes_predict(model: tuple[DataFrame, DataFrame, DataFrame], tokens_: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, prediction, score) of docs (doc_id); ties to the smaller label."""
+    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 6)), "label")
+    rows = naive_bayes_scores(model, tokens_, docs).withColumn("r", F.row_number().over(best)).where("r = 1")
+    return rows.select("doc_id", F.col("label").alias("prediction"), "score")
+
+
+def log_odds(scores: DataFrame) -> DataFrame:
+    """Joint log probabilities (doc_id, label, score) as log odds of each class against the mean of its document's, so that documents of different length
+    can be compared."""
+    mean = F.avg("score").over(Window.partitionBy("doc_id"))
+    return scores.withColumn("score", F.col("score") - mean)
 
 
 def label_index(labels: DataFrame) -> DataFrame:
@@ -97,3 +110,48 @@ def batch_predict(make_predictor, return_type, batch_size: int = 1024):
     from pyspark.ml.functions import predict_batch_udf
 
     return predict_batch_udf(make_predictor, return_type=return_type, batch_size=batch_size)
+
+
+def loss_by_epoch(model) -> list[float]:
+    """The training loss before the first epoch and after each one, of a model of `feed_forward`."""
+    return list(model.summary().objectiveHistory)
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(kind, path: str):
+    """A stored model of a class such as Word2VecModel or MultilayerPerceptronClassificationModel."""
+    return kind.load(path)
+
+
+def feature_slice(features: DataFrame, start: int, stop: int) -> DataFrame:
+    """The rows of features (doc_id, term, w) whose terms are in places start to stop - 1 of the alphabetical vocabulary."""
+    first = features.select("term").distinct().orderBy("term").limit(stop)
+    wanted = first.withColumn("at", F.row_number().over(Window.orderBy("term")) - 1).where(F.col("at") >= start).select("term")  # `stop` rows
+    return features.join(wanted, "term", "left_semi")
+
+
+def hashing_encoder(width: int = 32):
+    """make_predictor for `batch_predict`: an encoder that needs no trained weights. A text's vector has, in the place that a word's CRC-32 names, how often such
+    words come, with the sign of its next bit, scaled to unit length."""
+
+    def make():
+        import re
+        import zlib
+
+        import numpy as np
+
+        def predict(texts):
+            out = np.zeros((len(texts), width), np.float64)
+            for row, text in zip(out, texts, strict=True):
+                for word in re.findall(r"\w+", text.lower()):
+                    h = zlib.crc32(word.encode())
+                    row[h % width] += 1 if h // width & 1 else -1
+                row /= np.linalg.norm(row) or 1
+            return out
+
+        return predict
+
+    return make

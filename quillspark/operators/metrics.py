@@ -78,17 +78,62 @@ def summary_report(predicted: DataFrame, label: str = "label", prediction: str =
     return predicted.agg(F.avg(right).alias("accuracy")).join(F.broadcast(macro))
 
 
+#: Ranges of values into which a running total is cut.
+RANGES = 200
+
+
+def running(rows: DataFrame, by: str, sums: list[str]) -> DataFrame:
+    """`rows` with upto_<c> for each column of `sums`: its total over all rows of at least this row's `by`. Rows are dealt out by ranges of `by`
+    (values are distinct), each range is summed up alone, and one row a range is added up before it, so no task has them all."""
+    ends = rows.agg(F.percentile_approx(by, [i / RANGES for i in range(1, RANGES)], 2000).alias("ends"))
+    placed = rows.join(F.broadcast(ends)).withColumn("range", F.size(F.filter("ends", lambda e: e > F.col(by)))).drop("ends")
+    whole = placed.groupBy("range").agg(*(F.sum(c).alias(f"in_{c}") for c in sums))
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    whole = whole.select("range", *(F.coalesce(F.sum(f"in_{c}").over(above), F.lit(0)).alias(f"above_{c}") for c in sums))
+    order = Window.partitionBy("range").orderBy(F.desc(by))
+    out = placed.join(F.broadcast(whole), "range")
+    return out.select(*rows.columns, *((F.sum(c).over(order) + F.col(f"above_{c}")).alias(f"upto_{c}") for c in sums))
+
+
+def _by_threshold(scored: DataFrame, label: str, score: str) -> tuple[DataFrame, DataFrame]:
+    at = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
+    return running(at, "threshold", ["pos", "neg"]), at.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+
+
+def roc_area(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """One row: the area under the curve of `roc_points`, by trapezoids, from the scores themselves."""
+    at, total = _by_threshold(scored, label, score)
+    under = F.sum(F.col("neg") * (2 * F.col("upto_pos") - F.col("pos")) / 2)
+    return at.agg(under.alias("under")).join(F.broadcast(total)).select(F.try_divide("under", F.col("P") * F.col("N")).alias("auc"))
+
+
+def roc_by_class(scored: DataFrame) -> DataFrame:
+    """(class, auc) of scores (doc_id, label, class, score), one row a class of each document: the area of each class against the rest, 'micro' of all rows
+    pooled, and 'macro', the mean over the classes. Scores are counted first."""
+    named = scored.select("class", (F.col("label") == F.col("class")).cast("int").alias("hit"), "score")
+    both = named.select(F.explode(F.array("class", F.lit("micro"))).alias("class"), "hit", "score")
+    at = both.groupBy("class", "score").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
+    # classes are few, distinct scores may be many: a range of scores is summed up alone
+    ends = at.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 2000).alias("ends"))
+    at = at.join(F.broadcast(ends)).withColumn("range", F.size(F.filter("ends", lambda e: e > F.col("score")))).drop("ends")
+    whole = at.groupBy("class", "range").agg(F.sum("pos").alias("in_pos"))
+    above = Window.partitionBy("class").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("class", "range", F.coalesce(F.sum("in_pos").over(above), F.lit(0)).alias("above"))
+    upto = F.sum("pos").over(Window.partitionBy("class", "range").orderBy(F.desc("score"))) + F.col("above")
+    rows = at.join(whole, ["class", "range"]).withColumn("upto", upto)
+    area = rows.groupBy("class").agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("upto") - F.col("pos")) / 2), F.sum("pos") * F.sum("neg")).alias("auc"))
+    macro = area.where("class <> 'micro'").agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("class"), "auc")
+    return area.unionByName(macro)
+
+
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score, highest first. Scores are counted first, so the ordered pass is over distinct values."""
-    at = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    total = at.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    upto = Window.orderBy(F.desc("threshold"))
-    rows = at.select("threshold", F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp")).join(F.broadcast(total))
-    return rows.select("threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
+    at, total = _by_threshold(scored, label, score)
+    return at.join(F.broadcast(total)).select("threshold", F.try_divide("upto_neg", "N").alias("fpr"), F.try_divide("upto_pos", "P").alias("tpr"))
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """One row: the area under (fpr, tpr) points by trapezoids, from the origin on."""
+    """One row: the area under (fpr, tpr) points by trapezoids, from the origin on. For curves of few points; `roc_area` works on scores."""
     order = Window.orderBy("fpr", "tpr")
     steps = points.select("fpr", "tpr", F.lag("fpr", 1, 0.0).over(order).alias("f0"), F.lag("tpr", 1, 0.0).over(order).alias("t0"))
     return steps.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))

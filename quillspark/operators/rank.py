@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
@@ -19,30 +19,41 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     return index.without_stops(words).groupBy("query_id", F.col("term").alias("qterm")).agg(F.count("*").alias("qtf"))
 
 
-def matches(q: DataFrame, index: Index, match: str = "prefix", category: DataFrame | None = None) -> DataFrame:
+#: Characters of a batch of queries up to which its terms are broadcast to the vocabulary's tasks.
+BROADCAST_CHARS = 4 << 20
+
+
+def is_small(queries: DataFrame) -> bool:
+    """Whether a batch of queries is small enough for its terms to be broadcast. The batch is read, not the corpus."""
+    return (queries.agg(F.sum(F.length("query"))).first()[0] or 0) <= BROADCAST_CHARS
+
+
+def matches(q: DataFrame, index: Index, match: str = "prefix", category: DataFrame | None = None, small: bool = True) -> DataFrame:
     """(query_id, qterm, qtf, doc_id, tf_title, tf_abstract, df). With match='prefix' a query term that is a term also matches all terms that
-    begin with it. `category` (query_id, doc_id) or (doc_id) restricts documents before df is counted."""
+    begin with it. `category` (query_id, doc_id) or (doc_id) restricts documents before df is counted. `small`: the batch's terms may be broadcast."""
     if match not in ("prefix", "exact"):
         raise ValueError(f"match must be 'prefix' or 'exact', not {match!r}")
-    # few query terms against the vocabulary, then an equi-join to the postings
-    known = index.vocab.join(F.broadcast(q.select(F.col("qterm").alias("term")).distinct()), "term", "left_semi").select(F.col("term").alias("qterm"))
+    hint = F.broadcast if small else lambda df: df
+    asked = hint(q.select("qterm").distinct())
     if match == "prefix":
-        known = index.vocab.join(F.broadcast(known), F.startswith("term", "qterm"))
+        # one pass over the vocabulary: each term has few prefixes, and they meet the query terms by equality
+        starts = index.vocab.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.left("term", n))).alias("qterm"))
+        known = starts.join(asked, "qterm").withColumn("known", F.max(F.col("term") == F.col("qterm")).over(Window.partitionBy("qterm"))).where("known").drop("known")
     else:
-        known = known.withColumn("term", F.col("qterm"))
+        known = index.vocab.select("term", F.col("term").alias("qterm")).join(asked, "qterm", "left_semi")
     wide = q.join(known, "qterm")  # no hint: a short prefix matches much of the vocabulary
     hits = index.counts.join(wide, "term").groupBy("query_id", "qterm", "qtf", "doc_id").agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_abstract").alias("tf_abstract"))
     if category is not None:
         hits = hits.join(category, [c for c in ("query_id", "doc_id") if c in category.columns], "left_semi")
     df = hits.groupBy("query_id", "qterm").agg(F.count("*").alias("df"))
-    return hits.join(F.broadcast(df), ["query_id", "qterm"])
+    return hits.join(hint(df), ["query_id", "qterm"])
 
 
-def bm25(hits: DataFrame, doc_lengths: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(hits: DataFrame, doc_lengths: DataFrame, k1: float = 1.2, b: float = 0.75, small: bool = True) -> DataFrame:
     """(query_id, doc_id, s_title, s_abstract). The number of documents and their mean lengths are those of the query's candidates."""
     cand = hits.select("query_id", "doc_id").distinct().join(doc_lengths, "doc_id")
     stats = cand.groupBy("query_id").agg(F.count("*").alias("n"), *(F.avg(f"dl_{s}").alias(f"avg_{s}") for s in SECTIONS))
-    rows = hits.join(doc_lengths, "doc_id").join(F.broadcast(stats), "query_id")
+    rows = hits.join(doc_lengths, "doc_id").join(F.broadcast(stats) if small else stats, "query_id")
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
 
     def part(s: str):
@@ -53,7 +64,7 @@ def bm25(hits: DataFrame, doc_lengths: DataFrame, k1: float = 1.2, b: float = 0.
     return rows.groupBy("query_id", "doc_id").agg(*(part(s) for s in SECTIONS))
 
 
-def tf_idf(hits: DataFrame, corpus_size: DataFrame, scheme: str = "ltn-lnn") -> DataFrame:
+def tf_idf(hits: DataFrame, corpus_size: DataFrame, scheme: str = "ltn-lnn", small: bool = True) -> DataFrame:
     """(query_id, doc_id, s_title, s_abstract) for a document scheme and a query scheme joined by '-'. corpus_size: one row with column n. The
     cosine norm of a document is over the query's terms' log frequencies in the section, before idf."""
     doc, _, query = scheme.partition("-")
@@ -64,7 +75,8 @@ def tf_idf(hits: DataFrame, corpus_size: DataFrame, scheme: str = "ltn-lnn") ->
     if query[2] == "c":
         norm = own.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
         own = own.join(norm, "query_id").withColumn("qw", F.try_divide("qw", "qn"))
-    rows = hits.join(F.broadcast(own.select("query_id", "qterm", "qw")), ["query_id", "qterm"]).join(F.broadcast(corpus_size.select("n")))
+    own = own.select("query_id", "qterm", "qw")
+    rows = hits.join(F.broadcast(own) if small else own, ["query_id", "qterm"]).join(F.broadcast(corpus_size.select("n")))
     idf = F.ln(F.col("n") / F.col("df"))
     aggs = []
     for s in SECTIONS:
@@ -82,18 +94,17 @@ def blend(scores: DataFrame, abstract_weight: float = 0.5) -> DataFrame:
 
 def rank(index: Index, queries: DataFrame, method: str = "ltn-lnn", abstract_weight: float = 0.5, match: str = "prefix", category: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that matches a query of (query_id, query). method: 'okapi25' or a tf-idf scheme."""
-    hits = matches(query_terms(queries, index), index, match, category)
+    small = is_small(queries)
+    hits = matches(query_terms(queries, index), index, match, category, small)
     if method == "okapi25":
-        scores = bm25(hits, index.doc_lengths)
+        scores = bm25(hits, index.doc_lengths, small=small)
     else:
-        scores = tf_idf(hits, index.parts.agg(F.count("*").alias("n")), method)
+        scores = tf_idf(hits, index.parts.agg(F.count("*").alias("n")), method, small)
     return blend(scores, abstract_weight)
 
 
 def top_k(scores: DataFrame, k: int = 10) -> DataFrame:
     """Each query's k best documents with their rank; all of them for k = -1. Ties go to the smaller id."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     ranked = scores.withColumn("rank", F.row_number().over(order))
     return ranked if k < 0 else ranked.where(F.col("rank") <= k)
@@ -111,7 +122,7 @@ def with_highlights(hits: DataFrame, index: Index, queries: DataFrame) -> DataFr
     rows = with_text(hits, index)
     q = query_terms(queries, index).groupBy("query_id").agg(F.collect_list("qterm").alias("qterms"))
     spans = token_spans(rows.select("doc_id", "title", "abstract").distinct())
-    marked = spans.join(rows.select("query_id", "doc_id").join(F.broadcast(q), "query_id"), "doc_id").where(F.exists("qterms", lambda t: F.startswith(F.col("term"), t)))
+    marked = spans.join(rows.select("query_id", "doc_id").join(q, "query_id"), "doc_id").where(F.exists("qterms", lambda t: F.startswith(F.col("term"), t)))
     by = marked.groupBy("query_id", "doc_id").agg(*(F.collect_list(F.when(F.col("section") == s, F.struct(F.col("char_idx").alias("s"), (F.col("char_idx") + F.length("surface")).alias("e")))).alias(f"m_{s}") for s in SECTIONS))
     rows = rows.join(by, ["query_id", "doc_id"], "left")
     empty = F.array().cast("array<int>")
@@ -122,11 +133,11 @@ def personalised(scores: DataFrame, importance: DataFrame, weight: float = 0.5)
     """Blends scores and importance (doc_id, importance), each divided by its maximum; documents without importance are left out."""
     top = scores.groupBy("query_id").agg(F.max("score").alias("top_s"))
     top_p = importance.agg(F.max("importance").alias("top_p"))
-    rows = scores.join(importance, "doc_id").join(F.broadcast(top), "query_id").join(F.broadcast(top_p))
+    rows = scores.join(importance, "doc_id").join(top, "query_id").join(F.broadcast(top_p))
     text_part, rank_part = (F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) for a, b in (("score", "top_s"), ("importance", "top_p")))
     return rows.select("query_id", "doc_id", (text_part * (1 - weight) + rank_part * weight).alias("score"), F.col("score").alias("search_score"), "importance")
 
 
 def with_clusters(hits: DataFrame, assignment: DataFrame, topics: DataFrame) -> DataFrame:
     """Adds each document's cluster and its topic."""
-    return hits.join(assignment, "doc_id").join(F.broadcast(topics), "cluster")
+    return hits.join(assignment, "doc_id").join(topics, "cluster")

@@ -33,6 +33,16 @@ def correct(index: DataFrame, queries: DataFrame, similar_words_limit: int = 20)
     return queries.select("query").distinct().join(chosen, "query", "left").select("query", F.coalesce("corrected", "query").alias("corrected"), F.coalesce("distance", F.lit(0)).alias("distance"))
 
 
+def correct_queries(index: DataFrame, queries: DataFrame, similar_words_limit: int = 20) -> DataFrame:
+    """(query_id, query) with each word of each query replaced by its correction in place; a whole batch in one plan."""
+    pieces = F.regexp_extract_all("query", F.lit(rf"{strings.TERM}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
+    rows = queries.select("query_id", F.posexplode(pieces).alias("at", "piece"))
+    words = rows.where(F.rlike("piece", F.lit(strings.TERM))).select(F.col("piece").alias("query")).distinct()
+    fixed = correct(index, words, similar_words_limit).select(F.col("query").alias("piece"), "corrected")
+    back = rows.join(fixed, "piece", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("corrected", "piece").alias("piece")))).alias("p"))
+    return back.select("query_id", F.array_join("p.piece", "").alias("query"))
+
+
 def correct_text(index: DataFrame, spark, text: str, similar_words_limit: int = 20) -> str:
     """A query text, each word replaced by its correction in place. The text is one request's, so its words meet on the driver."""
     import re

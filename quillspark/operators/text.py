@@ -64,9 +64,13 @@ def doc_lengths(tokens_: DataFrame, parts: DataFrame) -> DataFrame:
     return parts.select("doc_id").join(count, "doc_id", "left").na.fill(0)
 
 
-def ngrams(tokens_: DataFrame, upto: int = 3) -> DataFrame:
-    """(doc_id, gram) for runs of 1 to `upto` terms in a section, in one pass over each section's array."""
-    lists = tokens_.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t")).withColumn("t", F.col("t.term"))
+def ngrams(parts: DataFrame, stops: DataFrame | None = None, upto: int = 3) -> DataFrame:
+    """(doc_id, gram) for runs of 1 to `upto` terms in a section of a table with title and abstract, after stop words (term, a list of bounded
+    length) are taken out. The runs are made of each section's array where it lies."""
+    lists = parts.select("doc_id", F.explode(F.array(*(strings.terms(F.col(s)) for s in SECTIONS))).alias("t"))
+    if stops is not None:
+        gone = stops.agg(F.collect_list("term").alias("gone"))
+        lists = lists.join(F.broadcast(gone)).select("doc_id", F.filter("t", lambda x: ~F.array_contains(F.col("gone"), x)).alias("t"))
 
     def of(n: int):
         runs = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, F.lit(n)), " "))

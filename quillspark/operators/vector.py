@@ -20,8 +20,8 @@ def similar(vectors: DataFrame, vec_id: int, n: int = 10, id_col: str = "vec_id"
 
 
 def random_similar(vectors: DataFrame, n: int = 10, seed: int = 0, id_col: str = "vec_id") -> DataFrame:
-    """`similar` to a document that is picked at random."""
-    picked = vectors.orderBy(F.rand(seed)).select(id_col).first()
+    """`similar` to a document that is picked at random: the one whose id has the smallest hash under the seed."""
+    picked = vectors.select(id_col).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).first()
     return similar(vectors, picked[0] if picked else -1, n, id_col)
 
 
@@ -124,9 +124,9 @@ def silhouette(vectors: DataFrame, assignment: DataFrame, id_col: str = "vec_id"
     return out.select("vec_id", score.alias("silhouette"))
 
 
-def topics(tokens_: DataFrame, assignment: DataFrame, n: int = 5, upto: int = 3) -> DataFrame:
+def topics(parts: DataFrame, stops: DataFrame | None, assignment: DataFrame, n: int = 5, upto: int = 3) -> DataFrame:
     """(cluster, topic): the n most frequent runs of one to three terms of a cluster's documents. assignment: (doc_id, cluster)."""
-    counts = text.ngrams(tokens_, upto).join(assignment, "doc_id").groupBy("cluster", "gram").agg(F.count("*").alias("n"))
+    counts = text.ngrams(parts, stops, upto).join(assignment, "doc_id").groupBy("cluster", "gram").agg(F.count("*").alias("n"))
     order = Window.partitionBy("cluster").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
     return top.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list(F.struct("r", "gram")))["gram"], ", ").alias("topic"))

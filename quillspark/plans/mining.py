@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import graph, learn, metrics, profile, rank, recsys, text, vector
 from ..sources import pages as page_source
@@ -80,7 +81,7 @@ def roc_points(spark, d):
 
 
 def auc(spark, d):
-    return rounded(metrics.auc(metrics.roc_points(_scored(spark, d))), "auc")
+    return rounded(metrics.roc_area(_scored(spark, d)), "auc")
 
 
 def tfidf_features(spark, d):
@@ -105,14 +106,41 @@ def lda_topics(spark, d):
     return learn.lda_topics(index(spark, d).kept)
 
 
-def mlp_classifier(spark, d):
+def _labelled_vectors(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     rows = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
-    train, test = learn.split_by_id(rows, "vec_id")
+    return learn.split_by_id(rows, "vec_id")
+
+
+def mlp_classifier(spark, d):
+    train, test = _labelled_vectors(spark, d)
     return learn.feed_forward(train, [64, 32, 10], max_iter=20).transform(test).select("vec_id", "label", "prediction")
 
 
+def mlp_loss(spark, d):
+    losses = learn.loss_by_epoch(learn.feed_forward(_labelled_vectors(spark, d)[0], [64, 32, 10], max_iter=20))
+    return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
+
+
+def feature_slice(spark, d):
+    tokens = text.tokens(text.sections(docs(spark, d))).where(F.length("term") > 1)
+    return rounded(learn.feature_slice(learn.tf_idf_features(tokens, docs(spark, d)), 100, 120), "w")
+
+
+def sentence_vectors(spark, d):
+    """Each title through the interface for encoders, with one that needs no download."""
+    encode = learn.batch_predict(learn.hashing_encoder(), T.ArrayType(T.DoubleType()))
+    titles = text.sections(docs(spark, d)).select("doc_id", "title")
+    return titles.select("doc_id", F.transform(encode("title"), lambda x: F.round(x, 6)).alias("vector"))
+
+
+def roc_by_class(spark, d):
+    model, tokens, test = _trained(spark, d)
+    scores = learn.log_odds(learn.naive_bayes_scores(model, tokens, test)).select("doc_id", F.col("label").alias("class"), F.round("score", 4).alias("score"))
+    return rounded(metrics.roc_by_class(scores.join(test, "doc_id")), "auc")
+
+
 # -- vectors --------------------------------------------------------------------------------------------------------------
 def vectors(spark, d):
     return table(spark, d, "embeddings")
@@ -124,11 +152,12 @@ def knn_l2(spark, d):
 
 def similar_papers(spark, d):
     near = vector.random_similar(vectors(spark, d), 5, seed=3)
-    return near.join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.substring_index("text", "\n", 1).alias("title")), "vec_id")
+    near = rounded(near, "distance")
+    return near.join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title")), "vec_id")
 
 
-def centers(spark, d):
-    return vectors(spark, d).where(F.col("vec_id") < K).select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").cast("array<double>").alias("center"))
+def centers(spark, d, k=K):
+    return vectors(spark, d).where(F.col("vec_id") < k).select(F.col("vec_id").cast("int").alias("cluster"), F.col("embedding").cast("array<double>").alias("center"))
 
 
 def kmeans_assign(spark, d):
@@ -144,6 +173,20 @@ def kmeans_converged(spark, d):
     return vector.assign(v, vector.kmeans(v, centers(spark, d))).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+SWEEP = (3, 5, 10)
+
+
+def kmeans_sweep(spark, d):
+    """Mean silhouette and purity of converged clusterings for several k."""
+    v, out = vectors(spark, d), None
+    for k in SWEEP:
+        assigned = vector.assign(v, vector.kmeans(v, centers(spark, d, k)))
+        quality = vector.silhouette(v, assigned).agg(F.round(F.avg("silhouette"), 5).alias("silhouette"))
+        row = quality.join(F.broadcast(rounded(vector.purity(assigned, labelled(spark, d)), "purity"))).select(F.lit(k).alias("k"), "silhouette", "purity")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def kmeans_mllib(spark, d):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -176,14 +219,14 @@ def pca_2d(spark, d):
 def ngram_topics(spark, d):
     assigned = docs(spark, d).select("doc_id", F.col("lang").alias("cluster"))
     i = index(spark, d)
-    return vector.topics(i.kept, assigned)
+    return vector.topics(i.parts, i.stops, assigned)
 
 
 def clustered_search(spark, d):
     i = index(spark, d)
     assigned = docs(spark, d).select("doc_id", F.col("lang").alias("cluster"))
     best = rank.top_k(rank.rank(i, searches(spark), "okapi25", 0.2), 5)
-    out = rank.with_clusters(best, assigned, vector.topics(i.kept, assigned, 1))
+    out = rank.with_clusters(best, assigned, vector.topics(i.parts, i.stops, assigned, 1))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "cluster", "topic")
 
 
@@ -210,7 +253,7 @@ def personalised_pagerank_3(spark, d):
 
 
 def pagerank_converged(spark, d):
-    return graph.pagerank(nodes(spark, d), edges(spark, d))
+    return rounded(graph.pagerank(nodes(spark, d), edges(spark, d)), "score", places=9)
 
 
 def important_topk(spark, d):
@@ -223,6 +266,25 @@ def blended_rank(spark, d):
     return rounded(rank.personalised(scores, importance, 0.3), "score").select("query_id", "doc_id", "score")
 
 
+def personalised_search(spark, d):
+    """Text scores with a PageRank that is personalised to preferred parts; documents are nodes of the graph by their id."""
+    scores = rank.rank(index(spark, d), searches(spark), "okapi25", 0.2)
+    importance = graph.pagerank(nodes(spark, d), edges(spark, d), brand_preferences(spark, d), updates=3)
+    blended = rank.personalised(scores, importance.select(F.col("id").alias("doc_id"), F.col("score").alias("importance")), 0.5)
+    best = rank.top_k(blended, 10)
+    return rounded(best, "score", "search_score").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "search_score", F.round("importance", 9).alias("pagerank_score"))
+
+
+def hits_converged(spark, d):
+    return rounded(graph.top_authors(authors(spark, d), 10), "hub", places=6)
+
+
+def bfs_full(spark, d):
+    """The whole frontier, level by level, with the crawl's cap."""
+    seeds = nodes(spark, d).agg(F.min("id").alias("id"))
+    return graph.bfs(edges(spark, d), seeds, cap=1000).select("id", F.col("depth").cast("long").alias("depth"))
+
+
 def authors(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("author"))
     return table(spark, d, "lineitem").join(orders, "l_orderkey").select("author", F.col("l_partkey").alias("paper_id")).distinct()
@@ -286,13 +348,19 @@ def wordcloud_rollup(spark, d):
     return profile.word_cloud(index(spark, d).kept, categories, 25)
 
 
+def crawled_papers(spark, d):
+    """Records of all pages, as a crawl stores them; the lists by their length."""
+    rows = page_source.paper_records(table(spark, d, "pages"))
+    return rows.select("id", "title", "abstract", "publication_year", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("authors", "related_topics", "references")), "citation_count", "reference_count")
+
+
 def page_fields(spark, d):
     return page_source.fields(table(spark, d, "pages")).select("page_id", "last_segment", "title", "lang", "n_links", "first_link")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields)
+    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
 }
 
 # -- oracles --------------------------------------------------------------------------------------------------------------
@@ -336,6 +404,27 @@ def _distance(a: str, b: str) -> str:
 _ASSIGN = f"""WITH ce AS (SELECT vec_id::INT AS cluster, embedding AS center FROM embeddings WHERE vec_id < {K}),
 asg AS (SELECT vec_id, cluster, dist AS distance FROM (SELECT vec_id, cluster, {_distance('embedding', 'center')} AS dist FROM embeddings CROSS JOIN ce) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 12), cluster) = 1)
 """
+
+
+def _lloyd(k: int, rounds: int = 40) -> str:
+    """a<rounds>_<k>: the assignment after so many rounds from the first k vectors; more rounds than these tables need change nothing."""
+    out = f"c0_{k} AS MATERIALIZED (SELECT vec_id::INT AS cluster, embedding::DOUBLE[] AS center FROM embeddings WHERE vec_id < {k})"
+    for i in range(rounds + 1):
+        out += f""", a{i}_{k} AS MATERIALIZED (SELECT vec_id, cluster FROM (SELECT vec_id, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding::DOUBLE[], center), 12), cluster) AS r
+            FROM embeddings CROSS JOIN c{i}_{k}) WHERE r = 1),
+        c{i + 1}_{k} AS MATERIALIZED (SELECT c.cluster, coalesce(n.center, c.center) AS center FROM c{i}_{k} c LEFT JOIN (SELECT cluster, list(x ORDER BY dim) AS center FROM
+            (SELECT cluster, dim, avg(x) AS x FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings JOIN a{i}_{k} USING (vec_id)) GROUP BY ALL) GROUP BY cluster) n USING (cluster))"""
+    return out
+
+
+def _quality(k: int, rounds: int = 40) -> str:
+    return f"""p_{k} AS (SELECT a.vec_id, x.cluster AS own, y.cluster, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS total, count(*) AS n
+        FROM embeddings a JOIN a{rounds}_{k} x USING (vec_id) CROSS JOIN embeddings b JOIN a{rounds}_{k} y ON y.vec_id = b.vec_id GROUP BY ALL),
+    s_{k} AS (SELECT vec_id, max(CASE WHEN own = cluster THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> cluster THEN total / n END) AS b FROM p_{k} GROUP BY 1),
+    u_{k} AS (SELECT max(n) AS m, sum(n) AS t FROM (SELECT cluster, label, count(*) AS n FROM a{rounds}_{k} JOIN embeddings USING (vec_id) GROUP BY ALL) GROUP BY cluster),
+    q_{k} AS (SELECT {k} AS k, (SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 5) FROM s_{k}) AS silhouette, (SELECT round(sum(m)::DOUBLE / sum(t), 6) FROM u_{k}) AS purity)"""
+
+
 _EDGES = """ed AS (SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
 
 
@@ -351,6 +440,16 @@ r0 AS (SELECT p_partkey AS id, {base} AS base, 1e0 / (SELECT count(*) FROM part)
     return out
 
 
+
+
+def _converged(n: int = 30) -> str:
+    """The scores before the first update that moves them by less than 1e-4 in sum, which comes within n updates."""
+    steps = _pagerank(n).replace(" AS (SELECT r.id", " AS MATERIALIZED (SELECT r.id")
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.score - b.score)) AS d FROM r{i} a JOIN r{i + 1} b USING (id)" for i in range(n))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, id, score FROM r{i}" for i in range(n))
+    return f"{steps}, mv AS ({moved}), ev AS ({every}) SELECT id, round(score, 9) AS score FROM ev WHERE i = (SELECT min(i) FROM mv WHERE d < 1e-4)"
+
+
 _AUTHORS = "au AS (SELECT DISTINCT o_custkey AS author, l_partkey AS paper_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
@@ -376,6 +475,28 @@ gt AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, gram)
 """
 
 ORACLES = {
+    "feature_slice": f"""WITH {TOKENS}, {_tfidf_sql('(SELECT * FROM tok WHERE length(term) > 1)')} SELECT doc_id, term, round(w, 6) AS w FROM ft
+        WHERE term IN (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS nth FROM (SELECT DISTINCT term FROM ft)) WHERE nth BETWEEN 100 AND 119)""",
+    "roc_by_class": f"""{_NBP}, lo AS (SELECT al.doc_id, al.label AS class, round(score - avg(score) OVER (PARTITION BY al.doc_id), 4) AS score, (al.label = te.label)::INT AS hit FROM al JOIN te ON te.doc_id = al.doc_id),
+        bt AS (SELECT * FROM lo UNION ALL SELECT doc_id, 'micro', score, hit FROM lo), gp AS (SELECT class, score, sum(hit) AS pos, sum(1 - hit) AS neg FROM bt GROUP BY ALL),
+        up AS (SELECT *, sum(pos) OVER (PARTITION BY class ORDER BY score DESC) AS upto FROM gp), ar AS (SELECT class, sum(neg * (2e0 * upto - pos) / 2) / nullif(sum(pos)::DOUBLE * sum(neg), 0) AS auc FROM up GROUP BY class)
+        SELECT class, round(auc, 6) AS auc FROM ar UNION ALL SELECT 'macro', round(avg(auc), 6) FROM ar WHERE class <> 'micro'""",
+    "kmeans_converged": f"WITH {_lloyd(K)} SELECT cluster, count(*) AS n FROM a40_{K} GROUP BY cluster",
+    "kmeans_sweep": "WITH " + ", ".join(f"{_lloyd(k)}, {_quality(k)}" for k in SWEEP) + " " + " UNION ALL ".join(f"SELECT * FROM q_{k}" for k in SWEEP),
+    "pagerank_converged": _converged(),
+    "personalised_search": f"""{_pagerank(3, True)}, {_bm25_scores().strip().removeprefix("WITH ")}, jn AS (SELECT query_id, doc_id, sc.score AS search_score, r3.score AS pagerank_score FROM sc JOIN r3 ON r3.id = doc_id),
+        tx AS (SELECT query_id, max(score) AS top FROM sc GROUP BY 1), bl AS (SELECT jn.*, 0.5e0 * coalesce(search_score / nullif(top, 0), 0) + 0.5e0 * pagerank_score / (SELECT max(score) FROM r3) AS score FROM jn JOIN tx USING (query_id))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score, round(search_score, 6) AS search_score, round(pagerank_score, 9) AS pagerank_score FROM bl QUALIFY rank <= 10""",
+    "similar_papers": f"""WITH pk AS (SELECT vec_id AS picked, embedding AS target FROM embeddings ORDER BY md5('3:' || vec_id), vec_id LIMIT 1),
+        nr AS (SELECT vec_id, {_distance('embedding', 'target')} AS distance FROM embeddings, pk WHERE vec_id <> picked ORDER BY round(distance, 9), vec_id LIMIT 5)
+        SELECT vec_id, round(distance, 6) AS distance, split_part(coalesce(text, ''), chr(10), 1) AS title FROM nr JOIN documents ON doc_id = vec_id""",
+    "bfs_full": f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT min(p_partkey) AS id, 0::BIGINT AS depth FROM part UNION SELECT dst, depth + 1 FROM walk JOIN ed ON src = id WHERE depth < 12)
+        SELECT id, min(depth) AS depth FROM walk GROUP BY id ORDER BY depth, id LIMIT 1000""",
+    "crawled_papers": r"""WITH p AS (SELECT string_split(url, '/')[-1] AS id, html, regexp_extract(html, 'data-topics="([^"]*)"', 1) AS t FROM pages WHERE regexp_extract(regexp_extract(html, '<[^>]*\bid="error-status"[^>]*>', 0), '\bvalue="([^"]*)"', 1) <> '404')
+        SELECT id, regexp_extract(html, '<meta\s+name="citation_title"\s+content="([^"]*)"', 1) AS title, regexp_extract(html, '<meta\s+name="description"\s+content="([^"]*)"', 1) AS abstract,
+        coalesce(try_cast(nullif(regexp_extract(html, 'citation_publication_date"\s+content="(\d{4})', 1), '') AS INT), -1) AS publication_year, len(regexp_extract_all(html, '<meta\s+name="citation_author"\s+content="([^"]*)"', 1))::BIGINT AS n_authors,
+        CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ', ')) END::BIGINT AS n_related_topics, len(regexp_extract_all(html, 'data-reference="([^"]*)"', 1))::BIGINT AS n_references,
+        coalesce(try_cast(replace(regexp_extract(html, '([\d,]+)\s+Citations', 1), ',', '') AS INT), -1) AS citation_count, coalesce(try_cast(replace(regexp_extract(html, '([\d,]+)\s+References', 1), ',', '') AS INT), -1) AS reference_count FROM p""".replace("\\\\", "\\"),
     "split_hash": "SELECT doc_id, CASE WHEN doc_id % 10 < 2 THEN 'test' ELSE 'train' END AS part FROM documents",
     "label_index": "SELECT lang AS label, row_number() OVER (ORDER BY lang) - 1 AS index FROM (SELECT DISTINCT lang FROM documents)",
     "nb_fit": f"{_NB} SELECT label, term, round(log_p, 6) AS log_p FROM lk",

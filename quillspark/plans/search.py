@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import metrics, rank, spell, text
 
 SEARCHES = [(1, "tion thand eron"), (2, "ou tion tion"), (3, "der ation que")]
 MISSPELLED = ["thad", "onenn", "tiom", "erten", "wiht"]
+TYPED = [(1, "thad tiom"), (2, "erten wiht onenn")]
 NEW_DOCUMENT = (10_000_001, "tion zebra\nzebra stripes tion zebra")
 SECOND_WEIGHT = 0.2
 
@@ -20,7 +23,8 @@ def docs(spark, d) -> DataFrame:
 
 
 def index(spark, d) -> ix.Index:
-    return ix.Index.build(docs(spark, d)).cached()
+    """Lazy: nothing is read before a query's result is. A service that answers many requests keeps `Index.cached` in an `Engine`."""
+    return ix.Index.build(docs(spark, d))
 
 
 def searches(spark) -> DataFrame:
@@ -187,17 +191,37 @@ def search_highlight(spark, d):
     return rank.with_highlights(best, i, searches(spark)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "title", "abstract")
 
 
-def benchmark_runs(spark, d, query=F.col) -> tuple[DataFrame, DataFrame]:
+def benchmark_runs(spark, d, query=F.col, method: str = "okapi25") -> tuple[DataFrame, DataFrame]:
     """Each benchmark passage, or what `query` makes of it, is a query; the documents that hold the passage are its judgements, in order of id."""
     items = spark.read.parquet(f"{d}/benchmark.parquet")
     queries = items.select(F.col("item_id").alias("query_id"), query("text").alias("query"))
-    best = rank.top_k(rank.rank(index(spark, d), queries, "okapi25", SECOND_WEIGHT, match="exact"), 10)
-    found = docs(spark, d).join(F.broadcast(items.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage"))
+    best = rank.top_k(rank.rank(index(spark, d), queries, method, SECOND_WEIGHT, match="exact"), 10)
+    found = containing(docs(spark, d), items.select("item_id", F.col("text").alias("passage")))
     order = Window.partitionBy("item_id").orderBy("doc_id")
     qrels = found.select(F.col("item_id").alias("query_id"), "doc_id", F.row_number().over(order).alias("rank"))
     return best.select("query_id", "rank", "doc_id"), qrels
 
 
+def containing(texts: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, text) and the passages (item_id, passage) that they contain. A text with a passage has the passage's first run of `words`
+    whole words behind its first blank, so both sides meet by the hash of such runs, and `contains` decides. Passages without such a run meet all texts. Passages are
+    broadcast if they are few characters; otherwise pairs of ids are found first and texts join them."""
+    run = rf"(?<=\s)\S+(?:\s+\S+){{{words - 1}}}(?=\s)"
+    first = passages.withColumn("run", F.regexp_extract("passage", run, 0))
+    few = (passages.agg(F.sum(F.length("passage"))).first()[0] or 0) <= rank.BROADCAST_CHARS
+    keyed = first.where("run <> ''").select("item_id", "passage", F.xxhash64(F.split("run", r"\s+")).alias("run"))
+    split = F.split("text", r"\s+")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(split) - (words - 1), F.lit(1)))
+    runs = F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(split, i, F.lit(words)))))).alias("run")
+    if few:
+        near = texts.select("doc_id", "text", runs).join(F.broadcast(keyed), "run")
+    else:
+        near = texts.select("doc_id", runs).join(keyed, "run").join(texts.select("doc_id", "text"), "doc_id")
+    short = first.where("run = ''").select("item_id", "passage")
+    rest = texts.join(F.broadcast(short) if few else short, F.contains("text", "passage"))
+    return near.where(F.contains("text", "passage")).select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id"))
+
+
 METRICS = ("precision", "recall", "f1", "map", "ndcg", "mrr", "ndcg_at_k")
 
 
@@ -222,6 +246,27 @@ def eval_summary(spark, d):
     return _summary(*benchmark_runs(spark, d, first_words))
 
 
+METHODS = ("okapi25", "ltn-lnn", "ltc-lnc")
+
+
+def eval_methods(spark, d):
+    """The three ranking methods, each against the same judgements."""
+    out = None
+    for method in METHODS:
+        runs, qrels = benchmark_runs(spark, d, first_words, method)
+        one = _summary(runs, qrels).select(F.lit(method).alias("method"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def search_corrected(spark, d):
+    """The whole request: spelling corrected, ranked, cut, marked."""
+    i = index(spark, d)
+    asked = spell.correct_queries(spell.bigram_index(surface_words(spark, d)), spark.createDataFrame(TYPED, "query_id int, query string"))
+    best = rank.top_k(rank.rank(i, asked, "okapi25", SECOND_WEIGHT), 2)
+    return rank.with_highlights(best, i, asked).join(asked, "query_id").select("query_id", "query", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), F.md5(F.concat_ws("\n", "title", "abstract")).alias("marked"))
+
+
 def eval_passages(spark, d):
     return _by_query(*benchmark_runs(spark, d))
 
@@ -233,7 +278,7 @@ def eval_passages_summary(spark, d):
 SCHEMES = [f"{doc}-{query}" for doc in rank.DOC_SCHEMES for query in rank.QUERY_SCHEMES]
 QUERIES = {
     f.__name__: f
-    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_passages, eval_passages_summary)
+    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_passages, eval_passages_summary, eval_methods, search_corrected)
 }
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}
@@ -284,7 +329,7 @@ sc AS (SELECT query_id, doc_id, 0.8e0 * s_title + 0.2e0 * s_abstract AS score FR
 """
 
 
-def _tfidf(scheme: str) -> str:
+def _tfidf(scheme: str, **options) -> str:
     doc, _, query = scheme.partition("-")
     weight = "1 + ln(qtf)" if query[0] == "l" else "qtf"
     norm = "sqrt(sum(w * w) OVER (PARTITION BY query_id))" if query[2] == "c" else "1e0"
@@ -294,7 +339,7 @@ def _tfidf(scheme: str) -> str:
         score = f"sum(qw * ({tf}) * ln((SELECT count(*) FROM documents)::DOUBLE / df))"
         return f"coalesce({score} / nullif(sqrt(sum(({tf}) * ({tf}))), 0), 0)" if doc[2] == "c" else score
 
-    return f"""{_hits()},
+    return f"""{_hits(**options)},
 qw AS (SELECT query_id, qterm, w / {norm} AS qw FROM (SELECT DISTINCT query_id, qterm, {weight} AS w FROM hit)),
 sc AS (SELECT query_id, doc_id, 0.8e0 * {part('title')} + 0.2e0 * {part('abstract')} AS score FROM full_hit JOIN qw USING (query_id, qterm) GROUP BY ALL)
 """
@@ -312,10 +357,10 @@ cand AS (SELECT query, word, sum(cnt)::BIGINT AS occ, sum(cnt)::DOUBLE / nullif(
 """
 
 
-def _eval() -> str:
+def _eval(scores=_bm25_scores) -> str:
     source = r"(SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:12], ' ') AS query FROM benchmark) v"
     ideal = " + ".join(f"1 / log2({i + 2})" for i in range(10))
-    return f"""{_bm25_scores(match="exact", source=source)}{_RANKED},
+    return f"""{scores(match="exact", source=source)}{_RANKED},
 runs AS (SELECT query_id, rank, doc_id FROM best WHERE rank <= 10),
 qrels AS (SELECT item_id AS query_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 na AS (SELECT query_id, count(*) AS n_actual FROM qrels GROUP BY 1), np AS (SELECT query_id, count(*) AS n_predicted FROM runs GROUP BY 1),
@@ -327,6 +372,29 @@ m AS (SELECT query_id, h::DOUBLE / p AS precision, h::DOUBLE / a AS recall, coal
       coalesce(dcg / nullif(best, 0), 0) AS ndcg, coalesce(1e0 / f, 0) AS mrr, dk / ({ideal}) AS ndcg_at_k FROM e)
 """
 
+def _marked(queries: str, k: int) -> str:
+    """The text of the k best documents of `best`, with each token that begins with a term of its query marked."""
+    before, after = '<mark style="background-color: #FFFF00">', "</mark>"
+    return f"""
+wt AS (SELECT query_id, list(term) AS terms FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {queries}) WHERE term NOT IN (SELECT term FROM stops) GROUP BY 1),
+pc AS (SELECT query_id, rank, doc_id, score, section, terms, body, regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+') AS l, regexp_split_to_array(body, '[\\p{{L}}\\p{{N}}]+') AS g
+       FROM best JOIN wt USING (query_id) JOIN sec USING (doc_id) WHERE rank <= {k}),
+mk AS (SELECT query_id, rank, doc_id, score, section, array_to_string(list_transform(range(1, len(l) + 1), lambda i: g[i] || CASE WHEN len(list_filter(terms, lambda t: starts_with(lower(l[i]), t))) > 0
+       THEN '{before}' || l[i] || '{after}' ELSE l[i] END), '') || CASE WHEN len(l) = 0 THEN body ELSE g[len(l) + 1] END AS body FROM pc),
+hl AS (SELECT query_id, rank, doc_id, score, max(CASE WHEN section = 'title' THEN body END) AS title, max(CASE WHEN section = 'abstract' THEN body END) AS abstract FROM mk GROUP BY ALL)"""
+
+
+def _corrected() -> str:
+    words = ", ".join(f"({i}, {n}, '{w}')" for i, q in TYPED for n, w in enumerate(q.split()))
+    values = ", ".join(f"('{w}')" for w in dict.fromkeys(w for _, q in TYPED for w in q.split()))
+    grams = _CANDIDATES.replace(", ".join(f"('{w}')" for w in MISSPELLED), values).strip().removeprefix("WITH ")
+    source = "cq"
+    return f"""WITH {grams}, top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(jaccard, 9) DESC NULLS LAST, word) AS r FROM cand),
+bw AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY levenshtein(query, word), r) AS b FROM top WHERE r <= 20),
+cq AS (SELECT query_id, string_agg(coalesce(word, w), ' ' ORDER BY n) AS query FROM (VALUES {words}) v(query_id, n, w) LEFT JOIN (SELECT query AS w, word FROM bw WHERE b = 1) USING (w) GROUP BY query_id),
+{_bm25_scores(source=source).strip().removeprefix("WITH ")}{_RANKED}, {_marked(source, 2)}
+SELECT query_id, query, rank, doc_id, round(score, 6) AS score, md5(title || chr(10) || abstract) AS marked FROM hl JOIN cq USING (query_id)"""
+
 
 ORACLES = {
     "tokenize": f"WITH {TOKENS} SELECT doc_id, section, pos, term FROM tok",
@@ -375,6 +443,10 @@ ORACLES = {
     "search_top10": f"""{_bm25_scores()}{_RANKED} SELECT query_id, rank, best.doc_id, round(score, 6) AS score, t.body AS title, length(a.body)::BIGINT AS abstract_chars
         FROM best JOIN sec t ON t.doc_id = best.doc_id AND t.section = 'title' JOIN sec a ON a.doc_id = best.doc_id AND a.section = 'abstract' WHERE rank <= 10""",
     "search_all": f"{_tfidf('ltn-lnn')}{_RANKED} SELECT query_id, rank, doc_id FROM best",
+    "search_highlight": f"""{_bm25_scores()}{_RANKED}, {_marked(f"(VALUES {_VALUES}) v(query_id, query)", 3)}
+        SELECT query_id, rank, doc_id, title, abstract FROM hl""",
+    "search_corrected": _corrected(),
+    "eval_methods": " UNION ALL ".join(f"SELECT * FROM ({_eval(f)} SELECT '{m}' AS method, {', '.join(f'round(avg({x}), 6) AS {x}' for x in METRICS)} FROM m)" for m, f in zip(METHODS, (_bm25_scores, *(partial(_tfidf, m) for m in METHODS[1:])), strict=True)),
     "eval_by_query": f"{_eval()} SELECT query_id, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM m",
     "eval_summary": f"{_eval()} SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM m",
 }

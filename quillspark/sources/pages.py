@@ -32,10 +32,12 @@ def fields(pages: DataFrame) -> DataFrame:
 
 def paper_records(pages: DataFrame) -> DataFrame:
     """Crawled papers: id, title, abstract, publication_year, authors, related_topics, citation_count, reference_count, references. -1 and empty lists
-    stand for what a page lacks."""
+    stand for what a page lacks. A page whose element error-status has the value 404 was not found and has no record."""
     h = F.col("html")
     year = F.coalesce(F.regexp_extract(h, r'citation_publication_date"\s+content="(\d{4})', 1).try_cast("int"), F.lit(-1))
-    return pages.where(~h.contains("404 ")).select(
+    status = F.regexp_extract(h, r'<[^>]*\bid="error-status"[^>]*>', 0)
+    missing = F.regexp_extract(status, r'\bvalue="([^"]*)"', 1) == "404"
+    return pages.where(~F.coalesce(missing, F.lit(False))).select(
         strings.id_from_url(F.col("url")).alias("id"),
         meta(h, "citation_title").alias("title"),
         meta(h, "description").alias("abstract"),
