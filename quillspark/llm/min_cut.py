@@ -12,7 +12,7 @@ import html as entities
 import math
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,14 @@ from pyspark.sql import types as T
 
 from .common import carry, row_type, tidy
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag whose quoted values may hold ">"; beyond NEAR characters a tag ends at the first ">", so no open quote is followed to the page's end again and again.
+TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
+NEAR = 4096
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-#: Elements whose content is no text.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "select", "option", "button", "object", "canvas"}
+#: Elements whose content is no text, or a form's controls.
+RAW = {"script", "style", "template", "textarea", "iframe", "title", "select", "option", "button"}
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split())
@@ -48,14 +51,17 @@ SIGNS = {
     "content": ({"article", "main"}, {"article", "post", "content", "entry", "story", "main", "text", "body"}),
     "hidden": (set(), {"hidden", "invisible", "sr", "none"}),
 }
-NAMES = [*SIGNS, "heading", "paragraph", "item", "links", "length", "sentences", "caps", "first", "in_article"]
+NAMES = [*SIGNS, "heading", "paragraph", "item", "links", "length", "sentences", "caps", "first", "in_article", "share", "after_title", "bare"]
 
 
 class Block:
-    __slots__ = ("text", "links", "path", "signs", "tag")
+    """A block's text, how much of it is linked, its number of open block elements, how many of them the block before it had open as well, the number of its
+    innermost element's parent, the signs of its surroundings, and its innermost block element's tag."""
 
-    def __init__(self, text, links, path, signs, tag):
-        self.text, self.links, self.path, self.signs, self.tag = text, links, path, signs, tag
+    __slots__ = ("text", "links", "depth", "common", "parent", "signs", "tag")
+
+    def __init__(self, *values):
+        self.text, self.links, self.depth, self.common, self.parent, self.signs, self.tag = values
 
 
 def signs_of(tag: str, attributes: str) -> frozenset:
@@ -76,48 +82,113 @@ def signs_of(tag: str, attributes: str) -> frozenset:
     return frozenset(out)
 
 
+class Open:
+    """The elements that are open, with counts of what the reader asks about them, so that each tag costs what it opens or closes."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset]] = []
+        self.n, self.tags, self.signs = 0, Counter(), Counter()
+        self.ids, self.block_tags, self.low = [0], ["body"], 1  # open block elements; how many have stayed open since the last block
+        self.inline = [Counter()]  # inline elements within each open block element
+        self.direct = [Counter()]  # elements within each open container, up to the next container
+
+    def push(self, tag: str, signs: frozenset) -> None:
+        self.n += 1
+        self.stack.append((tag, signs))
+        self.tags[tag] += 1
+        self.signs.update(signs)
+        self.direct[-1][tag] += 1
+        if tag in BLOCK:
+            self.ids.append(self.n)
+            self.block_tags.append(tag)
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+        if tag in CONTAINER:
+            self.direct.append(Counter())
+
+    def pop(self) -> str:
+        tag, signs = self.stack.pop()
+        self.tags[tag] -= 1
+        self.signs.subtract(signs)
+        if tag in CONTAINER:
+            self.direct.pop()
+        self.direct[-1][tag] -= 1
+        if tag in BLOCK:
+            self.ids.pop()
+            self.block_tags.pop()
+            self.inline.pop()
+            self.low = min(self.low, len(self.ids))
+        else:
+            self.inline[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """An end tag. One of an inline element closes nothing outside its block."""
+        if self.tags[tag] if tag in BLOCK else self.inline[-1][tag]:
+            while self.pop() != tag:
+                pass
+
+    def make_way(self, tags: set[str]) -> None:
+        """Closes the innermost open element of these tags in the same container."""
+        if any(self.direct[-1][t] for t in tags):
+            while self.pop() not in tags:
+                pass
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. A block's path has the numbers of its elements from the root down."""
+    """The page's blocks in order, in time linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, frozenset]] = []
+    now = Open()
     text: list[str] = []
-    state = {"links": 0, "n": 0}
+    links = 0
 
     def flush():
+        nonlocal links
         joined = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if joined:
-            signs = set().union(*(s for _, _, s in stack))
-            if any(t in ("article", "main") for t, _, _ in stack):
-                signs |= {"in_article"}
-            tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "body")
-            out.append(Block(joined, min(state["links"], len(joined)), tuple(i for t, i, _ in stack if t in BLOCK), signs, tag))
-        state["links"] = 0
+            signs = {k for k, n in now.signs.items() if n}
+            if now.tags["article"] or now.tags["main"]:
+                signs.add("in_article")
+            out.append(Block(joined, min(links, len(joined)), len(now.ids) - 1, now.low - 1, now.ids[-2] if len(now.ids) > 2 else 0, signs, now.block_tags[-1]))
+            now.low = len(now.ids)
+        links = 0
 
     def take(piece: str):
+        nonlocal links
         if piece:
             text.append(piece)
-            if any(t == "a" for t, _, _ in stack):
-                state["links"] += len(piece.strip())
-
-    at = 0
-    while m := TOKEN.search(page, at):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = (m[1] or m[3] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                take(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+            if now.tags["a"]:
+                links += len(piece.strip())
+
+    at, last = 0, page.rfind(">")
+    while (place := page.find("<", at)) >= 0:
+        take(page[at:place])
+        if page.startswith("<!--", place):
+            end = page.find("-->", place + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", place):
+            end = page.find("]]>", place + 9)
+            take(page[place + 9 : end if end >= 0 else len(page)].replace("&", "&amp;"))
+            at = end + 3 if end >= 0 else len(page)
             continue
-        if page[m.start() + 1] == "/":
+        if page[place + 1 : place + 2] in ("!", "?"):
+            end = page.find(">", place) if place < last else -1
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        m = (TAG.match(page, place, min(place + NEAR, last + 1)) or PLAIN_TAG.match(page, place)) if place < last else None
+        if not m:
+            take("<")
+            at = place + 1
+            continue
+        at = m.end()
+        tag = m[1].lower()
+        if page[place + 1] == "/":
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end tag closes nothing outside its block
+            now.close(tag)
             continue
         if tag in RAW:
             if not m[0].endswith("/>"):
@@ -129,19 +200,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            closes = CLOSED_BY.get(tag, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINER:
-                    break
+            now.make_way(CLOSED_BY.get(tag, {"p"}))
         if tag not in VOID and not m[0].endswith("/>"):
-            state["n"] += 1
-            signs = signs_of(tag, m[2] or m[4] or "")
-            if tag == "header" and any(t in ("article", "main") for t, _, _ in stack):
+            signs = signs_of(tag, m[2] or "")
+            if tag == "header" and (now.tags["article"] or now.tags["main"]):
                 signs -= {"header"}  # an article's own header has its title
-            stack.append((tag, state["n"], signs))
+            now.push(tag, signs)
     take(page[at:])
     flush()
     return out
@@ -150,6 +214,10 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), len(NAMES)))
     column = {n: i for i, n in enumerate(NAMES)}
+    mass, title = Counter(), False  # text that is not linked, by parent
+    for b in found:
+        mass[b.parent] += len(b.text) - b.links
+    every = max(sum(mass.values()), 1)
     for r, b in zip(x, found, strict=True):
         for s in b.signs:
             r[column[s]] = 1
@@ -161,6 +229,10 @@ def features(found: list[Block]) -> np.ndarray:
         r[column["length"]] = math.log1p(n) / 5
         r[column["sentences"]] = min(1.0, sum(b.text.count(c) for c in ".!?") / 3)
         r[column["caps"]] = sum(w[:1].isupper() for w in b.text.split()[:50]) / min(50, len(b.text.split()))
+        title = title or b.tag == "h1"
+        r[column["share"]] = mass[b.parent] / every
+        r[column["after_title"]] = title
+        r[column["bare"]] = not b.signs
     if len(x):
         x[0, column["first"]] = 1
     return x
@@ -193,6 +265,8 @@ def practice_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
             cls = rng.choice(sorted(SIGNS[kind][1])) if kind in SIGNS else ""
             tags = sorted(SIGNS[kind][0] - {"label", "legend", "input", "menu", "hgroup"}) if kind in SIGNS else []
             tag = rng.choice([*tags, "div"]) if rng.random() < 0.6 and tags else "div"
+            if rng.random() < 0.15:
+                cls = word()  # a name that says nothing
             attr = f' {rng.choice(["class", "id"])}="{cls}"' if tag == "div" or rng.random() < 0.4 else ""
             if kind in ("menu", "social"):
                 body = links(rng.randint(2, 8), rng.random() < 0.7)
@@ -206,9 +280,10 @@ def practice_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
 
         def article(el=el, boiler=boiler):
             body = [el("h1", prose(2, 9), 1)] if rng.random() < 0.8 else []
-            for _ in range(rng.randint(2, 9)):
+            short = rng.random() < 0.3
+            for _ in range(rng.randint(1, 3) if short else rng.randint(2, 9)):
                 r = rng.random()
-                body.append(el("h2", prose(1, 5), 1) if r < 0.1 else el("li", prose(3, 15), 1) if r < 0.15 else boiler(rng.choice(["advert", "social", "side"])) if r < 0.22 else el("p", prose(1, 90), 1))
+                body.append(el("h2", prose(1, 5), 1) if r < 0.1 else el("li", prose(3, 15), 1) if r < 0.15 else boiler(rng.choice(["advert", "social", "side"])) if r < 0.22 else el("p", prose(1, 8 if short else 90), 1))
             kind = rng.random()
             return ("<article>{}</article>" if kind < 0.5 else "<main>{}</main>" if kind < 0.65 else '<div class="{}">'.format(rng.choice(["content", "post", "entry", "story"])) + "{}</div>" if kind < 0.85 else "<div>{}</div>").format("".join(body))
 
@@ -247,12 +322,8 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            common = 0
-            while common < min(len(a), len(b.path)) and a[common] == b.path[common]:
-                common += 1
-            out.append((i - 1, i, SEQUENCE / (1 + max(len(a), len(b.path)) - common) ** 2))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            out.append((i - 1, i, SEQUENCE / (1 + max(found[i - 1].depth, b.depth) - b.common) ** 2))
+        parent = b.parent
         if parent in last and last[parent] != i - 1:
             out.append((last[parent], i, SIBLING))
         last[parent] = i

@@ -484,6 +484,33 @@ def test_main_text():
         min_cut.main_text(odd_page, weights)
 
 
+def test_main_text_keeps_what_is_not_listed():
+    weights = min_cut.fit()
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>On sums and their proofs</h1><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is known to us all.</p><p><object data=x>A picture of it, said here in words.</object> <noscript>And this is a plain line.</noscript></p><p>It ends here, as told.</p></article><form><button>Send</button><textarea>draft</textarea></form></body>"
+    assert min_cut.main_text(page, weights) == "On sums and their proofs The sum a+b is known to us all. A picture of it, said here in words. And this is a plain line. It ends here, as told."
+
+
+def test_pages_without_article_and_with_unknown_names():
+    weights = min_cut.fit()
+    prose = ["The river rises in the hills, and by noon it has come down to the old mill.", "Nobody had seen it so high in spring, the miller said, and she had lived there all her life.", "By evening the road was under water. The post came two days late."]
+    menu = "<div class='zorp'><a href=/a>Start</a> <a href=/b>World</a> <a href=/c>Sports</a></div>"
+    page = f"<html><body>{menu}<div class='qux7'><h1>High water at the mill</h1>{''.join(f'<p>{p}</p>' for p in prose)}</div><footer>Copyright by us</footer></body></html>"
+    assert min_cut.main_text(page, weights) == " ".join(["High water at the mill", *prose])
+
+
+def test_blocks_are_read_in_linear_time():
+    import time
+
+    k = 4000
+    for make in (lambda n: "<div>x" * n, lambda n: '<a "' * n, lambda n: "<a '\">" * n, lambda n: "<b>" * n + "<h1>x</h1>" * n, lambda n: "</i><b>x" * n, lambda n: "<div>" * n + "</section>x" * n):
+        took = []
+        for n in (k, 8 * k):
+            page, start = make(n), time.process_time()
+            min_cut.blocks(page)
+            took.append(time.process_time() - start)
+        assert took[1] < 24 * took[0] + 0.5
+
+
 def test_practice_pages_held_out():
     weights, right, total = min_cut.fit(), 0, 0
     for page, marks in min_cut.practice_pages(150, seed=99):
@@ -500,6 +527,7 @@ def test_extract(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html
 
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     want = {}
     for r in pages.collect():
         inner = r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]
