@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all runs on this machine, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -34,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive the loss of executors.
 
-    `keep` writes a DataFrame as Parquet and rereads it. `drop` deletes one that no later step reads.
+    `keep` writes a DataFrame as Parquet and rereads it. `drop` deletes those that no later step reads, and lets go of the shuffle
+    files of the steps that are done.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -50,6 +53,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        jvm.System.gc()  # shuffle files go once the driver has collected what refers to them
 
 
 #: Bytes, as estimated from a count and the columns' sizes, up to which a kept table is broadcast; larger ones are joined by shuffling.

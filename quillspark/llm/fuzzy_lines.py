@@ -148,10 +148,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
     keys = [f"b{b}" for b in range(BANDS)]
     lines = rows.mapInArrow(tidy(_line_features(1 if short_lines else SHINGLE_CHARS)), "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
-    lines = scratch.keep(lines, "lines", "none")
+    lines = scratch.keep(lines, "lines", "snappy")
     known = lines.where("not again and doc_id is not null")
     distinct = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
-    distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct", "none")
+    distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct", "snappy")
+    # from here on lines need no band keys
+    lines = scratch.keep(lines.drop(*keys), "places", "snappy")
+    scratch.drop("lines")
+    known = lines.where("not again and doc_id is not null")
     members = distinct.where("b0 is not null").select(F.explode(F.array(*keys)).alias("key"), "id")
 
     def payload_of(ids: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop = known.select("doc_id", "body", "line", "h1", "h2").join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
     drop = drop.union(lines.where("again").select("doc_id", "body", "line"))
     drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("drop")), "drop")
-    scratch.drop("lines", "distinct", "sought", "wanted", "shared", "stays")
+    scratch.drop("places", "distinct", "sought", "wanted", "shared", "stays")
 
     row, cells, fields = carry(docs, ["clean_text", "n_lines", "n_kept"])
     full = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))

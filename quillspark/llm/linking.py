@@ -167,7 +167,9 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     mixed = F.col("id").bitwiseXOR(F.col("key"))
     picks = members.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
     picks = scratch.keep(picks.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("low"), F.col("high").bitwiseXOR(F.col("key")).alias("high")), "picks")
+    scratch.drop()
     act = scratch.keep(members.select("key", "id").join(sized(picks), "key"), "act")
+    scratch.drop("picks")
     ids = scratch.keep(act.select("id").distinct(), "ids")
     payload = scratch.keep(payload_of(ids), "payload")
     if payload.count() > ids.count():  # rows that repeat an item
@@ -185,20 +187,23 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     reps = act.where("id <> low").select(F.col("low").alias("x"), F.col("id").alias("y")).union(act.where("id <> high").select(F.col("high").alias("x"), F.col("id").alias("y")))
     seen = scratch.keep(pairs(reps), "pairs")
     links = verified(seen, "links")
+    scratch.drop()
     comps = components(scratch, links, "first")
 
     placed = scratch.keep(act.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    scratch.drop("act")
     # with up to three members all pairs have been compared
     # (what is joined by a bucket's key is written first, so that no join is tied to an aggregation's partitions and hot ones can be split)
     unlike = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most and n > 3").select("key")
     unlike = scratch.keep(unlike, "unlike")
     open_ = scratch.keep(placed.join(sized(unlike), "key"), "open")
+    scratch.drop("placed", "unlike")
     # Members of a bucket's largest component need not look for others: the others look for them.
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("n"))
     core = scratch.keep(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("c")).select("key", F.col("c.comp").alias("core")), "core")
     items = open_.join(sized(core), "key").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("core")).alias("few"))
     items = scratch.keep(items, "items-open")
-    done = ("picks", "act", "ids", "payload", "payload-once", "pairs", "links", "placed", "unlike", "open", "core", "items-open")
+    done = ("ids", "payload", "payload-once", "pairs", "links", "open", "core", "items-open")
     if items.isEmpty():
         scratch.drop(*done)
         return comps
