@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a reliable checkpoint, where a folder is set for it, else by an eager cache."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and (path := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(path)
-    if spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    df = df.cache()
-    df.count()
-    return df
+    """Cuts the lineage of an iteration by a checkpoint in spark.checkpoint.dir, or, where that is unset and all runs on this machine, in a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="quillspark-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
 
 
 def weighted_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
