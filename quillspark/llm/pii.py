@@ -2,9 +2,10 @@
 
 Four exact patterns give the base spans, which always stay. Beside them, generators of high recall propose overlapping candidates that the
 patterns miss: written-out e-mail addresses, national phone numbers, card numbers in other groupings, longer and shorter ones, and IPv6
-addresses. Gradient-boosted trees over features of form and context score them. Each kind's threshold is the lowest at which the
-wanted precision holds on examples that the trees have not seen. Of overlapping candidates the one with the higher score stays;
-none may overlap a base span.
+addresses. Gradient-boosted trees over features of form and context score them, monotone curves turn scores into probabilities, and each kind's
+threshold is the lowest at which the wanted precision holds; trees, curves and thresholds each have examples of their own. Of
+overlapping candidates the one with the higher probability stays; none may overlap a base span. No labelled personal data is at hand, so all
+examples are made up: what the figures on them say of real texts is limited.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -246,49 +248,91 @@ def practice(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs[:n]), np.array(ys[:n])
 
 
-#: Examples that are made up for training and for calibration, and the precision that a threshold must hold.
+#: Examples that are made up for training (half as many for calibration, and for thresholds), and the precision that a threshold must hold.
 EXAMPLES, PRECISION = 6000, 0.98
 
 
+def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and the share of hits at them, made monotone by pooling neighbours that are out of order: a score's calibrated probability is that of the last score
+    not above it."""
+    order = np.argsort(p, kind="stable")
+    score, hits = p[order], y[order].astype(float)
+    pools: list[list[float]] = []  # hits, rows, first score
+    for x, h in zip(score.tolist(), hits.tolist(), strict=True):
+        pools.append([h, 1.0, x])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            h1, n1, _ = pools.pop()
+            pools[-1][0] += h1
+            pools[-1][1] += n1
+    # one hit and one miss more in each pool, so that no pool is certain
+    return np.array([x for _, _, x in pools]), np.array([(h + 1) / (n + 2) for h, n, _ in pools])
+
+
 class Judge:
+    """Trees fitted on one set of made-up examples, probabilities calibrated for each kind on a second, thresholds found on a third."""
+
     def __init__(self, seed: int = 5):
-        x, y = practice(EXAMPLES, seed)
-        self.model = Boosted().fit(x, y)
+        self.model = Boosted().fit(*practice(EXAMPLES, seed))
         x, y = practice(EXAMPLES // 2, seed + 1)
         p = self.model.predict(x)
+        self.curves = [isotonic(p[x[:, 0] == k], y[x[:, 0] == k]) for k in range(len(KINDS))]
+        x, y = practice(EXAMPLES // 2, seed + 2)
+        p = self.calibrated(x)
         self.thresholds = []
         for k in range(len(KINDS)):
             own = x[:, 0] == k
-            order = np.argsort(-p[own], kind="stable")
-            precision = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
+            scores = np.unique(p[own])[::-1]  # a threshold takes all examples of its score
+            taken = p[own][None, :] >= scores[:, None]
+            precision = (taken * y[own]).sum(1) / taken.sum(1)
             good = np.flatnonzero(precision >= PRECISION)
-            self.thresholds.append(max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.1)
+            self.thresholds.append(max(0.5, float(scores[good[-1]])) if len(good) else 1.1)
+
+    def calibrated(self, x: np.ndarray) -> np.ndarray:
+        p, out = self.model.predict(x), np.zeros(len(x))
+        for k, (score, share) in enumerate(self.curves):
+            own = x[:, 0] == k
+            out[own] = share[np.maximum(np.searchsorted(score, p[own], side="right") - 1, 0)]
+        return out
 
     def spans(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        found = candidates(text)
-        if not found:
-            return []
-        taken = sorted((a, b) for _, a, b in base)
-        found = [c for c in found if not _overlaps(taken, c[1], c[2])]
+        """Candidates whose calibrated probability reaches their kind's threshold, the most probable first (ties: by raw score, then in the order they were
+        proposed), unless they overlap a base span or one that is taken."""
+        taken = Taken((a, b) for _, a, b in base)
+        found = [c for c in candidates(text) if taken.free(c[1], c[2])]
         if not found:
             return []
-        p = self.model.predict(np.array([describe(text, *c) for c in found]))
+        x = np.array([describe(text, *c) for c in found])
+        p, raw = self.calibrated(x), self.model.predict(x)
         out = []
-        for i in np.argsort(-p, kind="stable").tolist():
+        for i in np.lexsort((np.arange(len(p)), -raw, -p)).tolist():
             kind, a, b = found[i]
-            if p[i] >= self.thresholds[KINDS.index(kind)] and not _overlaps(taken, a, b):
+            if p[i] >= self.thresholds[KINDS.index(kind)] and taken.free(a, b):
                 out.append(found[i])
-                taken.append((a, b))
-                taken.sort()
+                taken.add(a, b)
         return out
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """taken is sorted; its spans may overlap one another."""
-    from bisect import bisect_left
+class Taken:
+    """Stretches of a text that are taken, disjoint and in order, so that a look-up is a bisection."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return not i or self.ends[i - 1] <= a
 
-    i = bisect_left(taken, (b, -1))
-    return any(e > a for _, e in taken[max(0, i - 64) : i]) or i > 64 and any(e > a for _, e in taken[:i])
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
