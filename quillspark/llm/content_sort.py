@@ -1,8 +1,9 @@
 """Exact deduplication by sorting content.
 
-Sampled splitters deal the normalised texts out by range, an external sort in each partition puts equal texts next to each
-other, and neighbours are compared in full. A run of equal texts that crosses partitions is joined again at the borders,
-so copies of one text, however many, are spread over as many partitions as they fill.
+Sampled splitters deal the normalised texts out by ranges of their beginnings, an external sort in each partition orders them by their whole content,
+so equal texts are neighbours, and neighbours are compared in full. Texts that begin alike stay in one partition, unless they are too many: then their order is
+that of their digests first, partitions are cut by digest and id, and a run of equal texts that crosses partitions is joined again at the
+borders. So copies of one text, however many, are spread over as many partitions as they fill.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
 
-#: Characters of a text that its splitter carries; ties go by the text's SHA-256 and then by its id, so equal texts stay together.
-SPLITTER_CHARS = 64
+#: Characters of a text that its splitter carries, and the number of texts from which on a common beginning may be cut.
+SPLITTER_CHARS, LEAST_HOT = 64, 1000
 
 
 def normalised(text):
@@ -98,10 +99,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     scratch = Scratch(spark, "content-sort")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.select("doc_id", "norm", F.sha2(F.col("norm"), 256).alias("sha"), F.substring("norm", 1, SPLITTER_CHARS).alias("head"))
-    ordered = rows.repartitionByRange(*(F.asc_nulls_last(c) for c in ("head", "sha", "doc_id"))).sortWithinPartitions(*(F.asc_nulls_last(c) for c in ("head", "sha", "norm", "doc_id")))
+    rows = scratch.keep(rows.select("doc_id", "norm", F.sha2(F.col("norm"), 256).alias("sha"), F.substring("norm", 1, SPLITTER_CHARS).alias("head")), "normalised")
+    # Texts go by their content. Only where more begin alike than fit into a partition, the partitions between them are cut by digest and id.
+    most = max(rows.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), LEAST_HOT)
+    hot = rows.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > most).select("head", F.lit(True).alias("hot"))  # four a partition at most
+    rows = rows.join(F.broadcast(hot), "head", "left")
+    rows = rows.select("doc_id", "norm", "sha", "head", F.when(F.col("hot"), F.col("sha")).alias("tie"), F.when(F.col("hot"), F.col("doc_id")).alias("part_id"))
+    ordered = rows.repartitionByRange(*(F.asc_nulls_last(c) for c in ("head", "tie", "part_id"))).sortWithinPartitions(*(F.asc_nulls_last(c) for c in ("head", "tie", "norm", "doc_id")))
     schema = "doc_id long, keep_id long, group_size long, text_sha256 string, part int, edge int, border string"
     runs = scratch.keep(ordered.select("doc_id", "norm", "sha").mapInArrow(tidy(_runs), schema), "runs")
+    scratch.drop("normalised")
 
     # Border runs: two for each partition at most. Only flags and counts meet in one task, texts are compared where they lie.
     border = runs.where("border is not null").select("part", "edge", "keep_id", "group_size", "border")
