@@ -53,8 +53,8 @@ def highlight(text: Column, starts: Column, ends: Column, before: str = '<mark s
 def first_of_list_literal(literal: Column) -> Column:
     """First item of a list that is written like ['a', "it's"]: what lies between its first quotes, escapes undone; never evaluated. Null
     if there is none."""
-    single, double = (F.regexp_extract(literal, rf"^\s*\[\s*{q}((?:[^{q}\\]|\\.)*){q}\s*[,\]]", 1) for q in ("'", '"'))
-    quoted = F.when(F.rlike(literal, F.lit(r"^\s*\[\s*'")), single).when(F.rlike(literal, F.lit(r'^\s*\[\s*"')), double)
+    item = {q: rf"^\s*\[\s*{q}((?:[^{q}\\]|\\.)*){q}\s*[,\]]" for q in ("'", '"')}
+    quoted = F.coalesce(*(F.when(F.rlike(literal, F.lit(p)), F.regexp_extract(literal, p, 1)) for p in item.values()))
     return F.regexp_replace(quoted, r"\\(.)", "$1")
 
 

@@ -77,17 +77,16 @@ def weighted_embedding(features: DataFrame, term_vectors: DataFrame) -> DataFram
     return rows.groupBy("doc_id", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
-def lda_topics(tokens_: DataFrame, k: int = 3, words: int = 5, vocabulary: int = 5000, seed: int = 1) -> DataFrame:
-    """(topic, rank, term, weight) of a latent Dirichlet allocation over documents' term counts."""
+def lda_topics(tokens_: DataFrame, k: int = 3, words: int = 5, vocabulary: int = 1 << 18, seed: int = 1) -> DataFrame:
+    """(topic, rank, term, weight) of a latent Dirichlet allocation over documents' counts of the `vocabulary` most frequent terms, which the driver holds."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     rows = tokens_.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
     counts = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary).fit(rows)
     topics = LDA(k=k, seed=seed, maxIter=5).fit(counts.transform(rows)).describeTopics(words)
-    terms = F.array(*map(F.lit, counts.vocabulary))
-    flat = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    return flat.select("topic", "rank", F.element_at(terms, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"))
+    found = [(t["topic"], r, counts.vocabulary[i], w) for t in topics.collect() for r, (i, w) in enumerate(zip(t["termIndices"], t["termWeights"], strict=True))]  # k topics
+    return tokens_.sparkSession.createDataFrame(found, "topic int, rank int, term string, weight double")
 
 
 def word_vectors(parts: DataFrame, size: int = 100, min_count: int = 5, seed: int = 1):

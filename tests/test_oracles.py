@@ -32,6 +32,9 @@ def test_matches_oracle(spark, duck, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(ORACLES)))
-def test_runs(spark, name):
-    assert ALL[name](spark, SF).count() >= 0
+def test_every_other_query_has_a_test():
+    """tests/test_models.py asserts on the queries that SQL cannot express."""
+    from pathlib import Path
+
+    body = (Path(__file__).parent / "test_models.py").read_text()
+    assert all(f"{name}(" in body for name in set(ALL) - set(ORACLES))
