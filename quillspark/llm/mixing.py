@@ -5,8 +5,9 @@ weights have a target entropy, or so that no source is repeated more often than
 dealt out as whole passes over its documents and one part of a pass. Every pass is another permutation (documents in order of a
 hash of seed, pass and id), and the stream is cut into blocks over which every source is spread in proportion to its budget.
 
-No source's rows meet in one task: totals are pre-aggregated, and the cut of the last pass is found in a histogram of the hash, then
-among the rows of one of its 1024 cells. What is kept of a source is one row, so each document decides for itself.
+No source's rows meet in one task: totals are pre-aggregated, and the cut of the last pass is found in a histogram of the hash, in one of its 1024
+cells' own histogram, and then among the rows of a cell there: a millionth of a source. What is kept of a source is one row, so each document
+decides for itself.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, carry, sized
 
-CELLS = 1024
+#: Cells of a histogram of the hash, and histograms one within the other.
+CELLS, LEVELS = 1024, 2
 #: Sections of the interval in one pass over the sources' totals; four bisections at once.
 SECTIONS, PASSES = 16, 12
 
@@ -110,19 +112,24 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.coalesce("of_id", F.lit(-1).cast("long"))), 2)
 
     last = own.join(sized(plan.where("rest > 0").select("of_source", "full", "rest")), "of_source").withColumn("at", place(F.col("full")))
-    last = last.withColumn("cell", F.shiftright("at", 62 - int(math.log2(CELLS))))
-    cells = last.groupBy("of_source", "cell").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy("of_source").orderBy("cell"))
-    cells = cells.withColumn("before", upto - F.col("n")).where(F.col("before") <= F.col("rest"))
-    cut = cells.groupBy("of_source").agg(F.max(F.struct("cell", "before")).alias("c")).select("of_source", F.col("c.cell").alias("cell"), F.col("c.before").alias("before"))
-    cut = scratch.keep(cut, "cut")
-    inner = last.join(sized(cut), ["of_source", "cell"])
+    last = own.join(sized(plan.where("rest > 0").select("of_source", "full", "rest")), "of_source").withColumn("at", place(F.col("full")))
+    # the cut of the last pass: the cell of the histogram in which it falls, the cell of that one's own histogram, and then the rows in there
+    bits = int(math.log2(CELLS))
+    inner, cut = last.withColumn("before", F.lit(0).cast("long")), None
+    for level in range(1, LEVELS + 1):
+        of_level = F.shiftright("at", 62 - level * bits)
+        tally = inner.groupBy("of_source", of_level.alias("cell")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("start"))
+        upto = F.sum("n").over(Window.partitionBy("of_source").orderBy("cell"))
+        tally = tally.withColumn("before", F.col("start") + upto - F.col("n")).where(F.col("before") <= F.col("rest"))
+        cut = tally.groupBy("of_source").agg(F.max(F.struct("cell", "before")).alias("c")).select("of_source", F.col("c.cell").alias("cell"), F.col("c.before").alias("before"))
+        cut = scratch.keep(cut, f"cut-{level}")
+        inner = last.withColumn("cell", of_level).join(sized(cut), ["of_source", "cell"]).drop("cell")
     # rows of equal places come in or stay out together
     order = Window.partitionBy("of_source").orderBy("at", F.coalesce("of_id", F.lit(-1).cast("long")))
     inner = inner.withColumn("upto", F.sum("n_tokens").over(order) + F.col("before")).where("upto <= rest")
     stop = inner.groupBy("of_source").agg(F.max(F.struct("at", F.coalesce("of_id", F.lit(-1).cast("long")).alias("id"))).alias("stop"))
     # where not even the cell's first document fits, the pass stops at the cell's start
-    edge = cut.select("of_source", F.struct(F.shiftleft(F.col("cell"), 62 - int(math.log2(CELLS))).alias("at"), F.lit(-(1 << 63)).cast("long").alias("id")).alias("edge"))
+    edge = cut.select("of_source", F.struct(F.shiftleft(F.col("cell"), 62 - LEVELS * bits).alias("at"), F.lit(-(1 << 63)).cast("long").alias("id")).alias("edge"))
     plan = scratch.keep(plan.join(edge, "of_source", "left").join(stop, "of_source", "left").withColumn("stop", F.coalesce("stop", "edge")).drop("edge"), "final")
 
     row, cells, _ = carry(docs, ["n_tokens", "epoch", "block", "slot"])
