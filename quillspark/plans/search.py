@@ -191,10 +191,10 @@ def search_highlight(spark, d):
     return rank.with_highlights(best, i, searches(spark)).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "title", "abstract")
 
 
-def benchmark_runs(spark, d, query=F.col, method: str = "okapi25") -> tuple[DataFrame, DataFrame]:
-    """Each benchmark passage, or what `query` makes of it, is a query; the documents that hold the passage are its judgements, in order of id."""
+def benchmark_runs(spark, d, method: str = "okapi25") -> tuple[DataFrame, DataFrame]:
+    """Each benchmark passage, whole, is a query; the documents that hold the passage are its judgements, in order of id."""
     items = spark.read.parquet(f"{d}/benchmark.parquet")
-    queries = items.select(F.col("item_id").alias("query_id"), query("text").alias("query"))
+    queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     best = rank.top_k(rank.rank(index(spark, d), queries, method, SECOND_WEIGHT, match="exact"), 10)
     found = containing(docs(spark, d), items.select("item_id", F.col("text").alias("passage")))
     order = Window.partitionBy("item_id").orderBy("doc_id")
@@ -225,11 +225,6 @@ def containing(texts: DataFrame, passages: DataFrame, words: int = 4) -> DataFra
 METRICS = ("precision", "recall", "f1", "map", "ndcg", "mrr", "ndcg_at_k")
 
 
-def first_words(name: str):
-    """The queries that the SQL of eval_by_query and eval_summary makes of the passages; eval_passages and eval_passages_summary have them whole."""
-    return F.array_join(F.slice(F.split(name, r"\s+"), 1, 12), " ")
-
-
 def _by_query(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     return metrics.retrieval_by_query(runs, qrels).select("query_id", *(F.round(m, 6).alias(m) for m in METRICS))
 
@@ -239,11 +234,11 @@ def _summary(runs: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def eval_by_query(spark, d):
-    return _by_query(*benchmark_runs(spark, d, first_words))
+    return _by_query(*benchmark_runs(spark, d))
 
 
 def eval_summary(spark, d):
-    return _summary(*benchmark_runs(spark, d, first_words))
+    return _summary(*benchmark_runs(spark, d))
 
 
 METHODS = ("okapi25", "ltn-lnn", "ltc-lnc")
@@ -253,7 +248,7 @@ def eval_methods(spark, d):
     """The three ranking methods, each against the same judgements."""
     out = None
     for method in METHODS:
-        runs, qrels = benchmark_runs(spark, d, first_words, method)
+        runs, qrels = benchmark_runs(spark, d, method)
         one = _summary(runs, qrels).select(F.lit(method).alias("method"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -267,18 +262,10 @@ def search_corrected(spark, d):
     return rank.with_highlights(best, i, asked).join(asked, "query_id").select("query_id", "query", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), F.md5(F.concat_ws("\n", "title", "abstract")).alias("marked"))
 
 
-def eval_passages(spark, d):
-    return _by_query(*benchmark_runs(spark, d))
-
-
-def eval_passages_summary(spark, d):
-    return _summary(*benchmark_runs(spark, d))
-
-
 SCHEMES = [f"{doc}-{query}" for doc in rank.DOC_SCHEMES for query in rank.QUERY_SCHEMES]
 QUERIES = {
     f.__name__: f
-    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_passages, eval_passages_summary, eval_methods, search_corrected)
+    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_methods, search_corrected)
 }
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}
@@ -358,7 +345,7 @@ cand AS (SELECT query, word, sum(cnt)::BIGINT AS occ, sum(cnt)::DOUBLE / nullif(
 
 
 def _eval(scores=_bm25_scores) -> str:
-    source = r"(SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:12], ' ') AS query FROM benchmark) v"
+    source = "(SELECT item_id AS query_id, text AS query FROM benchmark) v"
     ideal = " + ".join(f"1 / log2({i + 2})" for i in range(10))
     return f"""{scores(match="exact", source=source)}{_RANKED},
 runs AS (SELECT query_id, rank, doc_id FROM best WHERE rank <= 10),

@@ -134,7 +134,7 @@ def test_encoder(spark):
 
 
 def test_whole_passages(spark):
-    """eval_passages: the judgements are the documents that hold the passage, and a passage's best hit is one of them."""
+    """eval_by_query, eval_summary: the judgements are the documents that hold the passage, and a passage's best hit is one of them."""
     texts = {r["doc_id"]: r["text"] or "" for r in search.docs(spark, SF).collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     held = {i: [d for d, t in texts.items() if p in t] for i, p in items.items()}
@@ -143,9 +143,9 @@ def test_whole_passages(spark):
     for r in qrels.orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["doc_id"])
     assert dict(got) == {i: sorted(d) for i, d in held.items() if d}
-    rows = search.eval_passages(spark, SF).collect()
+    rows = search.eval_by_query(spark, SF).collect()
     assert {r["query_id"] for r in rows} == set(got) and all(r["mrr"] > 0 for r in rows)
-    mean = search.eval_passages_summary(spark, SF).first()
+    mean = search.eval_summary(spark, SF).first()
     assert mean["mrr"] == pytest.approx(np.mean([r["mrr"] for r in rows]), abs=2e-6)
 
 

@@ -304,7 +304,7 @@ def test_engine(spark):
         engine.similar(1)
 
 
-def test_eval_passages_ranks_by_whole_passages(spark, tmp_path):
+def test_evaluation_ranks_by_whole_passages(spark, tmp_path):
     start = "common words that open each of these passages in the very same way"
     passages = [f"{start} own{i} part{i} end{i}" for i in range(4)]
     fill = [f"note{i}\nother{i} text{i} of{i}" for i in range(30)]
@@ -317,13 +317,12 @@ def test_eval_passages_ranks_by_whole_passages(spark, tmp_path):
     assert {q: {r["doc_id"] for r in judged if r["query_id"] == q} for q in held} == held
     first = runs.where("rank <= 2").collect()
     assert {q: {r["doc_id"] for r in first if r["query_id"] == q} for q in held} == held
-    got = search.eval_passages(spark, str(tmp_path)).collect()
+    got = search.eval_by_query(spark, str(tmp_path)).collect()
     assert len(got) == 4 and all(r["recall"] == r["mrr"] == r["map"] == 1 for r in got)
-    assert search.eval_passages_summary(spark, str(tmp_path)).first()["mrr"] == 1
-    assert search.eval_by_query(spark, str(tmp_path)).where("mrr = 1").count() < 4  # by first words, which all passages share
+    assert search.eval_summary(spark, str(tmp_path)).first()["mrr"] == 1
 
 
-def test_eval_passages_matches_sql(spark):
+def test_passage_runs_match_sql(spark):
     import duckdb
 
     d = "/root/testdata/sf0.001"
