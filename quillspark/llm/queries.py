@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as vocab
 
-from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, min_cut, mixing, multi_index, pii, token_files, toxicity
+from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, min_cut, mixing, multi_index, pii, rolling, token_files, toxicity
 from .common import table
 
 
@@ -52,7 +52,11 @@ def op8_multi_index(spark, sf_dir):
     return multi_index.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op3_pii, op4_token_files, op5_exact_dedup, op6_bpe_tree, op7_min_cut, op8_multi_index, op9_fuzzy_lines, op10_mixing)}
+def op11_rolling(spark, sf_dir):
+    return rolling.document_features(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op3_pii, op4_token_files, op5_exact_dedup, op6_bpe_tree, op7_min_cut, op8_multi_index, op9_fuzzy_lines, op10_mixing, op11_rolling)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -60,4 +64,17 @@ ORACLES = {
              g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
     """,
+    # CRC-32 by its table of 256 rows, then windows by range of whole seconds
+    "op11_rolling": """
+        WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+             h AS (SELECT doc_id, source, lang, length(text) AS n, xor(list_reduce(range(1, length(doc_id::VARCHAR) + 1), lambda c, k: xor(c >> 8, t[1 + (xor(c, ascii(substr(doc_id::VARCHAR, k, 1))) & 255)]), 4294967295::BIGINT), 4294967295) AS h
+                   FROM documents, crc),
+             e AS (SELECT *, (60 * floor((doc_id + h % 10000) / 6.0))::BIGINT AS event_s FROM h),
+             w AS (SELECT doc_id, 600 AS window_s, event_s, count(*) OVER x AS n_events, list(n) OVER x AS l, list(lang) OVER x AS g FROM e
+                   WINDOW x AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 600 PRECEDING AND 1 PRECEDING)
+                   UNION ALL SELECT doc_id, 43200, event_s, count(*) OVER x, list(n) OVER x, list(lang) OVER x FROM e
+                   WINDOW x AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 43200 PRECEDING AND 1 PRECEDING)),
+             s AS (SELECT * EXCLUDE (l, g), list_sort(list_filter(l, lambda x: x IS NOT NULL)) AS l, len(list_distinct(g)) AS n_langs FROM w)
+        SELECT doc_id, window_s::BIGINT AS window_s, event_s, n_events, coalesce(list_sum(l), 0)::BIGINT AS sum_chars, coalesce(n_langs, 0)::BIGINT AS n_langs, l[(len(l) + 1) // 2] AS median_chars, l[(90 * len(l) + 99) // 100] AS high_chars FROM s
+    """,
 }
