@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as vocab
 
-from . import bagminhash, bpe_tree, content_sort, fuzzy_lines, min_cut, mixing, multi_index, pii, rolling, token_files, toxicity
+from . import alignment, bagminhash, bpe_tree, content_sort, fuzzy_lines, maxscore, min_cut, mixing, multi_index, pii, rolling, token_files, toxicity
 from .common import table
 
 
@@ -56,7 +56,16 @@ def op11_rolling(spark, sf_dir):
     return rolling.document_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op3_pii, op4_token_files, op5_exact_dedup, op6_bpe_tree, op7_min_cut, op8_multi_index, op9_fuzzy_lines, op10_mixing, op11_rolling)}
+def op12_maxscore(spark, sf_dir):
+    return maxscore.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op13_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.alignment(docs, vocab.path("byte_bpe_50k.json"), vocab.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_toxicity, op3_pii, op4_token_files, op5_exact_dedup, op6_bpe_tree, op7_min_cut, op8_multi_index, op9_fuzzy_lines, op10_mixing, op11_rolling, op12_maxscore, op13_alignment)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
@@ -77,4 +86,10 @@ ORACLES = {
              s AS (SELECT * EXCLUDE (l, g), list_sort(list_filter(l, lambda x: x IS NOT NULL)) AS l, len(list_distinct(g)) AS n_langs FROM w)
         SELECT doc_id, window_s::BIGINT AS window_s, event_s, n_events, coalesce(list_sum(l), 0)::BIGINT AS sum_chars, coalesce(n_langs, 0)::BIGINT AS n_langs, l[(len(l) + 1) // 2] AS median_chars, l[(90 * len(l) + 99) // 100] AS high_chars FROM s
     """,
+    "op12_maxscore": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 5
+    """,
 }
