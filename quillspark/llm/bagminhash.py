@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized, tidy
@@ -77,8 +77,8 @@ def _features(batches):
             size = np.bincount(owner, minlength=hi - lo)
             own, h, count = occurrences(owner, h)
             keys = signed(band_keys(signatures(own, h, count, hi - lo, BANDS * ROWS), BANDS, ROWS))
-            cols = [ids.slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(signed(w1)), pa.array(signed(w2))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)], names=["doc_id", "size", "w1", "w2"] + [f"b{b}" for b in range(BANDS)])
+            cols = [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(signed(w1)), pa.array(signed(w2))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)], names=["doc_id", "tag", "size", "w1", "w2"] + [f"b{b}" for b in range(BANDS)])
 
 
 def _payload(batches):
@@ -99,20 +99,20 @@ def _payload(batches):
             yield out if sought.all() else out.filter(pa.array(sought))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id, n_shingles, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """One row per row of `docs`: doc_id, class_id, n_shingles, kept, and with `tag`, a long that tells rows apart, that too.
 
     Two documents are linked if the multisets of their runs of five words have a weighted Jaccard similarity of 0.8 or more; a class is
     a connected component, class_id its smallest doc_id. Words are runs of letters, digits, underscores and characters beyond
     ASCII, in lower case; a text of one to four words has one shingle of them all. Null counts as the empty text; documents
-    without words are classes of their own. A row without an id has a null class and is kept. Rows that repeat an id have one
-    class if their words are equal; otherwise each goes with its own words, and is kept if its id is its class's smallest. Other columns are ignored; an empty table gives
-    an empty result.
+    without words are classes of their own. A row without an id has a null class and is kept. Each row goes with its own words, whatever rows share its id; of each class one
+    row is kept, one of those with its smallest id (a text without words is a class with the rows of its id that have none either). Other columns are ignored; an empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "bagminhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(None) if tag is None else tag).cast("long").alias("tag"))
     keys = [f"b{b}" for b in range(BANDS)]
-    features = scratch.keep(rows.mapInArrow(tidy(_features), "doc_id long, size long, w1 long, w2 long, " + ", ".join(f"{k} long" for k in keys)), "features")
+    features = scratch.keep(rows.mapInArrow(tidy(_features), "doc_id long, tag long, size long, w1 long, w2 long, " + ", ".join(f"{k} long" for k in keys)), "features")
     # equal word sequences are one item: copies, however many, meet in a count
     items = features.where("size > 0 and doc_id is not null").groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), *(F.first(k).alias(k) for k in keys))
     items = scratch.keep(items.withColumn("id", F.monotonically_increasing_id()), "items")
@@ -130,6 +130,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = scratch.keep(linked.where("comp is not null").groupBy("comp").agg(F.min("first_doc").alias("class")), "first")
     classes = scratch.keep(linked.join(sized(first), "comp", "left").select("w1", "w2", F.coalesce("class", "first_doc").alias("class")), "classes")
     scratch.drop("items", "sought", "linked", "first")
-    out = features.select("doc_id", "size", "w1", "w2").join(sized(classes), ["w1", "w2"], "left")
+    out = features.select("doc_id", "tag", "size", "w1", "w2").join(sized(classes), ["w1", "w2"], "left")
     class_id = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.col("size").alias("n_shingles"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # rows that share their class's smallest id: the first by words and tag stays, or, of those alike in both, the first of the table
+    twice = features.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = scratch.keep(twice, "twice")
+    own = ["doc_id", class_id.alias("class_id"), F.col("size").alias("n_shingles"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"), "tag"]
+    shown = ["doc_id", "class_id", "n_shingles", "kept"] + ["tag"] * (tag is not None)
+    if twice.isEmpty():
+        return out.select(*own).select(*shown)
+    out = scratch.keep(out.select(*own, "w1", "w2", F.monotonically_increasing_id().alias("nth")), "rows")
+    order = F.struct((F.col("n_shingles") > 0).alias("words"), "w1", "w2", "tag", "nth")
+    heads = out.where("kept").join(sized(twice), "doc_id", "left_semi").groupBy("doc_id", (F.col("n_shingles") > 0).alias("words")).agg(F.min(order).alias("head"))
+    heads = scratch.keep(heads.select(F.col("head.nth").alias("nth"), F.lit(True).alias("first")), "heads")
+    out = out.join(sized(twice.withColumn("again", F.lit(True))), "doc_id", "left").join(sized(heads), "nth", "left")
+    return out.withColumn("kept", F.col("kept") & (F.col("again").isNull() | F.col("first").isNotNull())).select(*shown)

@@ -71,7 +71,7 @@ def _line_features(least: int):
 
     def run(batches):
         powers = shared_powers()
-        names = ["doc_id", "body", "line", "again", "h1", "h2"] + [f"b{b}" for b in range(BANDS)]
+        names = ["doc_id", "body", "line", "again", "head", "h1", "h2"] + [f"b{b}" for b in range(BANDS)]
         for batch in batches:
             for part, texts in _slices(batch):
                 found = [(i, *row) for i, text in enumerate(texts) for row in considered(text, least)]
@@ -82,8 +82,9 @@ def _line_features(least: int):
                 h1, h2 = digests([x.encode("utf-8", "surrogatepass") for x in lines])
                 keys = signed(band_keys(signatures(owner, h, len(lines), BANDS * ROWS), BANDS, ROWS))
                 short = np.fromiter((len(x) < SHINGLE_CHARS for x in lines), bool, len(lines))
+                head = np.diff(at, prepend=-1) != 0
                 at = pa.array(at, pa.int64())
-                cols = [part.column(0).take(at), part.column(2).take(at), pa.array(number, pa.int32()), pa.array(again, pa.bool_()), pa.array(signed(h1)), pa.array(signed(h2))]
+                cols = [part.column(0).take(at), part.column(2).take(at), pa.array(number, pa.int32()), pa.array(again, pa.bool_()), pa.array(head), pa.array(signed(h1)), pa.array(signed(h2))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(keys[:, b]), mask=short) for b in range(BANDS)], names=names)
 
     return run
@@ -137,20 +138,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at newlines. Two lines are linked if the sets of their runs of 8 characters (lower case, white space collapsed) have a
     Jaccard similarity of 0.8 or more. Of each connected component the line of the smallest document id stays (ties: the
-    smallest hash); within its document its first occurrence. Lines of fewer than 8 characters always stay, or with
+    smallest hash of the text, then of the line); within its text its first occurrence. Of rows that are alike in id and text one keeps its lines. Lines of fewer than 8 characters always stay, or with
     `short_lines` have one shingle, the whole line, unless they are blank: of equal ones one stays, by the same rule.
-    Null counts as the empty text; a row without an id loses only its own repeats. Rows that share an id are one document. Other
+    Null counts as the empty text; a row without an id loses only its own repeats. Other
     columns pass through, but columns that are named like those added are replaced. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "fuzzy-lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
     # line numbers hold for one text, so a row is known by its id and its text's hash
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
+    row_key = [F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body")]
+    rows = docs.select(*row_key)
     keys = [f"b{b}" for b in range(BANDS)]
-    lines = rows.mapInArrow(tidy(_line_features(1 if short_lines else SHINGLE_CHARS)), "doc_id long, body long, line int, again boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
+    lines = rows.mapInArrow(tidy(_line_features(1 if short_lines else SHINGLE_CHARS)), "doc_id long, body long, line int, again boolean, head boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
     lines = scratch.keep(lines, "lines", "snappy")
-    known = lines.where("not again and doc_id is not null")
-    distinct = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
+    distinct = lines.where("not again and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
     distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct", "snappy")
     # from here on lines need no band keys
     lines = scratch.keep(lines.drop(*keys), "places", "snappy")
@@ -165,21 +166,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.join(sized(wanted), ["doc_id", "body"]).select("doc_id", "text", "wanted").mapInArrow(tidy(_payload), "id long, payload binary")
 
     comps = link(scratch, members, payload_of, THRESHOLD, _line_sets, by_prefixes=False)
-    # Of each line that occurs in several documents or is linked: where it stays, if anywhere.
+    # Of each line that occurs in several rows or is linked: where it stays, if anywhere.
     shared = scratch.keep(distinct.select("h1", "h2", "id", "doc_id", "n").join(comps, "id", "left").where("n > 1 or comp is not null"), "shared")
     linked = shared.where("comp is not null")
     stay = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("s")).select("comp", "s.*")
     linked = linked.join(stay.select("comp", F.col("h1").alias("s1"), F.col("h2").alias("s2")), "comp")
     shared = shared.where("comp is null").select("h1", "h2", "doc_id").union(linked.select("h1", "h2", F.when((F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), F.col("doc_id"))))
     shared = scratch.keep(shared.withColumnRenamed("doc_id", "stays_in"), "stays")
-    drop = known.select("doc_id", "body", "line", "h1", "h2").join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
+    place = known.select("doc_id", "body", "line", "h1", "h2")
+    drop = place.join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
     drop = drop.union(lines.where("again").select("doc_id", "body", "line"))
+    # rows that share an id: a line stays in the one whose text has the smallest hash
+    heads = lines.where("head and doc_id is not null").groupBy("doc_id", "body").agg(F.count("*").alias("n"))
+    several = scratch.keep(heads.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1"), "several")
+    twins = None
+    if not several.isEmpty():
+        among = place.join(sized(several.select("doc_id")), "doc_id", "left_semi")
+        homes = scratch.keep(among.groupBy("h1", "h2", "doc_id").agg(F.min("body").alias("home"), F.max("body").alias("other")).where("home <> other"), "homes")
+        drop = drop.union(place.join(sized(homes), ["h1", "h2", "doc_id"]).where("body <> home").select("doc_id", "body", "line"))
+        twins = scratch.keep(heads.where("n > 1").join(sized(several.where("most > 1").select("doc_id")), "doc_id", "left_semi").select("doc_id", "body"), "twins")
+        every = lines.join(sized(twins), ["doc_id", "body"], "left_semi").groupBy("doc_id", "body").agg(F.collect_set("line").alias("every"))
+        twins = None if twins.isEmpty() else scratch.keep(every, "every")
     drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("drop")), "drop")
-    scratch.drop("places", "distinct", "sought", "wanted", "shared", "stays")
+    scratch.drop("places", "distinct", "sought", "wanted", "shared", "stays", "several", "homes", "twins")
 
     row, cells, fields = carry(docs, ["clean_text", "n_lines", "n_kept"])
-    full = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("body", F.xxhash64("text"))
+    full = docs.select(row, *row_key)
     drop = sized(drop.select(F.col("doc_id").alias("of_doc"), F.col("body").alias("of_body"), "drop"))
-    full = full.join(drop, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body") == F.col("of_body")), "left").select("row", "text", "drop")
+    full = full.join(drop, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body") == F.col("of_body")), "left").drop("of_doc", "of_body")
+    if twins is not None:  # of rows that are alike in id and text the first keeps its lines
+        alike = full.join(sized(twins), ["doc_id", "body"]).withColumn("nth", F.monotonically_increasing_id())
+        alike = scratch.keep(alike, "alike")
+        first = scratch.keep(alike.groupBy("doc_id", "body").agg(F.min("nth").alias("first")), "first")
+        alike = alike.join(sized(first), ["doc_id", "body"]).withColumn("drop", F.when(F.col("nth") > F.col("first"), F.col("every")).otherwise(F.col("drop")))
+        full = full.join(sized(twins.select("doc_id", "body")), ["doc_id", "body"], "left_anti").unionByName(alike.select(*full.columns))
+    full = full.select("row", "text", "drop")
     schema = T.StructType([T.StructField("row", row_type(fields)), T.StructField("clean_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
     return full.mapInArrow(tidy(_cleaned), schema).select(*cells, "clean_text", "n_lines", "n_kept")

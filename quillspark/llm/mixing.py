@@ -78,14 +78,17 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
     Give `entropy` (in nats, of the sources' weights) or `repetition` (how often a source may be used). `budget` is the number of tokens
     of the mixture; without one it is the smallest that uses every document at least once. A source's last pass stops before the
     document that would exceed its budget. Tokens are runs of non-blank characters. A null source is a source; null and blank texts have no tokens,
-    take no budget and are used like their neighbours in the permutation; a source without tokens is used once. Null ids are ordinary ids.
-    Rows that share source, id and tokens are used alike. An empty table gives an empty result; other columns pass through, those named like
+    take no budget and are used like their neighbours in the permutation; a source without tokens is used once. A row without an id has its place by a hash of all
+    of its columns. Rows that share a source and an id, or are alike in all columns, are used alike. An empty table gives an empty result; other columns pass through, those named like
     the added ones are replaced.
     """
     if (entropy is None) == (repetition is None):
         raise ValueError("give entropy or repetition")
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = docs.select(_key(F.col(source_col)).alias("of_source"), F.col(id_col).cast("long").alias("of_id"), tokens(F.col(text_col)).alias("n_tokens"))
+    # a row without an id goes by a hash of all of its columns
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    id_of = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(*quoted))
+    own = docs.select(_key(F.col(source_col)).alias("of_source"), id_of.alias("of_id"), tokens(F.col(text_col)).alias("n_tokens"))
     own = scratch.keep(own, "rows")
     totals = own.groupBy("of_source").agg(F.sum("n_tokens").alias("t"))
     every = totals.agg(F.sum("t").alias("total"), F.max("t").alias("most"))
@@ -109,9 +112,8 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
 
     def place(epoch):
         """A place in [0, 2**62) in the permutation of a pass."""
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.coalesce("of_id", F.lit(-1).cast("long"))), 2)
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.col("of_id")), 2)
 
-    last = own.join(sized(plan.where("rest > 0").select("of_source", "full", "rest")), "of_source").withColumn("at", place(F.col("full")))
     last = own.join(sized(plan.where("rest > 0").select("of_source", "full", "rest")), "of_source").withColumn("at", place(F.col("full")))
     # the cut of the last pass: the cell of the histogram in which it falls, the cell of that one's own histogram, and then the rows in there
     bits = int(math.log2(CELLS))
@@ -124,22 +126,23 @@ def mix(docs: DataFrame, *, entropy: float | None = None, repetition: float | No
         cut = tally.groupBy("of_source").agg(F.max(F.struct("cell", "before")).alias("c")).select("of_source", F.col("c.cell").alias("cell"), F.col("c.before").alias("before"))
         cut = scratch.keep(cut, f"cut-{level}")
         inner = last.withColumn("cell", of_level).join(sized(cut), ["of_source", "cell"]).drop("cell")
-    # rows of equal places come in or stay out together
-    order = Window.partitionBy("of_source").orderBy("at", F.coalesce("of_id", F.lit(-1).cast("long")))
+    # rows of equal places come in or stay out together, so they are added up before they meet
+    inner = inner.groupBy("of_source", "at", "of_id").agg(F.sum("n_tokens").alias("n_tokens"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    order = Window.partitionBy("of_source").orderBy("at", "of_id")
     inner = inner.withColumn("upto", F.sum("n_tokens").over(order) + F.col("before")).where("upto <= rest")
-    stop = inner.groupBy("of_source").agg(F.max(F.struct("at", F.coalesce("of_id", F.lit(-1).cast("long")).alias("id"))).alias("stop"))
+    stop = inner.groupBy("of_source").agg(F.max(F.struct("at", F.col("of_id").alias("id"))).alias("stop"))
     # where not even the cell's first document fits, the pass stops at the cell's start
     edge = cut.select("of_source", F.struct(F.shiftleft(F.col("cell"), 62 - LEVELS * bits).alias("at"), F.lit(-(1 << 63)).cast("long").alias("id")).alias("edge"))
     plan = scratch.keep(plan.join(edge, "of_source", "left").join(stop, "of_source", "left").withColumn("stop", F.coalesce("stop", "edge")).drop("edge"), "final")
 
     row, cells, _ = carry(docs, ["n_tokens", "epoch", "block", "slot"])
-    rows = docs.select(row, _key(F.col(source_col)).alias("of_source"), F.col(id_col).cast("long").alias("of_id"), tokens(F.col(text_col)).alias("n_tokens")).join(sized(plan), "of_source")
-    key = F.struct(place(F.col("full")).alias("at"), F.coalesce("of_id", F.lit(-1).cast("long")).alias("id"))
+    rows = docs.select(row, _key(F.col(source_col)).alias("of_source"), id_of.alias("of_id"), tokens(F.col(text_col)).alias("n_tokens")).join(sized(plan), "of_source")
+    key = F.struct(place(F.col("full")).alias("at"), F.col("of_id").alias("id"))
     copies = F.col("full") + F.when(F.col("stop").isNotNull() & (key <= F.col("stop")), 1).otherwise(0)
     rows = rows.withColumn("copies", copies.cast("int")).where("copies > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = place(F.col("epoch"))
     where = (F.col("epoch") + at.cast("double") / float(1 << 62)) * F.col("rate")
     block = F.least(F.floor(where * F.col("blocks")), F.greatest(F.col("blocks") - 1, F.lit(0))).cast("long")
-    slot = F.xxhash64(F.lit(seed + 1).cast("long"), F.col("epoch").cast("long"), F.coalesce("of_id", F.lit(-1).cast("long")))
+    slot = F.xxhash64(F.lit(seed + 1).cast("long"), F.col("epoch").cast("long"), F.col("of_id"))
     return rows.select(*cells, "n_tokens", "epoch", block.alias("block"), slot.alias("slot"))

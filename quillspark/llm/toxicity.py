@@ -125,7 +125,7 @@ def likeness(texts: list[str], powers: Powers) -> np.ndarray:
 
 def folds(keys: np.ndarray) -> np.ndarray:
     """A fold for each text. Texts that share a key, directly or through others, share one, so no model is judged by a copy of what it has seen.
-    A group's fold depends on its texts alone."""
+    Groups are dealt out by size, so folds are as equal as the largest groups allow; groups of one size are in order of their texts' hashes."""
     n = len(keys)
     parent = np.arange(n)
     groups = [np.unique(keys[:, j], return_inverse=True)[1] for j in range(keys.shape[1])]
@@ -141,7 +141,12 @@ def folds(keys: np.ndarray) -> np.ndarray:
         parent = new
     least = np.full(n, np.iinfo(np.uint64).max, U)
     np.minimum.at(least, parent, mix(keys[:, 0]))
-    return (least[parent] % U(FOLDS)).astype(np.int64)
+    root, group, size = np.unique(parent, return_inverse=True, return_counts=True)
+    filled, fold = [0] * FOLDS, np.zeros(len(root), np.int64)
+    for g in np.lexsort((least[root], -size)).tolist():  # the largest first, each to the emptiest fold
+        fold[g] = filled.index(min(filled))
+        filled[fold[g]] += size[g]
+    return fold[group] if n else np.zeros(0, np.int64)
 
 
 class Chain:
@@ -204,8 +209,8 @@ def _training(batches):
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", rows_per_stratum: int = ROWS_PER_STRATUM) -> Chain:
     """Fits the chain on at most rows_per_stratum rows of each combination of the 0/1 columns `categories` of `labels`. Rows whose id or
-    label is null take no part; an id that is labelled several times has the highest label of each category; without labelled rows
-    nothing is ever assigned. Of a text the distinct features are kept, 4 bytes each, so what the driver gets has a bound in rows, and in bytes
+    label is null take no part; an id that is labelled several times has the highest label of each category; of rows that share an id the one with the
+    smallest text counts; without labelled rows nothing is ever assigned. Of a text the distinct features are kept, 4 bytes each, so what the driver gets has a bound in rows, and in bytes
     that of so many of the longest texts."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "chain")
@@ -221,7 +226,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         chosen = chosen.union(p)
     chosen = scratch.keep(chosen, "chosen")  # bounded by rows_per_stratum
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "marks", "text").select("marks", "text", "doc_id").mapInArrow(tidy(_training), "marks string, ids binary, dense binary, keys binary")
+    rows = rows.groupBy("doc_id", "marks").agg(F.min("text").alias("text"))  # rows of one id are one, so the bound holds
+    got = rows.select("marks", "text", "doc_id").mapInArrow(tidy(_training), "marks string, ids binary, dense binary, keys binary")
     got = scratch.keep(got, "training").collect()
     got.sort(key=lambda r: (r["marks"], r["ids"]))  # the same model whatever the order of rows
     if not got:

@@ -808,3 +808,33 @@ def test_components_of_chains_and_stars(spark):
     want = union_find(ids, links)
     assert got == {i: want[i] for pair in links if pair[0] != pair[1] for i in pair}
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long"), "c").count() == 0
+
+
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    line = "hello world this is a line"
+    rows = [(1, line), (1, f"{line}\nand another one of them"), (2, f"{line}\nalone here in this text"), (None, f"{line}\nno id has this line of text"), (None, "no id has this line of text"), (4, "twin rows have this"), (4, "twin rows have this")]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("every", F.lit(1)).repartition(3)).collect()
+    kept = sorted(x for r in got for x in r["clean_text"].split("\n") if x and r["doc_id"])
+    assert kept == sorted({x for i, t in rows for x in t.split("\n") if i}) and len(got) == len(rows)
+    assert [r["doc_id"] for r in got if line in r["clean_text"] and r["doc_id"]] == [1]
+    assert sorted(r["clean_text"] for r in got if not r["doc_id"]) == sorted(t for i, t in rows if not i)
+
+
+def test_one_row_of_a_class_is_kept(spark):
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    rows = [(5, a), (5, a), (7, a), (5, b), (3, b), (6, ""), (6, None), (6, "..."), (None, a)]
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got if r["kept"] and r["doc_id"]) == [(3, 3), (5, 5), (6, 6)] and sum(r["kept"] for r in got) == 4
+
+
+def test_mixing_of_rows_without_ids(spark):
+    rows = [(None, "s", f"{i} " * 10) for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), repetition=1.5, budget=600).collect()
+    assert 580 <= sum(r["n_tokens"] for r in got) <= 600
+
+
+def test_labelled_rows_that_share_an_id_are_one(spark):
+    docs = spark.createDataFrame([(1, f"good words number {i}") for i in range(300)] + [(2, "bad bad bad"), (3, "fine text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels.select("doc_id", "toxic"), ["toxic"])
+    assert len(chain.models) == 1 and toxicity.toxicity(docs, labels).count() == 302
