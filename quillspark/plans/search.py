@@ -210,9 +210,9 @@ def containing(texts: DataFrame, passages: DataFrame, words: int = 4) -> DataFra
     first = passages.withColumn("run", F.regexp_extract("passage", run, 0))
     few = (passages.agg(F.sum(F.length("passage"))).first()[0] or 0) <= rank.BROADCAST_CHARS
     keyed = first.where("run <> ''").select("item_id", "passage", F.xxhash64(F.split("run", r"\s+")).alias("run"))
-    split = F.split("text", r"\s+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(split) - (words - 1), F.lit(1)))
-    runs = F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(split, i, F.lit(words)))))).alias("run")
+    # the words are bound by an outer lambda, so a text is split once
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(words))))
+    runs = F.explode(F.array_distinct(F.transform(F.array(F.split("text", r"\s+")), hashes)[0])).alias("run")
     if few:
         near = texts.select("doc_id", "text", runs).join(F.broadcast(keyed), "run")
     else:
