@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, strings
 from ..operators import index as ix
-from ..operators import metrics, rank, spell, text
+from ..operators import metrics, rank, segments, spell, text
 
 SEARCHES = [(1, "tion thand eron"), (2, "ou tion tion"), (3, "der ation que")]
 MISSPELLED = ["thad", "onenn", "tiom", "erten", "wiht"]
@@ -262,12 +262,52 @@ def search_corrected(spark, d):
     return rank.with_highlights(best, i, asked).join(asked, "query_id").select("query_id", "query", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), F.md5(F.concat_ws("\n", "title", "abstract")).alias("marked"))
 
 
+# -- the stored index ---------------------------------------------------------------------------------------------------
+def stored(spark, d) -> segments.Segments:
+    return segments.Segments.create(spark, segments.shared_folder(spark, "index"), docs(spark, d))
+
+
+def passages(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _early(method: str, match: str):
+    """The ten best by a search that stops early: whole benchmark passages, or the fixed searches by prefix."""
+
+    def run(spark, d):
+        asked = passages(spark, d) if match == "exact" else searches(spark)
+        best, _ = stored(spark, d).search(asked, 10, method, SECOND_WEIGHT, match)
+        return best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def index_changes(spark, d):
+    """Terms and their document frequencies after documents of one source were taken out, then put in again with one more word under the ids that follow the largest, and
+    segments merged."""
+    index_ = stored(spark, d)
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    moved = table.where("source = 'src3'")
+    index_.remove(moved.select("doc_id"))
+    after = table.agg((F.max("doc_id") + 1).alias("after"))
+    index_.add(moved.crossJoin(F.broadcast(after)).select((F.col("doc_id") + F.col("after")).alias("doc_id"), F.concat_ws(" ", "text", F.lit("zebra")).alias("text")))
+    index_.merge(everything=True)
+    return index_.terms.select("term", "df", "cf_title", "cf_abstract")
+
+
+def traverse_words(spark, d):
+    """The terms that begin with a prefix, in order."""
+    return stored(spark, d).traverse("th").select("term", "df")
+
+
 SCHEMES = [f"{doc}-{query}" for doc in rank.DOC_SCHEMES for query in rank.QUERY_SCHEMES]
 QUERIES = {
     f.__name__: f
     for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_methods, search_corrected)
 }
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
+EARLY = {f"early_{m.replace('-', '_')}_{match}": (m, match) for m in ("okapi25", "ltn-lnn", "ltc-lnc") for match in ("exact", "prefix")}
+QUERIES |= {name: _early(*how) for name, how in EARLY.items()} | {f.__name__: f for f in (index_changes, traverse_words)}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}
 
 # -- oracles ------------------------------------------------------------------------------------------------------------
@@ -438,3 +478,15 @@ ORACLES = {
     "eval_summary": f"{_eval()} SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM m",
 }
 ORACLES |= {"tfidf_" + s.replace("-", "_"): _tfidf(s) + _ROWS for s in SCHEMES}
+_PASSAGES = "(SELECT item_id AS query_id, text AS query FROM benchmark) v"
+ORACLES |= {
+    name: f"{(_bm25_scores if m == 'okapi25' else partial(_tfidf, m))(**({'match': 'exact', 'source': _PASSAGES} if match == 'exact' else {}))}{_RANKED} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM best WHERE rank <= 10"
+    for name, (m, match) in EARLY.items()
+}
+_FROM = TOKENS.replace("FROM documents", "FROM moved").replace("stops AS (SELECT term, count(*) AS n FROM tok", "stops AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents)")
+ORACLES |= {
+    "index_changes": f"""WITH moved AS (SELECT doc_id, text FROM documents WHERE source IS DISTINCT FROM 'src3'
+            UNION ALL SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents), concat_ws(' ', text, 'zebra') FROM documents WHERE source = 'src3'), {_FROM}
+        SELECT term, count(DISTINCT doc_id) AS df, count(*) FILTER (section = 'title') AS cf_title, count(*) FILTER (section = 'abstract') AS cf_abstract FROM ns GROUP BY term""",
+    "traverse_words": f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM ns WHERE starts_with(term, 'th') GROUP BY term",
+}
