@@ -1,6 +1,6 @@
 """A stored index of immutable segments, and ranked search over it that stops early.
 
-A segment is written once: its documents in order of id, cut into ranges, and for each term and range one block of postings with the largest frequencies and the
+A segment is written once: its documents in order of length, so that neighbours have like bounds, cut into ranges, and for each term and range one block of postings with the largest frequencies and the
 smallest lengths in it. Adding documents writes a segment of their own tokens; removing them writes tombstones and what their terms lose; `merge` joins segments
 of like size and leaves the dead behind. All statistics are those of the live documents, from sums of what the segments say of themselves.
 
@@ -27,7 +27,7 @@ from .index import Index, counts
 from .text import SECTIONS
 
 #: Bits of a range's number of documents; ranges that are scored in full to begin with; segments of like size that `merge` joins.
-RANGE_BITS, SEED_RANGES, FAN = 5, 8, 4
+RANGE_BITS, SEED_RANGES, FAN = 3, 8, 4
 #: Query terms up to which a prefix search is a filter that the scan can use; more of them join on the prefix.
 FILTERED = 200
 #: The front coding of sorted strings: each is stored as what differs from the one before it.
@@ -88,7 +88,8 @@ class Segments:
         """A segment of parts (doc_id, title, abstract), with counts (term, doc_id, tf_title, tf_abstract) if they are known."""
         seg = self.last + 1
         root = f"{self.path}/segments/seg={seg}"
-        placed = parts.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("place", F.monotonically_increasing_id())
+        size = F.length("title") + F.length("abstract")
+        placed = parts.withColumn("size", size).repartitionByRange("size", "doc_id").sortWithinPartitions("size", "doc_id").drop("size").withColumn("place", F.monotonically_increasing_id())
         placed.write.mode("overwrite").parquet(f"{root}/texts")
         texts = self.spark.read.parquet(f"{root}/texts")
         if counted is None:

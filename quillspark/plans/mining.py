@@ -330,6 +330,36 @@ def content_based(spark, d):
     return rounded(out, "score").select("user", F.col("rank").cast("long").alias("rank"), "paper", "score")
 
 
+def eval_recommenders(spark, d):
+    """Mean nDCG at 10 of both recommenders over held-out users: what was ordered and kept is liked, what was ordered otherwise is to be found. Neighbours
+    are users that are not held out."""
+    line = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = line.select(F.col("o_custkey").alias("user"), F.col("p_name").alias("paper"), (F.col("l_returnflag") == "N").alias("liked"))
+    sought = line.where("not liked").select("user", "paper").distinct()
+    matrix = recsys.user_fields(likes(spark, d))
+    train, test = learn.split_by_id(matrix.select("user").distinct(), "user")
+    lists = sought.groupBy("user").agg(F.array_sort(F.collect_set("paper")).alias("papers"))
+    collaborative = recsys.collaborative(recsys.neighbours(matrix, 10, test, train), lists)
+    names = line.select("paper").distinct()
+    words = names.select(F.col("paper").alias("doc_id"), F.explode(F.split("paper", " ")).alias("term"))
+    features = learn.tf_idf_features(words, names).withColumnRenamed("doc_id", "paper")
+    liked = line.where("liked").select("user", "paper").distinct().join(test, "user", "left_semi")
+    content = recsys.content_based(liked.join(features, "paper").select("user", F.col("paper").alias("title_id"), "term", "w"), features)
+    place = F.row_number().over(Window.partitionBy("user").orderBy("paper"))
+    qrels = sought.join(test, "user", "left_semi").select(F.col("user").alias("query_id"), F.col("paper").alias("doc_id"), place.alias("rank"))
+    out = None
+    for name, runs in (("collaborative", collaborative.withColumnRenamed("position", "rank")), ("content", content)):
+        one = metrics.retrieval_by_query(runs.where("rank <= 10").select(F.col("user").alias("query_id"), "rank", F.col("paper").alias("doc_id")), qrels)
+        one = one.agg(F.count("*").alias("users"), F.round(F.avg("ndcg_at_k"), 6).alias("ndcg_at_10")).select(F.lit(name).alias("method"), "users", "ndcg_at_10")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def important_converged(spark, d):
+    """The ten most important parts by the PageRank that has converged."""
+    return graph.important(nodes(spark, d), edges(spark, d), 10).select("id", F.round("score", 9).alias("score"))
+
+
 # -- profiles -----------------------------------------------------------------------------------------------------------------
 def category_describe(spark, d):
     return profile.describe_by(docs(spark, d), "lang", "text").select("category", "count", "unique", F.md5("top").alias("top"), "freq")
@@ -360,7 +390,7 @@ def page_fields(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
+    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, eval_recommenders, important_converged, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
 }
 
 # -- oracles --------------------------------------------------------------------------------------------------------------
@@ -523,6 +553,22 @@ ORACLES = {
         SELECT query_id, rank, best.doc_id, lang AS cluster, gram AS topic FROM best JOIN documents d ON d.doc_id = best.doc_id JOIN gt ON gt.cluster = d.lang AND gt.r = 1 WHERE rank <= 5""",
     "pagerank_3": f"{_pagerank(3)} SELECT id, round(score, 9) AS score FROM r3",
     "personalised_pagerank_3": f"{_pagerank(3, True)} SELECT id, round(score, 9) AS score FROM r3",
+    "important_converged": f"SELECT id, score FROM ({_converged()}) ORDER BY score DESC, id LIMIT 10",
+    "eval_recommenders": f"""WITH ln AS (SELECT o_custkey AS user, p_name AS paper, l_returnflag = 'N' AS liked FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+        so AS (SELECT DISTINCT user, paper FROM ln WHERE NOT liked), ql AS (SELECT user, paper, row_number() OVER (PARTITION BY user ORDER BY paper) AS nth FROM so),
+        ev AS (SELECT user_id AS user, event_type AS field, count(*)::DOUBLE AS n FROM events GROUP BY ALL), nm AS (SELECT user, sqrt(sum(n * n)) AS norm FROM ev GROUP BY 1), un AS (SELECT user, field, n / norm AS w FROM ev JOIN nm USING (user)),
+        sm AS (SELECT a.user, b.user AS neighbour, sum(a.w * b.w) AS s FROM un a JOIN un b ON a.field = b.field AND a.user % 10 < 2 AND b.user % 10 >= 2 GROUP BY ALL),
+        kn AS (SELECT user, neighbour, row_number() OVER (PARTITION BY user ORDER BY round(s, 9) DESC, neighbour) AS rank FROM sm QUALIFY rank <= 10),
+        cf AS (SELECT kn.user, row_number() OVER (PARTITION BY kn.user ORDER BY kn.rank, nth) AS rank, paper FROM kn JOIN ql ON ql.user = kn.neighbour QUALIFY rank <= 10),
+        pa AS (SELECT DISTINCT paper FROM ln), wd AS (SELECT paper, unnest(string_split(paper, ' ')) AS term FROM pa), tf AS (SELECT paper, term, count(*) AS tf FROM wd GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT paper, term, tf * (ln((1e0 + (SELECT count(*) FROM pa)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+        ft AS (SELECT paper, term, w / sqrt(sum(w * w) OVER (PARTITION BY paper)) AS w FROM raw), lk AS (SELECT DISTINCT user, paper FROM ln WHERE liked AND user % 10 < 2 AND user IN (SELECT user FROM ev)),
+        c AS (SELECT user, count(*) AS n FROM lk GROUP BY 1), pf AS (SELECT lk.user, term, sum(w) / any_value(n) AS w FROM lk JOIN ft USING (paper) JOIN c ON c.user = lk.user GROUP BY lk.user, term),
+        sc AS (SELECT user, ft.paper, sum(pf.w * ft.w) AS score FROM pf JOIN ft USING (term) GROUP BY ALL),
+        cb AS (SELECT user, row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, paper) AS rank, paper FROM sc QUALIFY rank <= 10),
+        rn AS (SELECT 'collaborative' AS method, * FROM cf UNION ALL SELECT 'content', * FROM cb),
+        nd AS (SELECT method, rn.user, sum(CASE WHEN nth <= 10 THEN 1 / log2(rn.rank + 1) ELSE 0 END) / ({" + ".join(f"1 / log2({i + 2})" for i in range(10))}) AS x FROM rn LEFT JOIN ql ON ql.user = rn.user AND ql.paper = rn.paper WHERE rn.user IN (SELECT user FROM ql) GROUP BY ALL)
+        SELECT method, count(*) AS users, round(avg(x), 6) AS ndcg_at_10 FROM nd GROUP BY method""",
     "important_topk": f"{_pagerank(3)} SELECT id, round(score, 9) AS score FROM r3 ORDER BY round(r3.score, 12) DESC, id LIMIT 10",
     "blended_rank": f"""{_bm25_scores()}, im AS (SELECT doc_id, length(text)::DOUBLE AS importance FROM documents)
         SELECT query_id, doc_id, round(0.7e0 * coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0), 0) + 0.3e0 * importance / (SELECT max(importance) FROM im), 6) AS score FROM sc JOIN im USING (doc_id)""",
