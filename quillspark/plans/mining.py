@@ -559,7 +559,7 @@ ORACLES = {
         ev AS (SELECT user_id AS user, event_type AS field, count(*)::DOUBLE AS n FROM events GROUP BY ALL), nm AS (SELECT user, sqrt(sum(n * n)) AS norm FROM ev GROUP BY 1), un AS (SELECT user, field, n / norm AS w FROM ev JOIN nm USING (user)),
         sm AS (SELECT a.user, b.user AS neighbour, sum(a.w * b.w) AS s FROM un a JOIN un b ON a.field = b.field AND a.user % 10 < 2 AND b.user % 10 >= 2 GROUP BY ALL),
         kn AS (SELECT user, neighbour, row_number() OVER (PARTITION BY user ORDER BY round(s, 9) DESC, neighbour) AS rank FROM sm QUALIFY rank <= 10),
-        cf AS (SELECT kn.user, row_number() OVER (PARTITION BY kn.user ORDER BY kn.rank, nth) AS rank, paper FROM kn JOIN ql ON ql.user = kn.neighbour QUALIFY rank <= 10),
+        al AS (SELECT kn.user, row_number() OVER (PARTITION BY kn.user ORDER BY kn.rank, nth) AS place, paper FROM kn JOIN ql ON ql.user = kn.neighbour), cf AS (SELECT user, place AS rank, paper FROM al WHERE place <= 10),
         pa AS (SELECT DISTINCT paper FROM ln), wd AS (SELECT paper, unnest(string_split(paper, ' ')) AS term FROM pa), tf AS (SELECT paper, term, count(*) AS tf FROM wd GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT paper, term, tf * (ln((1e0 + (SELECT count(*) FROM pa)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
         ft AS (SELECT paper, term, w / sqrt(sum(w * w) OVER (PARTITION BY paper)) AS w FROM raw), lk AS (SELECT DISTINCT user, paper FROM ln WHERE liked AND user % 10 < 2 AND user IN (SELECT user FROM ev)),
