@@ -18,8 +18,8 @@ def fields(likes: DataFrame) -> DataFrame:
     return user_fields(likes).select("field").distinct().orderBy("field")
 
 
-#: Profiles that all others are measured against, the width of a ring around one, and profiles of a ring that give the first guess.
-PIVOTS, RING, GUESSES = 16, 0.02, 64
+#: Profiles that all others are measured against, the width of a ring around one, and profiles nearest to the same one that give the first guess.
+PIVOTS, RING, GUESSES = 16, 0.02, 512
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -31,7 +31,7 @@ def neighbours(matrix: DataFrame, n: int = 10, queries: DataFrame | None = None,
     """(user, neighbour, similarity, rank): the n users with the most similar field counts by cosine, for the users in `queries` (user) or all, out of
     those in `among` (user) or all; ties to the smaller user. Users without a common field are no neighbours.
 
-    Users of equal counts are one profile with its n + 1 smallest users. Profiles lie in rings around the nearest of a few pivots. A sample of its own ring gives each profile a
+    Users of equal counts are one profile with its n + 1 smallest users. Profiles lie in rings around the nearest of a few pivots. A sample of those with its own pivot gives each profile a
     distance within which its neighbours are; then it meets the rings that this distance reaches, and there the profiles that no pivot rules out by the triangle
     inequality. No join is on a field, so one that every user has costs nothing more. Nothing is lost whatever the sample; profiles that are all far from each
     other rule out little.
@@ -54,15 +54,17 @@ def neighbours(matrix: DataFrame, n: int = 10, queries: DataFrame | None = None,
     asked = _cut(asked.join(profiles.select("profile", "pid"), "profile").select("user", "pid"))
     seekers = placed.join(asked.select("pid").distinct(), "pid", "left_semi")
     there = placed.where("users is not null").select("pivot", "ring", F.col("pid").alias("near"), F.col("v").alias("w"), F.col("away").alias("away2"), "users")
-    nth = F.row_number().over(Window.partitionBy("pivot", "ring").orderBy(F.xxhash64("near"), "near"))
-    guesses = there.withColumn("nth", nth).where(F.col("nth") <= GUESSES).select("pivot", "ring", "near", "w")
-    guessed = seekers.select("pid", "v", "pivot", "ring").join(guesses, ["pivot", "ring"]).select("pid", _dot(F.col("v"), F.col("w")).alias("dot"))
+    nth = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("near"), "near"))
+    guesses = there.withColumn("nth", nth).where((F.col("nth") <= GUESSES) & (F.size("w") <= 64)).select("pivot", "near", "w")  # GUESSES rows a pivot, none of them large
+    guessed = seekers.select("pid", "v", "pivot").join(F.broadcast(guesses), "pivot").select("pid", _dot(F.col("v"), F.col("w")).alias("dot"))
     guessed = guessed.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("dot")))).where(F.col("nth") == n + 1)
     reach = guessed.select("pid", (distance(F.col("dot")) + 1e-4).alias("reach"))  # what is as near after rounding is within that
     seekers = seekers.select("pid", "v", "away").join(reach, "pid", "left").na.fill(2.0, ["reach"])
     reached = lambda d: F.sequence(F.floor(F.greatest(d - F.col("reach"), F.lit(0.0)) / RING), F.floor((d + F.col("reach")) / RING))
     visits = seekers.select("pid", "v", "away", "reach", F.posexplode("away").alias("pivot", "d")).withColumn("ring", F.explode(reached(F.col("d"))))
-    close = F.forall(F.zip_with("away", "away2", lambda x, y: F.abs(x - y)), lambda g: g <= F.col("reach"))
+    close = F.lit(True)
+    for j in range(PIVOTS):  # there may be fewer
+        close = close & F.coalesce(F.abs(F.get("away", j) - F.get("away2", j)) <= F.col("reach"), F.lit(True))
     pairs = visits.join(there, ["pivot", "ring"]).where(close).select("pid", "near", "users", _dot(F.col("v"), F.col("w")).alias("similarity")).where("similarity > 0")
     order = Window.partitionBy("pid").orderBy(F.desc(F.round("similarity", 9)), F.col("users")[0])
     found = pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n + 1).select("pid", "similarity", F.explode("users").alias("neighbour"))
