@@ -59,7 +59,7 @@ def union_find(ids, links):
     return {i: find(i) for i in ids}
 
 
-# -- 1 ------------------------------------------------------------------------------------------------------------------
+# 1
 def shingles(text):
     w = re.findall(r"\w+", text.lower())
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
@@ -131,7 +131,7 @@ def test_near_duplicates_on_odd_input(odd, none):
     assert bagminhash.near_duplicates(none).count() == 0
 
 
-# -- 2 ------------------------------------------------------------------------------------------------------------------
+# 2
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     clean, bad = [f"c{i:03d}o" for i in range(400)], ["idiotic", "scumbag", "moronic"]
@@ -218,7 +218,7 @@ def test_chain_on_documents_is_the_plain_one(spark, documents, texts):
         assert np.allclose(whole.v, chain.models[j].v, atol=1e-6) and np.allclose(np.sort(whole.w), np.sort(chain.models[j].w), atol=1e-6)
 
 
-# -- 3 ------------------------------------------------------------------------------------------------------------------
+# 3
 def plain_spans(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -314,7 +314,7 @@ def test_pii_on_odd_input(odd, none):
         pii.base_spans(t)
 
 
-# -- 4 ------------------------------------------------------------------------------------------------------------------
+# 4
 def test_packing_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 1001):
@@ -399,7 +399,7 @@ def test_token_files_without_ids_and_with_repeated_ids(spark):
     assert sorted(map(tuple, again)) == sorted((r["start"], r["ids_crc32"]) for r in got)
 
 
-# -- 5 ------------------------------------------------------------------------------------------------------------------
+# 5
 @pytest.mark.parametrize("partitions", [1, 4, 23])
 def test_exact_dedup_over_partition_borders(spark, partitions, monkeypatch):
     monkeypatch.setattr(content_sort, "LEAST_HOT", 2 if partitions == 4 else 30)
@@ -465,7 +465,7 @@ def test_helper_columns_clash_with_none_of_the_callers(spark):
         assert len(set(got.columns)) == len(got.columns) and run(docs.limit(0)).count() == 0, name
 
 
-# -- 6 ------------------------------------------------------------------------------------------------------------------
+# 6
 def test_bpe_tree_is_tiktoken(monkeypatch):
     import tiktoken
 
@@ -498,7 +498,7 @@ def test_bpe_round_trip(documents, texts, odd, none):
     assert bpe_tree.bpe_round_trip(none, MULTI, vocab.PATTERN).count() == 0
 
 
-# -- 7 ------------------------------------------------------------------------------------------------------------------
+# 7
 def test_min_cut_is_minimal():
     rng = random.Random(0)
     for _ in range(200):
@@ -580,7 +580,7 @@ def test_extract(spark):
     assert min_cut.extract(odd.limit(0)).count() == 0
 
 
-# -- 8 ------------------------------------------------------------------------------------------------------------------
+# 8
 def exact_neighbours(rows, queries, k):
     valid = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
@@ -662,7 +662,7 @@ def test_traversal_is_in_order():
     assert len(set(cells.tolist())) == 63 and (np.diff(sums) >= 0).all()
 
 
-# -- 9 ------------------------------------------------------------------------------------------------------------------
+# 9
 def brute_lines(texts):
     """What each document keeps, from all pairs of lines that share a shingle."""
     first = {}
@@ -727,7 +727,7 @@ def test_equal_short_lines_stay_once(spark, documents, texts):
     assert all([x for x in g if len(x) >= 8] == [y for y in map(fuzzy_lines.normalise, long[i].split("\n")) if len(y) >= 8] for i, g in got.items())
 
 
-# -- 10 -----------------------------------------------------------------------------------------------------------------
+# 10
 def spark_hash(*values):
     import xxhash
 
@@ -786,7 +786,7 @@ def test_mixing_stays_native(documents):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-# -- kernels ------------------------------------------------------------------------------------------------------------
+# kernels
 def test_hashes_depend_on_the_run_alone():
     powers = textkern.Powers()
     texts = ["one two three four five six", "", "six", "zero one two three four five"]
