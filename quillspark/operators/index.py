@@ -142,7 +142,7 @@ def load(spark: SparkSession, path: str, compression: str = "none") -> DataFrame
     return decode(spark.read.parquet(path), compression)
 
 
-# -- the byte layout of whole terms: u8 word length, word, u32 documents, then for each document u8 id length, id and two lists -------------
+# the byte layout of whole terms: u8 word length, word, u32 documents, then for each document u8 id length, id and two lists
 def frame_term(word: str, docs: list[tuple[str, list[int], list[int]]], compression: str) -> bytes:
     """One term's record. gamma lists: u8 bytes, u16 bits, payload padded on the left; vb lists: u32 bytes, payload. Big-endian."""
     raw = word.encode()

@@ -21,7 +21,7 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
-# -- classification -------------------------------------------------------------------------------------------------------
+# classification
 def languages(spark, d):
     return docs(spark, d).select("doc_id", F.col("lang").alias("label"))
 
@@ -141,7 +141,7 @@ def roc_by_class(spark, d):
     return rounded(metrics.roc_by_class(scores.join(test, "doc_id")), "auc")
 
 
-# -- vectors --------------------------------------------------------------------------------------------------------------
+# vectors
 def vectors(spark, d):
     return table(spark, d, "embeddings")
 
@@ -230,7 +230,7 @@ def clustered_search(spark, d):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "cluster", "topic")
 
 
-# -- graphs -----------------------------------------------------------------------------------------------------------------
+# graphs
 def nodes(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"))
 
@@ -299,7 +299,7 @@ def bfs_frontier(spark, d):
     return graph.bfs(edges(spark, d), seeds, max_depth=2).select("id", F.col("depth").cast("long").alias("depth"))
 
 
-# -- recommendation ---------------------------------------------------------------------------------------------------------
+# recommendation
 def likes(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("user"), F.array("event_type").alias("fields"))
 
@@ -360,7 +360,7 @@ def important_converged(spark, d):
     return graph.important(nodes(spark, d), edges(spark, d), 10).select("id", F.round("score", 9).alias("score"))
 
 
-# -- profiles -----------------------------------------------------------------------------------------------------------------
+# profiles
 def category_describe(spark, d):
     return profile.describe_by(docs(spark, d), "lang", "text").select("category", "count", "unique", F.md5("top").alias("top"), "freq")
 
@@ -393,7 +393,7 @@ QUERIES = {
     for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, eval_recommenders, important_converged, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
 }
 
-# -- oracles --------------------------------------------------------------------------------------------------------------
+# oracles
 _NB = f"""WITH {TOKENS},
 tr AS (SELECT doc_id, lang AS label FROM documents WHERE doc_id % 10 >= 2), te AS (SELECT doc_id, lang AS label FROM documents WHERE doc_id % 10 < 2),
 pr AS (SELECT label, ln(count(*)::DOUBLE / (SELECT count(*) FROM tr)) AS log_prior FROM tr GROUP BY label),

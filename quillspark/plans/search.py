@@ -35,7 +35,7 @@ def joined(array):
     return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
 
 
-# -- tokens -------------------------------------------------------------------------------------------------------------
+# tokens
 def tokenize(spark, d):
     return index(spark, d).tokens.select("doc_id", "section", F.col("pos").cast("long").alias("pos"), "term")
 
@@ -73,7 +73,7 @@ def dedupe_title_abstract(spark, d):
     return text.distinct_documents(text.sections(docs(spark, d))).select("doc_id")
 
 
-# -- postings -----------------------------------------------------------------------------------------------------------
+# postings
 def postings(spark, d):
     return index(spark, d).postings.select("term", "doc_id", joined(F.col("title_pos")).alias("title_pos"), joined(F.col("abstract_pos")).alias("abstract_pos"))
 
@@ -136,7 +136,7 @@ def codec_roundtrip(spark, d):
     return out
 
 
-# -- spelling -----------------------------------------------------------------------------------------------------------
+# spelling
 def surface_words(spark, d) -> DataFrame:
     return docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(strings.TERM), F.lit(0))).alias("word"))
 
@@ -157,7 +157,7 @@ def spell_correct(spark, d):
     return spell.correct(spell.bigram_index(surface_words(spark, d)), misspelled(spark))
 
 
-# -- ranking ------------------------------------------------------------------------------------------------------------
+# ranking
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
@@ -262,7 +262,7 @@ def search_corrected(spark, d):
     return rank.with_highlights(best, i, asked).join(asked, "query_id").select("query_id", "query", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"), F.md5(F.concat_ws("\n", "title", "abstract")).alias("marked"))
 
 
-# -- the stored index ---------------------------------------------------------------------------------------------------
+# the stored index
 def stored(spark, d) -> segments.Segments:
     return segments.Segments.create(spark, segments.shared_folder(spark, "index"), docs(spark, d))
 
@@ -310,7 +310,7 @@ EARLY = {f"early_{m.replace('-', '_')}_{match}": (m, match) for m in ("okapi25",
 QUERIES |= {name: _early(*how) for name, how in EARLY.items()} | {f.__name__: f for f in (index_changes, traverse_words)}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}
 
-# -- oracles ------------------------------------------------------------------------------------------------------------
+# oracles
 TOKENS = r"""
 sec AS (SELECT doc_id, 'title' AS section, split_part(coalesce(text, ''), chr(10), 1) AS body FROM documents
         UNION ALL SELECT doc_id, 'abstract', CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END FROM documents),
