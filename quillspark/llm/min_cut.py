@@ -12,6 +12,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 
 import numpy as np
@@ -22,15 +23,13 @@ from pyspark.sql import types as T
 
 from .common import carry, row_type, tidy
 
-#: A tag whose quoted values may hold ">"; beyond NEAR characters a tag ends at the first ">", so no open quote is followed to the page's end again and again.
-TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-PLAIN_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
-NEAR = 4096
+TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+TAG_ENDS = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements whose content is no text, or a form's controls.
 RAW = {"script", "style", "template", "textarea", "iframe", "title", "select", "option", "button"}
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split())
 #: Elements that an opening block element closes, if they are open in the same container.
@@ -51,7 +50,12 @@ SIGNS = {
     "content": ({"article", "main"}, {"article", "post", "content", "entry", "story", "main", "text", "body"}),
     "hidden": (set(), {"hidden", "invisible", "sr", "none"}),
 }
-NAMES = [*SIGNS, "heading", "paragraph", "item", "links", "length", "sentences", "caps", "first", "in_article", "share", "after_title", "bare"]
+#: Words that say little: they count only on their own and on small elements.
+WEAK = {"more", "side", "top", "bottom", "links", "tag", "tags", "meta", "author", "legal", "sr", "none", "logo", "follow", "skip", "tabs"}
+#: What a class says after these words is about something else than its element.
+ABOUT_OTHERS = {"with", "has", "no", "without", "non", "not"}
+SURE, NAMED, HINTED = 3, 2, 1
+NAMES = [*SIGNS, "heading", "paragraph", "item", "links", "length", "sentences", "caps", "first", "in_article", "share", "after_title", "bare", "bare_prose", "bare_links", "article_links", "unmarked_prose", "kin_share", "clear_article", "bare_elsewhere"]
 
 
 class Block:
@@ -64,39 +68,54 @@ class Block:
         self.text, self.links, self.depth, self.common, self.parent, self.signs, self.tag = values
 
 
-def signs_of(tag: str, attributes: str) -> frozenset:
-    out = {k for k, (tags, _) in SIGNS.items() if tag in tags}
+def signs_of(tag: str, attributes: str) -> dict[str, int]:
+    """The signs of an element, and how far each can be trusted: SURE for tags and hidden ones, NAMED for words of classes, ids and roles, HINTED for weak words."""
+    out = {k: SURE for k, (tags, _) in SIGNS.items() if tag in tags}
+
+    def add(kind, trust):
+        out[kind] = max(out.get(kind, 0), trust)
+
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    out.add("hidden")
+                    add("hidden", SURE)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                out.add("hidden")
+                add("hidden", SURE)
             elif tag not in ("body", "html"):
-                found = {w.lower() for w in WORD.findall(value)}
-                out |= {k for k, (_, words) in SIGNS.items() if found & words}
+                for token in value.split():
+                    found = set()
+                    for w in WORD.findall(token):
+                        if w.lower() in ABOUT_OTHERS:
+                            break
+                        found.add(w.lower())
+                    mixed = found & SIGNS["content"][1]
+                    for kind, (_, words) in SIGNS.items():
+                        if found & words - WEAK:
+                            add(kind, NAMED)
+                        elif found & words and not mixed:
+                            add(kind, HINTED)
         if re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
-            out.add("hidden")
-    return frozenset(out)
+            add("hidden", SURE)
+    return out
 
 
 class Open:
     """The elements that are open, with counts of what the reader asks about them, so that each tag costs what it opens or closes."""
 
     def __init__(self):
-        self.stack: list[tuple[str, frozenset]] = []
-        self.n, self.tags, self.signs = 0, Counter(), Counter()
+        self.stack: list[tuple[str, dict, int]] = []  # tag, signs, number of blocks before it
+        self.n, self.tags, self.found = 0, Counter(), 0
+        self.closed: list[tuple[int, int, dict]] = []  # elements with signs: their first block, the block after their last, their signs
         self.ids, self.block_tags, self.low = [0], ["body"], 1  # open block elements; how many have stayed open since the last block
         self.inline = [Counter()]  # inline elements within each open block element
         self.direct = [Counter()]  # elements within each open container, up to the next container
 
-    def push(self, tag: str, signs: frozenset) -> None:
+    def push(self, tag: str, signs: dict[str, int]) -> None:
         self.n += 1
-        self.stack.append((tag, signs))
+        self.stack.append((tag, signs, self.found))
         self.tags[tag] += 1
-        self.signs.update(signs)
         self.direct[-1][tag] += 1
         if tag in BLOCK:
             self.ids.append(self.n)
@@ -108,9 +127,10 @@ class Open:
             self.direct.append(Counter())
 
     def pop(self) -> str:
-        tag, signs = self.stack.pop()
+        tag, signs, first = self.stack.pop()
         self.tags[tag] -= 1
-        self.signs.subtract(signs)
+        if signs and first < self.found:
+            self.closed.append((first, self.found, signs))
         if tag in CONTAINER:
             self.direct.pop()
         self.direct[-1][tag] -= 1
@@ -136,6 +156,44 @@ class Open:
                 pass
 
 
+def tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of ">" and quotes, and for each of them where a tag ends that is read from there on, quoted values skipped; -1 if a quote stays open."""
+    places = [m.start() for m in TAG_ENDS.finditer(page)]
+    ends = [-1] * (len(places) + 1)
+    later: dict[str, int] = {}  # the next place of each kind of quote
+    for i in range(len(places) - 1, -1, -1):
+        c = page[places[i]]
+        if c == ">":
+            ends[i] = places[i]
+        else:
+            ends[i] = ends[later[c] + 1] if c in later else -1
+            later[c] = i
+    return places, ends
+
+
+def spread(found: list[Block], closed: list[tuple[int, int, dict]]) -> None:
+    """Gives the blocks the signs of the elements around them. What a name says of an element that has most of the page's unlinked text is overruled if it also has
+    the title or the article, or nearly all of the text; weak words count on small elements only."""
+    mass, titles = [0], [0]
+    for i, b in enumerate(found):
+        mass.append(mass[-1] + len(b.text) - b.links)
+        starts = "in_article" in b.signs and (i == 0 or "in_article" not in found[i - 1].signs)
+        titles.append(titles[-1] + (b.tag == "h1" or starts))
+    every = max(mass[-1], 1)
+    change = [Counter() for _ in range(len(found) + 1)]
+    for first, end, signs in closed:
+        share = (mass[end] - mass[first]) / every
+        large = share > 0.5 and titles[end] > titles[first] or share > 0.9 and titles[end] - titles[first] == titles[-1]
+        for kind, trust in signs.items():
+            if trust == SURE or kind == "content" or trust == NAMED and not (large and (kind != "comment" or titles[end] > titles[first])) or trust == HINTED and share < 0.3 and not large:
+                change[first][kind] += 1
+                change[end][kind] -= 1
+    now = Counter()
+    for b, c in zip(found, change, strict=False):
+        now.update(c)
+        b.signs |= {k for k, n in now.items() if n > 0}
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, in time linear in the page."""
     out: list[Block] = []
@@ -148,11 +206,10 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if joined:
-            signs = {k for k, n in now.signs.items() if n}
-            if now.tags["article"] or now.tags["main"]:
-                signs.add("in_article")
+            signs = {"in_article"} if now.tags["article"] or now.tags["main"] else set()
             out.append(Block(joined, min(links, len(joined)), len(now.ids) - 1, now.low - 1, now.ids[-2] if len(now.ids) > 2 else 0, signs, now.block_tags[-1]))
             now.low = len(now.ids)
+            now.found = len(out)
         links = 0
 
     def take(piece: str):
@@ -162,6 +219,7 @@ def blocks(page: str) -> list[Block]:
             if now.tags["a"]:
                 links += len(piece.strip())
 
+    places, ends = tag_ends(page)
     at, last = 0, page.rfind(">")
     while (place := page.find("<", at)) >= 0:
         take(page[at:place])
@@ -178,12 +236,16 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", place) if place < last else -1
             at = end + 1 if end >= 0 else len(page)
             continue
-        m = (TAG.match(page, place, min(place + NEAR, last + 1)) or PLAIN_TAG.match(page, place)) if place < last else None
+        m = TAG_NAME.match(page, place, last) if place < last else None
         if not m:
             take("<")
             at = place + 1
             continue
-        at = m.end()
+        end = ends[bisect_left(places, m.end())]
+        if end < 0:  # a quote that is never closed is a character as others are
+            end = page.find(">", m.end())
+        at = end + 1
+        empty = page[end - 1] == "/"
         tag = m[1].lower()
         if page[place + 1] == "/":
             if tag in BLOCK:
@@ -191,9 +253,10 @@ def blocks(page: str) -> list[Block]:
             now.close(tag)
             continue
         if tag in RAW:
-            if not m[0].endswith("/>"):
+            if not empty:
                 end = RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+                end = page.find(">", end.end()) if end else -1
+                at = end + 1 if end >= 0 else len(page)
             continue
         if tag == "br":
             take("\n")
@@ -201,27 +264,33 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             now.make_way(CLOSED_BY.get(tag, {"p"}))
-        if tag not in VOID and not m[0].endswith("/>"):
-            signs = signs_of(tag, m[2] or "")
+        if tag not in VOID and not empty:
+            signs = signs_of(tag, page[m.end() : end])
             if tag == "header" and (now.tags["article"] or now.tags["main"]):
-                signs -= {"header"}  # an article's own header has its title
+                signs.pop("header", None)  # an article's own header has its title
             now.push(tag, signs)
     take(page[at:])
     flush()
+    while now.stack:
+        now.pop()
+    spread(out, now.closed)
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), len(NAMES)))
     column = {n: i for i, n in enumerate(NAMES)}
-    mass, title = Counter(), False  # text that is not linked, by parent
+    mass, kin, title = Counter(), Counter(), False  # text that is not linked, by parent and by what its blocks look like
+    look = lambda b: (b.tag, b.depth, not b.signs)
     for b in found:
         mass[b.parent] += len(b.text) - b.links
+        kin[look(b)] += len(b.text) - b.links
     every = max(sum(mass.values()), 1)
+    marked = any(b.signs & {"in_article", "content"} for b in found)  # the page says where its article is
     for r, b in zip(x, found, strict=True):
         for s in b.signs:
             r[column[s]] = 1
-        n = len(b.text)
+        n, bare = len(b.text), not b.signs
         r[column["heading"]] = b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         r[column["paragraph"]] = b.tag in ("p", "blockquote", "pre", "figcaption", "article", "section")
         r[column["item"]] = b.tag in ("li", "td", "th", "dt", "dd")
@@ -231,8 +300,14 @@ def features(found: list[Block]) -> np.ndarray:
         r[column["caps"]] = sum(w[:1].isupper() for w in b.text.split()[:50]) / min(50, len(b.text.split()))
         title = title or b.tag == "h1"
         r[column["share"]] = mass[b.parent] / every
+        r[column["kin_share"]] = bare * kin[look(b)] / every
         r[column["after_title"]] = title
-        r[column["bare"]] = not b.signs
+        prose = r[column["sentences"]] * min(n / 200, 1) * (1 - b.links / n)
+        r[column["bare"]], r[column["bare_prose"]], r[column["bare_links"]] = bare, bare * prose, bare * b.links / n
+        r[column["bare_elsewhere"]] = bare and marked
+        r[column["unmarked_prose"]] = bare * prose * (not marked)
+        clear = "in_article" in b.signs and not b.signs - {"in_article", "content"}
+        r[column["clear_article"]], r[column["article_links"]] = clear, clear * b.links / n
     if len(x):
         x[0, column["first"]] = 1
     return x
@@ -261,11 +336,11 @@ def practice_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
             items = "".join(el("li" if wrap else "div", f"<a href='/x'>{label()}</a>", 0) for _ in range(k))
             return f"<ul>{items}</ul>" if wrap else items
 
-        def boiler(kind, el=el, links=links):
+        def boiler(kind, odd=0.25, el=el, links=links):
             cls = rng.choice(sorted(SIGNS[kind][1])) if kind in SIGNS else ""
             tags = sorted(SIGNS[kind][0] - {"label", "legend", "input", "menu", "hgroup"}) if kind in SIGNS else []
             tag = rng.choice([*tags, "div"]) if rng.random() < 0.6 and tags else "div"
-            if rng.random() < 0.15:
+            if rng.random() < odd and kind != "comment":
                 cls = word()  # a name that says nothing
             attr = f' {rng.choice(["class", "id"])}="{cls}"' if tag == "div" or rng.random() < 0.4 else ""
             if kind in ("menu", "social"):
@@ -278,17 +353,32 @@ def practice_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
                 body = el(rng.choice(["p", "div", "h2"]), prose(1, 14), 0)
             return f"<{tag}{attr}>{body}</{tag}>"
 
-        def article(el=el, boiler=boiler):
+        loose = rng.random() < 0.3  # an article whose paragraphs have no element of their own around them all, or one that says nothing
+
+        def article(el=el, boiler=boiler, links=links, loose=loose):
+            if loose:
+                wrap = rng.choice(["{}", "<div>{}</div>", f'<div class="{word()}">{{}}</div>', "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"])
+                ads = rng.random() < 0.3  # one after each paragraph
+                inner = [el("h1", prose(2, 9), 1)] if rng.random() < 0.4 else []
+                for _ in range(rng.choice([rng.randint(2, 9), rng.randint(2, 9), 60])):
+                    inner.append(el(rng.choice(["p", "p", "div"]), prose(15, 90), 1))
+                    if ads:
+                        inner[-1] += f'<div class="{rng.choice(["ad", "ads", "promo", "sponsored"])}">' + el("p", prose(3, 12), 0) + "</div>"
+                return "".join(wrap.format(i) for i in inner) if rng.random() < 0.6 else wrap.format("".join(inner))
             body = [el("h1", prose(2, 9), 1)] if rng.random() < 0.8 else []
             short = rng.random() < 0.3
             for _ in range(rng.randint(1, 3) if short else rng.randint(2, 9)):
                 r = rng.random()
-                body.append(el("h2", prose(1, 5), 1) if r < 0.1 else el("li", prose(3, 15), 1) if r < 0.15 else boiler(rng.choice(["advert", "social", "side"])) if r < 0.22 else el("p", prose(1, 8 if short else 90), 1))
+                if r > 0.95:  # references to other pages
+                    body.append("<ul>" + "".join(el("li", f"<a href='/x'>{label()}</a>", 1) for _ in range(rng.randint(1, 5))) + "</ul>")
+                    continue
+                body.append(el("h2", prose(1, 5), 1) if r < 0.1 else el("li", prose(3, 15), 1) if r < 0.15 else boiler(rng.choice(["advert", "social", "side"]), 0) if r < 0.22 else el("p", prose(1, 8 if short else 90), 1))
             kind = rng.random()
-            return ("<article>{}</article>" if kind < 0.5 else "<main>{}</main>" if kind < 0.65 else '<div class="{}">'.format(rng.choice(["content", "post", "entry", "story"])) + "{}</div>" if kind < 0.85 else "<div>{}</div>").format("".join(body))
+            return ("<article>{}</article>" if kind < 0.5 else "<main>{}</main>" if kind < 0.65 else f'<div class="{rng.choice(["content", "post", "entry", "story", "read-more-content", "content-with-sidebar", "top-story", "main-text"])}">' + "{}</div>" if kind < 0.85 else "<div>{}</div>").format("".join(body))
 
         # marks are appended in the order in which the parts are made, which is the order of the page
-        page = "<html><body>" + "".join(boiler(k) for k in ("notice", "header", "menu", "advert") if rng.random() < 0.6) + article() + "".join(boiler(k) for k in ("social", "comment", "side", "form", "advert", "notice") if rng.random() < 0.45) + (boiler("footer") if rng.random() < 0.8 else "") + "</body></html>"
+        above = rng.choice([0, 0.6, 0.6, 0.6])
+        page = "<html><body>" + "".join(boiler(k) for k in ("notice", "header", "menu", "advert") if rng.random() < above) + article() + "".join(boiler(k) for k in ("social", "comment", "side", "form", "advert", "notice") if rng.random() < 0.45) + (boiler("footer") if rng.random() < 0.8 else "") + "</body></html>"
         made.append((page, marks))
     return made
 
@@ -340,19 +430,22 @@ def min_cut(content: list[float], other: list[float], between: list[tuple[int, i
         flow[a][b] = flow[a].get(b, 0.0) + w
         flow[b][a] = flow[b].get(a, 0.0) + w
     tiny = 1e-12
+    shut = [False] * n  # blocks from which none that takes can be reached any more: nothing leads out of their set
     for s in range(n):
-        while excess[s] > tiny:  # shortest augmenting path from s to any block that takes
+        while excess[s] > tiny and not shut[s]:  # shortest augmenting path from s to any block that takes
             came, queue, goal = {s: s}, deque([s]), -1
             while queue and goal < 0:
                 u = queue.popleft()
                 for v, c in flow[u].items():
-                    if c > tiny and v not in came:
+                    if c > tiny and v not in came and not shut[v]:
                         came[v] = u
                         if excess[v] < -tiny:
                             goal = v
                             break
                         queue.append(v)
             if goal < 0:
+                for u in came:
+                    shut[u] = True
                 break
             amount, v = min(excess[s], -excess[goal]), goal
             while v != s:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import re
 import struct
 import zlib
@@ -499,6 +500,46 @@ def test_bpe_round_trip(documents, texts, odd, none):
 
 
 # 7
+def prose(k=6):
+    return " ".join([*["word"] * 9, "end."] * k)
+
+
+def test_main_text_of_pages_without_semantic_tags():
+    weights = min_cut.fit()
+    plain = f"<body>{f'<div><p>{prose()}</p></div>' * 6}"
+    assert min_cut.main_text(plain, weights) == " ".join([prose()] * 6)
+    for n in (6, 1000):
+        adverts = "<body>" + f"<div><p>{prose()}</p><div class='ad'>Buy now our shoes</div></div>" * n
+        assert min_cut.main_text(adverts, weights) == " ".join([prose()] * n)
+
+
+@pytest.mark.parametrize("name", ["read-more-content", "content-with-sidebar", "post has-ads", "no-comments"])
+def test_names_are_evidence_only(name):
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><div id='{name}'><p>{prose()}</p></div><p>{prose()}</p></article><footer>Imprint</footer>"
+    assert min_cut.main_text(page, min_cut.fit()) == f"Title {prose()} {prose()}"
+
+
+def test_links_in_an_article_stay():
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{prose()}</p><ul><li><a href=a>One other</a><li><a href=b>Two other</a></ul><p>{prose()}</p></article>"
+    assert min_cut.main_text(page, min_cut.fit()) == f"T {prose()} One other Two other {prose()}"
+
+
+@pytest.mark.parametrize("size", [10, 3000, 6000, 100000])
+def test_quoted_values_of_any_length(size):
+    page = f"<body><article data-x='a > b {'z' * size}'><h1>T</h1><p>{prose()}</p></article>"
+    assert min_cut.main_text(page, min_cut.fit()) == f"T {prose()}"
+
+
+def test_cut_and_tags_do_not_grow_with_the_square():
+    weights = min_cut.fit()
+    started = time.monotonic()
+    assert min_cut.main_text(f"<body><article>{f'<p>{prose()}</p>' * 8000}</article>", weights).count("end.") == 48000
+    assert min_cut.main_text(f"<body><article>{f'<p>{prose()}</p><div class=ad>Buy it</div><p>ok</p>' * 8000}</article>", weights).count("end.") == 48000
+    for odd_page in ("<a \"<a '" * 50000 + ">", "<a<a" * 50000 + '" >', "</script" * 50000, "<div class=x>" * 20000 + "hi"):
+        min_cut.main_text(odd_page, weights)
+    assert time.monotonic() - started < 30  # the square of 8000 blocks took 61 s
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(0)
     for _ in range(200):
