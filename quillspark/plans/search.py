@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, strings
 from ..operators import index as ix
 from ..operators import metrics, rank, segments, spell, text
+from ..sources import files
 
 SEARCHES = [(1, "tion thand eron"), (2, "ou tion tion"), (3, "der ation que")]
 MISSPELLED = ["thad", "onenn", "tiom", "erten", "wiht"]
@@ -78,6 +79,17 @@ def postings(spark, d):
     return index(spark, d).postings.select("term", "doc_id", joined(F.col("title_pos")).alias("title_pos"), joined(F.col("abstract_pos")).alias("abstract_pos"))
 
 
+def index_file(kind):
+    """The whole index written as one file of this layout by many tasks, and read back from its blocks."""
+
+    def run(spark, d):
+        path = segments.shared_folder(spark, f"index-{kind}")
+        files.write_index(index(spark, d).postings, path, kind)
+        return files.read_index(spark, path).select("term", F.col("doc_id").cast("long").alias("doc_id"), joined(F.col("title_pos")).alias("title_pos"), joined(F.col("abstract_pos")).alias("abstract_pos"))
+
+    return run
+
+
 def posting_lookup(spark, d):
     found = index(spark, d).postings.where(F.col("term") == "tion")
     return found.select("term", "doc_id", joined(F.col("title_pos")).alias("title_pos"), joined(F.col("abstract_pos")).alias("abstract_pos"))
@@ -308,6 +320,7 @@ QUERIES = {
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
 EARLY = {f"early_{m.replace('-', '_')}_{match}": (m, match) for m in ("okapi25", "ltn-lnn", "ltc-lnc") for match in ("exact", "prefix")}
 QUERIES |= {name: _early(*how) for name, how in EARLY.items()} | {f.__name__: f for f in (index_changes, traverse_words)}
+QUERIES |= {"index_file_vb": index_file("vb"), "index_file_json": index_file("none")}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}
 
 # oracles
@@ -490,3 +503,4 @@ ORACLES |= {
         SELECT term, count(DISTINCT doc_id) AS df, count(*) FILTER (section = 'title') AS cf_title, count(*) FILTER (section = 'abstract') AS cf_abstract FROM ns GROUP BY term""",
     "traverse_words": f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM ns WHERE starts_with(term, 'th') GROUP BY term",
 }
+ORACLES |= {f"index_file_{k}": ORACLES["postings"] for k in ("vb", "json")}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
+from . import files
 
 PAPER = "id string, title string, abstract string, publication_year int, authors array<string>, related_topics array<string>, citation_count int, reference_count int, references array<string>"
 LIKED = "array<struct<paperId: string, title: string, abstract: string, fieldsOfStudy: array<string>>>"
@@ -65,17 +66,8 @@ def recommendations_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(vec_id, embedding) of a NumPy matrix, rows numbered from 0. The file is mapped and read in blocks by the driver: a bridge for small matrices; Parquet
-    is the form for large ones."""
-    import numpy as np
-    import pandas as pd
-
-    m = np.load(path, mmap_mode="r")
-    out = None
-    for lo in range(0, len(m), 65536):
-        block = spark.createDataFrame(pd.DataFrame({"vec_id": range(lo, min(lo + 65536, len(m))), "embedding": [r.tolist() for r in m[lo : lo + 65536].astype(float)]}), "vec_id long, embedding array<double>")
-        out = block if out is None else out.union(block)
-    return out if out is not None else spark.createDataFrame([], "vec_id long, embedding array<double>")
+    """(vec_id, embedding) of a NumPy matrix, rows numbered from 0, read by row ranges in many tasks."""
+    return files.read_matrix(spark, path)
 
 
 def sample(df: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
