@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, strings
 from ..operators import index as ix
 from ..operators import metrics, rank, segments, spell, text
-from ..sources import files
+from ..sources import files, quoted
 
 SEARCHES = [(1, "tion thand eron"), (2, "ou tion tion"), (3, "der ation que")]
 MISSPELLED = ["thad", "onenn", "tiom", "erten", "wiht"]
@@ -90,6 +90,13 @@ def index_file(kind):
     return run
 
 
+def csv_documents(spark, d):
+    """All documents written as CSV, line breaks and quotes inside values, and read back in blocks of 1 MB."""
+    path = segments.shared_folder(spark, "csv")
+    docs(spark, d).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return quoted.read_csv(spark, path, ["doc_id", "text"], block=1 << 20).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def posting_lookup(spark, d):
     found = index(spark, d).postings.where(F.col("term") == "tion")
     return found.select("term", "doc_id", joined(F.col("title_pos")).alias("title_pos"), joined(F.col("abstract_pos")).alias("abstract_pos"))
@@ -320,7 +327,7 @@ QUERIES = {
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
 EARLY = {f"early_{m.replace('-', '_')}_{match}": (m, match) for m in ("okapi25", "ltn-lnn", "ltc-lnc") for match in ("exact", "prefix")}
 QUERIES |= {name: _early(*how) for name, how in EARLY.items()} | {f.__name__: f for f in (index_changes, traverse_words)}
-QUERIES |= {"index_file_vb": index_file("vb"), "index_file_json": index_file("none")}
+QUERIES |= {"csv_documents": csv_documents, "index_file_vb": index_file("vb"), "index_file_json": index_file("none")}
 QUERIES |= {"bm25": _search("okapi25"), "bm25_exact": _search("okapi25", match="exact")}
 
 # oracles
@@ -504,3 +511,4 @@ ORACLES |= {
     "traverse_words": f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM ns WHERE starts_with(term, 'th') GROUP BY term",
 }
 ORACLES |= {f"index_file_{k}": ORACLES["postings"] for k in ("vb", "json")}
+ORACLES |= {"csv_documents": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

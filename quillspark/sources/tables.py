@@ -10,33 +10,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from . import files
+from . import files, quoted
 
 PAPER = "id string, title string, abstract string, publication_year int, authors array<string>, related_topics array<string>, citation_count int, reference_count int, references array<string>"
 LIKED = "array<struct<paperId: string, title: string, abstract: string, fieldsOfStudy: array<string>>>"
 
 
-def _csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The named columns of a CSV file with a header, all as strings. Records may hold line breaks, so a file is one task: many files read in parallel."""
-    header = spark.read.options(header=True, quote='"', escape='"').csv(path).columns  # the first line
-    schema = ", ".join(f"`{c}` string" for c in header)
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False).csv(path).select(*columns)
-
-
 def papers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, title, abstract) of a CSV file with a header; other columns are dropped, nulls become empty."""
-    return _csv(spark, path, ["paperId", "title", "abstract"]).withColumnRenamed("paperId", "doc_id").na.fill("")
+    """(doc_id, title, abstract) of CSV files with a header; other columns are dropped, nulls become empty. Large files are read by many tasks."""
+    return quoted.read_csv(spark, path, ["paperId", "title", "abstract"]).select(F.col("paperId").alias("doc_id"), "title", "abstract").na.fill("")
 
 
 def categorised_csv(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, abstract, category): the first of the listed terms is the category; one row for each title, then for each abstract, the first of
     them; ids number the rows from 0, file after file, whatever number of tasks reads them."""
-    rows = _csv(spark, path, ["titles", "abstracts", "terms"]).withColumn("at", F.monotonically_increasing_id())
-    # a task's rows are numbered without gaps from its own start; a row for each task gives the tasks' numbers before it
-    rows = rows.withColumns({"task": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
-    size = rows.groupBy("task").agg(F.count("*").alias("n"))
-    before = size.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
-    rows = rows.join(before, "task").select((F.col("before") + F.col("nth")).alias("at"), F.col("titles").alias("title"), F.col("abstracts").alias("abstract"), strings.first_of_list_literal(F.col("terms")).alias("category"))
+    rows = quoted.read_csv(spark, path, ["titles", "abstracts", "terms"])
+    # a row for each block gives the number of records in the blocks before it
+    size = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = size.select("file", "start", (F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")).alias("before"))
+    rows = rows.join(before, ["file", "start"]).select((F.col("before") + F.col("nth")).alias("at"), F.col("titles").alias("title"), F.col("abstracts").alias("abstract"), strings.first_of_list_literal(F.col("terms")).alias("category"))
     for c in ("title", "abstract"):
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(c).orderBy("at"))).where("r = 1").drop("r")
     return rows.select(F.col("at").cast("string").alias("doc_id"), "title", "abstract", "category")
