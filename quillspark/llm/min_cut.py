@@ -14,6 +14,7 @@ import random
 import re
 from bisect import bisect_left
 from collections import Counter, deque
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,9 @@ def signs_of(tag: str, attributes: str) -> dict[str, int]:
     return out
 
 
+known_signs = lru_cache(4096)(signs_of)  # pages repeat their names
+
+
 class Open:
     """The elements that are open, with counts of what the reader asks about them, so that each tag costs what it opens or closes."""
 
@@ -265,7 +269,8 @@ def blocks(page: str) -> list[Block]:
             flush()
             now.make_way(CLOSED_BY.get(tag, {"p"}))
         if tag not in VOID and not empty:
-            signs = signs_of(tag, page[m.end() : end])
+            given = page[m.end() : end]
+            signs = dict(known_signs(tag, given) if len(given) < 200 else signs_of(tag, given))
             if tag == "header" and (now.tags["article"] or now.tags["main"]):
                 signs.pop("header", None)  # an article's own header has its title
             now.push(tag, signs)
@@ -297,7 +302,8 @@ def features(found: list[Block]) -> np.ndarray:
         r[column["links"]] = b.links / n
         r[column["length"]] = math.log1p(n) / 5
         r[column["sentences"]] = min(1.0, sum(b.text.count(c) for c in ".!?") / 3)
-        r[column["caps"]] = sum(w[:1].isupper() for w in b.text.split()[:50]) / min(50, len(b.text.split()))
+        words = b.text.split(None, 50)[:50]
+        r[column["caps"]] = sum(w[:1].isupper() for w in words) / len(words)
         title = title or b.tag == "h1"
         r[column["share"]] = mass[b.parent] / every
         r[column["kin_share"]] = bare * kin[look(b)] / every
