@@ -14,7 +14,6 @@ import random
 import re
 from bisect import bisect_left
 from collections import Counter, deque
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +101,6 @@ def signs_of(tag: str, attributes: str) -> dict[str, int]:
     return out
 
 
-known_signs = lru_cache(4096)(signs_of)  # pages repeat their names
-
-
 class Open:
     """The elements that are open, with counts of what the reader asks about them, so that each tag costs what it opens or closes."""
 
@@ -198,8 +194,9 @@ def spread(found: list[Block], closed: list[tuple[int, int, dict]]) -> None:
         b.signs |= {k for k, n in now.items() if n > 0}
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, in time linear in the page."""
+def blocks(page: str, known: dict | None = None) -> list[Block]:
+    """The page's blocks in order, in time linear in the page. `known` holds the signs of tags of up to 200 characters, as pages repeat their names."""
+    known = {} if known is None else known
     out: list[Block] = []
     now = Open()
     text: list[str] = []
@@ -270,7 +267,14 @@ def blocks(page: str) -> list[Block]:
             now.make_way(CLOSED_BY.get(tag, {"p"}))
         if tag not in VOID and not empty:
             given = page[m.end() : end]
-            signs = dict(known_signs(tag, given) if len(given) < 200 else signs_of(tag, given))
+            signs = known.get((tag, given))
+            if signs is None:
+                signs = signs_of(tag, given)
+                if len(given) <= 200:
+                    if len(known) >= 4096:
+                        known.clear()
+                    known[tag, given] = signs
+            signs = dict(signs)
             if tag == "header" and (now.tags["article"] or now.tags["main"]):
                 signs.pop("header", None)  # an article's own header has its title
             now.push(tag, signs)
@@ -475,8 +479,8 @@ def min_cut(content: list[float], other: list[float], between: list[tuple[int, i
     return side
 
 
-def main_text(page: str, weights: np.ndarray) -> str:
-    found = blocks(page)
+def main_text(page: str, weights: np.ndarray, known: dict | None = None) -> str:
+    found = blocks(page, known)
     if not found:
         return ""
     z = np.clip(features(found) @ weights[:-1] + weights[-1], -12, 12)
@@ -495,10 +499,11 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     schema = T.StructType([T.StructField("row", row_type(fields))] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
+        known: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [main_text(h, weights) for h in part.column(1).to_pylist()]
+                texts = [main_text(h, weights, known) for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
     found = pages.select(row, F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(tidy(run), schema)
