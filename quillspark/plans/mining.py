@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import graph, learn, metrics, profile, rank, recsys, text, vector
+from ..functions import strings
+from ..operators import graph, learn, metrics, profile, rank, recsys, subwords, text, vector
 from ..sources import pages as page_source
 from .search import COUNTS, SEARCHES, TOKENS, _bm25_scores, docs, index, searches  # noqa: F401
 
@@ -102,6 +103,29 @@ def word2vec_neighbors(spark, d):
     return learn.word_vectors(parts, size=20).findSynonyms("the", 5)
 
 
+def _subwords(spark, d):
+    """A model of all documents, the terms that come at least five times, and the documents' tf-idf features."""
+    tokens = text.tokens(text.sections(docs(spark, d)))
+    model = subwords.fit(docs(spark, d).select(strings.terms(F.coalesce("text", F.lit(""))).alias("terms")))
+    return model, text.term_frequency(tokens).where("n >= 5"), tokens
+
+
+def subword_neighbors(spark, d):
+    """The five nearest terms of each of the 50 most frequent long terms, written with their last letter twice."""
+    model, terms, _ = _subwords(spark, d)
+    asked = terms.where(F.length("term") > 6).orderBy(F.desc("n"), "term").limit(50)
+    wrong = asked.select(F.concat("term", F.right("term", F.lit(1))).alias("query"))
+    return rounded(model.neighbours(wrong, terms, 5), "similarity")
+
+
+def subword_embedding(spark, d):
+    """Each document as the sum of its terms' vectors by their tf-idf weights."""
+    model, _, tokens = _subwords(spark, d)
+    features = learn.tf_idf_features(tokens, docs(spark, d))
+    out = learn.weighted_embedding(features, model.vectors(features.select("term").distinct()))
+    return rounded(out, "x", places=4).select("doc_id", F.col("dim").cast("long").alias("dim"), "x")
+
+
 def lda_topics(spark, d):
     return learn.lda_topics(index(spark, d).kept)
 
@@ -390,7 +414,7 @@ def page_fields(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, eval_recommenders, important_converged, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
+    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, subword_neighbors, subword_embedding, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, eval_recommenders, important_converged, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
 }
 
 # oracles

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import learn
+from quillspark.operators import learn, text
 from quillspark.plans import mining, search
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +168,15 @@ def test_list_literals_and_missing_pages(spark):
     html = ['<p>room 404 is here</p>', '<input id="error-status" value="404">', '<input value="404" id="error-status">', '<input id="error-status" value="200">']
     got = pages.paper_records(spark.createDataFrame([(i, f"u/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
     assert sorted(r["id"] for r in got.collect()) == ["0", "3"]
+
+
+def test_subword_queries(spark):
+    near = mining.subword_neighbors(spark, SF).collect()
+    by = defaultdict(list)
+    for r in sorted(near, key=lambda r: r["rank"]):
+        by[r["query"]].append(r["term"])
+    assert by and all(len(v) == 5 for v in by.values())
+    assert sum(q[:-1] in v for q, v in by.items()) > len(by) / 2
+    rows = mining.subword_embedding(spark, SF)
+    with_words = text.tokens(text.sections(search.docs(spark, SF))).select("doc_id").distinct().count()
+    assert rows.count() == 100 * with_words and rows.where("x IS NULL OR isnan(x)").isEmpty()
