@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import strings
-from ..operators import graph, learn, metrics, profile, rank, recsys, subwords, text, vector
+from ..operators import crawl, graph, learn, metrics, network, profile, rank, recsys, subwords, text, vector
 from ..sources import pages as page_source
 from .search import COUNTS, SEARCHES, TOKENS, _bm25_scores, docs, index, searches  # noqa: F401
 
@@ -147,6 +147,25 @@ def mlp_loss(spark, d):
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 
+def _network(spark, d):
+    """Of ten ids eight are for training, one to validate, one to test; vectors that hold no numbers have no part."""
+    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("features"), "label")
+    rows = rows.where(F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    train, held = learn.split_by_id(rows, "key")
+    valid, test = held.where("pmod(key, 10) = 1"), held.where("pmod(key, 10) = 0")
+    return network.fit(train, [64, 256, 128, 10], valid, epochs=5), test
+
+
+def network_losses(spark, d):
+    """The training loss, the validation loss and the validation accuracy of each epoch."""
+    return spark.createDataFrame(_network(spark, d)[0].losses, "epoch int, loss double, valid_loss double, valid_accuracy double")
+
+
+def network_predictions(spark, d):
+    net, test = _network(spark, d)
+    return net.predict(test).select(F.col("key").alias("vec_id"), "label", "prediction")
+
+
 def feature_slice(spark, d):
     tokens = text.tokens(text.sections(docs(spark, d))).where(F.length("term") > 1)
     return rounded(learn.feature_slice(learn.tf_idf_features(tokens, docs(spark, d)), 100, 120), "w")
@@ -408,15 +427,40 @@ def crawled_papers(spark, d):
     return rows.select("id", "title", "abstract", "publication_year", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("authors", "related_topics", "references")), "citation_count", "reference_count")
 
 
+def part_pages(spark, d) -> DataFrame:
+    """A page of each part, with the fields of a paper; its references are the parts that follow it in orders. Pages of keys that end in 7 are not found."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst is not null")
+    to = line.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "dst"))).alias("to"))
+    rows = table(spark, d, "part").join(to, F.col("p_partkey") == F.col("src"), "left")
+    listed = F.array_join(F.transform(F.coalesce("to", F.array().cast(to.schema["to"].dataType)), lambda t: F.concat(F.lit('<div data-reference="https://papers.example/'), t["dst"].cast("string"), F.lit('"></div>'))), "")
+    status = F.when(F.col("p_partkey") % 10 == 7, '<div id="error-status" value="404"></div>').otherwise("")
+    html = F.format_string('%s<meta name="citation_title" content="%s"><meta name="citation_publication_date" content="%s/01"><meta name="citation_author" content="%s"><span>%s Citations</span>%s', status, "p_name", (F.col("p_size") + 1950).cast("string"), "p_brand", F.format_number(F.col("p_size") * 1000, 0), listed)
+    return rows.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://papers.example/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+
+
+def _crawled(cap):
+    def run(spark, d):
+        pages = part_pages(spark, d)
+        seeds = pages.where("page_id < 8").select(F.col("page_id").alias("position"), "url")
+        rows = crawl.crawl(pages, seeds, cap)
+        return rows.select("place", F.col("depth").cast("long").alias("depth"), "id", "title", "publication_year", F.get("authors", F.lit(0)).alias("author"), "citation_count", F.size("references").cast("long").alias("n_references"))
+
+    return run
+
+
 def page_fields(spark, d):
     return page_source.fields(table(spark, d, "pages")).select("page_id", "last_segment", "title", "lang", "n_links", "first_link")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, subword_neighbors, subword_embedding, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, eval_recommenders, important_converged, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
+    for f in (split_hash, label_index, nb_fit, nb_prior, nb_predict, confusion_matrix, class_report, summary_report, roc_points, auc, tfidf_features, weighted_embedding, word2vec_neighbors, subword_neighbors, subword_embedding, lda_topics, mlp_classifier, knn_l2, similar_papers, kmeans_assign, kmeans_step, kmeans_converged, kmeans_mllib, purity, silhouette_exact, ward_clusters, pca_2d, ngram_topics, clustered_search, pagerank_3, personalised_pagerank_3, pagerank_converged, important_topk, blended_rank, hits_2, bfs_frontier, user_field_matrix, cf_knn, cf_recommend, content_based, eval_recommenders, important_converged, category_describe, length_summary, length_histogram, wordcloud_rollup, page_fields, mlp_loss, network_losses, network_predictions, feature_slice, sentence_vectors, roc_by_class, kmeans_sweep, personalised_search, hits_converged, bfs_full, crawled_papers)
 }
 
+CRAWL_CAP = 150
+QUERIES |= {"crawl_all": _crawled(None), "crawl_capped": _crawled(CRAWL_CAP)}
+
 # oracles
 _NB = f"""WITH {TOKENS},
 tr AS (SELECT doc_id, lang AS label FROM documents WHERE doc_id % 10 >= 2), te AS (SELECT doc_id, lang AS label FROM documents WHERE doc_id % 10 < 2),
@@ -528,7 +572,25 @@ gc AS (SELECT lang AS cluster, gram, count(*) AS n FROM gr JOIN documents USING
 gt AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, gram) AS r FROM gc)
 """
 
+def _crawl(cap: int | None, levels: int = 12) -> str:
+    """Level by level; more levels than these tables have change nothing."""
+    out = """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
+r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY l_orderkey, l_linenumber, dst) AS pos FROM e WHERE dst IS NOT NULL),
+pg AS (SELECT * FROM part WHERE p_partkey % 10 <> 7),
+s0 AS MATERIALIZED (SELECT p_partkey AS id, 0::BIGINT AS depth, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM pg WHERE p_partkey < 8)"""
+    for i in range(1, levels + 1):
+        out += f""",
+c{i} AS (SELECT dst AS id, min({{'place': place, 'pos': pos}}) AS came FROM s{i - 1} JOIN r ON src = id WHERE depth = {i - 1} AND dst IN (SELECT p_partkey FROM pg) AND dst NOT IN (SELECT id FROM s{i - 1}) GROUP BY 1),
+s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT id, {i}, row_number() OVER (ORDER BY came.place, came.pos) - 1 + (SELECT count(*) FROM s{i - 1}) FROM c{i})"""
+    limit = "" if cap is None else f" WHERE place < {cap}"
+    return f"""{out}
+SELECT place, depth, id::VARCHAR AS id, p_name AS title, 1950 + p_size AS publication_year, p_brand AS author, 1000 * p_size AS citation_count, (SELECT count(*) FROM r WHERE src = id) AS n_references
+FROM s{levels} JOIN pg ON p_partkey = id{limit}"""
+
+
 ORACLES = {
+    "crawl_all": _crawl(None),
+    "crawl_capped": _crawl(CRAWL_CAP),
     "feature_slice": f"""WITH {TOKENS}, {_tfidf_sql('(SELECT * FROM tok WHERE length(term) > 1)')} SELECT doc_id, term, round(w, 6) AS w FROM ft
         WHERE term IN (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS nth FROM (SELECT DISTINCT term FROM ft)) WHERE nth BETWEEN 100 AND 119)""",
     "roc_by_class": f"""{_NBP}, lo AS (SELECT al.doc_id, al.label AS class, round(score - avg(score) OVER (PARTITION BY al.doc_id), 4) AS score, (al.label = te.label)::INT AS hit FROM al JOIN te ON te.doc_id = al.doc_id),

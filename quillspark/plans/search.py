@@ -11,6 +11,7 @@ from ..functions import codecs, strings
 from ..operators import index as ix
 from ..operators import metrics, rank, segments, spell, text
 from ..sources import files, quoted
+from ..streaming import requests
 
 SEARCHES = [(1, "tion thand eron"), (2, "ou tion tion"), (3, "der ation que")]
 MISSPELLED = ["thad", "onenn", "tiom", "erten", "wiht"]
@@ -273,6 +274,16 @@ def eval_methods(spark, d):
     return out
 
 
+def served_requests(spark, d):
+    """The benchmark's whole passages as a stream of requests for ten documents by BM25, and all answers."""
+    # a stream of files takes one file by a pattern only
+    source = spark.readStream.schema("item_id long, text string").parquet(f"{d}/benchmark.parque[t]")
+    asked = source.select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), F.lit("okapi25").alias("method"), F.lit(10).alias("k"))
+    path, state = (segments.shared_folder(spark, n) for n in ("answers", "requests"))
+    requests.serve(index(spark, d).cached(), asked, path, state, SECOND_WEIGHT).awaitTermination()
+    return requests.responses(spark, path).where("error IS NULL AND doc_id IS NOT NULL").select("request_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
 def search_corrected(spark, d):
     """The whole request: spelling corrected, ranked, cut, marked."""
     i = index(spark, d)
@@ -322,7 +333,7 @@ def traverse_words(spark, d):
 SCHEMES = [f"{doc}-{query}" for doc in rank.DOC_SCHEMES for query in rank.QUERY_SCHEMES]
 QUERIES = {
     f.__name__: f
-    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_methods, search_corrected)
+    for f in (tokenize, token_offsets, term_freq, stop_words_top20, nonstop_tokens, doc_lengths, preprocess_text, text_length, dedupe_title_abstract, postings, posting_lookup, prefix_lookup, vocabulary, add_document, remove_document, posting_gaps, gap_decode_cumsum, gamma_bits, vb_bytes, index_sizes, codec_roundtrip, bigram_index, spell_candidates, spell_correct, bm25_category, search_top10, search_all, search_highlight, eval_by_query, eval_summary, eval_methods, search_corrected, served_requests)
 }
 QUERIES |= {"tfidf_" + s.replace("-", "_"): _search(s) for s in SCHEMES}
 EARLY = {f"early_{m.replace('-', '_')}_{match}": (m, match) for m in ("okapi25", "ltn-lnn", "ltc-lnc") for match in ("exact", "prefix")}
@@ -493,6 +504,7 @@ ORACLES = {
     "search_highlight": f"""{_bm25_scores()}{_RANKED}, {_marked(f"(VALUES {_VALUES}) v(query_id, query)", 3)}
         SELECT query_id, rank, doc_id, title, abstract FROM hl""",
     "search_corrected": _corrected(),
+    "served_requests": f"{_bm25_scores(source='(SELECT item_id AS query_id, text AS query FROM benchmark) v')}{_RANKED} SELECT query_id AS request_id, rank, doc_id, round(score, 6) AS score FROM best WHERE rank <= 10",
     "eval_methods": " UNION ALL ".join(f"SELECT * FROM ({_eval(f)} SELECT '{m}' AS method, {', '.join(f'round(avg({x}), 6) AS {x}' for x in METRICS)} FROM m)" for m, f in zip(METHODS, (_bm25_scores, *(partial(_tfidf, m) for m in METHODS[1:])), strict=True)),
     "eval_by_query": f"{_eval()} SELECT query_id, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)} FROM m",
     "eval_summary": f"{_eval()} SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in METRICS)} FROM m",

@@ -180,3 +180,13 @@ def test_subword_queries(spark):
     rows = mining.subword_embedding(spark, SF)
     with_words = text.tokens(text.sections(search.docs(spark, SF))).select("doc_id").distinct().count()
     assert rows.count() == 100 * with_words and rows.where("x IS NULL OR isnan(x)").isEmpty()
+
+
+def test_network_queries(spark, matrix):
+    ids, _, labels = matrix
+    losses = mining.network_losses(spark, SF).orderBy("epoch").collect()
+    assert [r["epoch"] for r in losses] == list(range(5)) and losses[-1]["loss"] < losses[0]["loss"]
+    assert all(0 <= r["valid_accuracy"] <= 1 and r["valid_loss"] > 0 for r in losses)
+    got = mining.network_predictions(spark, SF).collect()
+    assert {r["vec_id"]: r["label"] for r in got} == {i: n for i, n in zip(ids, labels, strict=True) if i % 10 == 0}
+    assert all(0 <= r["prediction"] < 10 for r in got)
