@@ -198,9 +198,9 @@ def _epoch(net: Network, rows: DataFrame, turn: int, batch: int, workers: int, d
             state = np.concatenate([net.flat, net.first, net.second, *(np.concatenate(r) for r in net.running)])
             yield pd.DataFrame({"steps": [net.steps], "n": [int(n_total)], "loss": [total], "state": [state.tobytes()]})
 
-    # a seeded shuffle: other neighbours in every epoch
+    # a seeded shuffle: rows are dealt in turn by a hash that changes with the epoch, so that shares are even and neighbours others
     mixed = F.xxhash64("key", F.lit(seed), F.lit(turn))
-    dealt = rows.withColumn("mixed", mixed).repartition(workers, "mixed").sortWithinPartitions("mixed", "key").select("features", "label")
+    dealt = rows.withColumn("mixed", mixed).repartition(workers).sortWithinPartitions("mixed", "key").select("features", "label")
     ends = dealt.mapInPandas(train, "steps long, n long, loss double, state binary", barrier=True).collect()
     shared.destroy()
     if not ends:  # a plan that is known to be empty starts no task

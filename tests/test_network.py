@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillspark.operators import network
+from quillspark.operators import graph, network
 
 ROWS = "key long, features array<double>, label int"
 
@@ -53,7 +53,8 @@ def test_shared_steps_are_those_of_one_process(spark):
     net = network.fit(table, [4, 6, 3], epochs=1, batch=400, workers=2, dropout=0.0)
     from pyspark.sql import functions as F
 
-    dealt = table.withColumn("mixed", F.xxhash64("key", F.lit(1), F.lit(0))).repartition(2, "mixed").select("key", F.spark_partition_id().alias("p")).collect()
+    dealt = graph._cut(table).withColumn("mixed", F.xxhash64("key", F.lit(1), F.lit(0))).repartition(2).select("*", F.spark_partition_id().alias("p")).collect()
+    assert sorted(sum(r["p"] == p for r in dealt) for p in (0, 1)) == [20, 20]
     plain = network.Network.new([4, 6, 3], 1)
     gradient = 0
     for p in {r["p"] for r in dealt}:
