@@ -1,10 +1,12 @@
 """Steps whose size must not follow that of the tables."""
 
+import re
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from quillspark.operators import vector
+from quillspark.operators import rank, vector
+from quillspark.operators.index import Index
 
 
 def test_silhouettes_in_bounded_cells(spark, monkeypatch):
@@ -30,3 +32,18 @@ def test_silhouettes_in_bounded_cells(spark, monkeypatch):
             inner = d[i, c == c[i]].sum() / (own - 1) if own > 1 else 0
             outer = min(d[i, c == k].mean() for k in set(c) - {c[i]})
             assert got[i, run] == pytest.approx((outer - inner) / max(outer, inner) if own > 1 else 0, abs=1e-6)
+
+
+def test_stored_index_is_counted_once_and_not_shuffled_by_document(spark, tmp_path):
+    texts = [(i, f"graph{i % 3} net\n" + "deep graph net of words " * (i % 5)) for i in range(40)] + [(90, None), (91, "")]
+    lazy = Index.build(spark.createDataFrame(texts, "doc_id long, text string"), 1)
+    stored = lazy.stored(str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "graph dee"), (2, "net deep deep words"), (3, "nothing")], "query_id int, query string")
+    for method in ("okapi25", "ltc-lnc"):
+        for match in ("prefix", "exact"):
+            got = rank.rank(stored, asked, method, 0.2, match)
+            plan = got._jdf.queryExecution().toString()
+            assert not re.search(r"hashpartitioning\([^)]*doc_id#", plan) and "posexplode" not in plan
+            rows = [sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in x.collect()) for x in (got, rank.rank(lazy, asked, method, 0.2, match))]
+            assert rows[0] == rows[1]
+    assert sorted(map(tuple, stored.doc_lengths.collect())) == sorted(map(tuple, lazy.doc_lengths.collect()))
