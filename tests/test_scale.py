@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pytest
 
-from quillspark.operators import rank, vector
+from quillspark.operators import learn, rank, subwords, text, vector
 from quillspark.operators.index import Index
+from quillspark.plans import mining
 
 
 def test_silhouettes_in_bounded_cells(spark, monkeypatch):
@@ -47,3 +48,21 @@ def test_stored_index_is_counted_once_and_not_shuffled_by_document(spark, tmp_pa
             rows = [sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in x.collect()) for x in (got, rank.rank(lazy, asked, method, 0.2, match))]
             assert rows[0] == rows[1]
     assert sorted(map(tuple, stored.doc_lengths.collect())) == sorted(map(tuple, lazy.doc_lengths.collect()))
+
+
+def test_topics_make_runs_of_frequent_terms_only(spark, monkeypatch):
+    """All that is counted besides single terms are runs of a cluster's most frequent terms; ties, small clusters and a cluster of null as before."""
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{min(int(x), 60)}" for x in rng.zipf(1.3, 30)) + "\na b c", [None, 1, 2][i % 3]) for i in range(60)] + [(99, "x y\nx y", 3)]
+    t = spark.createDataFrame(texts, "doc_id long, text string, cluster int")
+    parts, assigned = text.sections(t), t.select("doc_id", "cluster")
+    grams = text.ngrams(parts).join(assigned, "doc_id").groupBy("cluster", "gram").count().collect()
+    want = {}
+    for c in (None, 1, 2, 3):
+        best = sorted(((-r["count"], r["gram"]) for r in grams if r["cluster"] == c))[:4]
+        want[c] = ", ".join(g for _, g in best)
+    made = vector.topics(parts, None, assigned, 4)
+    assert {r["cluster"]: r["topic"] for r in made.collect()} == want
+    assert "array_contains(few" in made._jdf.queryExecution().toString()
+    monkeypatch.setattr(vector, "FREQUENT", 1)
+    assert {r["cluster"]: r["topic"] for r in vector.topics(parts, None, assigned, 4).collect()} == want
