@@ -66,3 +66,8 @@ def test_topics_make_runs_of_frequent_terms_only(spark, monkeypatch):
     assert "array_contains(few" in made._jdf.queryExecution().toString()
     monkeypatch.setattr(vector, "FREQUENT", 1)
     assert {r["cluster"]: r["topic"] for r in vector.topics(parts, None, assigned, 4).collect()} == want
+
+
+def test_bayes_counts_without_a_join_of_tokens(spark):
+    plan = mining.nb_prior(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#", plan)
