@@ -71,3 +71,16 @@ def test_topics_make_runs_of_frequent_terms_only(spark, monkeypatch):
 def test_bayes_counts_without_a_join_of_tokens(spark):
     plan = mining.nb_prior(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search(r"hashpartitioning\(doc_id#", plan)
+
+
+def test_token_spans_leave_a_task_in_small_batches(spark, monkeypatch):
+    """One text of more tokens than a batch has, and many texts in one batch."""
+    monkeypatch.setattr(text, "SPANS", 7)
+    texts = [(1, "Été un\n" + "a😀b " * 20), (2, None), *((i, f"t{i} x") for i in range(3, 30))]
+    parts = text.sections(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))
+    spans = text.token_spans(parts)
+    got = sorted(map(tuple, spans.select("doc_id", "section", "pos", "char_idx", "surface", "term").collect()))
+    abstract = [(1, "abstract", 2 * i + j, 4 * i + 2 * j, "ab"[j], "ab"[j]) for i in range(20) for j in (0, 1)]
+    assert got == sorted([(1, "title", 0, 0, "Été", "été"), (1, "title", 1, 4, "un", "un"), *abstract, *((i, "title", n, n * (len(str(i)) + 2), w, w) for i in range(3, 30) for n, w in enumerate((f"t{i}", "x")))])
+    sizes = spans.mapInPandas(lambda batches: (b[["pos"]].iloc[:1].assign(pos=len(b)) for b in batches), "pos int")
+    assert "MapInArrow" in spans._jdf.queryExecution().toString() and sizes.count() > 0
