@@ -84,3 +84,10 @@ def test_token_spans_leave_a_task_in_small_batches(spark, monkeypatch):
     assert got == sorted([(1, "title", 0, 0, "Été", "été"), (1, "title", 1, 4, "un", "un"), *abstract, *((i, "title", n, n * (len(str(i)) + 2), w, w) for i in range(3, 30) for n, w in enumerate((f"t{i}", "x")))])
     sizes = spans.mapInPandas(lambda batches: (b[["pos"]].iloc[:1].assign(pos=len(b)) for b in batches), "pos int")
     assert "MapInArrow" in spans._jdf.queryExecution().toString() and sizes.count() > 0
+
+
+def test_word_vectors_are_trained_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(learn, "WORDS", 100)
+    parts = spark.createDataFrame([(["deep", "graph", "net", "of"] * 20,)] * 8, "terms array<string>")
+    model = learn.word_vectors(parts, size=4)
+    assert model.getNumPartitions() == 4 and model.getVectors().count() == 4
