@@ -91,3 +91,14 @@ def test_word_vectors_are_trained_by_many_tasks(spark, monkeypatch):
     parts = spark.createDataFrame([(["deep", "graph", "net", "of"] * 20,)] * 8, "terms array<string>")
     model = learn.word_vectors(parts, size=4)
     assert model.getNumPartitions() == 4 and model.getVectors().count() == 4
+
+
+def test_subwords_are_trained_by_all_tasks(spark, monkeypatch):
+    """One file of many words is dealt to the tasks that run at once."""
+    monkeypatch.setattr(subwords, "WORDS", 50)
+    seen = []
+    cut = subwords._cut
+    monkeypatch.setattr(subwords, "_cut", lambda df: seen.append(cut(df)) or seen[-1])
+    parts = spark.createDataFrame([(["deep", "graph", "net", "of"] * 20,)] * 8, "terms array<string>").coalesce(1)
+    subwords.fit(parts, size=4, rounds=1, buckets=64)
+    assert seen[-1].rdd.getNumPartitions() == 4
