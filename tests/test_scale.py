@@ -102,3 +102,17 @@ def test_subwords_are_trained_by_all_tasks(spark, monkeypatch):
     parts = spark.createDataFrame([(["deep", "graph", "net", "of"] * 20,)] * 8, "terms array<string>").coalesce(1)
     subwords.fit(parts, size=4, rounds=1, buckets=64)
     assert seen[-1].rdd.getNumPartitions() == 4
+
+
+def test_topic_models_make_tokens_once(spark):
+    """However many passes the models make."""
+    made = spark.sparkContext.accumulator(0)
+    tokens = spark.createDataFrame([(i % 4, w) for i, w in enumerate(["deep", "graph", "net", "of"] * 5)], "doc_id long, term string").coalesce(1)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    assert learn.lda_topics(tokens.mapInPandas(count, tokens.schema), 2, 2).count() == 4
+    assert made.value == 20
