@@ -165,6 +165,20 @@ def test_preferences(spark):
         graph.preferences_of(seeds, {"z": 1})
 
 
+@pytest.mark.parametrize("size", [2, 1 << 16])
+def test_hits_in_lists_of_neighbours(spark, monkeypatch, size):
+    monkeypatch.setattr(graph, "LIST", size)
+    edges = [("a", "p"), ("a", "q"), ("b", "q"), ("q", "b"), ("c", "p"), ("c", "q"), ("c", "r"), ("c", "r"), (None, "r"), ("d", "d")]
+    names = sorted({x for e in edges for x in e if x and None not in e})
+    near = {n: {b for a, b in edges if a == n and b} | {a for a, b in edges if b == n and a} for n in names}
+    hub = {n: 1.0 for n in names}
+    for _ in range(4):
+        hub = {n: sum(hub[m] for m in near[n]) for n in names}
+    total = sum(hub.values())
+    got = {r["id"]: round(r["hub"], 9) for r in graph.hits(spark.createDataFrame(edges, "a string, b string"), 2).collect()}
+    assert got == {n: round(h / total, 9) for n, h in hub.items()}
+
+
 def test_hits_and_bfs(spark):
     edges = spark.createDataFrame([("ann", 1), ("ann", 2), ("bob", 2)], "author string, paper_id int")
     top = graph.top_authors(edges, 2).collect()
