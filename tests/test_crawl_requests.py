@@ -87,6 +87,28 @@ def test_answers_are_those_of_the_batch_ranking(spark, index):
     assert sorted(map(key, got)) == sorted(map(key, want))
 
 
+def test_limits_are_applied_before_scores_are_shuffled(spark, index):
+    few = [(1, "graph network", "okapi25", 2), (2, "graph", "okapi25", 3)]
+    plan = requests.answer(index, spark.createDataFrame(few, requests.REQUEST))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    got = sorted_rows(requests.answer(index, spark.createDataFrame([*few, (3, "graph network", "okapi25", -1)], requests.REQUEST)))
+    one = sorted_rows(requests.answer(index, spark.createDataFrame(few, requests.REQUEST)))
+    assert [r for r in got if r[0] < 3] == one and [r[2:] for r in got if r[0] == 3][:1] != []
+
+
+def test_prefixes_of_a_large_vocabulary(spark, tmp_path, monkeypatch):
+    docs = [(i, f"graph grapher w{i}\ngraphs net network w{i}x{i % 3} netting {'gra' * (i % 2)}") for i in range(40)]
+    stored = ix.Index.build(spark.createDataFrame(docs, "doc_id long, text string"), 0).stored(str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "graph net w1"), (2, "gra w1x1 none"), (3, "network")], "query_id int, query string")
+    key = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    before = key(rank.rank(stored, asked, "okapi25"))
+    monkeypatch.setattr(rank, "BROADCAST_TERMS", 0)
+    found = rank.rank(stored, asked, "okapi25")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert key(found) == before
+    assert "hashpartitioning(qterm" not in "".join(line for line in plan.split("\n") if "doc_id" in line)
+
+
 def test_a_restarted_stream_answers_each_request_once(spark, index, tmp_path, monkeypatch):
     source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     put = lambda rows: spark.createDataFrame(rows, requests.REQUEST).coalesce(1).write.mode("append").json(source)
