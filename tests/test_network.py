@@ -67,6 +67,38 @@ def test_shared_steps_are_those_of_one_process(spark):
     assert np.allclose(net.flat, plain.flat, atol=1e-9)
 
 
+def test_tasks_meet_a_bounded_number_of_times(spark):
+    """251 batches an epoch: each task takes its share of the steps, and all meet 16 times (once a batch before)."""
+    rng = np.random.default_rng(11)
+    rows = made(4010, rng)
+    net = network.fit(spark.createDataFrame(rows, ROWS).repartition(3), [4, 16, 8, 3], spark.createDataFrame(made(300, rng), ROWS), epochs=1, batch=16, rate=1e-2)
+    assert net.rounds == [network.ROUNDS] and 250 <= net.steps <= 256
+    assert net.losses[0][3] > 0.9
+
+
+def test_states_are_averaged_by_rows(spark, monkeypatch):
+    """Two steps a task in one round: the mean of what two processes learn by themselves."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(network, "ROUNDS", 1)
+    rows = made(41, np.random.default_rng(7))
+    table = spark.createDataFrame(rows, ROWS)
+    net = network.fit(table, [4, 6, 3], epochs=1, batch=22, workers=2, dropout=0.0)
+    dealt = graph._cut(table).withColumn("mixed", F.xxhash64("key", F.lit(1), F.lit(0))).repartition(2).sortWithinPartitions("mixed", "key").select("*", F.spark_partition_id().alias("p")).collect()
+    states, shares = [], []
+    for p in (0, 1):
+        own, plain = [rows[r["key"]] for r in dealt if r["p"] == p], network.Network.new([4, 6, 3], 1)
+        for part in (own[:11], own[11:]):
+            parts, y = network.unpack(plain.flat, plain.sizes), np.array([r[2] for r in part])
+            logits, held, seen = network.forward(parts, np.array([r[1] for r in part]))
+            plain.watch(seen)
+            plain.move(network.backward(parts, held, logits, y), 1e-3)
+        states.append(np.concatenate([plain.flat, plain.first, plain.second, *plain.running[0]]))
+        shares.append(len(own) / 41)
+    assert net.rounds == [1] and net.steps == 2
+    assert np.allclose(np.concatenate([net.flat, net.first, net.second, *net.running[0]]), np.average(states, axis=0, weights=shares), atol=1e-9)
+
+
 def test_no_rows(spark):
     net = network.fit(spark.createDataFrame([], ROWS), [4, 6, 3], epochs=1)
     assert net.losses == [(0, None, None, None)] and np.array_equal(net.flat, network.start([4, 6, 3], 1))
