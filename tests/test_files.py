@@ -55,6 +55,36 @@ def test_index_files_after_the_codecs_were_used(spark, postings, tmp_path):
     assert rows(files.read_index(spark, str(tmp_path / "index"))) == rows(postings)
 
 
+@pytest.mark.parametrize("compression", ["gamma", "vb", "none"])
+def test_texts_dealt_by_ranges_give_the_same_file(spark, tmp_path, compression):
+    """Postings that are cut from sorted tokens, and documents that travel together, give the bytes of postings one by one; rows that share an id are one document."""
+    texts = TEXTS + [(i, f"graph net\nnet word{i % 7} " + "deep " * (i % 5)) for i in range(20, 400)] + [(2, "net\ndeep net deep"), (7, "")]
+    texts += [(500, "graph\n" + "deep net " * 12000)]  # more tokens than a batch has rows
+    index = Index.build(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 1)
+    if compression == "gamma":
+        index = index.remove([500])
+    dealt = index.by_ranges()
+    made = ix.ordered_postings(dealt.kept)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()  # tokens stay where they are made
+    assert rows(made) == rows(index.postings)
+    size = files.write_index(index.postings, str(tmp_path / "a"), compression, 1000)
+    assert files.write_index(made, str(tmp_path / "b"), compression, 1000, ranges=True) == size
+    assert whole(tmp_path / "a") == whole(tmp_path / "b")
+    assert rows(files.read_index(spark, str(tmp_path / "b"))) == rows(index.postings)
+    assert not list((tmp_path / "b").glob("_chunks*"))
+
+
+def test_json_file_with_odd_ids_and_spacing(spark, tmp_path):
+    odd = spark.createDataFrame([("a", 'x"y\\z', [0], []), ("a", "é\n", [], [1, 2]), ("b", "}", [3], [])], "term string, doc_id string, title_pos array<int>, abstract_pos array<int>")
+    files.write_index(odd, str(tmp_path / "i"), "none")
+    data = json.loads(whole(tmp_path / "i"))
+    assert data == [["a", {'x"y\\z': {"title": [0], "abstract": []}, "é\n": {"title": [], "abstract": [1, 2]}}], ["b", {"}": {"title": [3], "abstract": []}}]]
+    (tmp_path / "spaced").write_bytes(whole(tmp_path / "i").replace(b": [", b":  ["))
+    want = sorted((r["term"], r["doc_id"], r["title_pos"], r["abstract_pos"]) for r in odd.collect())
+    for path in ("i", "spaced"):
+        assert sorted((r["term"], r["doc_id"], r["title_pos"], r["abstract_pos"]) for r in files.read_index(spark, str(tmp_path / path), "none").collect()) == want
+
+
 def test_index_file_bytes(spark, tmp_path):
     """A file made by hand: one term, two documents."""
     made = spark.createDataFrame([("ab", 7, [0], [0, 130]), ("ab", 8, [], [2])], "term string, doc_id long, title_pos array<int>, abstract_pos array<int>")
