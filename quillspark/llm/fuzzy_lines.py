@@ -24,6 +24,8 @@ BANDS, ROWS = 8, 3
 
 
 def normalise(line: str) -> str:
+    if line.isprintable() and "  " not in line:  # its only white space is single blanks
+        return line.strip(" ").lower()
     return " ".join(line.split()).lower()
 
 

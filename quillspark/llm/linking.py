@@ -113,11 +113,13 @@ def _prefixes(sketch: np.ndarray, threshold: float, unpack):
 
 #: 64-bit words of an item's bitmap, in which each of its hashes sets a bit.
 WORDS = 32
+#: Of these, words that are looked at first: with all of the rest shared, most pairs of a bucket are ruled out by them.
+FIRST = 8
 
 
 def _bitmaps(unpack):
-    """(id, comp, few, payload) -> (id, comp, few, size, slack, w0, w1, ...); slack is the size less the number of bits."""
-    names = ["id", "comp", "few", "size", "slack", *(f"w{k}" for k in range(WORDS))]
+    """(id, comp, few, payload) -> (id, comp, few, size, slack, rest, w0, w1, ...); slack is the size less the number of bits, rest the bits after the FIRST words."""
+    names = ["id", "comp", "few", "size", "slack", "rest", *(f"w{k}" for k in range(WORDS))]
 
     def run(batches):
         for batch in batches:
@@ -129,7 +131,7 @@ def _bitmaps(unpack):
                     row[(s >> np.uint64(32)).astype(np.int64) % (WORDS * 64)] = 1
                 words = np.packbits(bits, axis=1).view(np.int64)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                cols = [part.column(part.schema.get_field_index(c)) for c in names[:3]] + [pa.array(sizes), pa.array(sizes - bits.sum(1, dtype=np.int64))]
+                cols = [part.column(part.schema.get_field_index(c)) for c in names[:3]] + [pa.array(sizes), pa.array(sizes - bits.sum(1, dtype=np.int64)), pa.array(bits[:, FIRST * 64 :].sum(1, dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS)], names=names)
 
     return run
@@ -221,16 +223,17 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
         found = few.join(many, "token").where(near).select("x", "y")
     else:
         maps = ", ".join(f"w{k} long" for k in range(WORDS))
-        maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, slack long, {maps}"), "bitmaps")
+        maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, slack long, rest long, {maps}"), "bitmaps")
         of_item = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
         sides = open_.select("key", "id").join(maps, "id").join(of_item, "id")
         few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in [*maps.columns, "keys"]))
         many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in [*maps.columns, "keys"]))
         # a bit that one side alone has stands for a hash that the sides do not share: its size less those bits bounds what it shares
-        both = reduce(add, (F.bit_count(F.col(f"x_w{k}").bitwiseAND(F.col(f"y_w{k}"))) for k in range(WORDS)))
-        can_share = both + F.least("x_slack", "y_slack")
+        both = [F.bit_count(F.col(f"x_w{k}").bitwiseAND(F.col(f"y_w{k}"))) for k in range(WORDS)]
+        may_share = reduce(add, both[:FIRST]) + F.least("x_rest", "y_rest") + F.least("x_slack", "y_slack")
+        can_share = reduce(add, both) + F.least("x_slack", "y_slack")
         shared = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
-        near = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_size", "y_size") >= shared) & (can_share >= shared)
+        near = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_size", "y_size") >= shared) & (may_share >= shared) & (can_share >= shared)
         # a pair meets in the first bucket that it shares, once
         near = near & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key"))
         found = few.join(many, "key").where(near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))

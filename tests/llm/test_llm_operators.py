@@ -879,3 +879,34 @@ def test_labelled_rows_that_share_an_id_are_one(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     chain = toxicity.fit_chain(docs, labels.select("doc_id", "toxic"), ["toxic"])
     assert len(chain.models) == 1 and toxicity.toxicity(docs, labels).count() == 302
+
+
+def test_lines_are_normalised_as_by_splitting():
+    """Lines whose only white space is single blanks take a shorter way to the same result."""
+    odd = ["", " ", "  ", " a ", "a  b", "A\tb", "a\u00a0b", "a\u2003b", "\x1fa", "a\x85b", "ΑΣ ΣΑΣ", "İx", " Ab C", "a\u200bb", "\ud800 x", "a\r"]
+    assert [fuzzy_lines.normalise(x) for x in odd] == [" ".join(x.split()).lower() for x in odd]
+
+
+def test_shingles_of_long_texts_are_those_among_short_ones():
+    texts = ["abcdefgh", "Δelta and a longer line", "x" * 600]
+    owner, h = textkern.char_shingles(texts, 8, textkern.Powers())
+    mixed_owner, mixed = textkern.char_shingles([*texts, "short"], 8, textkern.Powers())
+    assert (mixed[: len(h)] == h).all() and (mixed_owner[: len(h)] == owner).all() and len(mixed) == len(h) + 1
+
+
+def test_first_words_of_bitmaps_bound_what_is_shared():
+    from quillspark.llm import linking
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - 20 * k], rng.integers(0, 1 << 63, 20 * k).astype(np.uint64)])) for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(range(12)), pa.array([True] * 12), pa.array([s.tobytes() for s in sets])], names=["id", "comp", "few", "payload"])
+    (out,) = linking._bitmaps(linking.as_sets)([batch])
+    got = out.to_pydict()
+    bits = [[f"{got[f'w{k}'][i] & (1 << 64) - 1:064b}" for k in range(linking.WORDS)] for i in range(12)]
+    for i in range(12):
+        assert got["rest"][i] == sum(w.count("1") for w in bits[i][linking.FIRST :])
+        for j in range(i):
+            head = sum(a == b == "1" for u, v in zip(bits[i][: linking.FIRST], bits[j], strict=False) for a, b in zip(u, v, strict=True))
+            bound = head + min(got["rest"][i], got["rest"][j]) + min(got["slack"][i], got["slack"][j])
+            assert bound >= len(np.intersect1d(sets[i], sets[j]))
