@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized, tidy
-from .linking import link, to_blobs
+from .linking import buckets, link, to_blobs
 from .textkern import U, chunks, mix, occurrences, shared_powers, signed, word_shingles
 
 WORDS, THRESHOLD = 5, 0.8
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sought = scratch.keep(sought, "sought")
         return rows.join(sized(sought), "doc_id").select("id", "w1", "w2", "text").mapInArrow(tidy(_payload), "id long, payload binary")
 
-    comps = link(scratch, members, payload_of, THRESHOLD)
+    comps = link(scratch, buckets(scratch, [members]), payload_of, THRESHOLD)
     # only items with copies or links need more than their own id
     linked = items.select("w1", "w2", "id", "first_doc", "copies").join(comps, "id", "left").where("copies > 1 or comp is not null")
     linked = scratch.keep(linked.drop("id"), "linked")

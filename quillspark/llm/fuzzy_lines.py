@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 
 from .bagminhash import band_keys
 from .common import Scratch, carry, row_type, sized, tidy
-from .linking import link
-from .textkern import CHUNK, Powers, U, char_shingles, chunks, digests, distinct, mix, shared_powers, signed
+from .linking import buckets, link
+from .textkern import CHUNK, Powers, U, char_shingles, chunks, digests, mix, shared_powers, signed
 
 SHINGLE_CHARS, THRESHOLD = 8, 0.8
 #: 8 bands of 3 registers: a pair of similarity 0.8 is found with a probability of 0.997 at least.
 BANDS, ROWS = 8, 3
+#: So many times a part of the bands is shuffled.
+TURNS = 2
 
 
 def normalise(line: str) -> str:
@@ -29,6 +31,17 @@ def normalise(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
+#: What ASCII has as white space beside the blank and the newline.
+OTHER_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
+
+def normalised(text: str) -> list[str]:
+    """Each line of the text, normalised."""
+    if text.isascii() and "  " not in text and len(text.encode().translate(None, OTHER_SPACE)) == len(text):
+        return [line.strip(" ") for line in text.lower().split("\n")]
+    return [normalise(line) for line in text.split("\n")]
+
+
 def signatures(owner: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.ndarray:
     """uint64 (n, registers) one-permutation MinHash of texts that have a shingle each."""
     empty = U(0xFFFFFFFFFFFFFFFF)
@@ -49,8 +62,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, registers: int) -> np.n
 def considered(text: str, least: int = SHINGLE_CHARS):
     """(line number, normalised line, whether it is a repeat within the text) of each line of `least` characters or more."""
     seen = set()
-    for k, line in enumerate(text.split("\n")):
-        line = normalise(line)
+    for k, line in enumerate(normalised(text)):
         if len(line) >= least:
             yield k, line, line in seen
             seen.add(line)
@@ -93,26 +105,21 @@ def _line_features(least: int):
 
 
 def _payload(batches):
-    """(doc_id, text, wanted [(line, id)]) -> (id, normalised line)."""
+    """(id, line) -> (id, normalised line)."""
     for batch in batches:
-        ids, lines = [], []
-        for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            split = text.split("\n")
-            for w in wanted:
-                ids.append(w["id"])
-                lines.append(normalise(split[w["line"]]).encode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.binary())], names=["id", "payload"])
+        lines = [normalise(x).encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.binary())], names=["id", "payload"])
 
 
-def _line_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """Sorted shingle hashes of each line."""
+def _line_hashes(lines: list[bytes]) -> list[np.ndarray]:
+    """Shingle hashes of each line, in the line's order."""
     out = []
     powers = shared_powers()
     texts = [x.decode("utf-8", "surrogatepass") for x in lines]
     for lo, hi in chunks(texts):
         owner, h = char_shingles(texts[lo:hi], SHINGLE_CHARS, powers)
         at = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
-        out += [distinct(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        out += [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
@@ -153,28 +160,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = [f"b{b}" for b in range(BANDS)]
     lines = rows.mapInArrow(tidy(_line_features(1 if short_lines else SHINGLE_CHARS)), "doc_id long, body long, line int, again boolean, head boolean, h1 long, h2 long, " + ", ".join(f"{k} long" for k in keys))
     lines = scratch.keep(lines, "lines", "snappy")
-    distinct = lines.where("not again and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys))
-    distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct", "snappy")
+    # A line goes by the first half of its digest while links are found. Should two lines share that, the one of the smaller second half takes part.
+    banded = lines.where("not again and doc_id is not null and b0 is not null")
+    # keys differ from band to band, so bands can meet in turns, which takes less disk at a time
+    turns = [banded.select(F.explode(F.array(*keys[k::TURNS])).alias("key"), F.col("h1").alias("id")) for k in range(TURNS)]
+    turns = buckets(scratch, turns, repeats=True)
     # from here on lines need no band keys
     lines = scratch.keep(lines.drop(*keys), "places", "snappy")
     scratch.drop("lines")
     known = lines.where("not again and doc_id is not null")
-    members = distinct.where("b0 is not null").select(F.explode(F.array(*keys)).alias("key"), "id")
+    sought = None  # a row for each line that shares a bucket
 
     def payload_of(ids: DataFrame) -> DataFrame:
-        wanted = scratch.keep(distinct.select("id", "doc_id", "h1", "h2").join(sized(ids), "id", "left_semi"), "sought")
-        wanted = known.select("doc_id", "body", "line", "h1", "h2").join(sized(wanted), ["doc_id", "h1", "h2"])
-        wanted = scratch.keep(wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "wanted")
-        return rows.join(sized(wanted), ["doc_id", "body"]).select("doc_id", "text", "wanted").mapInArrow(tidy(_payload), "id long, payload binary")
-
-    comps = link(scratch, members, payload_of, THRESHOLD, _line_sets, by_prefixes=False)
-    # Of each line that occurs in several rows or is linked: where it stays, if anywhere.
-    shared = scratch.keep(distinct.select("h1", "h2", "id", "doc_id", "n").join(comps, "id", "left").where("n > 1 or comp is not null"), "shared")
-    linked = shared.where("comp is not null")
+        nonlocal sought
+        sought = known.select("doc_id", "body", "line", "h1", "h2").join(sized(ids.select(F.col("id").alias("h1"))), "h1", "left_semi")
+        sought = sought.groupBy("h1").agg(F.min(F.struct("h2", "doc_id", "body", "line")).alias("s")).select("h1", "s.*")
+        sought = scratch.keep(sought, "sought")
+        wanted = rows.join(sized(sought.select("doc_id", "body", "line", F.col("h1").alias("id"))), ["doc_id", "body"])
+        cut = F.substring_index(F.call_function("substring_index", "text", F.lit("\n"), F.col("line") + 1), "\n", -1)
+        return wanted.select("id", cut).mapInArrow(tidy(_payload), "id long, payload binary")
+
+    comps = link(scratch, turns, payload_of, THRESHOLD, _line_hashes, by_prefixes=False)
+    # Of each line that is linked or occurs in several rows: where it stays, if anywhere.
+    linked = scratch.keep(sought.select("h1", "h2", "doc_id").join(sized(comps.withColumnRenamed("id", "h1")), "h1"), "linked")
     stay = linked.groupBy("comp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("s")).select("comp", "s.*")
-    linked = linked.join(stay.select("comp", F.col("h1").alias("s1"), F.col("h2").alias("s2")), "comp")
-    shared = shared.where("comp is null").select("h1", "h2", "doc_id").union(linked.select("h1", "h2", F.when((F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), F.col("doc_id"))))
-    shared = scratch.keep(shared.withColumnRenamed("doc_id", "stays_in"), "stays")
+    moved = linked.join(stay.select("comp", F.col("h1").alias("s1"), F.col("h2").alias("s2")), "comp").select("h1", "h2", F.when((F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), F.col("doc_id")).alias("stays_in"))
+    repeated = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("stays_in"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "stays_in")
+    repeated = scratch.keep(repeated, "repeated")
+    shared = scratch.keep(moved.union(repeated.join(sized(linked.select("h1", "h2")), ["h1", "h2"], "left_anti")), "stays")
     place = known.select("doc_id", "body", "line", "h1", "h2")
     drop = place.join(sized(shared), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("stays_in"))).select("doc_id", "body", "line")
     drop = drop.union(lines.where("again").select("doc_id", "body", "line"))
@@ -190,7 +203,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         every = lines.join(sized(twins), ["doc_id", "body"], "left_semi").groupBy("doc_id", "body").agg(F.collect_set("line").alias("every"))
         twins = None if twins.isEmpty() else scratch.keep(every, "every")
     drop = scratch.keep(drop.groupBy("doc_id", "body").agg(F.collect_list("line").alias("drop")), "drop")
-    scratch.drop("places", "distinct", "sought", "wanted", "shared", "stays", "several", "homes", "twins")
+    scratch.drop("places", "sought", "linked", "repeated", "stays", "several", "homes", "twins")
 
     row, cells, fields = carry(docs, ["clean_text", "n_lines", "n_kept"])
     full = docs.select(row, *row_key)

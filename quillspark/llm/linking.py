@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized, tidy
+from .textkern import distinct
 
 def to_blobs(owner: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
     """Sorted hashes grouped by sorted owner -> a binary for each of n owners."""
@@ -30,12 +31,29 @@ def to_blobs(owner: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
     return [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+#: 64-bit words of an item's bitmap, in which each of its hashes sets a bit.
+WORDS = 16
+#: Of these, words that are looked at first: with all of the rest shared, many pairs of a bucket are ruled out by them.
+FIRST = 4
+
+
+def _bits(sets: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set, a byte a bit, and the number of hashes of each."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    bits = np.zeros((len(sets), words * 64), np.uint8)
+    if len(sets):
+        bits[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(sets) >> np.uint64(32)).astype(np.int64) % (words * 64)] = 1
+    return bits, sizes
+
+
 #: Payload that is unpacked at once; items that several pairs share are unpacked once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Words of the bitmaps that are made of such a slice.
+SLICE_WORDS = 16
 
 
 def _similar(threshold: float, unpack):
-    """(a, b, pa, pb) -> links whose sets have a Jaccard similarity of the threshold at least."""
+    """(a, b, pa, pb) -> links whose sets have a Jaccard similarity of the threshold at least. Pairs that bitmaps prove unlike are not compared."""
 
     def run(batches):
         for batch in batches:
@@ -43,18 +61,28 @@ def _similar(threshold: float, unpack):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 a, b, x, y = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "pa", "pb"))
-                distinct: dict[bytes, int] = {}
-                left = [distinct.setdefault(p, len(distinct)) for p in x.to_pylist()]
-                right = [distinct.setdefault(p, len(distinct)) for p in y.to_pylist()]
-                sets = unpack(list(distinct))
+                numbers: dict[bytes, int] = {}
+                left = np.array([numbers.setdefault(p, len(numbers)) for p in x.to_pylist()], np.int64)
+                right = np.array([numbers.setdefault(p, len(numbers)) for p in y.to_pylist()], np.int64)
+                raw = unpack(list(numbers))
+                bits, most = _bits(raw, SLICE_WORDS)
+                maps = np.packbits(bits, axis=1).view(np.uint64)
+                least = np.bitwise_count(maps).sum(1, dtype=np.int64)
+                both = np.bitwise_count(maps[left] & maps[right]).sum(1, dtype=np.int64)
+                may = both + np.minimum((most - least)[left], (most - least)[right]) >= threshold / (1 + threshold) * (least[left] + least[right]) - 1e-9
+                sets: dict[int, np.ndarray] = {}
                 keep = []
-                for i, (u, v) in enumerate(zip(left, right, strict=True)):
-                    small, large = sorted((sets[u], sets[v]), key=len)
-                    if not len(small) or len(small) < threshold * len(large):
+                for i in np.flatnonzero(may & (least[left] > 0) & (least[right] > 0)).tolist():
+                    u, v = int(left[i]), int(right[i])
+                    for k in (u, v):
+                        if k not in sets:
+                            sets[k] = distinct(raw[k])
+                    small, large = (sets[u], sets[v]) if len(sets[u]) <= len(sets[v]) else (sets[v], sets[u])
+                    if len(small) < threshold * len(large):
                         continue
                     place = np.searchsorted(large, small)
-                    both = int((large[np.minimum(place, len(large) - 1)] == small).sum())
-                    if both / (len(small) + len(large) - both) >= threshold:
+                    shared = np.count_nonzero(large.take(place, mode="clip") == small)
+                    if shared / (len(small) + len(large) - shared) >= threshold:
                         keep.append(i)
                 keep = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
@@ -111,12 +139,6 @@ def _prefixes(sketch: np.ndarray, threshold: float, unpack):
     return run
 
 
-#: 64-bit words of an item's bitmap, in which each of its hashes sets a bit.
-WORDS = 32
-#: Of these, words that are looked at first: with all of the rest shared, most pairs of a bucket are ruled out by them.
-FIRST = 8
-
-
 def _bitmaps(unpack):
     """(id, comp, few, payload) -> (id, comp, few, size, slack, rest, w0, w1, ...); slack is the size less the number of bits, rest the bits after the FIRST words."""
     names = ["id", "comp", "few", "size", "slack", "rest", *(f"w{k}" for k in range(WORDS))]
@@ -125,12 +147,8 @@ def _bitmaps(unpack):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = unpack(part.column(part.schema.get_field_index("payload")).to_pylist())
-                bits = np.zeros((len(sets), WORDS * 64), np.uint8)
-                for row, s in zip(bits, sets, strict=True):
-                    row[(s >> np.uint64(32)).astype(np.int64) % (WORDS * 64)] = 1
+                bits, sizes = _bits([distinct(s) for s in unpack(part.column(part.schema.get_field_index("payload")).to_pylist())], WORDS)
                 words = np.packbits(bits, axis=1).view(np.int64)
-                sizes = np.array([len(s) for s in sets], np.int64)
                 cols = [part.column(part.schema.get_field_index(c)) for c in names[:3]] + [pa.array(sizes), pa.array(sizes - bits.sum(1, dtype=np.int64)), pa.array(bits[:, FIRST * 64 :].sum(1, dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(np.ascontiguousarray(words[:, k])) for k in range(WORDS)], names=names)
 
@@ -162,16 +180,26 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame], DataFrame], threshold: float, unpack=as_sets, by_prefixes: bool = True) -> DataFrame:
-    """(id, comp) of the ids that are linked to another. members: (key long, id long); payload_of maps a kept table of ids to (id,
-    payload binary); unpack turns a list of payloads into sorted arrays of distinct 64-bit hashes."""
+def buckets(scratch: Scratch, turns: list[DataFrame], repeats: bool = False) -> list[DataFrame]:
+    """A table for each turn: (key, id, low, high) of the members (key long, id long) of buckets of several ids, with the two members that all others are compared
+    with. `turns`: tables of members that share no keys, taken one after the other; `repeats`: rows of one may be alike, they become one."""
     # the order of id xor key is another one in each bucket, and can be undone
     mixed = F.col("id").bitwiseXOR(F.col("key"))
-    picks = members.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
-    picks = scratch.keep(picks.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("low"), F.col("high").bitwiseXOR(F.col("key")).alias("high")), "picks")
-    scratch.drop()
-    act = scratch.keep(members.select("key", "id").join(sized(picks), "key"), "act")
-    scratch.drop("picks")
+    acts = []
+    for k, members in enumerate(turns):
+        picks = members.groupBy("key").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low <> high")
+        picks = scratch.keep(picks.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("low"), F.col("high").bitwiseXOR(F.col("key")).alias("high")), f"picks-{k}")
+        scratch.drop()
+        act = members.select("key", "id").join(sized(picks), "key")
+        acts.append(scratch.keep(act.distinct() if repeats else act, f"act-{k}"))
+        scratch.drop(f"picks-{k}")
+    return acts
+
+
+def link(scratch: Scratch, turns: list[DataFrame], payload_of: Callable[[DataFrame], DataFrame], threshold: float, unpack=as_sets, by_prefixes: bool = True) -> DataFrame:
+    """(id, comp) of the ids that are linked to another. turns: what `buckets` returns; payload_of maps a kept table of ids to (id,
+    payload binary); unpack turns a list of payloads into arrays of 64-bit hashes, sorted and distinct if `by_prefixes`."""
+    act = reduce(DataFrame.union, turns)
     ids = scratch.keep(act.select("id").distinct(), "ids")
     payload = scratch.keep(payload_of(ids), "payload")
     if payload.count() > ids.count():  # rows that repeat an item
@@ -193,7 +221,7 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     comps = components(scratch, links, "first")
 
     placed = scratch.keep(act.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    scratch.drop("act")
+    scratch.drop(*(f"act-{k}" for k in range(len(turns))))
     # with up to three members all pairs have been compared
     # (what is joined by a bucket's key is written first, so that no join is tied to an aggregation's partitions and hot ones can be split)
     unlike = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least <> most and n > 3").select("key")
@@ -224,18 +252,15 @@ def link(scratch: Scratch, members: DataFrame, payload_of: Callable[[DataFrame],
     else:
         maps = ", ".join(f"w{k} long" for k in range(WORDS))
         maps = scratch.keep(rows.mapInArrow(tidy(_bitmaps(unpack)), f"id long, comp long, few boolean, size long, slack long, rest long, {maps}"), "bitmaps")
-        of_item = open_.groupBy("id").agg(F.collect_list("key").alias("keys"))
-        sides = open_.select("key", "id").join(maps, "id").join(of_item, "id")
-        few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in [*maps.columns, "keys"]))
-        many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in [*maps.columns, "keys"]))
+        sides = open_.select("key", "id").join(maps, "id")
+        few = sides.where("few").select("key", *(F.col(c).alias(f"x_{c}") for c in maps.columns))
+        many = sides.select("key", *(F.col(c).alias(f"y_{c}") for c in maps.columns))
         # a bit that one side alone has stands for a hash that the sides do not share: its size less those bits bounds what it shares
         both = [F.bit_count(F.col(f"x_w{k}").bitwiseAND(F.col(f"y_w{k}"))) for k in range(WORDS)]
         may_share = reduce(add, both[:FIRST]) + F.least("x_rest", "y_rest") + F.least("x_slack", "y_slack")
         can_share = reduce(add, both) + F.least("x_slack", "y_slack")
         shared = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
         near = (F.col("x_comp") != F.col("y_comp")) & (F.least("x_size", "y_size") >= shared) & (may_share >= shared) & (can_share >= shared)
-        # a pair meets in the first bucket that it shares, once
-        near = near & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key"))
         found = few.join(many, "key").where(near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
     rest = scratch.keep(pairs(found).join(seen, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, "more")

@@ -42,9 +42,13 @@ def shared_powers() -> Powers:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 def chunks(texts: list[str], size: int = CHUNK):
@@ -126,27 +130,29 @@ def word_shingles(texts: list[str], width: int, powers: Powers):
 def char_shingles(texts: list[str], width: int, powers: Powers):
     """(text index, hash) of every run of `width` code points; a shorter text, but not an empty one, gives one shingle of all its code
     points."""
-    raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
-    codes = np.frombuffer(b"".join(raw), np.uint32)
-    size = np.fromiter((len(r) >> 2 for r in raw), np.int64, len(raw))
-    first = np.concatenate([[0], np.cumsum(size)])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     runs = Runs(codes, powers)
-    span = np.minimum(size, width)
-    places = np.where(size > 0, size - span + 1, 0)
+    places = np.where(size > 0, np.maximum(size - width, 0) + 1, 0)
     owner = np.repeat(np.arange(len(texts)), places)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + first[owner]
-    if len(span) and span.min() == width:  # all runs have one length, so their hashes are those of neighbouring sums
-        every = (runs.sums[width:] - runs.sums[:-width]) * runs.down[: len(codes) - width + 1]
-        return owner, mix(every[at])
-    return owner, mix(runs.hashes(at, at + span[owner]))
+    ends = np.cumsum(size)
+    # runs of one length have the hashes of neighbouring sums; those that cross an end are left out
+    within = np.ones(max(len(codes) - width + 1, 0), bool)
+    across = (ends[:, None] - np.arange(1, width)).ravel()
+    within[across[(across >= 0) & (across < len(within))]] = False
+    h = ((runs.sums[width:] - runs.sums[:-width]) * runs.down[: len(within)])[within]
+    short = np.flatnonzero((size > 0) & (size < width))
+    if len(short):
+        at = (np.cumsum(places) - places)[short]
+        h = np.insert(h, at - np.arange(len(short)), runs.hashes(ends[short] - size[short], ends[short]))
+    return owner, mix(h)
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; for small arrays, which np.unique is slow on."""
     x = np.sort(x)
-    new = np.ones(len(x), bool)
-    np.not_equal(x[1:], x[:-1], out=new[1:])
-    return x[new]
+    new = x[1:] != x[:-1]
+    return x if new.all() else np.concatenate([x[:1], x[1:][new]])
 
 
 def occurrences(owner: np.ndarray, h: np.ndarray):

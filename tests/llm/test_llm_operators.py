@@ -910,3 +910,49 @@ def test_first_words_of_bitmaps_bound_what_is_shared():
             head = sum(a == b == "1" for u, v in zip(bits[i][: linking.FIRST], bits[j], strict=False) for a, b in zip(u, v, strict=True))
             bound = head + min(got["rest"][i], got["rest"][j]) + min(got["slack"][i], got["slack"][j])
             assert bound >= len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_band_keys_of_lines_are_written_once_and_shuffled_in_turns(spark, monkeypatch):
+    """Before, they were shuffled and written again with the distinct lines, and all bands met at once."""
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: kept.setdefault(name, df.columns) and keep(self, df, name, *a))
+    line = "a line of some length that comes again and again"
+    rows = [(i, f"{line} {'!' * (i % 3)}\nthe {i}th document has this line alone {i * 7919}") for i in range(30)]
+    got = {r["doc_id"]: r["clean_text"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, t in got.items() if line in t] == [0] and all(f"the {i}th document" in t for i, t in got.items())
+    assert [k for k, columns in kept.items() if "b0" in columns] == ["lines"]
+    assert sum(k.startswith("picks") for k in kept) == fuzzy_lines.TURNS > 1
+
+
+def test_members_that_repeat_are_one(spark):
+    from quillspark.llm import linking
+
+    rows = [[(1, 5), (1, 5), (1, 6), (1, 6), (2, 5), (2, 5)], [(3, 7), (3, 8), (3, 8)]]
+    acts = linking.buckets(Scratch(spark, "t"), [spark.createDataFrame(r, "key long, id long") for r in rows], repeats=True)
+    assert [sorted((r["key"], r["id"], *sorted((r["low"], r["high"]))) for r in a.collect()) for a in acts] == [[(1, 5, 5, 6), (1, 6, 5, 6)], [(3, 7, 7, 8), (3, 8, 7, 8)]]
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    from quillspark.llm import linking
+
+    rng = np.random.default_rng(5)
+    a = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in rng.integers(1, 900, 400)]
+    b = [np.concatenate([x[: max(1, int(len(x) * p))], rng.integers(0, 1 << 63, int(len(x) * q)).astype(np.uint64)]) for x, p, q in zip(a, rng.uniform(0.7, 1, 400), rng.uniform(0, 0.3, 400), strict=True)]
+    a = [np.concatenate([x, x[: len(x) // 3]]) for x in a]  # hashes may repeat, in any order
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), *(pa.array([x.tobytes() for x in side]) for side in (a, b))], names=["a", "b", "pa", "pb"])
+    found = [i for out in linking._similar(0.8, linking.as_sets)([batch]) for i in out.column(0).to_pylist()]
+    want = [i for i, (x, y) in enumerate(zip(map(set, map(np.ndarray.tolist, a)), map(set, map(np.ndarray.tolist, b)), strict=True)) if len(x & y) / len(x | y) >= 0.8]
+    assert found == want and 50 < len(want) < 350
+
+
+def test_lines_of_a_whole_text_are_normalised_as_one_by_one():
+    for t in ["", "A b\n c D \n\nE", "A  b\nC", "a\tb\nC", "a\r\nB", "a\x1fb\nC\x0b", "É a\nΑΣ\nb", "\n", " a\n b "]:
+        assert fuzzy_lines.normalised(t) == [fuzzy_lines.normalise(x) for x in t.split("\n")]
+
+
+def test_short_texts_among_long_ones_have_one_shingle():
+    texts = ["short", "", "abcdefghij", "x", "Δelta and a longer line", "", "seven77", "eight888"]
+    owner, h = textkern.char_shingles(texts, 8, textkern.Powers())
+    apart = [textkern.char_shingles([t], 8, textkern.Powers())[1] for t in texts]
+    assert owner.tolist() == [i for i, t in enumerate(texts) if t for _ in range(max(1, len(t) - 7))]
+    assert (h == np.concatenate(apart)).all()
