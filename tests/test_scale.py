@@ -1,5 +1,6 @@
 """Steps whose size must not follow that of the tables."""
 
+import math
 import re
 
 import numpy as np
@@ -116,3 +117,38 @@ def test_topic_models_make_tokens_once(spark):
 
     assert learn.lda_topics(tokens.mapInPandas(count, tokens.schema), 2, 2).count() == 4
     assert made.value == 20
+
+
+def test_topics_come_from_all_documents_and_terms(spark, monkeypatch):
+    """Against a plain batch version of the same updates, in one block and in many; each document has a term of its own."""
+    rng = np.random.default_rng(7)
+    themes = ("harbour vessel sailor anchor", "kitchen pastry butter recipe", "planet comet telescope galaxy")
+    rows = [(i, w) for i in range(90) for w in [*rng.choice(themes[i % 3].split(), 9 + i % 5).tolist(), f"own{i}"]]
+    tokens = spark.createDataFrame([*rows, (None, "harbour"), (None, "vessel")], "doc_id long, term string")
+    monkeypatch.setattr(learn, "POSTINGS", 1 << 20)
+    one = [tuple(r) for r in learn.lda_topics(tokens, 3, 200).collect()]
+    monkeypatch.setattr(learn, "POSTINGS", 40)
+    many = {(r["topic"], r["term"]): r["weight"] for r in learn.lda_topics(tokens, 3, 200).collect()}
+    assert len(one) == 3 * (12 + 90)
+    assert {(t, w): pytest.approx(x, rel=1e-6) for t, _, w, x in one} == many
+    assert {frozenset(w for t, r, w, _ in one if t == topic and r < 4) for topic in range(3)} == {frozenset(t.split()) for t in themes}
+    assert [sum(x for t, _, _, x in one if t == topic) for topic in range(3)] == pytest.approx([1, 1, 1])
+
+
+def test_shares_follow_a_plain_loop():
+    rng = np.random.default_rng(9)
+    sizes, n = np.array([3, 1, 6, 2]), rng.integers(1, 5, 12)
+    beta = rng.random((3, 12))
+    got = learn._shares(sizes, beta, n)
+    x = np.linspace(0.3, 20, 50)
+    h = 1e-5
+    assert np.allclose(learn._digamma(x), [(math.lgamma(v + h) - math.lgamma(v - h)) / (2 * h) for v in x], atol=1e-7)
+    for d, end in enumerate(np.cumsum(sizes)):
+        b, c, g = beta[:, end - sizes[d] : end], n[end - sizes[d] : end], np.ones(3)
+        for _ in range(100):
+            e = np.exp(learn._digamma(g) - learn._digamma(g.sum(keepdims=True)))
+            new = np.array([1 / 3 + e[j] * sum(c[i] * b[j, i] / (e @ b[:, i]) for i in range(len(c))) for j in range(3)])
+            moved, g = np.abs(new - g).mean(), new
+            if moved < 1e-3:
+                break
+        assert np.allclose(got[:, d], np.exp(learn._digamma(g) - learn._digamma(g.sum(keepdims=True))), rtol=2e-3)
