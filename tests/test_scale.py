@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.operators import learn, rank, subwords, text, vector
+from quillspark.operators import index, learn, rank, subwords, text, vector
 from quillspark.operators.index import Index
 from quillspark.plans import mining
 
@@ -152,3 +153,29 @@ def test_shares_follow_a_plain_loop():
             if moved < 1e-3:
                 break
         assert np.allclose(got[:, d], np.exp(learn._digamma(g) - learn._digamma(g.sum(keepdims=True))), rtol=2e-3)
+
+
+def test_features_are_added_up_where_their_texts_were_dealt_to(spark, monkeypatch):
+    """Against the features made by shuffled joins, with ids that repeat or are null, in many pieces; counts are not shuffled once they are made."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)] + ["x", "yy"]
+    rows = [(i % 50, " ".join(rng.choice(words, 12)) + "\n" + " ".join(rng.choice(words, 9))) for i in range(70)] + [(200, None), (201, "")]
+    parts = text.sections(spark.createDataFrame([*rows, (None, "w1 w2 x")], "doc_id long, text string"))
+    some = text.sections(spark.createDataFrame(rows, "doc_id long, text string"))
+    vector = F.when(F.length("term") > 1, F.array(F.length("term").cast("double"), F.ascii("term") / 7))
+    monkeypatch.setattr(index, "BUCKET_CHARS", 300)
+    plans, cut = [], learn._cut
+    monkeypatch.setattr(learn, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = learn.Pieces.build(some).embedded(vector).collect()
+    old = learn.tf_idf_features(text.tokens(some), some)
+    want = learn.weighted_embedding(old, text.tokens(some).select("term").distinct().select("term", vector.alias("vector"))).collect()
+    by = {(r["doc_id"], r["dim"]): r["x"] for r in want}
+    assert len(got) == len(by) and {(r["doc_id"], r["dim"]): pytest.approx(r["x"], rel=1e-9) for r in got} == by
+    assert any(r["doc_id"] is None for r in learn.Pieces.build(parts).embedded(vector).collect())
+    part = {(r["doc_id"], r["term"]): r["w"] for r in learn.Pieces.build(some, 2).slice(3, 7).collect()}
+    long = text.tokens(some).where("length(term) > 1")
+    by = {(r["doc_id"], r["term"]): r["w"] for r in learn.feature_slice(learn.tf_idf_features(long, some), 3, 7).collect()}
+    assert by and {k: pytest.approx(w, rel=1e-9) for k, w in part.items()} == by
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert not any(re.search(r"hashpartitioning\([^)]*doc_id#", p) for p in plans) and not spark.catalog.listTables()
