@@ -179,3 +179,11 @@ def test_features_are_added_up_where_their_texts_were_dealt_to(spark, monkeypatc
     assert by and {k: pytest.approx(w, rel=1e-9) for k, w in part.items()} == by
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert not any(re.search(r"hashpartitioning\([^)]*doc_id#", p) for p in plans) and not spark.catalog.listTables()
+
+
+def test_sums_of_short_segments():
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [3, 1, 7, 1, 2], rng.integers(1, 9, 50).tolist(), [40]):
+        values, rows = rng.normal(size=(20, 4)), rng.integers(0, 20, sum(sizes))
+        ends = np.cumsum(sizes)
+        assert np.allclose(subwords._sums(values, rows, np.array(sizes)), [values[rows[e - n : e]].sum(0) for e, n in zip(ends, sizes, strict=True)])
