@@ -187,3 +187,12 @@ def test_sums_of_short_segments():
         values, rows = rng.normal(size=(20, 4)), rng.integers(0, 20, sum(sizes))
         ends = np.cumsum(sizes)
         assert np.allclose(subwords._sums(values, rows, np.array(sizes)), [values[rows[e - n : e]].sum(0) for e, n in zip(ends, sizes, strict=True)])
+
+
+def test_documents_are_embedded_without_a_row_for_each_number_of_a_term(spark):
+    model = subwords.Subwords(np.random.default_rng(6).normal(size=(512, 8)).astype(np.float32))
+    parts = text.sections(spark.createDataFrame([(1, "deep graph net\nnet of été"), (2, "graph"), (3, ""), (4, None), (2, "of net")], "doc_id long, text string"))
+    made = learn.Pieces.build(parts).embedded_by(model.maker(spark), 8)
+    old = learn.tf_idf_features(text.tokens(parts), parts)
+    want = {(r["doc_id"], r["dim"]): r["x"] for r in learn.weighted_embedding(old, model.vectors(old.select("term").distinct())).collect()}
+    assert len(want) == 16 and {(r["doc_id"], r["dim"]): pytest.approx(r["x"], abs=1e-5) for r in made.collect()} == want
