@@ -1,13 +1,14 @@
 """Steps whose size must not follow that of the tables."""
 
 import math
+import os
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import index, learn, rank, subwords, text, vector
+from quillspark.operators import graph, index, learn, rank, subwords, text, vector
 from quillspark.operators.index import Index
 from quillspark.plans import mining
 
@@ -196,3 +197,25 @@ def test_documents_are_embedded_without_a_row_for_each_number_of_a_term(spark):
     old = learn.tf_idf_features(text.tokens(parts), parts)
     want = {(r["doc_id"], r["dim"]): r["x"] for r in learn.weighted_embedding(old, model.vectors(old.select("term").distinct())).collect()}
     assert len(want) == 16 and {(r["doc_id"], r["dim"]): pytest.approx(r["x"], abs=1e-5) for r in made.collect()} == want
+
+
+def test_hits_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    """Tables of rounds that are done are deleted, lists of neighbours are read where they lie, and the scores are those of a plain loop."""
+    rng = np.random.default_rng(2)
+    links = sorted({(int(a), int(b)) for a, b in rng.integers(0, 9, (25, 2))})
+    made, cut = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: made.append((df._jdf.queryExecution().executedPlan().toString(), cut(df))) or made[-1][1])
+    monkeypatch.setattr(graph, "shared_folder", lambda spark, name: str(tmp_path / name))
+    edges = spark.createDataFrame([(f"a{a}", f"b{b}") for a, b in links + links[:3]], "a string, b string")
+    got = {r["id"]: r["hub"] for r in graph.hits(edges).collect()}
+    names = sorted(got)
+    m = np.array([[(int(x[1]), int(y[1])) in links and (x[0], y[0]) == ("a", "b") for y in names] for x in names], float)
+    m, h = m + m.T, np.ones(len(names))
+    for _ in range(300):
+        h = m @ (m @ h)
+        h /= h.max()
+    assert [got[n] for n in names] == pytest.approx((h / h.sum()).tolist(), abs=1e-5)
+    files = [c._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:") for _, c in made]
+    assert len(files) > 6 and [os.path.exists(f) for f in files] == [False] * (len(files) - 1) + [True]
+    assert sorted(os.listdir(tmp_path / "hits")) == ["nodes"] and not spark.catalog.listTables()
+    assert not any(re.search(r"Exchange hashpartitioning\(src#\d+L?, \d+\)[^\n]*\n[^\n]*dsts", p) for p, _ in made)
