@@ -5,6 +5,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,23 @@ def test_hits_leaves_nothing_behind(spark, tmp_path, monkeypatch):
     assert len(files) > 6 and [os.path.exists(f) for f in files] == [False] * (len(files) - 1) + [True]
     assert sorted(os.listdir(tmp_path / "hits")) == ["nodes"] and not spark.catalog.listTables()
     assert not any(re.search(r"Exchange hashpartitioning\(src#\d+L?, \d+\)[^\n]*\n[^\n]*dsts", p) for p, _ in made)
+
+
+def test_each_distance_is_taken_once(spark, monkeypatch):
+    """Cells below the diagonal are not made, and a cell gives sums for both of its sides; the nearest center is that of the plain rule, ties and missing numbers included."""
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(40, 3)), rng.integers(0, 3, (40, 2))
+    parts = [pa.table({"i": [0] * 20, "j": [j] * 20, "vec_id": list(range(20 * at, 20 * at + 20)), "clusters": c[20 * at : 20 * at + 20].tolist(), "v": x[20 * at : 20 * at + 20].tolist()}) for at, j in ((0, 0), (0, 1), (1, 1))]
+    monkeypatch.setattr(vector, "TILE", (7, 5))
+    made = [vector._distance_sums(parts[0], parts[0].slice(0, 0)), vector._distance_sums(parts[1], parts[2]), vector._distance_sums(parts[2].set_column(0, "i", [[1] * 20]), parts[2].slice(0, 0))]
+    got = {}
+    for r in pa.concat_tables(made).to_pylist():
+        key = (r["vec_id"], r["run"], r["cluster"])
+        got[key] = got.get(key, 0) + r["total"]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert got == {(i, r, k): pytest.approx(d[i, c[:, r] == k].sum(), abs=1e-6) for i in range(40) for r in (0, 1) for k in range(3)}
+    assert made[1].num_rows == 40 * 6
+    centers = np.array([[0, 0, 0], [2, 0, 0], [0, 2, 0], [0, 0, 0]], float)
+    rows = np.concatenate([rng.integers(-2, 3, (200, 3)).astype(float), [[1, 1, 0], [1, 0, np.nan]]])
+    plain = np.round(np.stack([np.sqrt(((rows - k) ** 2).sum(1)) for k in centers], 1), 12).argmin(1)
+    assert (vector._nearest(rows, (rows**2).sum(1), centers) == plain).all()
